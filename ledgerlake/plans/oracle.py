@@ -155,3 +155,205 @@ FIXTURE_TABLES = (
     "customers", "invoices", "payments", "collections_events", "non_invoice_payments", "vendors",
     "bills", "purchase_orders", "project_milestones", "crm_pipeline", "contingent_inflows", "expense_schedule",
 )
+
+
+def rnd(x: str, n: int) -> str:
+    """Half-even rounding of a double, as Spark's ``bround`` (via the shortest decimal form)."""
+    return f"CAST(round_even(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+
+
+def clip(x: str, lo=None, hi=None) -> str:
+    out = x
+    if lo is not None:
+        out = f"(CASE WHEN {out} < {lo} THEN {lo} ELSE {out} END)"
+    if hi is not None:
+        out = f"(CASE WHEN {out} > {hi} THEN {hi} ELSE {out} END)"
+    return out
+
+
+def sid(*parts: str) -> str:
+    """Deterministic id: sha256 of '|'-joined parts (matches ``functions.stable_id``)."""
+    return "sha256(concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "))"
+
+
+RUN = "'run-0001'"
+
+# ---------------------------------------------------------------------------
+# feature store
+# ---------------------------------------------------------------------------
+block("ar", "SELECT reference_id, payment_date, payment_amount FROM payments WHERE reference_type = 'AR'")
+block("inv_pay", """
+SELECT i.*, a.payment_date, a.payment_amount,
+       datediff('day', i.invoice_date, a.payment_date) AS days_to_pay,
+       datediff('day', i.due_date, a.payment_date) AS days_late
+FROM invoices i LEFT JOIN ar a ON i.invoice_id = a.reference_id""")
+block("cf_pay", f"""
+SELECT customer_id, avg(days_late) AS avg_payment_delay, quantile_cont(days_late, 0.5) AS median_payment_delay,
+       avg(CASE WHEN days_late > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS late_payment_ratio,
+       coalesce(stddev_samp(days_to_pay), 0.0) AS payment_volatility, avg(invoice_amount) AS avg_invoice_amount,
+       count(DISTINCT invoice_id) AS invoice_count, datediff('day', max(payment_date), {REF}) AS days_since_last_payment,
+       avg(CASE WHEN payment_date >= {REF} - 30 THEN days_to_pay END) - avg(days_to_pay) AS payment_trend_30d,
+       sum(payment_amount) AS total_paid
+FROM inv_pay WHERE payment_date IS NOT NULL GROUP BY customer_id""")
+block("cf_inv", """
+SELECT customer_id, avg(CAST(dispute_flag AS DOUBLE)) AS dispute_ratio,
+       count(*) FILTER (WHERE dispute_flag) AS open_dispute_count,
+       CASE WHEN sum(invoice_amount) FILTER (WHERE invoice_status IN ('OPEN', 'PARTIAL', 'DISPUTED')) IS NULL THEN NULL
+            WHEN sum(invoice_amount) > 0
+            THEN sum(invoice_amount) FILTER (WHERE invoice_status IN ('OPEN', 'PARTIAL', 'DISPUTED')) / (sum(invoice_amount) / 365)
+            ELSE 0.0 END AS days_sales_outstanding
+FROM invoices GROUP BY customer_id""")
+block("cf_ptp", """
+SELECT c.customer_id,
+       avg(CASE WHEN a.payment_date <= c.promise_to_pay_date THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS ptp_kept_ratio
+FROM collections_events c LEFT JOIN ar a ON c.invoice_id = a.reference_id
+WHERE c.event_type = 'PTP' GROUP BY c.customer_id""")
+block("cf_rem", f"""
+SELECT customer_id, count(*) AS recent_reminder_velocity FROM collections_events
+WHERE event_type = 'REMINDER' AND event_date >= CAST({REF} - 14 AS TIMESTAMP) GROUP BY customer_id""")
+block("cf_months", """
+SELECT customer_id, month(payment_date) AS pay_month, sum(days_to_pay) AS s, count(days_to_pay) AS c
+FROM inv_pay WHERE payment_date IS NOT NULL GROUP BY 1, 2""")
+block("cf_si", """
+SELECT customer_id, coalesce(stddev_samp(r), 1.0) AS si FROM (
+  SELECT customer_id, CASE WHEN sum(s) OVER w / sum(c) OVER w <> 0 THEN (s / c) / (sum(s) OVER w / sum(c) OVER w) END AS r
+  FROM cf_months WINDOW w AS (PARTITION BY customer_id)) GROUP BY customer_id""")
+block("cf_season", f"""
+SELECT customer_id, {clip('(1.0 + (si - (SELECT avg(si) FROM cf_si)))', 0.5, 2.0)} AS seasonality_index FROM cf_si""")
+block("cf_nip", """
+SELECT party_id AS customer_id, count(*) AS non_invoice_payment_count,
+       sum(amount) FILTER (WHERE payment_type = 'ADVANCE') AS advance
+FROM non_invoice_payments WHERE party_type = 'CUSTOMER' GROUP BY party_id""")
+block("customer_features", f"""
+SELECT c.customer_id,
+       coalesce(p.avg_payment_delay, 0.0) AS avg_payment_delay, coalesce(p.median_payment_delay, 0.0) AS median_payment_delay,
+       coalesce(p.late_payment_ratio, 0.0) AS late_payment_ratio, coalesce(p.payment_volatility, 0.0) AS payment_volatility,
+       coalesce(i.dispute_ratio, 0.0) AS dispute_ratio, coalesce(t.ptp_kept_ratio, 0.0) AS ptp_kept_ratio,
+       CAST(coalesce(r.recent_reminder_velocity, 0) AS BIGINT) AS recent_reminder_velocity,
+       CAST(coalesce(i.open_dispute_count, 0) AS BIGINT) AS open_dispute_count,
+       CAST(coalesce(p.days_since_last_payment, 0) AS BIGINT) AS days_since_last_payment,
+       coalesce(p.payment_trend_30d, 0.0) AS payment_trend_30d,
+       coalesce(i.days_sales_outstanding, 0.0) AS days_sales_outstanding,
+       coalesce(s.seasonality_index, 1.0) AS seasonality_index,
+       coalesce(p.avg_invoice_amount, 0.0) AS avg_invoice_amount,
+       CAST(coalesce(p.invoice_count, 0) AS BIGINT) AS invoice_count,
+       CAST(coalesce(n.non_invoice_payment_count, 0) AS BIGINT) AS non_invoice_payment_count,
+       coalesce(CASE WHEN n.advance IS NOT NULL THEN
+                  CASE WHEN coalesce(p.total_paid, 0) > 0 THEN n.advance / p.total_paid ELSE 0.0 END END, 0.0)
+         AS advance_payment_ratio,
+       '2001-08-02' AS feature_date, 'v1.0.0' AS feature_version
+FROM customers c LEFT JOIN cf_pay p USING (customer_id) LEFT JOIN cf_inv i USING (customer_id)
+LEFT JOIN cf_ptp t USING (customer_id) LEFT JOIN cf_rem r USING (customer_id)
+LEFT JOIN cf_season s USING (customer_id) LEFT JOIN cf_nip n USING (customer_id)""")
+
+_late = clip("late_payment_ratio", 0, 1)
+_vol = clip("payment_volatility / q", 0, 1)
+_disp = clip("dispute_ratio", 0, 1)
+_ptp = clip("ptp_kept_ratio", 0, 1)
+_trend = clip("payment_trend_30d", -30, 30)
+block("payment_scores", f"""
+SELECT customer_id, payment_score, expected_delay,
+       CASE WHEN payment_score > -0.01 AND payment_score <= 0.4 THEN 'HIGH'
+            WHEN payment_score > 0.4 AND payment_score <= 0.7 THEN 'MEDIUM'
+            WHEN payment_score > 0.7 AND payment_score <= 1.01 THEN 'LOW' END AS risk_segment,
+       '2001-08-02' AS score_date, 'cbm-v1.0' AS model_version
+FROM (
+  SELECT customer_id,
+         {rnd(f"0.3 * (1.0 - {_late}) + 0.2 * (1.0 - {_vol}) + 0.15 * (1.0 - {_disp}) + 0.2 * {_ptp} + 0.15 * (1.0 - ({_trend} + 30) / 60)", 3)} AS payment_score,
+         {rnd('avg_payment_delay', 2)} AS expected_delay
+  FROM customer_features,
+       (SELECT greatest(quantile_cont(payment_volatility, 0.95), 1.0) AS q FROM customer_features))""")
+
+block("invoice_features", f"""
+SELECT i.invoice_id, i.customer_id, i.invoice_date, i.due_date, i.invoice_amount,
+       datediff('day', i.invoice_date, {REF}) AS invoice_age_days,
+       {clip(f"datediff('day', i.due_date, {REF})", 0)} AS days_past_due,
+       CASE WHEN i.invoice_amount <= cmean * 0.5 THEN 'SMALL' WHEN i.invoice_amount <= cmean * 1.5 THEN 'MEDIUM'
+            ELSE 'LARGE' END AS invoice_amount_bucket,
+       {rnd('pct', 3)} AS amount_percentile_customer,
+       c.credit_terms AS payment_terms, i.dispute_flag,
+       coalesce(pp.paid, 0.0) > 0 AS partial_payment_flag, coalesce(pp.paid, 0.0) AS partial_payment_amount,
+       '2001-08-02' AS feature_date
+FROM (SELECT *, (rank() OVER (PARTITION BY customer_id ORDER BY invoice_amount)
+                 + (count(*) OVER (PARTITION BY customer_id, invoice_amount) - 1) / 2.0::DOUBLE)
+                / count(*) OVER (PARTITION BY customer_id) AS pct,
+             avg(invoice_amount) OVER (PARTITION BY customer_id) AS cmean FROM invoices) i
+LEFT JOIN customers c ON i.customer_id = c.customer_id
+LEFT JOIN (SELECT reference_id, sum(payment_amount) AS paid FROM ar GROUP BY reference_id) pp
+  ON i.invoice_id = pp.reference_id""")
+
+block("collections_features", f"""
+SELECT s.invoice_id,
+       CAST(coalesce(e.reminder_count, 0) AS INTEGER) AS reminder_count,
+       CAST(coalesce(e.call_count, 0) AS INTEGER) AS call_count,
+       coalesce(e.ptp > 0, false) AS promise_to_pay_flag, e.promise_to_pay_date,
+       CAST(coalesce(floor((epoch_us(CAST({REF} AS TIMESTAMP)) - epoch_us(e.last_contact)) / 86400000000), -1) AS INTEGER)
+         AS days_since_last_contact,
+       coalesce(CASE e.esc WHEN 0 THEN 'NONE' WHEN 1 THEN 'REMINDER' WHEN 2 THEN 'FORMAL' WHEN 3 THEN 'LEGAL' END, 'NONE')
+         AS escalation_status,
+       coalesce(cf.ptp_kept_ratio, 0.0) AS ptp_kept_ratio_customer
+FROM (SELECT DISTINCT invoice_id, customer_id FROM invoices) s
+LEFT JOIN (
+  SELECT invoice_id, count(*) FILTER (WHERE event_type = 'REMINDER') AS reminder_count,
+         count(*) FILTER (WHERE event_type = 'CALL') AS call_count,
+         count(*) FILTER (WHERE event_type = 'PTP') AS ptp,
+         max(promise_to_pay_date) FILTER (WHERE event_type = 'PTP') AS promise_to_pay_date,
+         max(event_date) AS last_contact,
+         max(CASE event_type WHEN 'REMINDER' THEN 1 WHEN 'CALL' THEN 1 WHEN 'PTP' THEN 1 WHEN 'DISPUTE' THEN 2
+                             WHEN 'ESCALATION' THEN 3 ELSE 0 END) AS esc
+  FROM collections_events GROUP BY invoice_id) e ON s.invoice_id = e.invoice_id
+LEFT JOIN customer_features cf ON s.customer_id = cf.customer_id""")
+
+block("ap", "SELECT reference_id, payment_date, payment_amount FROM payments WHERE reference_type = 'AP'")
+block("bill_pay", """
+SELECT b.*, a.payment_date, a.payment_amount,
+       datediff('day', b.bill_date, a.payment_date) AS payment_cycle_days,
+       datediff('day', b.due_date, a.payment_date) AS days_late
+FROM bills b LEFT JOIN ap a ON b.bill_id = a.reference_id""")
+block("vf_pay", f"""
+SELECT vendor_id, avg(payment_cycle_days) AS avg_payment_cycle_days,
+       coalesce(stddev_samp(payment_cycle_days), 0.0) AS payment_volatility,
+       avg(CASE WHEN days_late > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS late_payment_ratio,
+       avg(bill_amount) AS avg_invoice_amount, count(DISTINCT bill_id) AS invoice_count,
+       avg(CASE WHEN days_late < 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS discount_capture_ratio,
+       CAST({rnd("count(*) / count(DISTINCT strftime(payment_date, '%Y-%m'))", 0)} AS BIGINT) AS vendor_chase_frequency,
+       max(payment_date) AS last_payment_date, sum(payment_amount) AS total_paid
+FROM bill_pay WHERE payment_date IS NOT NULL GROUP BY vendor_id""")
+block("vf_lag", """
+SELECT p.vendor_id, avg(datediff('day', p.po_date, b.bill_date)) AS po_to_bill_lag
+FROM purchase_orders p JOIN bills b ON p.vendor_id = b.vendor_id
+WHERE b.bill_date > p.po_date GROUP BY p.vendor_id""")
+block("vendor_features", """
+SELECT v.vendor_id,
+       coalesce(p.avg_payment_cycle_days, 0.0) AS avg_payment_cycle_days,
+       coalesce(p.payment_volatility, 0.0) AS payment_volatility,
+       coalesce(p.late_payment_ratio, 0.0) AS late_payment_ratio,
+       coalesce(p.avg_invoice_amount, 0.0) AS avg_invoice_amount,
+       CAST(coalesce(p.invoice_count, 0) AS BIGINT) AS invoice_count,
+       coalesce(p.discount_capture_ratio, 0.0) AS discount_capture_ratio,
+       CAST(coalesce(p.vendor_chase_frequency, 0) AS BIGINT) AS vendor_chase_frequency,
+       p.last_payment_date, coalesce(l.po_to_bill_lag, 0.0) AS po_to_bill_lag,
+       coalesce(CASE WHEN n.advance IS NOT NULL THEN
+                  CASE WHEN coalesce(p.total_paid, 0) > 0 THEN n.advance / p.total_paid ELSE 0.0 END END, 0.0)
+         AS advance_payment_ratio,
+       '2001-08-02' AS feature_date, 'v1.0.0' AS feature_version
+FROM vendors v LEFT JOIN vf_pay p USING (vendor_id) LEFT JOIN vf_lag l USING (vendor_id)
+LEFT JOIN (SELECT party_id AS vendor_id, sum(amount) FILTER (WHERE payment_type = 'ADVANCE') AS advance
+           FROM non_invoice_payments WHERE party_type = 'VENDOR' GROUP BY party_id) n USING (vendor_id)""")
+
+block("bill_features", f"""
+SELECT bill_id, vendor_id, datediff('day', bill_date, {REF}) AS bill_age_days,
+       {clip(f"datediff('day', due_date, {REF})", 0)} AS days_past_due, bill_amount,
+       CASE WHEN bill_amount <= vmean * 0.5 THEN 'SMALL' WHEN bill_amount <= vmean * 1.5 THEN 'MEDIUM'
+            ELSE 'LARGE' END AS bill_amount_bucket,
+       {rnd('pct', 3)} AS amount_percentile_vendor,
+       CASE WHEN bill_status IN ('PAID', 'DEFERRED') THEN 'APPROVED' ELSE 'PENDING' END AS approval_status,
+       coalesce(datediff('day', {REF}, due_date) > 0 AND datediff('day', {REF}, due_date) <= 10, false)
+         AS early_payment_eligible,
+       coalesce({clip(f"datediff('day', due_date, {REF})", 0)} > 0 AND bill_status IN ('OPEN', 'APPROVED'), false)
+         AS penalty_accruing,
+       '2001-08-02' AS feature_date
+FROM (SELECT *, (rank() OVER (PARTITION BY vendor_id ORDER BY bill_amount)
+                 + (count(*) OVER (PARTITION BY vendor_id, bill_amount) - 1) / 2.0::DOUBLE)
+                / count(*) OVER (PARTITION BY vendor_id) AS pct,
+             avg(bill_amount) OVER (PARTITION BY vendor_id) AS vmean FROM bills)""")

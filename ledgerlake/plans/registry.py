@@ -31,10 +31,6 @@ def stable(df: DataFrame) -> DataFrame:
     return df.select(cols)
 
 
-def stable_sql(select_sql: str, double_cols=(), int_cols=()) -> str:
-    return select_sql
-
-
 def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = lambda spark, sf_dir: stable(fn(spark, sf_dir))
@@ -104,3 +100,41 @@ def _fixture_query(name):
 
 for _name, _kinds in _FIXTURE_KINDS.items():
     register(f"SRC-1:{_name}", O.compose(_round_sql(_name, _kinds)))(_fixture_query(_name))
+
+
+def kinds(spec: str) -> list[tuple[str, str]]:
+    """'a:i b:d c' -> [(a, i), (b, d), (c, s)]"""
+    out = []
+    for tok in spec.split():
+        name, _, k = tok.partition(":")
+        out.append((name, k or "s"))
+    return out
+
+
+def sql_of(block_or_select: str, spec: str) -> str:
+    """Oracle SQL: the output contract applied to a named block (or a parenthesised SELECT)."""
+    src = block_or_select if block_or_select.isidentifier() else f"({block_or_select}) q"
+    return O.compose(_round_sql(src, kinds(spec)))
+
+
+def pipe(spark: SparkSession, sf_dir: str):
+    from ledgerlake.plans.pipeline import Pipeline
+    key = ("pipe", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = Pipeline(tables(spark, sf_dir))
+    return _CACHE[key]
+
+
+def reg(key: str, spec: str, sql_src: str | None = None):
+    """Register a query whose Spark columns are exactly ``spec`` (same order)."""
+    names = [n for n, _ in kinds(spec)]
+
+    def deco(fn):
+        QUERIES[key] = lambda spark, sf_dir: stable(fn(spark, sf_dir).select(*names))
+        if sql_src is not None:
+            ORACLE[key] = sql_of(sql_src, spec)
+        return fn
+    return deco
+
+
+from ledgerlake.plans import queries_core  # noqa: E402,F401  (registers the query catalogue)
