@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "lookup", "clip", "clip_lower", "days_between", "floor_days", "lit_date", "week_label",
-    "month_label", "stable_id", "bool_ratio", "safe_ratio", "tier",
+    "month_label", "stable_id", "half_even", "bool_ratio", "safe_ratio", "tier",
 ]
 
 
@@ -85,3 +85,12 @@ def tier(c: Column, cuts: list[tuple[float, str]], default: str, strict: bool =
         cond = c > F.lit(thr) if strict else c >= F.lit(thr)
         expr = F.when(cond, label) if expr is None else expr.when(cond, label)
     return expr.otherwise(default)
+
+
+def half_even(c: Column, n: int = 0) -> Column:
+    """NumPy/pandas ``round(n)``: scale, round half to even (``rint``), unscale."""
+    c = F.col(c) if isinstance(c, str) else c
+    if n == 0:
+        return F.rint(c)
+    k = float(10 ** n)
+    return F.rint(c * F.lit(k)) / F.lit(k)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.config import DEFAULT, ESCALATION_LABEL, ESCALATION_RANK, SCORE_WEIGHTS, Settings
-from ledgerlake.functions.columns import bool_ratio, clip, floor_days, lit_date, lookup, safe_ratio
+from ledgerlake.functions.columns import half_even, bool_ratio, clip, floor_days, lit_date, lookup, safe_ratio
 from ledgerlake.operators.quantiles import exact_quantile
 from ledgerlake.operators.ranking import avg_rank_pct
 
@@ -153,7 +153,7 @@ def payment_scores(cf: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     ptp = clip(F.col("ptp_kept_ratio"), 0, 1)
     trend = F.lit(1.0) - (clip(F.col("payment_trend_30d"), -30, 30) + 30) / 60
     w = SCORE_WEIGHTS
-    score = F.bround(w["late"] * late + w["volatility"] * vol + w["dispute"] * disp + w["ptp"] * ptp
+    score = half_even(w["late"] * late + w["volatility"] * vol + w["dispute"] * disp + w["ptp"] * ptp
                      + w["trend"] * trend, 3)
     s = cf.crossJoin(F.broadcast(q95)).withColumn("payment_score", score)   # q95 is one row
     seg = (F.when((F.col("payment_score") > -0.01) & (F.col("payment_score") <= 0.4), "HIGH")
@@ -161,7 +161,7 @@ def payment_scores(cf: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
            .when((F.col("payment_score") > 0.7) & (F.col("payment_score") <= 1.01), "LOW"))
     return s.select(
         "customer_id", "payment_score",
-        F.bround(F.col("avg_payment_delay"), 2).alias("expected_delay"),
+        half_even(F.col("avg_payment_delay"), 2).alias("expected_delay"),
         seg.alias("risk_segment"),
         F.lit(str(cfg.reference_date)).alias("score_date"),
         F.lit(cfg.score_model_version).alias("model_version"),
@@ -187,7 +187,7 @@ def invoice_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataFr
         F.datediff(ref, "invoice_date").alias("invoice_age_days"),
         clip(F.datediff(ref, "due_date"), lo=0).alias("days_past_due"),
         bucket.alias("invoice_amount_bucket"),
-        F.bround(F.col("_pct"), 3).alias("amount_percentile_customer"),
+        half_even(F.col("_pct"), 3).alias("amount_percentile_customer"),
         "payment_terms", "dispute_flag",
         (paid_amt > 0).alias("partial_payment_flag"),
         paid_amt.alias("partial_payment_amount"),
@@ -244,7 +244,7 @@ def vendor_payment_stats(bill_pay: DataFrame) -> DataFrame:
         F.avg("bill_amount").alias("avg_invoice_amount"),
         F.countDistinct("bill_id").alias("invoice_count"),
         bool_ratio(F.col("days_late") < 0).alias("discount_capture_ratio"),
-        F.bround(F.count(F.lit(1)) / F.countDistinct(F.date_format("payment_date", "yyyy-MM")), 0)
+        half_even(F.count(F.lit(1)) / F.countDistinct(F.date_format("payment_date", "yyyy-MM")), 0)
         .cast("long").alias("vendor_chase_frequency"),
         F.max("payment_date").alias("last_payment_date"),
         F.sum("payment_amount").alias("_total_paid"),
@@ -321,7 +321,7 @@ def bill_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataFrame
         dpd.alias("days_past_due"),
         "bill_amount",
         bucket.alias("bill_amount_bucket"),
-        F.bround(F.col("_pct"), 3).alias("amount_percentile_vendor"),
+        half_even(F.col("_pct"), 3).alias("amount_percentile_vendor"),
         F.when(F.col("bill_status").isin("PAID", "DEFERRED"), "APPROVED").otherwise("PENDING").alias("approval_status"),
         F.coalesce((to_due > 0) & (to_due <= 10), F.lit(False)).alias("early_payment_eligible"),
         F.coalesce((dpd > 0) & F.col("bill_status").isin("OPEN", "APPROVED"), F.lit(False)).alias("penalty_accruing"),

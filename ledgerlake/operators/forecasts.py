@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.config import (DEFAULT, EXPENSE_CONFIDENCE, INFLOW_CONFIDENCE, PIPELINE_OFFSETS,
                                PIPELINE_WEIGHTS, STAGE_PROBABILITY, Settings)
-from ledgerlake.functions.columns import clip, lit_date, lookup, stable_id
+from ledgerlake.functions.columns import half_even, clip, lit_date, lookup, stable_id
 
 FORECAST_COLUMNS = ["forecast_id", "forecast_date", "forecast_type", "target_date", "forecast_amount",
                     "confidence_low", "confidence_high", "source_module", "forecast_run_id"]
@@ -182,7 +182,7 @@ def pipeline_forecast(deals: DataFrame, customer_features: DataFrame, cfg: Setti
     df = attach_delay(open_pipeline(deals), cf, cfg, out="deal_delay")
     df = df.withColumn("stage_prob", stage_probability(deals))
     df = df.select("*", F.posexplode(milestone_plan()).alias("ms_idx", "ms"))
-    amount = F.bround(F.col("deal_value") * F.col("stage_prob") * F.col("ms.weight"), 2)
+    amount = half_even(F.col("deal_value") * F.col("stage_prob") * F.col("ms.weight"), 2)
     invoice_date = F.date_add(F.date_add("expected_close_date", F.col("ms.offset")), cfg.invoice_lag_days)
     df = (df.withColumn("expected_invoice_date", invoice_date)
           .withColumn("expected_cash_date", F.date_add("expected_invoice_date", F.col("deal_delay").cast("int")))
@@ -193,7 +193,7 @@ def pipeline_forecast(deals: DataFrame, customer_features: DataFrame, cfg: Setti
         "opportunity_id", "customer_id", "deal_value", "deal_type", band.alias("deal_size_band"), "crm_stage",
         F.col("stage_prob").alias("stage_probability"),
         (F.col("ms_idx") + 1).alias("milestone_sequence"),
-        F.bround(F.col("ms.weight"), 3).alias("milestone_weight"),
+        half_even(F.col("ms.weight"), 3).alias("milestone_weight"),
         amount.alias("forecast_amount"),
         "expected_close_date", "expected_invoice_date", "expected_cash_date",
         F.lit(cfg.invoice_lag_days).alias("invoice_lag_days"),

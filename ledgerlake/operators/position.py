@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.config import DEDUP_RULES, DEFAULT, SOURCE_CONFIDENCE, Settings
-from ledgerlake.functions.columns import lit_date, lookup, month_label, stable_id, week_label
+from ledgerlake.functions.columns import half_even, lit_date, lookup, month_label, stable_id, week_label
 
 EVENT_COLUMNS = ["event_id", "source_module", "forecast_type", "direction", "target_date", "forecast_amount",
                  "confidence_tier", "forecast_date", "forecast_run_id", "original_file"]
@@ -121,7 +121,7 @@ def _rollup(daily: DataFrame, label: F.Column, name: str) -> DataFrame:
         F.sum("net_flow").alias("net_flow"),
         F.max_by("cumulative_position", "date").alias("closing_position"),
     )
-    return g.select(name, *[F.bround(c, 2).alias(c) for c in
+    return g.select(name, *[half_even(c, 2).alias(c) for c in
                             ("gross_inflow", "gross_outflow", "net_flow", "closing_position")])
 
 
@@ -138,11 +138,11 @@ def monthly_position(daily: DataFrame) -> DataFrame:
 def position_summary(daily: DataFrame, events_marked: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """S7-13 / QY-14: one row of headline figures."""
     d = daily.agg(
-        F.bround(F.sum("gross_inflow"), 2).alias("total_inflows"),
-        F.bround(F.sum("gross_outflow"), 2).alias("total_outflows"),
-        F.bround(F.sum("net_flow"), 2).alias("net_position_change"),
-        F.bround(F.max_by("cumulative_position", "date"), 2).alias("closing_balance"),
-        F.bround(F.min("cumulative_position"), 2).alias("min_cash_position"),
+        half_even(F.sum("gross_inflow"), 2).alias("total_inflows"),
+        half_even(F.sum("gross_outflow"), 2).alias("total_outflows"),
+        half_even(F.sum("net_flow"), 2).alias("net_position_change"),
+        half_even(F.max_by("cumulative_position", "date"), 2).alias("closing_balance"),
+        half_even(F.min("cumulative_position"), 2).alias("min_cash_position"),
         # first date of the minimum: smallest (position, date) pair
         F.min(F.struct("cumulative_position", "date"))["date"].alias("min_cash_date"),
         F.count(F.lit(1)).alias("forecast_days"),
@@ -174,7 +174,7 @@ def by_source(events_marked: DataFrame) -> DataFrame:
     """S7-15: active-event count and total per source, with direction label and absolute amount."""
     a = active(events_marked).groupBy("source_module").agg(
         F.count(F.lit(1)).alias("event_count"),
-        F.bround(F.sum("forecast_amount"), 2).alias("total"),
+        half_even(F.sum("forecast_amount"), 2).alias("total"),
     )
     return a.withColumn("flow_direction", F.when(F.col("total") > 0, "inflow").otherwise("outflow")) \
             .withColumn("abs_total", F.abs("total"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.config import DEFAULT, Settings
-from ledgerlake.functions.columns import clip, stable_id
+from ledgerlake.functions.columns import half_even, clip, stable_id
 
 PREDICTION_COLUMNS = ["transaction_id", "transaction_type", "predicted_payment_date", "baseline_predicted_date",
                       "prob_pay_0_30", "prob_pay_30_60", "prob_pay_60_plus", "expected_payment_amount",
@@ -20,8 +20,8 @@ PREDICTION_COLUMNS = ["transaction_id", "transaction_type", "predicted_payment_d
 
 def pseudo_predictions(labelled: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """Deterministic stand-in for model output: label + (id % 11) - 5 and label + (id % 7) - 3."""
-    return labelled.withColumn("primary", (F.col(label_col) + F.col(id_col) % 11 - 5).cast("double")) \
-                   .withColumn("baseline", (F.col(label_col) + F.col(id_col) % 7 - 3).cast("double"))
+    return labelled.withColumn("pred_primary", (F.col(label_col) + F.col(id_col) % 11 - 5).cast("double")) \
+                   .withColumn("pred_baseline", (F.col(label_col) + F.col(id_col) % 7 - 3).cast("double"))
 
 
 def _as_days(c):
@@ -31,14 +31,14 @@ def _as_days(c):
 def ar_predictions(scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """PP-1..PP-3: S1 ``payment_predictions`` from scored invoices
     (invoice_id, invoice_date, invoice_amount, primary, baseline)."""
-    days = F.bround(F.col("primary"), 1)
-    div = F.abs(F.col("primary") - F.col("baseline"))
-    tier = F.when(F.col("baseline").isNull(), "MEDIUM").when(div < 3, "HIGH").when(div < 7, "MEDIUM").otherwise("LOW")
+    days = half_even(F.col("pred_primary"), 1)
+    div = F.abs(F.col("pred_primary") - F.col("pred_baseline"))
+    tier = F.when(F.col("pred_baseline").isNull(), "MEDIUM").when(div < 3, "HIGH").when(div < 7, "MEDIUM").otherwise("LOW")
     return scored.select(
         F.col("invoice_id").alias("transaction_id"),
         F.lit("AR").alias("transaction_type"),
         F.date_add("invoice_date", _as_days(days)).alias("predicted_payment_date"),
-        F.date_add("invoice_date", _as_days(F.bround(F.col("baseline"), 0))).alias("baseline_predicted_date"),
+        F.date_add("invoice_date", _as_days(half_even(F.col("pred_baseline"), 0))).alias("baseline_predicted_date"),
         (days <= 30).cast("double").alias("prob_pay_0_30"),
         ((days > 30) & (days <= 60)).cast("double").alias("prob_pay_30_60"),
         (days > 60).cast("double").alias("prob_pay_60_plus"),
@@ -53,15 +53,15 @@ def ar_predictions(scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
 def ap_predictions(scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """PP-4: S2 ``payment_predictions`` from scored bills
     (bill_id, bill_date, bill_amount, payment_terms_days, primary, baseline)."""
-    delta = F.bround(F.col("primary"), 1)
+    delta = half_even(F.col("pred_primary"), 1)
     terms = F.col("payment_terms_days")
-    div = F.abs(F.col("primary") - F.col("baseline"))
-    tier = F.when(F.col("baseline").isNull(), "MEDIUM").when(div < 3, "HIGH").when(div < 5, "MEDIUM").otherwise("LOW")
+    div = F.abs(F.col("pred_primary") - F.col("pred_baseline"))
+    tier = F.when(F.col("pred_baseline").isNull(), "MEDIUM").when(div < 3, "HIGH").when(div < 5, "MEDIUM").otherwise("LOW")
     return scored.select(
         F.col("bill_id").alias("transaction_id"),
         F.lit("AP").alias("transaction_type"),
         F.date_add("bill_date", _as_days(terms + delta)).alias("predicted_payment_date"),
-        F.date_add("bill_date", _as_days(terms + F.bround(F.col("baseline"), 0))).alias("baseline_predicted_date"),
+        F.date_add("bill_date", _as_days(terms + half_even(F.col("pred_baseline"), 0))).alias("baseline_predicted_date"),
         (F.abs(delta) <= 5).cast("double").alias("prob_pay_0_30"),
         ((F.abs(delta) > 5) & (F.abs(delta) <= 15)).cast("double").alias("prob_pay_30_60"),
         (F.abs(delta) > 15).cast("double").alias("prob_pay_60_plus"),

@@ -158,8 +158,8 @@ FIXTURE_TABLES = (
 
 
 def rnd(x: str, n: int) -> str:
-    """Half-even rounding of a double, as Spark's ``bround`` (via the shortest decimal form)."""
-    return f"CAST(round_even(CAST({x} AS DECIMAL(38,10)), {n}) AS DOUBLE)"
+    """NumPy-style rounding of a double (scale, round half to even, unscale)."""
+    return f"round_even(CAST({x} AS DOUBLE), {n})"
 
 
 def clip(x: str, lo=None, hi=None) -> str:
@@ -181,7 +181,14 @@ RUN = "'run-0001'"
 # ---------------------------------------------------------------------------
 # feature store
 # ---------------------------------------------------------------------------
-block("ar", "SELECT reference_id, payment_date, payment_amount FROM payments WHERE reference_type = 'AR'")
+block("ar", """
+SELECT invoice_id AS reference_id,
+       invoice_date + CAST(5 + (invoice_id * 37 + customer_id * 11) % (20 + (customer_id % 7) * 15) AS INTEGER) AS payment_date,
+       CASE WHEN invoice_status = 'PARTIAL' THEN invoice_amount * 0.5 ELSE invoice_amount END AS payment_amount
+FROM invoices WHERE invoice_status IN ('PAID', 'PARTIAL')
+UNION ALL
+SELECT invoice_id, invoice_date + CAST(35 + (invoice_id * 17) % 60 AS INTEGER), invoice_amount * 0.25
+FROM invoices WHERE invoice_status = 'PARTIAL' AND invoice_id % 2 = 0""")
 block("inv_pay", """
 SELECT i.*, a.payment_date, a.payment_amount,
        datediff('day', i.invoice_date, a.payment_date) AS days_to_pay,
@@ -357,3 +364,224 @@ FROM (SELECT *, (rank() OVER (PARTITION BY vendor_id ORDER BY bill_amount)
                  + (count(*) OVER (PARTITION BY vendor_id, bill_amount) - 1) / 2.0::DOUBLE)
                 / count(*) OVER (PARTITION BY vendor_id) AS pct,
              avg(bill_amount) OVER (PARTITION BY vendor_id) AS vmean FROM bills)""")
+
+# ---------------------------------------------------------------------------
+# targets, pseudo-predictions, prediction tables
+# ---------------------------------------------------------------------------
+_TERMS_DAYS = ("CASE {c} WHEN 'NET15' THEN 15 WHEN 'NET30' THEN 30 WHEN 'NET45' THEN 45 "
+               "WHEN 'NET60' THEN 60 WHEN 'NET90' THEN 90 ELSE 30 END")
+block("ar_labelled", """
+SELECT i.invoice_id, i.customer_id, i.invoice_date, i.due_date, i.invoice_amount, f.fp AS first_payment_date,
+       datediff('day', i.invoice_date, f.fp) AS days_to_pay
+FROM invoices i JOIN (SELECT reference_id, min(payment_date) AS fp FROM payments WHERE reference_type = 'AR'
+                      GROUP BY reference_id) f ON i.invoice_id = f.reference_id
+WHERE datediff('day', i.invoice_date, f.fp) BETWEEN 0 AND 365""")
+block("ap_docs", f"""
+SELECT b.bill_id, b.vendor_id, b.bill_date, b.due_date, b.bill_amount,
+       coalesce({_TERMS_DAYS.format(c='v.payment_terms')}, 30) AS payment_terms_days
+FROM bills b LEFT JOIN vendors v ON b.vendor_id = v.vendor_id""")
+block("ap_labelled", """
+SELECT d.*, f.fp AS first_payment_date, datediff('day', d.bill_date, f.fp) AS actual_payment_days,
+       datediff('day', d.bill_date, f.fp) - d.payment_terms_days AS adjustment_delta
+FROM ap_docs d JOIN (SELECT reference_id, min(payment_date) AS fp FROM payments WHERE reference_type = 'AP'
+                     GROUP BY reference_id) f ON d.bill_id = f.reference_id
+WHERE datediff('day', d.bill_date, f.fp) - d.payment_terms_days BETWEEN -60 AND 60""")
+block("ar_scored", """
+SELECT *, CAST(days_to_pay + invoice_id % 11 - 5 AS DOUBLE) AS pred_primary,
+       CAST(days_to_pay + invoice_id % 7 - 3 AS DOUBLE) AS pred_baseline FROM ar_labelled""")
+block("ap_scored", """
+SELECT *, CAST(adjustment_delta + bill_id % 11 - 5 AS DOUBLE) AS pred_primary,
+       CAST(adjustment_delta + bill_id % 7 - 3 AS DOUBLE) AS pred_baseline FROM ap_labelled""")
+
+
+def _days(x: str) -> str:
+    return f"CAST(trunc({clip(x, '0.0')}) AS INTEGER)"
+
+
+block("s1_predictions", f"""
+SELECT invoice_id AS transaction_id, 'AR' AS transaction_type,
+       invoice_date + {_days(rnd('pred_primary', 1))} AS predicted_payment_date,
+       invoice_date + {_days(rnd('pred_baseline', 0))} AS baseline_predicted_date,
+       CASE WHEN {rnd('pred_primary', 1)} <= 30 THEN 1.0 ELSE 0.0 END AS prob_pay_0_30,
+       CASE WHEN {rnd('pred_primary', 1)} > 30 AND {rnd('pred_primary', 1)} <= 60 THEN 1.0 ELSE 0.0 END AS prob_pay_30_60,
+       CASE WHEN {rnd('pred_primary', 1)} > 60 THEN 1.0 ELSE 0.0 END AS prob_pay_60_plus,
+       invoice_amount AS expected_payment_amount, 'BATCH_PREDICTION' AS trigger_event,
+       CASE WHEN pred_baseline IS NULL THEN 'MEDIUM' WHEN abs(pred_primary - pred_baseline) < 3 THEN 'HIGH'
+            WHEN abs(pred_primary - pred_baseline) < 7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier,
+       '2001-08-02' AS prediction_date, 'lgbm-v1.0' AS model_version
+FROM ar_scored""")
+block("s2_predictions", f"""
+SELECT bill_id AS transaction_id, 'AP' AS transaction_type,
+       bill_date + {_days(f"payment_terms_days + {rnd('pred_primary', 1)}")} AS predicted_payment_date,
+       bill_date + {_days(f"payment_terms_days + {rnd('pred_baseline', 0)}")} AS baseline_predicted_date,
+       CASE WHEN abs({rnd('pred_primary', 1)}) <= 5 THEN 1.0 ELSE 0.0 END AS prob_pay_0_30,
+       CASE WHEN abs({rnd('pred_primary', 1)}) > 5 AND abs({rnd('pred_primary', 1)}) <= 15 THEN 1.0 ELSE 0.0 END AS prob_pay_30_60,
+       CASE WHEN abs({rnd('pred_primary', 1)}) > 15 THEN 1.0 ELSE 0.0 END AS prob_pay_60_plus,
+       bill_amount AS expected_payment_amount, 'BATCH_PREDICTION' AS trigger_event,
+       CASE WHEN pred_baseline IS NULL THEN 'MEDIUM' WHEN abs(pred_primary - pred_baseline) < 3 THEN 'HIGH'
+            WHEN abs(pred_primary - pred_baseline) < 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier,
+       '2001-08-02' AS prediction_date, 'lgbm-v1.0' AS model_version
+FROM ap_scored""")
+block("s1_fo", f"""
+SELECT {sid("'S1'", 'transaction_id', RUN)} AS forecast_id, '2001-08-02' AS forecast_date, 'AR' AS forecast_type,
+       predicted_payment_date AS target_date, expected_payment_amount AS forecast_amount,
+       0.9 * expected_payment_amount AS confidence_low, 1.1 * expected_payment_amount AS confidence_high,
+       'S1' AS source_module, {RUN} AS forecast_run_id FROM s1_predictions""")
+block("s2_fo", f"""
+SELECT {sid("'S2'", 'transaction_id', RUN)} AS forecast_id, '2001-08-02' AS forecast_date, 'AP' AS forecast_type,
+       predicted_payment_date AS target_date, -expected_payment_amount AS forecast_amount,
+       1.1 * -expected_payment_amount AS confidence_low, 0.9 * -expected_payment_amount AS confidence_high,
+       'S2' AS source_module, {RUN} AS forecast_run_id FROM s2_predictions""")
+
+# ---------------------------------------------------------------------------
+# rule-based forecasts
+# ---------------------------------------------------------------------------
+block("s5_detail", f"""
+SELECT {sid("'S5'", 'inflow_id', RUN)} AS forecast_id, inflow_id, category, amount, expected_receipt_date,
+       expected_receipt_date + CAST(coalesce(hist_receipt_lag_days, 0) AS INTEGER) AS expected_cash_date,
+       CAST(coalesce(hist_receipt_lag_days, 0) AS INTEGER) AS receipt_lag_days, approval_status,
+       CASE approval_status WHEN 'COMMITTED' THEN 'HIGH' WHEN 'APPROVED' THEN 'MEDIUM' WHEN 'PENDING' THEN 'LOW'
+            WHEN 'CONTINGENT' THEN 'LOW' ELSE 'LOW' END AS confidence_tier,
+       source_document_ref, amount AS forecast_amount, 'S5' AS source_module, 'INFLOW' AS forecast_type,
+       '2001-08-02' AS forecast_date, '' AS notes
+FROM contingent_inflows WHERE expected_receipt_date BETWEEN {REF} AND {HORIZON_END}""")
+block("s6_detail", f"""
+SELECT {sid("'S6'", 'expense_id', RUN)} AS forecast_id, expense_id, category, recurrence_type, amount, obligation_date,
+       obligation_date + CAST(coalesce(payment_lag_days, 0) AS INTEGER) AS expected_cash_date,
+       CAST(coalesce(payment_lag_days, 0) AS INTEGER) AS payment_lag_days,
+       CASE category WHEN 'Salary' THEN 'HIGH' WHEN 'Statutory Tax' THEN 'HIGH' WHEN 'Renewal' THEN 'MEDIUM'
+            WHEN 'PO-based' THEN 'MEDIUM' WHEN 'Seasonal' THEN 'LOW' WHEN 'One-time' THEN 'LOW' ELSE 'LOW' END
+         AS confidence_tier,
+       source_document_ref, '' AS approved_by, -abs(amount) AS forecast_amount, 'S6' AS source_module,
+       'EXPENSE' AS forecast_type, '2001-08-02' AS forecast_date, '' AS notes
+FROM expense_schedule WHERE obligation_date BETWEEN {REF} AND {HORIZON_END}""")
+
+
+def _fo(src: str, module: str, ftype: str, low: float, high: float) -> str:
+    return f"""
+SELECT forecast_id, '2001-08-02' AS forecast_date, '{ftype}' AS forecast_type, expected_cash_date AS target_date,
+       forecast_amount, forecast_amount * {low} AS confidence_low, forecast_amount * {high} AS confidence_high,
+       '{module}' AS source_module, {RUN} AS forecast_run_id FROM {src}"""
+
+
+block("s5_fo", _fo("s5_detail", "S5", "INFLOW", 0.8, 1.2))
+block("s6_fo", _fo("s6_detail", "S6", "EXPENSE", 1.1, 0.9))
+
+block("cust_delay", """
+SELECT c.customer_id, coalesce(p.avg_payment_delay, 0.0) AS avg_payment_delay
+FROM customers c LEFT JOIN cf_pay p ON c.customer_id = p.customer_id""")
+block("s3_base", f"""
+SELECT m.*, {clip('coalesce(cf.avg_payment_delay, 30.0)', '0.0')} AS customer_payment_delay
+FROM project_milestones m LEFT JOIN cust_delay cf ON m.customer_id = cf.customer_id
+WHERE m.project_status IN ('ACTIVE') AND m.completion_status <> 'COMPLETE'
+  AND (m.completion_pct >= 0.8::DOUBLE OR (datediff('day', {REF}, m.expected_completion_date) >= 0
+                                            AND datediff('day', {REF}, m.expected_completion_date) <= 30))
+  AND m.billing_trigger = true""")
+block("s3_dates", f"""
+SELECT *, projected + 7 + CAST(trunc(customer_payment_delay) AS INTEGER) AS expected_cash_date,
+       projected + 7 AS expected_invoice_date FROM (
+  SELECT *, CASE WHEN completion_status = 'IN_PROGRESS' AND expected_completion_date < {REF}
+                      AND completion_pct >= 0.8::DOUBLE
+                 THEN {REF} + greatest(1, CAST(trunc((1.0::DOUBLE - completion_pct) * 14) AS INTEGER))
+                 ELSE expected_completion_date END AS projected
+  FROM s3_base)""")
+block("s3_detail", f"""
+SELECT {sid("'S3'", 'milestone_id', RUN)} AS forecast_id, project_id, milestone_id, customer_id, project_type,
+       milestone_name, completion_pct, completion_status, billing_amount, projected AS expected_completion_date,
+       expected_invoice_date, expected_cash_date, billing_amount AS forecast_amount, 7 AS invoice_lag_days,
+       CAST(trunc(customer_payment_delay) AS INTEGER) AS customer_payment_delay_days,
+       CASE WHEN completion_pct >= 0.95::DOUBLE THEN 'HIGH' WHEN completion_pct >= 0.8::DOUBLE THEN 'MEDIUM'
+            ELSE 'LOW' END AS confidence_tier,
+       'S3' AS source_module, 'WIP' AS forecast_type, '2001-08-02' AS forecast_date
+FROM s3_dates WHERE expected_cash_date <= {WIP_END}""")
+
+_STAGE = ("CASE crm_stage WHEN 'Prospecting' THEN 0.1 WHEN 'Qualification' THEN 0.25 WHEN 'Proposal' THEN 0.5 "
+          "WHEN 'Negotiation' THEN 0.75 WHEN 'Verbal Commit' THEN 0.9 WHEN 'Closed Won' THEN 1.0 END")
+block("s4_base", f"""
+SELECT p.*, coalesce(CAST({_STAGE} AS DOUBLE), p.stage_probability, 0.5) AS stage_prob,
+       {clip('coalesce(d.delay, 30.0)', '0.0')} AS deal_delay
+FROM crm_pipeline p LEFT JOIN (
+  SELECT customer_id, {clip('coalesce(avg_payment_delay, 30.0)', '0.0')} AS delay FROM cust_delay) d
+  ON p.customer_id = d.customer_id
+WHERE p.crm_stage <> 'Closed Won'""")
+block("s4_exploded", """
+SELECT b.*, m.ms_idx, m.weight, m.off,
+       b.expected_close_date + m.off + 7 AS expected_invoice_date,
+       b.expected_close_date + m.off + 7 + CAST(trunc(b.deal_delay) AS INTEGER) AS expected_cash_date
+FROM s4_base b CROSS JOIN (VALUES (0, 0.3::DOUBLE, 0), (1, 0.4::DOUBLE, 30), (2, 0.3::DOUBLE, 60)) m(ms_idx, weight, off)""")
+block("s4_detail", f"""
+SELECT {sid("'S4'", 'opportunity_id', 'ms_idx', RUN)} AS forecast_id, opportunity_id, customer_id, deal_value,
+       deal_type, deal_size_band, crm_stage, stage_prob AS stage_probability, ms_idx + 1 AS milestone_sequence,
+       {rnd('weight', 3)} AS milestone_weight, {rnd('deal_value * stage_prob * weight', 2)} AS forecast_amount,
+       expected_close_date, expected_invoice_date, expected_cash_date, 7 AS invoice_lag_days,
+       CAST(trunc(deal_delay) AS INTEGER) AS customer_payment_delay_days,
+       CASE WHEN stage_prob >= 0.75::DOUBLE THEN 'MEDIUM' ELSE 'LOW' END AS confidence_tier,
+       'S4' AS source_module, 'PIPELINE' AS forecast_type, '2001-08-02' AS forecast_date
+FROM s4_exploded WHERE expected_cash_date BETWEEN {REF} AND {HORIZON_END}""")
+block("s4_fo", _fo("s4_detail", "S4", "PIPELINE", 0.7, 1.3))
+
+# ---------------------------------------------------------------------------
+# cash position (S7)
+# ---------------------------------------------------------------------------
+_FILES = {"S1": "s1_ar_forecast.csv", "S2": "s2_ap_forecast.csv", "S3": "s3_wip_forecast.csv",
+          "S4": "s4_pipeline_forecast.csv", "S5": "s5_contingent_forecast.csv", "S6": "s6_expense_forecast.csv"}
+_SRC_TIER = {"S1": "MEDIUM", "S2": "MEDIUM", "S3": "LOW", "S4": "LOW", "S5": "LOW", "S6": "MEDIUM"}
+
+
+def _std(src: str, module: str) -> str:
+    tier = "confidence_tier" if module == "S3" else f"'{_SRC_TIER[module]}'"
+    tgt = "expected_cash_date" if module == "S3" else "target_date"
+    return f"""
+SELECT {sid(f"'{module}'", 'forecast_id', RUN)} AS event_id, concat(source_module, '') AS source_module,
+       concat(forecast_type, '') AS forecast_type,
+       CASE WHEN forecast_type IN ('AP', 'EXPENSE') THEN 'OUTFLOW' ELSE 'INFLOW' END AS direction,
+       CAST({tgt} AS DATE) AS target_date, CAST(forecast_amount AS DOUBLE) AS forecast_amount,
+       concat({tier}, '') AS confidence_tier, concat(forecast_date, '') AS forecast_date, {RUN} AS forecast_run_id,
+       '{_FILES[module]}' AS original_file
+FROM {src} WHERE CAST({tgt} AS DATE) BETWEEN {REF} AND {HORIZON_END}"""
+
+
+def event_store_sql(mods=("S1", "S2", "S3", "S4", "S5", "S6")) -> str:
+    srcs = {"S1": "s1_fo", "S2": "s2_fo", "S3": "s3_detail", "S4": "s4_fo", "S5": "s5_fo", "S6": "s6_fo"}
+    return "\nUNION ALL\n".join(_std(srcs[m], m) for m in mods)
+
+
+block("events_raw", event_store_sql())
+block("event_store", """
+SELECT e.*, reason <> '' AS suppressed, reason AS suppression_reason FROM (
+  SELECT e.*, CASE
+      WHEN source_module = 'S6' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S2')
+        THEN 'DEDUP_S6_TO_S2'
+      WHEN source_module = 'S3' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S1')
+        THEN 'DEDUP_S3_TO_S1'
+      WHEN source_module = 'S4' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S1')
+        THEN 'DEDUP_S4_TO_S1'
+      ELSE '' END AS reason
+  FROM events_raw e) e""")
+block("active_events", "SELECT * FROM event_store WHERE NOT suppressed")
+block("daily_position", f"""
+SELECT date, gross_inflow, gross_outflow, net_flow,
+       5000000.0 + sum(net_flow) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         AS cumulative_position
+FROM (
+  SELECT CAST(cal.d AS DATE) AS date, coalesce(x.pi, 0.0) AS gross_inflow, abs(coalesce(x.po, 0.0)) AS gross_outflow,
+         coalesce(x.pi, 0.0) - abs(coalesce(x.po, 0.0)) AS net_flow
+  FROM (SELECT unnest(generate_series(CAST({REF} AS TIMESTAMP),
+                                      CAST((SELECT max(target_date) FROM active_events) AS TIMESTAMP),
+                                      INTERVAL 1 DAY)) AS d) cal
+  LEFT JOIN (SELECT target_date, sum(forecast_amount) FILTER (WHERE forecast_amount > 0) AS pi,
+                    sum(forecast_amount) FILTER (WHERE forecast_amount < 0) AS po
+             FROM active_events GROUP BY target_date) x ON CAST(cal.d AS DATE) = x.target_date)""")
+
+
+def _rollup_sql(label: str, name: str) -> str:
+    return f"""
+SELECT {label} AS {name}, {rnd('sum(gross_inflow)', 2)} AS gross_inflow, {rnd('sum(gross_outflow)', 2)} AS gross_outflow,
+       {rnd('sum(net_flow)', 2)} AS net_flow, {rnd('arg_max(cumulative_position, date)', 2)} AS closing_position
+FROM daily_position GROUP BY 1"""
+
+
+block("weekly_position", _rollup_sql(
+    "strftime(date_trunc('week', date), '%Y-%m-%d') || '/' || strftime(CAST(date_trunc('week', date) AS DATE) + 6, '%Y-%m-%d')",
+    "week"))
+block("monthly_position", _rollup_sql("strftime(date, '%Y-%m')", "month"))
