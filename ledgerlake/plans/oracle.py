@@ -585,3 +585,65 @@ block("weekly_position", _rollup_sql(
     "strftime(date_trunc('week', date), '%Y-%m-%d') || '/' || strftime(CAST(date_trunc('week', date) AS DATE) + 6, '%Y-%m-%d')",
     "week"))
 block("monthly_position", _rollup_sql("strftime(date, '%Y-%m')", "month"))
+
+# ---------------------------------------------------------------------------
+# recommendations
+# ---------------------------------------------------------------------------
+block("overdue", """
+SELECT i.*, c.reminder_count, c.call_count, c.promise_to_pay_flag, c.promise_to_pay_date, c.days_since_last_contact,
+       c.escalation_status, c.ptp_kept_ratio_customer, s.payment_score, s.risk_segment,
+       p.predicted_payment_date, p.confidence_tier AS prediction_confidence
+FROM invoice_features i LEFT JOIN collections_features c ON i.invoice_id = c.invoice_id
+LEFT JOIN payment_scores s ON i.customer_id = s.customer_id
+LEFT JOIN s1_predictions p ON i.invoice_id = p.transaction_id
+WHERE i.days_past_due > 0""")
+block("coll_cand", f"""
+SELECT o.*, round_even(0.4 * (CASE WHEN mi > 0 THEN expected_cash_impact / mi ELSE 0.0 END)
+                       + 0.3 * {clip('days_past_due / greatest(mo, 1)', 0, 1)} + 0.2 * response_probability
+                       + (0.1::DOUBLE * 0.8::DOUBLE), 4) AS total_score
+FROM (SELECT *, invoice_amount * response_probability AS expected_cash_impact FROM (
+        SELECT *, {clip('coalesce(payment_score, 0.5)', 0.1, 0.95)} AS response_probability FROM overdue)) o,
+     (SELECT max(invoice_amount * {clip('coalesce(payment_score, 0.5)', 0.1, 0.95)}) AS mi, max(days_past_due) AS mo
+      FROM overdue) n""")
+block("rec_coll", f"""
+SELECT {sid("'COLLECTIONS'", 'invoice_id', RUN)} AS recommendation_id, 'COLLECTIONS' AS lever,
+       CASE WHEN total_score > 0.7 THEN 'HIGH' WHEN total_score > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS priority,
+       'INVOICE' AS entity_type, invoice_id AS entity_id, customer_id,
+       CASE WHEN risk_segment = 'HIGH' THEN 'Formal notice + phone call'
+            WHEN risk_segment = 'MEDIUM' THEN 'Email reminder + follow-up call' ELSE 'Portal nudge + email' END AS action,
+       CASE WHEN risk_segment = 'HIGH' THEN 'FORMAL' ELSE 'REMINDER' END AS channel,
+       'Escalate ' || CAST(invoice_id AS VARCHAR) || ' ($' || format('{{:,.0f}}', invoice_amount) || ', '
+         || CAST(days_past_due AS VARCHAR) || ' days overdue) — est. accelerate by 5 days, expected cash impact $'
+         || format('{{:,.0f}}', expected_cash_impact) AS description,
+       round_even(expected_cash_impact, 2) AS cash_impact, 5 AS days_accelerated, risk_segment,
+       total_score AS score, prediction_confidence AS confidence
+FROM coll_cand ORDER BY total_score DESC, invoice_id LIMIT 10""")
+block("rec_vendor", f"""
+SELECT {sid("'VENDOR_DEFERRAL'", 'transaction_id', RUN)} AS recommendation_id, 'VENDOR_DEFERRAL' AS lever,
+       'MEDIUM' AS priority, 'BILL' AS entity_type, transaction_id AS entity_id, CAST(NULL AS BIGINT) AS customer_id,
+       'Defer payment by 10 days (no penalty)' AS action, 'TREASURY' AS channel,
+       'Defer ' || CAST(transaction_id AS VARCHAR) || ' ($' || format('{{:,.0f}}', expected_payment_amount)
+         || ') by 10 days — improves short-term cash by $' || format('{{:,.0f}}', expected_payment_amount) AS description,
+       round_even(expected_payment_amount, 2) AS cash_impact, -10 AS days_accelerated,
+       CAST(NULL AS VARCHAR) AS risk_segment, score, confidence_tier AS confidence
+FROM (SELECT u.*, round_even(0.4 * (expected_payment_amount / greatest(mx, 1.0)) + (0.1::DOUBLE * 0.7::DOUBLE), 4) AS score
+      FROM (SELECT * FROM s2_predictions WHERE predicted_payment_date BETWEEN {REF} AND {REF} + 14) u,
+           (SELECT max(expected_payment_amount) AS mx FROM s2_predictions
+            WHERE predicted_payment_date BETWEEN {REF} AND {REF} + 14) m)
+ORDER BY score DESC, transaction_id LIMIT 5""")
+block("rec_expense", f"""
+SELECT {sid("'EXPENSE_DEFERRAL'", 'expense_id', RUN)} AS recommendation_id, 'EXPENSE_DEFERRAL' AS lever,
+       'LOW' AS priority, 'EXPENSE' AS entity_type, expense_id AS entity_id, CAST(NULL AS BIGINT) AS customer_id,
+       'Defer ' || lower(category) || ' expense by 21 days' AS action, 'FINANCE' AS channel,
+       'Defer ' || CASE WHEN coalesce(notes, '') <> '' THEN notes ELSE CAST(expense_id AS VARCHAR) END
+         || ' ($' || format('{{:,.0f}}', cash_freed) || ') by 21 days — frees $' || format('{{:,.0f}}', cash_freed)
+         || ' during the period' AS description,
+       round_even(cash_freed, 2) AS cash_impact, -21 AS days_accelerated, CAST(NULL AS VARCHAR) AS risk_segment,
+       round_even(0.3 + 0.1 * (cash_freed / greatest(max(cash_freed) OVER (), 1.0)), 4) AS score, 'LOW' AS confidence
+FROM (SELECT *, abs(amount) AS cash_freed FROM s6_detail WHERE category IN ('Seasonal', 'One-time')
+      ORDER BY cash_freed DESC, expense_id LIMIT 3)""")
+block("recommendations", """
+SELECT * FROM (
+  SELECT *, row_number() OVER (ORDER BY score DESC, lever, entity_id) AS rank FROM (
+    SELECT * FROM rec_coll UNION ALL SELECT * FROM rec_vendor UNION ALL SELECT * FROM rec_expense))
+WHERE rank <= 10""")

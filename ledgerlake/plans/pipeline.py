@@ -130,3 +130,30 @@ class Pipeline:
     @cached_property
     def daily(self) -> DataFrame:
         return po.daily_position(po.active(self.event_store), self.cfg)
+
+    # ---------------------------------------------------------------- recommendations
+    @cached_property
+    def overdue(self) -> DataFrame:
+        from ledgerlake.operators import recommend as re_
+        return re_.overdue_view(self.invoice_features, self.collections_features, self.payment_scores,
+                                self.s1_predictions)
+
+    @cached_property
+    def lever_collections(self) -> DataFrame:
+        from ledgerlake.operators import recommend as re_
+        return re_.collections_lever(self.overdue, self.cfg)
+
+    @cached_property
+    def lever_vendor(self) -> DataFrame:
+        from ledgerlake.operators import recommend as re_
+        return re_.vendor_deferral_lever(self.s2_predictions, self.cfg)
+
+    @cached_property
+    def lever_expense(self) -> DataFrame:
+        from ledgerlake.operators import recommend as re_
+        return re_.expense_deferral_lever(self.s6_detail, self.cfg)
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        from ledgerlake.operators import recommend as re_
+        return re_.rank_recommendations([self.lever_collections, self.lever_vendor, self.lever_expense], self.cfg)

@@ -184,3 +184,28 @@ def q_weekly(spark, d):
 def q_monthly(spark, d):
     from ledgerlake.operators.position import monthly_position
     return monthly_position(pipe(spark, d).daily)
+
+
+# ----------------------------------------------------------------- recommendations
+REC = ("recommendation_id lever priority entity_type entity_id:i customer_id:i action channel description "
+       "cash_impact:d days_accelerated:i risk_segment score:d confidence")
+
+
+@reg("RE-5", REC, "rec_coll")
+def q_rec_collections(spark, d):
+    return pipe(spark, d).lever_collections
+
+
+@reg("RE-6", REC, "rec_vendor")
+def q_rec_vendor(spark, d):
+    return pipe(spark, d).lever_vendor
+
+
+@reg("RE-7", REC, "rec_expense")
+def q_rec_expense(spark, d):
+    return pipe(spark, d).lever_expense
+
+
+@reg("RE-8", REC + " rank:i", "recommendations")
+def q_recommendations(spark, d):
+    return pipe(spark, d).recommendations
