@@ -24,9 +24,12 @@ def exact_quantile(df: DataFrame, col: str, p: float, out: str = "quantile", acc
              ((F.col("_n") - 1) * F.lit(p)).alias("_h"))
     stats = F.broadcast(stats)                       # one row
     tagged = x.crossJoin(stats)
-    below = tagged.agg(F.count_if(F.col("_x") < F.col("_lo")).alias("_below"))
-    band = tagged.filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi"))).select("_x")
-    # the band holds ~4/accuracy of the rows: a single ordered window over it is bounded
+    # the sketch's rank error is n/accuracy: the bracket provably holds both neighbours of the
+    # fractional rank once n > accuracy; below that the whole input (<= accuracy rows) is the band
+    small = F.col("_n") <= F.lit(accuracy)
+    below = tagged.agg(F.count_if(~small & (F.col("_x") < F.col("_lo"))).alias("_below"))
+    band = tagged.filter(small | ((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))).select("_x")
+    # the band holds ~4/accuracy of the rows (or <= accuracy rows): one ordered window over it is bounded
     ranked = band.withColumn("_rn", F.row_number().over(Window.orderBy("_x")))
     pos = ranked.crossJoin(F.broadcast(below)).crossJoin(stats).withColumn(
         "_pos", F.col("_below") + F.col("_rn") - 1)
