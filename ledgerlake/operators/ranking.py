@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.session import cut_lineage
+
 
 def _parts(df: DataFrame, partitions: int | None) -> int:
     if partitions:
@@ -28,9 +30,11 @@ def global_position(df: DataFrame, order_cols: list[str], partitions: int | None
     by the listed columns only; make them unique for a strict order)."""
     p = _parts(df, partitions)
     ranged = df.repartitionByRange(p, *order_cols).withColumn("_pid", F.spark_partition_id())
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # materialised once (reliable checkpoint): the partition ids are then data, so the two
+    # consumers below agree on them whatever adaptive execution or a task retry does
+    local = cut_lineage(ranged.withColumn(
+        "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1))
+    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # at most `p` rows: size bounded by the partition count, broadcast
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
@@ -46,8 +50,8 @@ def group_value_ranks(df: DataFrame, group: str, value: str, partitions: int | N
              .agg(F.count(F.lit(1)).alias("_eq")))            # partial aggregation, skew-safe
     ranged = pairs.repartitionByRange(p, group, value).withColumn("_pid", F.spark_partition_id())
     w_local = Window.partitionBy("_pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_lless", F.coalesce(F.sum("_eq").over(w_local), F.lit(0)))
-    per_part = ranged.groupBy("_pid", group).agg(F.sum("_eq").alias("_pn"),
+    local = cut_lineage(ranged.withColumn("_lless", F.coalesce(F.sum("_eq").over(w_local), F.lit(0))))
+    per_part = local.groupBy("_pid", group).agg(F.sum("_eq").alias("_pn"),
                                                  F.sum(F.col("_eq") * F.col(value)).alias("_psum"))
     # one row per partition a group spans: windows below are bounded by the partition count
     wg = Window.partitionBy(group)

@@ -647,3 +647,163 @@ SELECT * FROM (
   SELECT *, row_number() OVER (ORDER BY score DESC, lever, entity_id) AS rank FROM (
     SELECT * FROM rec_coll UNION ALL SELECT * FROM rec_vendor UNION ALL SELECT * FROM rec_expense))
 WHERE rank <= 10""")
+
+# ---------------------------------------------------------------------------
+# splits and metrics (pseudo-predictions)
+# ---------------------------------------------------------------------------
+block("s1_split", """
+SELECT *, CAST(days_to_pay AS DOUBLE) AS label, pred_primary AS prediction,
+       row_number() OVER (ORDER BY invoice_date, invoice_id) - 1 < floor(count(*) OVER () * 0.8::DOUBLE) AS is_train
+FROM ar_scored""")
+block("s1_test", "SELECT * FROM s1_split WHERE NOT is_train")
+block("s1_train", "SELECT * FROM s1_split WHERE is_train")
+block("s1_random_split", """
+SELECT invoice_id, row_number() OVER (ORDER BY sha256(CAST(invoice_id AS VARCHAR) || '|42'), invoice_id) - 1
+         < floor(count(*) OVER () * 0.8::DOUBLE) AS is_train FROM ar_labelled""")
+block("s2_seq_split", """
+SELECT bill_id, row_number() OVER (ORDER BY bill_id) - 1 < floor(count(*) OVER () * 0.8::DOUBLE) AS is_train
+FROM ap_labelled""")
+block("s2_split", """
+SELECT s.*, v.invoice_count, CAST(adjustment_delta AS DOUBLE) AS label, pred_primary AS prediction,
+       row_number() OVER (ORDER BY bill_date, bill_id) - 1 < floor(count(*) OVER () * 0.8::DOUBLE) AS is_train
+FROM ap_scored s LEFT JOIN vendor_features v ON s.vendor_id = v.vendor_id""")
+block("s2_test", "SELECT * FROM s2_split WHERE NOT is_train")
+block("s2_train", "SELECT * FROM s2_split WHERE is_train")
+block("risk_base", """
+SELECT cf.*, s.risk_segment, CASE s.risk_segment WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 END AS target
+FROM customer_features cf JOIN payment_scores s ON cf.customer_id = s.customer_id WHERE s.risk_segment IS NOT NULL""")
+block("risk_eval", """
+SELECT *, target AS label, (target + CASE WHEN customer_id % 4 = 0 THEN 1 ELSE 0 END) % 3 AS prediction,
+       (target + CASE WHEN customer_id % 5 = 0 THEN 2 ELSE 0 END) % 3 AS baseline_class,
+       CASE WHEN (target + CASE WHEN customer_id % 4 = 0 THEN 1 ELSE 0 END) % 3 = 0 THEN 0.6 ELSE 0.2 END
+         + (customer_id % 5) * 0.01 AS prob_0,
+       CASE WHEN (target + CASE WHEN customer_id % 4 = 0 THEN 1 ELSE 0 END) % 3 = 1 THEN 0.6 ELSE 0.2 END
+         + (customer_id % 5) * 0.01 AS prob_1,
+       CASE WHEN (target + CASE WHEN customer_id % 4 = 0 THEN 1 ELSE 0 END) % 3 = 2 THEN 0.6 ELSE 0.2 END
+         + (customer_id % 5) * 0.01 AS prob_2,
+       (rank() OVER (PARTITION BY target ORDER BY sha256(CAST(customer_id AS VARCHAR) || '|42')) - 1)
+         >= ceil(count(*) OVER (PARTITION BY target) * 0.2::DOUBLE) AS is_train
+FROM risk_base""")
+block("risk_test", "SELECT * FROM risk_eval WHERE NOT is_train")
+block("risk_split_counts", "SELECT target, is_train, count(*) AS n FROM risk_eval GROUP BY 1, 2")
+block("risk_class_dist", """
+SELECT target, count(*) AS count, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM risk_eval GROUP BY target""")
+block("risk_weights", """
+SELECT customer_id, target, (SELECT count(*) FROM risk_eval WHERE is_train)
+         / ((SELECT count(DISTINCT target) FROM risk_eval WHERE is_train) * count(*) OVER (PARTITION BY target))
+         AS class_weight
+FROM risk_eval WHERE is_train""")
+block("s1_target_summary", """
+SELECT count(*) AS n, avg(days_to_pay) AS mean, stddev_samp(days_to_pay) AS std,
+       quantile_cont(days_to_pay, 0.5) AS median FROM s1_train""")
+
+
+def _reg_metrics(src: str, p: str = "prediction") -> str:
+    e = f"(label - {p})"
+    return f"""
+SELECT round_even(avg(abs({e})), 3) AS mae, round_even(sqrt(avg({e} * {e})), 3) AS rmse,
+       round_even(CASE WHEN var_pop(label) * count(*) > 0 THEN 1.0 - sum({e} * {e}) / (var_pop(label) * count(*))
+                       ELSE 0.0 END, 3) AS r2,
+       round_even(coalesce(avg(CASE WHEN label <> 0 THEN abs({e} / label) END) * 100, 0.0), 3) AS mape,
+       round_even(quantile_cont(abs({e}), 0.5), 3) AS median_ae
+FROM {src}"""
+
+
+block("me1", _reg_metrics("s1_test"))
+block("me1_train", _reg_metrics("s1_train"))
+block("me1_base", _reg_metrics("s1_test", "pred_baseline"))
+block("me2", """
+SELECT round_even(CASE WHEN tr.mae > 0 THEN te.mae / tr.mae ELSE 1.0 END, 3) AS overfit_ratio,
+       CASE WHEN tr.mae > 0 THEN te.mae / tr.mae ELSE 1.0 END > 1.5 AS overfit_warning
+FROM me1_train tr, me1 te""")
+block("me3", """
+SELECT CASE WHEN a.mae < b.mae THEN 'GBT' ELSE 'RandomForest' END AS best_model,
+       round_even(CASE WHEN a.mae < b.mae THEN (b.mae - a.mae) / b.mae * 100 ELSE (a.mae - b.mae) / a.mae * 100 END, 2)
+         AS improvement_pct
+FROM me1 a, me1_base b""")
+
+
+def _div(src: str, thr: int) -> str:
+    d = "abs(pred_primary - pred_baseline)"
+    return f"""
+SELECT avg({d}) AS divergence_mean, max({d}) AS divergence_max, count(*) FILTER (WHERE {d} > {thr}) AS divergence_above,
+       avg(CASE WHEN {d} > {thr} THEN 1.0 ELSE 0.0 END) * 100 AS divergence_above_pct,
+       quantile_cont({d}, 0.5) AS divergence_median FROM {src}"""
+
+
+block("me4", _div("s1_test", 10))
+block("ml9", _div("s1_split", 10))
+block("me5", """
+SELECT avg(CASE WHEN abs(label - prediction) <= 3 THEN 1.0 ELSE 0.0 END) * 100 AS error_pct_within_3d,
+       avg(CASE WHEN abs(label - prediction) <= 7 THEN 1.0 ELSE 0.0 END) * 100 AS error_pct_within_7d,
+       avg(CASE WHEN abs(label - prediction) <= 14 THEN 1.0 ELSE 0.0 END) * 100 AS error_pct_within_14d,
+       avg(CASE WHEN abs(label - prediction) <= 30 THEN 1.0 ELSE 0.0 END) * 100 AS error_pct_within_30d,
+       avg(CASE WHEN abs(label - prediction) > 30 THEN 1.0 ELSE 0.0 END) * 100 AS error_pct_over_30d
+FROM s1_test""")
+
+
+def _acc(src: str, ref: str) -> str:
+    ae = "abs(label - prediction)"
+    tol = ", ".join(f"round_even(avg(CASE WHEN {ae} <= {t} THEN 1.0 ELSE 0.0 END) * 100, 1) AS accuracy_within_{t}d"
+                    for t in (3, 5, 7, 10))
+    return f"""
+SELECT {tol},
+       round_even(avg(CASE WHEN (label > {ref}) = (prediction > {ref}) THEN 1.0 ELSE 0.0 END) * 100, 1)
+         AS directional_accuracy,
+       round_even(CASE WHEN var_pop(label) > 0 THEN 1.0 - var_pop(label - prediction) / var_pop(label) ELSE 0.0 END, 4)
+         AS explained_variance,
+       round_even(avg(prediction - label), 3) AS mean_bias_error
+FROM {src}"""
+
+
+block("me6", _acc("s1_test", "(SELECT avg(label) FROM s1_train)"))
+block("me6_s2", _acc("s2_test", "0"))
+block("me7", """
+SELECT round_even(avg(CASE WHEN invoice_count < 10 THEN abs(label - prediction) END), 3) AS thin_vendor_mae,
+       round_even(avg(CASE WHEN NOT (invoice_count < 10) THEN abs(label - prediction) END), 3) AS rich_vendor_mae
+FROM s2_test""")
+block("ml10", """
+SELECT round_even(avg(CASE WHEN invoice_count < 10 THEN abs(label - prediction) END), 3) AS thin_vendor_mae,
+       round_even(avg(CASE WHEN NOT (invoice_count < 10) THEN abs(label - prediction) END), 3) AS rich_vendor_mae
+FROM s2_train""")
+block("me_pc", """
+SELECT c, count(*) FILTER (WHERE label = c AND prediction = c) AS tp, count(*) FILTER (WHERE prediction = c) AS pp,
+       count(*) FILTER (WHERE label = c) AS ap,
+       CASE WHEN count(*) FILTER (WHERE prediction = c) > 0
+            THEN count(*) FILTER (WHERE label = c AND prediction = c) / count(*) FILTER (WHERE prediction = c)
+            ELSE 0.0 END AS prec,
+       CASE WHEN count(*) FILTER (WHERE label = c) > 0
+            THEN count(*) FILTER (WHERE label = c AND prediction = c) / count(*) FILTER (WHERE label = c)
+            ELSE 0.0 END AS rec
+FROM risk_test, (VALUES (0), (1), (2)) k(c) GROUP BY c""")
+block("me_pcf", "SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM me_pc")
+block("me8", """
+SELECT round_even((SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) FROM risk_test), 4) AS accuracy,
+       round_even(avg(prec), 4) AS precision_macro, round_even(avg(rec), 4) AS recall_macro,
+       round_even(avg(f1), 4) AS f1_macro,
+       round_even(sum(prec * ap) / sum(ap), 4) AS precision_weighted,
+       round_even(sum(rec * ap) / sum(ap), 4) AS recall_weighted, round_even(sum(f1 * ap) / sum(ap), 4) AS f1_weighted,
+       round_even(max(f1) FILTER (WHERE c = 0), 4) AS f1_LOW, round_even(max(f1) FILTER (WHERE c = 1), 4) AS f1_MEDIUM,
+       round_even(max(f1) FILTER (WHERE c = 2), 4) AS f1_HIGH
+FROM me_pcf""")
+block("me10", """
+SELECT label AS actual, count(*) FILTER (WHERE prediction = 0) AS pred_0, count(*) FILTER (WHERE prediction = 1) AS pred_1,
+       count(*) FILTER (WHERE prediction = 2) AS pred_2 FROM risk_test GROUP BY label""")
+block("me10r", """
+SELECT CASE c WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS class_name, round_even(prec, 4) AS precision,
+       round_even(rec, 4) AS recall, round_even(f1, 4) AS f1, ap AS support FROM me_pcf""")
+block("me11", """
+SELECT round_even(avg(CASE WHEN prediction = baseline_class THEN 1.0 ELSE 0.0 END) * 100, 2) AS agreement_pct
+FROM risk_test""")
+block("me9", """
+SELECT round_even(avg(auc), 4) AS auc_roc_ovr FROM (
+  SELECT c, (sum(r) FILTER (WHERE pos) - count(*) FILTER (WHERE pos) * (count(*) FILTER (WHERE pos) + 1) / 2.0)
+            / (count(*) FILTER (WHERE pos) * count(*) FILTER (WHERE NOT pos)) AS auc
+  FROM (SELECT k.c, t.label = k.c AS pos,
+               rank() OVER (PARTITION BY k.c ORDER BY CASE k.c WHEN 0 THEN prob_0 WHEN 1 THEN prob_1 ELSE prob_2 END)
+               + (count(*) OVER (PARTITION BY k.c, CASE k.c WHEN 0 THEN prob_0 WHEN 1 THEN prob_1 ELSE prob_2 END) - 1)
+                 / 2.0 AS r
+        FROM risk_test t, (VALUES (0), (1), (2)) k(c))
+  GROUP BY c)""")
+block("snk5", """
+SELECT metric, value FROM (SELECT * FROM me1) UNPIVOT (value FOR metric IN (mae, rmse, r2, mape, median_ae))""")

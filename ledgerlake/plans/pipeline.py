@@ -157,3 +157,32 @@ class Pipeline:
     def recommendations(self) -> DataFrame:
         from ledgerlake.operators import recommend as re_
         return re_.rank_recommendations([self.lever_collections, self.lever_vendor, self.lever_expense], self.cfg)
+
+    # ---------------------------------------------------------------- evaluation frames
+    @cached_property
+    def s1_eval(self) -> DataFrame:
+        """S1 scored rows with the time-based split (label = days_to_pay)."""
+        s = self.ar_scored.withColumn("label", F.col("days_to_pay").cast("double")) \
+                          .withColumn("prediction", F.col("pred_primary"))
+        return tr.time_split(s, ["invoice_date", "invoice_id"], self.cfg.test_size)
+
+    @cached_property
+    def s2_eval(self) -> DataFrame:
+        vf = self.vendor_features.select("vendor_id", "invoice_count")
+        s = (self.ap_scored.join(vf, "vendor_id", "left")
+             .withColumn("label", F.col("adjustment_delta").cast("double"))
+             .withColumn("prediction", F.col("pred_primary")))
+        return tr.time_split(s, ["bill_date", "bill_id"], self.cfg.test_size)
+
+    @cached_property
+    def risk_eval(self) -> DataFrame:
+        """Risk classes with a stratified split and deterministic pseudo class predictions/probabilities."""
+        df = tr.risk_training_frame(self.customer_features, self.payment_scores)
+        df = tr.stratified_split(df, "target", "customer_id", self.cfg.test_size, self.cfg.seed)
+        cid = F.col("customer_id")
+        pred = (F.col("target") + F.when(cid % 4 == 0, 1).otherwise(0)) % 3
+        base = (F.col("target") + F.when(cid % 5 == 0, 2).otherwise(0)) % 3
+        df = df.withColumn("label", F.col("target")).withColumn("prediction", pred).withColumn("baseline_class", base)
+        for c in (0, 1, 2):
+            df = df.withColumn(f"prob_{c}", F.when(F.col("prediction") == c, 0.6).otherwise(0.2) + (cid % 5) * 0.01)
+        return df

@@ -140,3 +140,4 @@ def reg(key: str, spec: str, sql_src: str | None = None):
 from ledgerlake.plans import queries_core  # noqa: E402,F401  (registers the query catalogue)
 
 FLAGSHIP = "S7-10"
+from ledgerlake.plans import queries_ml  # noqa: E402,F401
