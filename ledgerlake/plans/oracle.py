@@ -807,3 +807,84 @@ SELECT round_even(avg(auc), 4) AS auc_roc_ovr FROM (
   GROUP BY c)""")
 block("snk5", """
 SELECT metric, value FROM (SELECT * FROM me1) UNPIVOT (value FOR metric IN (mae, rmse, r2, mape, median_ae))""")
+
+# ---------------------------------------------------------------------------
+# summaries
+# ---------------------------------------------------------------------------
+def _breakdown(src: str, dims: list[str], absolute: bool = False) -> str:
+    total = "abs(sum(forecast_amount))" if absolute else "sum(forecast_amount)"
+    parts = [f"SELECT '{d}' AS dimension, CAST({d} AS VARCHAR) AS key, count(*) AS count, "
+             f"round_even({total}, 2) AS total_amount FROM {src} GROUP BY {d}" for d in dims]
+    return "\nUNION ALL\n".join(parts)
+
+
+block("s3_summary", """
+SELECT count(*) AS total_milestones, count(DISTINCT project_id) AS total_projects,
+       count(DISTINCT customer_id) AS total_customers, round_even(sum(forecast_amount), 2) AS total_forecast_amount,
+       round_even(avg(forecast_amount), 2) AS avg_forecast_amount FROM s3_detail""")
+block("s3_breakdown", _breakdown("s3_detail", ["confidence_tier", "project_type"]))
+_WEEK = ("strftime(date_trunc('week', {c}), '%Y-%m-%d') || '/' || "
+         "strftime(CAST(date_trunc('week', {c}) AS DATE) + 6, '%Y-%m-%d')")
+block("s3_weekly", f"""
+SELECT {_WEEK.format(c='expected_cash_date')} AS cash_week, round_even(sum(forecast_amount), 2) AS forecast_amount
+FROM s3_detail GROUP BY 1""")
+block("s4_stage_mix", """
+SELECT crm_stage, count(*) AS deals, round_even(sum(deal_value), 2) AS total_value FROM crm_pipeline
+WHERE crm_stage <> 'Closed Won' GROUP BY crm_stage""")
+block("s4_cohort", """
+SELECT CAST(trunc(quantile_cont(milestone_count, 0.5)) AS BIGINT) AS global_milestone_count,
+       avg(avg_invoice_amount) AS global_avg_invoice_amount, avg(avg_days_to_pay) AS global_avg_days_to_pay,
+       count(*) AS total_closed_deals
+FROM (SELECT i.customer_id, count(i.invoice_id) AS milestone_count, avg(i.invoice_amount) AS avg_invoice_amount,
+             avg(datediff('day', i.invoice_date, a.payment_date)) AS avg_days_to_pay
+      FROM invoices i JOIN ar a ON i.invoice_id = a.reference_id GROUP BY i.customer_id)""")
+block("s4_summary", """
+SELECT count(*) AS total_records, count(DISTINCT opportunity_id) AS total_deals,
+       count(DISTINCT customer_id) AS total_customers, round_even(sum(forecast_amount), 2) AS total_forecast_amount,
+       round_even(avg(forecast_amount), 2) AS avg_per_milestone FROM s4_detail""")
+block("s4_breakdown", _breakdown("s4_detail", ["crm_stage", "deal_type"]))
+block("s4_monthly", """
+SELECT strftime(expected_cash_date, '%Y-%m') AS cash_month, round_even(sum(forecast_amount), 2) AS forecast_amount
+FROM s4_detail GROUP BY 1""")
+block("s5_breakdown", _breakdown("s5_detail", ["category", "confidence_tier", "approval_status"]))
+block("s5_totals", "SELECT count(*) AS total_records, round_even(sum(forecast_amount), 2) AS total_forecast FROM s5_detail")
+block("s6_breakdown", _breakdown("s6_detail", ["category", "recurrence_type", "confidence_tier"], absolute=True))
+block("s6_totals", "SELECT count(*) AS total_records, round_even(abs(sum(forecast_amount)), 2) AS total_forecast FROM s6_detail")
+block("s7_profile", """
+SELECT source_module, direction, confidence_tier, count(*) AS events FROM event_store
+GROUP BY GROUPING SETS ((source_module), (direction), (confidence_tier))""")
+block("s7_summary", """
+SELECT round_even(sum(gross_inflow), 2) AS total_inflows, round_even(sum(gross_outflow), 2) AS total_outflows,
+       round_even(sum(net_flow), 2) AS net_position_change,
+       round_even(arg_max(cumulative_position, date), 2) AS closing_balance,
+       round_even(min(cumulative_position), 2) AS min_cash_position,
+       min(date) FILTER (WHERE cumulative_position = (SELECT min(cumulative_position) FROM daily_position))
+         AS min_cash_date,
+       count(*) AS forecast_days,
+       (SELECT count(*) FROM event_store) AS total_events,
+       (SELECT count(*) FROM event_store WHERE NOT suppressed) AS active_events,
+       (SELECT count(*) FROM event_store WHERE suppressed) AS suppressed_events,
+       5000000.0 AS opening_balance
+FROM daily_position""")
+block("s7_cash_fo", f"""
+SELECT {sid("'S7'", 'date', RUN)} AS forecast_id, '2001-08-02' AS forecast_date, 'CASH' AS forecast_type,
+       date AS target_date, net_flow AS forecast_amount, net_flow * 0.85 AS confidence_low,
+       net_flow * 1.15 AS confidence_high, 'S7' AS source_module, {RUN} AS forecast_run_id FROM daily_position""")
+block("s7_by_source", """
+SELECT source_module, count(*) AS event_count, round_even(sum(forecast_amount), 2) AS total,
+       CASE WHEN round_even(sum(forecast_amount), 2) > 0 THEN 'inflow' ELSE 'outflow' END AS flow_direction,
+       abs(round_even(sum(forecast_amount), 2)) AS abs_total
+FROM active_events GROUP BY source_module""")
+block("re_summary", """
+SELECT lever, priority, count(*) AS recommendations, round_even(sum(cash_impact), 2) AS cash_impact
+FROM recommendations GROUP BY GROUPING SETS ((lever), (priority))""")
+block("re_prioritised", """
+SELECT c.invoice_id, c.customer_id, c.days_past_due, c.total_score, p.prob_pay_0_30, p.prob_pay_30_60,
+       p.prob_pay_60_plus, row_number() OVER (ORDER BY c.total_score DESC, c.invoice_id) AS priority_rank
+FROM coll_cand c LEFT JOIN s1_predictions p ON c.invoice_id = p.transaction_id""")
+block("qy16", """
+SELECT coalesce(i.expected_cash_date, o.expected_cash_date) AS expected_cash_date, coalesce(i.inflow, 0.0) AS inflow,
+       coalesce(o.outflow, 0.0) AS outflow
+FROM (SELECT expected_cash_date, sum(forecast_amount) AS inflow FROM s5_detail GROUP BY 1) i
+FULL OUTER JOIN (SELECT expected_cash_date, abs(sum(forecast_amount)) AS outflow FROM s6_detail GROUP BY 1) o
+  ON i.expected_cash_date = o.expected_cash_date""")
