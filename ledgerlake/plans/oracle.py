@@ -888,3 +888,202 @@ SELECT coalesce(i.expected_cash_date, o.expected_cash_date) AS expected_cash_dat
 FROM (SELECT expected_cash_date, sum(forecast_amount) AS inflow FROM s5_detail GROUP BY 1) i
 FULL OUTER JOIN (SELECT expected_cash_date, abs(sum(forecast_amount)) AS outflow FROM s6_detail GROUP BY 1) o
   ON i.expected_cash_date = o.expected_cash_date""")
+
+# ---------------------------------------------------------------------------
+# serving-side lookups
+# ---------------------------------------------------------------------------
+_CB = ["avg_payment_delay", "median_payment_delay", "late_payment_ratio", "payment_volatility", "dispute_ratio",
+       "ptp_kept_ratio", "recent_reminder_velocity", "open_dispute_count", "days_since_last_payment",
+       "payment_trend_30d", "days_sales_outstanding", "seasonality_index", "avg_invoice_amount", "invoice_count",
+       "non_invoice_payment_count", "advance_payment_ratio"]
+_VB = ["avg_payment_cycle_days", "payment_volatility", "discount_capture_ratio", "late_payment_ratio",
+       "vendor_chase_frequency", "avg_invoice_amount", "invoice_count", "po_to_bill_lag", "advance_payment_ratio"]
+_S1F = (["invoice_amount", "invoice_age_days", "days_past_due", "amount_percentile_customer", "payment_terms_days",
+         "dispute_flag", "partial_payment_flag", "partial_payment_amount"] + _CB + ["payment_score", "expected_delay"]
+        + ["reminder_count", "call_count", "promise_to_pay_flag", "days_since_last_contact", "ptp_kept_ratio_customer",
+           "days_until_ptp", "invoice_amount_bucket_enc", "risk_segment_enc", "escalation_status_enc"])
+_S2F = _VB + ["bill_age_days", "days_past_due", "bill_amount", "amount_percentile_vendor", "early_payment_eligible",
+              "penalty_accruing", "bill_amount_bucket_enc", "approval_status_enc"]
+
+
+def _defaults(src: str, cols: list[str]) -> str:
+    inner = ", ".join(f"avg({c}) FILTER (WHERE invoice_count > 0) AS a_{c}, avg({c}) AS all_{c}" for c in cols)
+    outer = ", ".join(f"round_even(CASE WHEN na > 50 THEN a_{c} ELSE all_{c} END, 3) AS {c}" for c in cols)
+    return f"SELECT {outer} FROM (SELECT count(*) FILTER (WHERE invoice_count > 0) AS na, {inner} FROM {src})"
+
+
+block("qy1_customer", f"SELECT * REPLACE (1.0 AS seasonality_index) FROM ({_defaults('customer_features', _CB)})")
+block("qy1_vendor", _defaults("vendor_features", _VB))
+block("qy1_scores", """
+SELECT round_even(avg(payment_score), 3) AS payment_score, round_even(avg(expected_delay), 3) AS expected_delay,
+       'MEDIUM' AS risk_segment FROM payment_scores""")
+_BK = "CASE {c} WHEN 'SMALL' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'LARGE' THEN 2 END"
+_RK = "CASE {c} WHEN 'LOW' THEN 0 WHEN 'MEDIUM' THEN 1 WHEN 'HIGH' THEN 2 END"
+_EK = "CASE {c} WHEN 'NONE' THEN 0 WHEN 'REMINDER' THEN 1 WHEN 'FORMAL' THEN 2 WHEN 'LEGAL' THEN 3 END"
+block("qy2_base", f"""
+SELECT i.*, {', '.join('cf.' + c for c in _CB)}, c.reminder_count, c.call_count, c.promise_to_pay_flag,
+       c.promise_to_pay_date, c.days_since_last_contact, c.escalation_status, c.ptp_kept_ratio_customer,
+       s.payment_score, s.expected_delay, s.risk_segment,
+       coalesce({_TERMS_DAYS.format(c='i.payment_terms')}, 30) AS payment_terms_days,
+       coalesce(datediff('day', CAST(i.feature_date AS DATE), c.promise_to_pay_date), -1) AS days_until_ptp,
+       coalesce({_BK.format(c='i.invoice_amount_bucket')}, 1) AS invoice_amount_bucket_enc,
+       coalesce({_RK.format(c='s.risk_segment')}, 1) AS risk_segment_enc,
+       coalesce({_EK.format(c='c.escalation_status')}, 0) AS escalation_status_enc
+FROM invoice_features i LEFT JOIN customer_features cf ON i.customer_id = cf.customer_id
+LEFT JOIN collections_features c ON i.invoice_id = c.invoice_id
+LEFT JOIN payment_scores s ON i.customer_id = s.customer_id
+WHERE i.invoice_id IN (SELECT invoice_id FROM collections_events)""")
+block("qy2", "SELECT invoice_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _S1F)
+      + " FROM qy2_base")
+block("qy3", "SELECT bill_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _S2F) + f"""
+FROM (SELECT b.*, {', '.join('v.' + c for c in _VB if c not in ('payment_volatility', 'late_payment_ratio'))},
+             v.payment_volatility, v.late_payment_ratio,
+             coalesce({_BK.format(c='b.bill_amount_bucket')}, 1) AS bill_amount_bucket_enc,
+             coalesce(CASE b.approval_status WHEN 'PENDING' THEN 0 WHEN 'APPROVED' THEN 1 END, 0) AS approval_status_enc
+      FROM bill_features b LEFT JOIN vendor_features v ON b.vendor_id = v.vendor_id
+      WHERE b.bill_id IN (SELECT bill_id FROM bills WHERE bill_status IN ('OPEN', 'APPROVED')))""")
+block("qy3_risk", "SELECT customer_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _CB)
+      + " FROM customer_features WHERE customer_id IN (SELECT customer_id FROM invoice_features WHERE days_past_due > 0)")
+
+
+def _pct(amount: str, avg: str) -> str:
+    return f"CASE WHEN {avg} > 0 THEN round_even(least(1.0, {amount} / ({avg} * 2)), 3) ELSE 0.5 END"
+
+
+def _bucket(amount: str, avg: str) -> str:
+    return (f"CASE WHEN {avg} > 0 THEN CASE WHEN {amount} <= {avg} * 0.5 THEN 0 WHEN {amount} <= {avg} * 1.5 THEN 1 "
+            f"ELSE 2 END ELSE 1 END")
+
+
+_qy4_feat = {c: f"CASE WHEN cf.customer_id IS NOT NULL THEN cf.{c} ELSE d.{c} END" for c in _CB}
+_qy4_feat["seasonality_index"] = "CASE WHEN cf.customer_id IS NOT NULL THEN cf.seasonality_index ELSE 1.0 END"
+block("qy4_req", """
+SELECT milestone_id AS request_id, customer_id, billing_amount AS invoice_amount,
+       expected_completion_date AS invoice_date, expected_completion_date + 30 AS due_date, 'NET30' AS payment_terms,
+       false AS dispute_flag, 0.0 AS partial_payment_amount FROM project_milestones""")
+block("qy4_j", "SELECT r.*, " + ", ".join(f"{v} AS f_{c}" for c, v in _qy4_feat.items()) + """,
+       CASE WHEN cf.customer_id IS NOT NULL THEN 'feature_store' ELSE 'global_defaults' END AS customer_source,
+       CASE WHEN s.customer_id IS NOT NULL THEN s.payment_score ELSE sd.payment_score END AS f_payment_score,
+       CASE WHEN s.customer_id IS NOT NULL THEN s.expected_delay ELSE sd.expected_delay END AS f_expected_delay,
+       CASE WHEN s.customer_id IS NOT NULL THEN s.risk_segment ELSE 'MEDIUM' END AS f_risk
+FROM qy4_req r LEFT JOIN customer_features cf ON r.customer_id = cf.customer_id
+LEFT JOIN payment_scores s ON r.customer_id = s.customer_id, qy1_customer d, qy1_scores sd""")
+_qy4_cols = {
+    "invoice_amount": "invoice_amount",
+    "invoice_age_days": f"datediff('day', invoice_date, {REF})",
+    "days_past_due": f"greatest(0, datediff('day', due_date, {REF}))",
+    "amount_percentile_customer": _pct("invoice_amount", "f_avg_invoice_amount"),
+    "payment_terms_days": _TERMS_DAYS.format(c="payment_terms"),
+    "dispute_flag": "CAST(dispute_flag AS INTEGER)",
+    "partial_payment_flag": "CASE WHEN partial_payment_amount > 0 THEN 1 ELSE 0 END",
+    "partial_payment_amount": "partial_payment_amount",
+    **{c: f"f_{c}" for c in _CB},
+    "payment_score": "f_payment_score", "expected_delay": "f_expected_delay",
+    "reminder_count": "0", "call_count": "0", "promise_to_pay_flag": "0", "days_since_last_contact": "-1",
+    "ptp_kept_ratio_customer": "f_ptp_kept_ratio", "days_until_ptp": "-1",
+    "invoice_amount_bucket_enc": _bucket("invoice_amount", "f_avg_invoice_amount"),
+    "risk_segment_enc": f"coalesce({_RK.format(c='f_risk')}, 1)",
+    "escalation_status_enc": "0",
+}
+block("qy4", "SELECT request_id, customer_source, "
+      + ", ".join(f"CAST({_qy4_cols[c]} AS DOUBLE) AS {c}" for c in _S1F) + " FROM qy4_j")
+block("qy5_j", """
+SELECT p.po_id AS request_id, p.vendor_id, p.po_amount AS bill_amount, p.expected_invoice_date AS bill_date,
+       p.expected_invoice_date + 30 AS due_date, 'PENDING' AS approval_status,
+       CASE WHEN v.vendor_id IS NOT NULL THEN 'feature_store' ELSE 'global_defaults' END AS vendor_source, """
+      + ", ".join(f"CASE WHEN v.vendor_id IS NOT NULL THEN v.{c} ELSE d.{c} END AS f_{c}" for c in _VB) + """
+FROM purchase_orders p LEFT JOIN vendor_features v ON p.vendor_id = v.vendor_id, qy1_vendor d""")
+_qy5_cols = {
+    **{c: f"f_{c}" for c in _VB},
+    "bill_age_days": f"datediff('day', bill_date, {REF})",
+    "days_past_due": f"greatest(0, datediff('day', due_date, {REF}))",
+    "bill_amount": "bill_amount",
+    "amount_percentile_vendor": _pct("bill_amount", "f_avg_invoice_amount"),
+    "early_payment_eligible": f"CASE WHEN datediff('day', {REF}, due_date) > 0 AND datediff('day', {REF}, due_date) <= 10 "
+                              "THEN 1 ELSE 0 END",
+    "penalty_accruing": f"CASE WHEN greatest(0, datediff('day', due_date, {REF})) > 0 AND approval_status <> 'PAID' "
+                        "THEN 1 ELSE 0 END",
+    "bill_amount_bucket_enc": _bucket("bill_amount", "f_avg_invoice_amount"),
+    "approval_status_enc": "coalesce(CASE approval_status WHEN 'PENDING' THEN 0 WHEN 'APPROVED' THEN 1 END, 1)",
+}
+block("qy5", "SELECT request_id, vendor_source, "
+      + ", ".join(f"CAST({_qy5_cols[c]} AS DOUBLE) AS {c}" for c in _S2F) + " FROM qy5_j")
+_qy6 = {"avg_payment_delay": "c.avg_payment_delay", "median_payment_delay": "c.avg_payment_delay * 0.9",
+        "late_payment_ratio": "c.late_payment_ratio", "payment_volatility": "c.payment_volatility",
+        "dispute_ratio": "c.dispute_ratio", "ptp_kept_ratio": "c.ptp_kept_ratio",
+        "recent_reminder_velocity": "d.recent_reminder_velocity", "open_dispute_count": "0",
+        "days_since_last_payment": "d.days_since_last_payment", "payment_trend_30d": "0.0",
+        "days_sales_outstanding": "c.days_sales_outstanding", "seasonality_index": "1.0",
+        "avg_invoice_amount": "d.avg_invoice_amount", "invoice_count": "c.invoice_count",
+        "non_invoice_payment_count": "0", "advance_payment_ratio": "0.0"}
+block("qy6", "SELECT c.customer_id AS request_id, " + ", ".join(f"CAST({_qy6[x]} AS DOUBLE) AS {x}" for x in _CB)
+      + " FROM customer_features c, qy1_customer d")
+
+
+def _score(src: str, idc: str, s1: bool) -> str:
+    pred = "greatest(0.0, round_even(pred_primary, 1))" if s1 else "round_even(pred_primary, 1)"
+    extra = "" if s1 else (", CASE WHEN round_even(pred_primary, 1) > 0 THEN 'LATER than scheduled' "
+                           "ELSE 'EARLIER than scheduled' END AS direction")
+    return f"""
+SELECT {idc} AS id, {pred} AS prediction, round_even(pred_baseline, 1) AS baseline_prediction,
+       CASE WHEN abs(pred_primary - pred_baseline) <> 0 THEN round_even(abs(pred_primary - pred_baseline), 2) END
+         AS model_divergence,
+       CASE WHEN pred_baseline IS NULL THEN 'UNKNOWN' WHEN abs(pred_primary - pred_baseline) < 3 THEN 'HIGH'
+            WHEN abs(pred_primary - pred_baseline) < 7 THEN 'MEDIUM' ELSE 'LOW' END AS confidence{extra}
+FROM {src}"""
+
+
+block("qy7", _score("ar_scored", "invoice_id", True))
+block("qy7_s2", _score("ap_scored", "bill_id", False))
+_LBL = "CASE {c} WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'HIGH' ELSE 'UNKNOWN' END"
+block("qy8", f"""
+SELECT customer_id, {_LBL.format(c='prediction')} AS risk_segment, {_LBL.format(c='baseline_class')} AS baseline_segment,
+       round_even(prob_0, 4) AS prob_LOW, round_even(prob_1, 4) AS prob_MEDIUM, round_even(prob_2, 4) AS prob_HIGH,
+       round_even(greatest(prob_0, prob_1, prob_2), 4) AS max_probability,
+       CASE WHEN greatest(prob_0, prob_1, prob_2) >= 0.7 THEN 'HIGH'
+            WHEN greatest(prob_0, prob_1, prob_2) >= 0.5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+       {_LBL.format(c='prediction')} = {_LBL.format(c='baseline_class')} AS model_agreement
+FROM risk_eval""")
+block("qy9_projects", """
+SELECT project_id, (SELECT count(DISTINCT project_id) FROM s3_detail) AS count
+FROM (SELECT DISTINCT project_id FROM s3_detail) ORDER BY project_id LIMIT 50""")
+block("qy9_deals", """
+SELECT opportunity_id, (SELECT count(DISTINCT opportunity_id) FROM s4_detail) AS count
+FROM (SELECT DISTINCT opportunity_id FROM s4_detail) ORDER BY opportunity_id LIMIT 50""")
+block("qy9_invoices", """
+SELECT invoice_id, (SELECT count(*) FROM invoices) AS count FROM invoices ORDER BY invoice_id LIMIT 50""")
+block("qy10", """
+SELECT project_id, min(customer_id) AS customer_id, min(project_type) AS project_type, count(*) AS milestones,
+       round_even(sum(forecast_amount), 2) AS total_forecast, min(expected_cash_date) AS first_cash_date,
+       max(expected_cash_date) AS last_cash_date FROM s3_detail GROUP BY project_id""")
+block("qy11", """
+SELECT opportunity_id, min(customer_id) AS customer_id, min(deal_value) AS deal_value, min(crm_stage) AS crm_stage,
+       min(stage_probability) AS stage_probability, count(*) AS milestones,
+       round_even(sum(forecast_amount), 2) AS total_weighted_forecast, min(expected_cash_date) AS first_cash_date,
+       max(expected_cash_date) AS last_cash_date FROM s4_detail GROUP BY opportunity_id""")
+block("qy13", "SELECT 'S5' AS module, * FROM s5_breakdown UNION ALL SELECT 'S6' AS module, * FROM s6_breakdown")
+block("qy14", """
+SELECT source_module, count(*) AS total_events, count(*) FILTER (WHERE NOT suppressed) AS active_events,
+       count(*) FILTER (WHERE suppressed) AS suppressed_events,
+       round_even(sum(forecast_amount) FILTER (WHERE NOT suppressed), 2) AS active_amount
+FROM event_store GROUP BY source_module""")
+block("qy15", """
+SELECT count(*) AS total_recommendations, round_even(sum(cash_impact), 2) AS total_cash_impact,
+       count(*) FILTER (WHERE priority = 'HIGH') AS high_priority,
+       count(*) FILTER (WHERE lever = 'COLLECTIONS') AS collections,
+       count(*) FILTER (WHERE lever = 'VENDOR_DEFERRAL') AS vendor_deferrals,
+       count(*) FILTER (WHERE lever = 'EXPENSE_DEFERRAL') AS expense_deferrals FROM recommendations""")
+block("qy17", "SELECT * FROM me1")
+
+
+def _prof(name: str, src: str, ent: str, amt: str, dt: str) -> str:
+    return (f"SELECT '{name}' AS module, count(*) AS records, count(DISTINCT {ent}) AS entities, "
+            f"round_even(sum({amt}), 2) AS total_amount, min({dt}) AS first_date, max({dt}) AS last_date FROM {src}")
+
+
+block("qy19", "\nUNION ALL\n".join([
+    _prof("S3", "s3_detail", "project_id", "forecast_amount", "expected_cash_date"),
+    _prof("S4", "s4_detail", "opportunity_id", "forecast_amount", "expected_cash_date"),
+    _prof("S5", "s5_detail", "inflow_id", "forecast_amount", "expected_cash_date"),
+    _prof("S6", "s6_detail", "expense_id", "forecast_amount", "expected_cash_date"),
+    _prof("invoices", "invoices", "customer_id", "invoice_amount", "invoice_date")]))

@@ -142,3 +142,4 @@ from ledgerlake.plans import queries_core  # noqa: E402,F401  (registers the que
 FLAGSHIP = "S7-10"
 from ledgerlake.plans import queries_ml  # noqa: E402,F401
 from ledgerlake.plans import queries_summaries  # noqa: E402,F401
+from ledgerlake.plans import queries_serving  # noqa: E402,F401
