@@ -1087,3 +1087,30 @@ block("qy19", "\nUNION ALL\n".join([
     _prof("S5", "s5_detail", "inflow_id", "forecast_amount", "expected_cash_date"),
     _prof("S6", "s6_detail", "expense_id", "forecast_amount", "expected_cash_date"),
     _prof("invoices", "invoices", "customer_id", "invoice_amount", "invoice_date")]))
+
+# ---------------------------------------------------------------------------
+# training-frame steps
+# ---------------------------------------------------------------------------
+block("s1_frame", f"""
+SELECT i.*, {', '.join('cf.' + c for c in _CB)}, c.reminder_count, c.call_count, c.promise_to_pay_flag,
+       c.promise_to_pay_date, c.days_since_last_contact, c.escalation_status, c.ptp_kept_ratio_customer,
+       s.payment_score, s.expected_delay, s.risk_segment,
+       coalesce({_TERMS_DAYS.format(c='i.payment_terms')}, 30) AS payment_terms_days,
+       coalesce(datediff('day', CAST(i.feature_date AS DATE), c.promise_to_pay_date), -1) AS days_until_ptp
+FROM invoice_features i LEFT JOIN customer_features cf ON i.customer_id = cf.customer_id
+LEFT JOIN collections_features c ON i.invoice_id = c.invoice_id
+LEFT JOIN payment_scores s ON i.customer_id = s.customer_id""")
+block("s1_encoded", f"""
+SELECT * REPLACE (CAST(dispute_flag AS INTEGER) AS dispute_flag, CAST(partial_payment_flag AS INTEGER) AS partial_payment_flag,
+                  CAST(promise_to_pay_flag AS INTEGER) AS promise_to_pay_flag),
+       coalesce({_BK.format(c='invoice_amount_bucket')}, 1) AS invoice_amount_bucket_enc,
+       coalesce({_RK.format(c='risk_segment')}, 1) AS risk_segment_enc,
+       coalesce({_EK.format(c='escalation_status')}, 2) AS escalation_status_enc
+FROM s1_frame""")
+block("s1_design", "SELECT invoice_id, " + ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" for c in _S1F)
+      + " FROM s1_encoded")
+block("s2_frame", f"""
+SELECT b.*, {', '.join('v.' + c for c in _VB if c not in ('payment_volatility', 'late_payment_ratio', 'avg_invoice_amount', 'invoice_count'))},
+       coalesce({_TERMS_DAYS.format(c='vd.payment_terms')}, 30) AS payment_terms_days, r.bill_date, r.due_date, r.bill_status
+FROM bill_features b LEFT JOIN vendor_features v ON b.vendor_id = v.vendor_id
+LEFT JOIN vendors vd ON b.vendor_id = vd.vendor_id LEFT JOIN bills r ON b.bill_id = r.bill_id""")
