@@ -144,3 +144,4 @@ from ledgerlake.plans import queries_ml  # noqa: E402,F401
 from ledgerlake.plans import queries_summaries  # noqa: E402,F401
 from ledgerlake.plans import queries_serving  # noqa: E402,F401
 from ledgerlake.plans import queries_steps  # noqa: E402,F401
+from ledgerlake.plans import queries_models  # noqa: E402,F401
