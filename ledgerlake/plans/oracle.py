@@ -1114,3 +1114,14 @@ SELECT b.*, {', '.join('v.' + c for c in _VB if c not in ('payment_volatility',
        coalesce({_TERMS_DAYS.format(c='vd.payment_terms')}, 30) AS payment_terms_days, r.bill_date, r.due_date, r.bill_status
 FROM bill_features b LEFT JOIN vendor_features v ON b.vendor_id = v.vendor_id
 LEFT JOIN vendors vd ON b.vendor_id = vd.vendor_id LEFT JOIN bills r ON b.bill_id = r.bill_id""")
+
+# ---------------------------------------------------------------------------
+# streaming (final state)
+# ---------------------------------------------------------------------------
+block("st1", f"""
+SELECT invoice_id, reminder_count, call_count, promise_to_pay_flag, promise_to_pay_date, days_since_last_contact,
+       escalation_status FROM collections_features
+WHERE invoice_id IN (SELECT invoice_id FROM collections_events)""")
+block("st2", """
+SELECT CAST(date_trunc('day', event_date) AS DATE) AS day, customer_id, count(*) AS reminders
+FROM collections_events WHERE event_type = 'REMINDER' GROUP BY 1, 2""")

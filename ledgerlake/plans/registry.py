@@ -146,3 +146,4 @@ from ledgerlake.plans import queries_serving  # noqa: E402,F401
 from ledgerlake.plans import queries_steps  # noqa: E402,F401
 from ledgerlake.plans import queries_models  # noqa: E402,F401
 from ledgerlake.plans import queries_io  # noqa: E402,F401
+from ledgerlake.plans import queries_streaming  # noqa: E402,F401

@@ -46,6 +46,31 @@ def _add_days(d, n):
     return F.date_add(d, n.cast("int"))
 
 
+def collections_from(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Collections event log from the driver's event stream (works on a batch or a streaming ``events``)."""
+    shifted = F.col("ts") - F.expr(f"INTERVAL {EVENT_SHIFT_DAYS} DAYS")
+    ev_type = (F.when(F.col("event_type") == "click", "REMINDER")
+               .when(F.col("event_type") == "view", "CALL")
+               .when(F.col("event_type") == "signup", "PTP")
+               .when(F.col("event_type") == "error", "DISPUTE")
+               .when(F.col("event_type") == "purchase",
+                     F.when(F.col("value") > 100, "ESCALATION")
+                     .when(F.col("value") > 50, "INVOICE_VIEWED")
+                     .otherwise("PARTIAL_PAYMENT")))
+    return events.join(
+        orders.select("o_orderkey", "o_custkey", "o_orderdate"),
+        F.floor(F.col("event_id") / 4) == F.col("o_orderkey"),
+    ).select(
+        F.col("event_id"),
+        F.col("o_orderkey").alias("invoice_id"),
+        F.col("o_custkey").alias("customer_id"),
+        ev_type.alias("event_type"),
+        shifted.alias("event_date"),
+        F.when(F.col("event_type") == "signup",
+               _add_days(F.to_date("o_orderdate"), F.lit(10) + F.col("event_id") % 80)).alias("promise_to_pay_date"),
+    )
+
+
 def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All twelve raw finance inputs, lazily defined over the driver tables."""
     t = read_driver(spark, sf_dir)
@@ -127,26 +152,7 @@ def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     payments = reduce(DataFrame.unionByName, [ar_first, ar_second, ap])
 
     shifted = F.col("ts") - F.expr(f"INTERVAL {EVENT_SHIFT_DAYS} DAYS")
-    ev_type = (F.when(F.col("event_type") == "click", "REMINDER")
-               .when(F.col("event_type") == "view", "CALL")
-               .when(F.col("event_type") == "signup", "PTP")
-               .when(F.col("event_type") == "error", "DISPUTE")
-               .when(F.col("event_type") == "purchase",
-                     F.when(F.col("value") > 100, "ESCALATION")
-                     .when(F.col("value") > 50, "INVOICE_VIEWED")
-                     .otherwise("PARTIAL_PAYMENT")))
-    collections_events = events.join(
-        orders.select("o_orderkey", "o_custkey", "o_orderdate"),
-        F.floor(F.col("event_id") / 4) == F.col("o_orderkey"),
-    ).select(
-        F.col("event_id"),
-        F.col("o_orderkey").alias("invoice_id"),
-        F.col("o_custkey").alias("customer_id"),
-        ev_type.alias("event_type"),
-        shifted.alias("event_date"),
-        F.when(F.col("event_type") == "signup",
-               _add_days(F.to_date("o_orderdate"), F.lit(10) + F.col("event_id") % 80)).alias("promise_to_pay_date"),
-    )
+    collections_events = collections_from(events, orders)
 
     even = F.col("event_id") % 2 == 0
     non_invoice_payments = events.filter(F.col("event_type").isin("click", "view")).crossJoin(n_cust).crossJoin(n_supp).select(
