@@ -92,3 +92,18 @@ def q_published_recs(spark, d):
 def q_published_forecasts(spark, d):
     base = jobs.publish_forecasts(pipe(spark, d), _root(spark, d))
     return spark.read.parquet(base).groupBy("source_module").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@reg("SRC-4", "input rows:i amount:d", """
+SELECT 'project_milestones' AS input, count(*) AS rows, round_even(sum(billing_amount), 2) AS amount FROM project_milestones
+UNION ALL SELECT 'crm_pipeline', count(*), round_even(sum(deal_value), 2) FROM crm_pipeline
+UNION ALL SELECT 'contingent_inflows', count(*), round_even(sum(amount), 2) FROM contingent_inflows
+UNION ALL SELECT 'expense_schedule', count(*), round_even(sum(amount), 2) FROM expense_schedule""")
+def q_forecast_inputs(spark, d):
+    """Milestone, CRM, contingent-inflow and expense scans (one pass each)."""
+    from ledgerlake.functions.columns import half_even
+    t = pipe(spark, d).t
+    parts = [t[n].agg(F.lit(n).alias("input"), F.count(F.lit(1)).alias("rows"), half_even(F.sum(c), 2).alias("amount"))
+             for n, c in (("project_milestones", "billing_amount"), ("crm_pipeline", "deal_value"),
+                          ("contingent_inflows", "amount"), ("expense_schedule", "amount"))]
+    return reduce(DataFrame.unionByName, parts)

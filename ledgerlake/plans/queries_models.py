@@ -80,3 +80,12 @@ def q_model_roundtrip(spark, d):
     m = ml.fit(data.filter(F.col("is_train")), feats, ml.rf_regressor(P1))
     path = ml.save(m, f"{checkpoint_dir(spark)}/models/s1_rf")
     return ml.predict(ml.load(path), data, ["invoice_id", "label", "is_train"])
+
+
+@reg("SRC-6", "customer_id:i label:d prediction:d probability")
+def q_model_load(spark, d):
+    """Risk classifier saved to and loaded from the shared folder, then used for batch scoring."""
+    x, train, feats = _risk(spark, d)
+    m = ml.fit(train, feats, ml.rf_classifier(PR))
+    path = ml.save(m, f"{checkpoint_dir(spark)}/models/risk_rf")
+    return ml.predict(ml.load(path), x, ["customer_id", "label"])
