@@ -1,8 +1,12 @@
-"""The whole batch job as one lazy object graph.
-
-``Pipeline(tables, cfg)`` exposes every stage as a lazily built DataFrame;
-stages hand DataFrames (not files) to each other, so a query that needs only
-the cash position plans only the scans and operators it depends on.
+"""The whole batch job as one object graph of stages.
+
+``Pipeline(tables, cfg)`` exposes every stage as a property built on first
+use, so a query that needs only the cash position builds only what it depends
+on.  Stages that several consumers read (the six feature tables, the two
+prediction tables, the event store) are materialised once as Parquet in the
+shared checkpoint folder -- the feature-store contract of the original design
+-- so each consumer scans a table instead of recomputing its lineage, and a
+lost executor recomputes from the last written stage only.
 """
 from __future__ import annotations
 
@@ -17,6 +21,7 @@ from ledgerlake.operators import forecasts as fc
 from ledgerlake.operators import position as po
 from ledgerlake.operators import predictions as pp
 from ledgerlake.operators import training as tr
+from ledgerlake.session import cut_lineage
 from ledgerlake.sources.driver import finance_tables
 
 
@@ -33,27 +38,27 @@ class Pipeline:
     # ---------------------------------------------------------------- features
     @cached_property
     def customer_features(self) -> DataFrame:
-        return fe.customer_features(self.t, self.cfg)
+        return cut_lineage(fe.customer_features(self.t, self.cfg), "customer_features")
 
     @cached_property
     def payment_scores(self) -> DataFrame:
-        return fe.payment_scores(self.customer_features, self.cfg)
+        return cut_lineage(fe.payment_scores(self.customer_features, self.cfg), "payment_scores")
 
     @cached_property
     def invoice_features(self) -> DataFrame:
-        return fe.invoice_features(self.t, self.cfg)
+        return cut_lineage(fe.invoice_features(self.t, self.cfg), "invoice_features")
 
     @cached_property
     def collections_features(self) -> DataFrame:
-        return fe.collections_features(self.t, self.customer_features, self.cfg)
+        return cut_lineage(fe.collections_features(self.t, self.customer_features, self.cfg), "collections_features")
 
     @cached_property
     def vendor_features(self) -> DataFrame:
-        return fe.vendor_features(self.t, self.cfg)
+        return cut_lineage(fe.vendor_features(self.t, self.cfg), "vendor_features")
 
     @cached_property
     def bill_features(self) -> DataFrame:
-        return fe.bill_features(self.t, self.cfg)
+        return cut_lineage(fe.bill_features(self.t, self.cfg), "bill_features")
 
     # ---------------------------------------------------------------- targets
     @cached_property
@@ -85,11 +90,11 @@ class Pipeline:
 
     @cached_property
     def s1_predictions(self) -> DataFrame:
-        return pp.ar_predictions(self.ar_scored, self.cfg)
+        return cut_lineage(pp.ar_predictions(self.ar_scored, self.cfg), "s1_predictions")
 
     @cached_property
     def s2_predictions(self) -> DataFrame:
-        return pp.ap_predictions(self.ap_scored, self.cfg)
+        return cut_lineage(pp.ap_predictions(self.ap_scored, self.cfg), "s2_predictions")
 
     # ---------------------------------------------------------------- forecasts
     @cached_property
@@ -121,7 +126,10 @@ class Pipeline:
 
     # ---------------------------------------------------------------- cash position
     def events(self, which=("S1", "S2", "S3", "S4", "S5", "S6")) -> DataFrame:
-        return po.dedup(po.event_store(self.forecast_sources(which), self.cfg))
+        """Normalised event store, written once to the shared folder (it is read by the dedup rules,
+        the cash position and the reports), then marked by the dedup rules."""
+        raw = cut_lineage(po.event_store(self.forecast_sources(which), self.cfg), "event_store")
+        return po.dedup(raw)
 
     @cached_property
     def event_store(self) -> DataFrame:

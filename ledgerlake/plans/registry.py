@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.plans import oracle as O
-from ledgerlake.sources.driver import finance_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -40,14 +39,20 @@ def register(key: str, sql: str | None = None):
     return deco
 
 
-_CACHE: dict = {}
+_CACHE: dict = {}     # pipelines (plans and their checkpoints), per session and input folder
+_TABLES: dict = {}    # staged finance inputs, per session and input folder
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The finance inputs, staged once per session as Parquet in the shared folder."""
+    import os
+    from ledgerlake.session import checkpoint_dir
+    from ledgerlake.sources.driver import stage_inputs
     key = (id(spark), sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = finance_tables(spark, sf_dir)
-    return _CACHE[key]
+    if key not in _TABLES:
+        root = f"{checkpoint_dir(spark)}/inputs/{os.path.basename(sf_dir.rstrip('/'))}"
+        _TABLES[key] = stage_inputs(spark, sf_dir, root)
+    return _TABLES[key]
 
 
 def _round_sql(table: str, cols: list[tuple[str, str]]) -> str:

@@ -50,10 +50,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df, name: str | None = None):
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and return a scan of it.
+
+    Unlike ``localCheckpoint`` the data survives executor loss, and unlike an
+    RDD checkpoint the result is columnar: later readers get column pruning and
+    filter pushdown.  The plan behind the returned frame is a plain file scan,
+    which also keeps downstream plans (and their analysis time) small."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{name or 'stage'}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def ensure_utc(spark: SparkSession) -> None:

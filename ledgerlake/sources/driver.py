@@ -231,3 +231,17 @@ def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "project_milestones": project_milestones, "crm_pipeline": crm_pipeline,
         "contingent_inflows": contingent_inflows, "expense_schedule": expense_schedule,
     }
+
+
+def stage_inputs(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
+    """Write the twelve finance inputs once as Parquet tables under ``root`` and return scans of them.
+
+    Downstream jobs then start from real input tables (as they would in
+    production) instead of re-deriving every input from the driver tables in
+    each plan; the write also cuts the lineage back to the driver files."""
+    out = {}
+    for name, df in finance_tables(spark, sf_dir).items():
+        path = f"{root}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        out[name] = spark.read.parquet(path)
+    return out
