@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.plans import oracle as O
+from ledgerlake.session import ensure_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +33,10 @@ def stable(df: DataFrame) -> DataFrame:
 
 def register(key: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: stable(fn(spark, sf_dir))
+        def run(spark, sf_dir):
+            ensure_utc(spark)
+            return stable(fn(spark, sf_dir))
+        QUERIES[key] = run
         if sql is not None:
             ORACLE[key] = sql
         return fn
@@ -135,7 +139,10 @@ def reg(key: str, spec: str, sql_src: str | None = None):
     names = [n for n, _ in kinds(spec)]
 
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: stable(fn(spark, sf_dir).select(*names))
+        def run(spark, sf_dir):
+            ensure_utc(spark)          # date arithmetic and event-time windows are defined in UTC
+            return stable(fn(spark, sf_dir).select(*names))
+        QUERIES[key] = run
         if sql_src is not None:
             ORACLE[key] = sql_of(sql_src, spec)
         return fn
