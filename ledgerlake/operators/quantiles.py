@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantile(df: DataFrame, col: str, p: float, out: str = "quantile", accuracy: int = 10000) -> DataFrame:
+def exact_quantile(df: DataFrame, col: str, p: float, out: str = "quantile", accuracy: int = 100000) -> DataFrame:
     x = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
     margin = 2.0 / accuracy
     lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)

@@ -26,10 +26,15 @@ from ledgerlake.sources.driver import finance_tables
 
 
 class Pipeline:
-    def __init__(self, tables: dict[str, DataFrame], cfg: Settings = DEFAULT, predictions: str = "pseudo"):
+    def __init__(self, tables: dict[str, DataFrame], cfg: Settings = DEFAULT, predictions: str = "pseudo",
+                 materialize: bool = True):
         self.t = tables
         self.cfg = cfg
         self.predictions = predictions   # "pseudo" (deterministic) or "model" (MLlib)
+        self.materialize = materialize   # False: one lazy plan end to end (for explain / plan review)
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(df, name) if self.materialize else df
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, cfg: Settings = DEFAULT, **kw) -> "Pipeline":
@@ -38,27 +43,27 @@ class Pipeline:
     # ---------------------------------------------------------------- features
     @cached_property
     def customer_features(self) -> DataFrame:
-        return cut_lineage(fe.customer_features(self.t, self.cfg), "customer_features")
+        return self._stage(fe.customer_features(self.t, self.cfg), "customer_features")
 
     @cached_property
     def payment_scores(self) -> DataFrame:
-        return cut_lineage(fe.payment_scores(self.customer_features, self.cfg), "payment_scores")
+        return self._stage(fe.payment_scores(self.customer_features, self.cfg), "payment_scores")
 
     @cached_property
     def invoice_features(self) -> DataFrame:
-        return cut_lineage(fe.invoice_features(self.t, self.cfg), "invoice_features")
+        return self._stage(fe.invoice_features(self.t, self.cfg), "invoice_features")
 
     @cached_property
     def collections_features(self) -> DataFrame:
-        return cut_lineage(fe.collections_features(self.t, self.customer_features, self.cfg), "collections_features")
+        return self._stage(fe.collections_features(self.t, self.customer_features, self.cfg), "collections_features")
 
     @cached_property
     def vendor_features(self) -> DataFrame:
-        return cut_lineage(fe.vendor_features(self.t, self.cfg), "vendor_features")
+        return self._stage(fe.vendor_features(self.t, self.cfg), "vendor_features")
 
     @cached_property
     def bill_features(self) -> DataFrame:
-        return cut_lineage(fe.bill_features(self.t, self.cfg), "bill_features")
+        return self._stage(fe.bill_features(self.t, self.cfg), "bill_features")
 
     # ---------------------------------------------------------------- targets
     @cached_property
@@ -90,11 +95,11 @@ class Pipeline:
 
     @cached_property
     def s1_predictions(self) -> DataFrame:
-        return cut_lineage(pp.ar_predictions(self.ar_scored, self.cfg), "s1_predictions")
+        return self._stage(pp.ar_predictions(self.ar_scored, self.cfg), "s1_predictions")
 
     @cached_property
     def s2_predictions(self) -> DataFrame:
-        return cut_lineage(pp.ap_predictions(self.ap_scored, self.cfg), "s2_predictions")
+        return self._stage(pp.ap_predictions(self.ap_scored, self.cfg), "s2_predictions")
 
     # ---------------------------------------------------------------- forecasts
     @cached_property
@@ -128,7 +133,7 @@ class Pipeline:
     def events(self, which=("S1", "S2", "S3", "S4", "S5", "S6")) -> DataFrame:
         """Normalised event store, written once to the shared folder (it is read by the dedup rules,
         the cash position and the reports), then marked by the dedup rules."""
-        raw = cut_lineage(po.event_store(self.forecast_sources(which), self.cfg), "event_store")
+        raw = self._stage(po.event_store(self.forecast_sources(which), self.cfg), "event_store")
         return po.dedup(raw)
 
     @cached_property
