@@ -142,6 +142,16 @@ def customer_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataF
     )
 
 
+def customer_delays(t: dict[str, DataFrame]) -> DataFrame:
+    """(customer_id, avg_payment_delay) exactly as in customer_features (customers without paid
+    invoices get 0), computed from the AR join alone -- for consumers that need only the delay."""
+    paid = invoice_payments(t["invoices"], t["payments"]).filter(F.col("payment_date").isNotNull())
+    d = paid.groupBy("customer_id").agg(F.avg("days_late").alias("avg_payment_delay"))
+    return (t["customers"].select("customer_id").join(d, "customer_id", "left")
+            .select("customer_id", F.coalesce(F.col("avg_payment_delay").cast("double"), F.lit(0.0))
+                    .alias("avg_payment_delay")))
+
+
 # ======================================================================= scores
 def payment_scores(cf: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """PS-1..PS-3: composite score, risk segment, expected delay."""
@@ -274,13 +284,6 @@ def po_to_bill_lag(pos: DataFrame, bills: DataFrame) -> DataFrame:
         "vendor_id", (F.col("_lag").cast("double") / F.col("_pairs")).alias("po_to_bill_lag"))
 
 
-def po_to_bill_lag_pairs(pos: DataFrame, bills: DataFrame) -> DataFrame:
-    """VF-6 written as the literal theta join (reference check for the linear rewrite; quadratic)."""
-    j = pos.select("vendor_id", "po_date").join(bills.select("vendor_id", "bill_date"), "vendor_id")
-    lag = F.datediff("bill_date", "po_date")
-    return j.filter(lag > 0).groupBy("vendor_id").agg(F.avg(lag).alias("po_to_bill_lag"))
-
-
 def vendor_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataFrame:
     """VF-8: vendors spine + aggregates (13 columns)."""
     stats = vendor_payment_stats(bill_payments(t["bills"], t["payments"]))

@@ -65,6 +65,14 @@ class Pipeline:
     def bill_features(self) -> DataFrame:
         return self._stage(fe.bill_features(self.t, self.cfg), "bill_features")
 
+    @cached_property
+    def customer_delays(self) -> DataFrame:
+        """Average payment delay per customer: read from the feature table when it is already built,
+        otherwise derived from the AR join alone (S3/S4 need nothing else)."""
+        if "customer_features" in self.__dict__:
+            return self.customer_features.select("customer_id", "avg_payment_delay")
+        return fe.customer_delays(self.t)
+
     # ---------------------------------------------------------------- targets
     @cached_property
     def ar_labelled(self) -> DataFrame:
@@ -104,11 +112,11 @@ class Pipeline:
     # ---------------------------------------------------------------- forecasts
     @cached_property
     def s3_detail(self) -> DataFrame:
-        return fc.wip_forecast(self.t["project_milestones"], self.customer_features, self.cfg)
+        return fc.wip_forecast(self.t["project_milestones"], self.customer_delays, self.cfg)
 
     @cached_property
     def s4_detail(self) -> DataFrame:
-        return fc.pipeline_forecast(self.t["crm_pipeline"], self.customer_features, self.cfg)
+        return fc.pipeline_forecast(self.t["crm_pipeline"], self.customer_delays, self.cfg)
 
     @cached_property
     def s5_detail(self) -> DataFrame:
