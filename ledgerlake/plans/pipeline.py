@@ -2,11 +2,13 @@
 
 ``Pipeline(tables, cfg)`` exposes every stage as a property built on first
 use, so a query that needs only the cash position builds only what it depends
-on.  Stages that several consumers read (the six feature tables, the two
-prediction tables, the event store) are materialised once as Parquet in the
-shared checkpoint folder -- the feature-store contract of the original design
--- so each consumer scans a table instead of recomputing its lineage, and a
-lost executor recomputes from the last written stage only.
+on.  Stages that several consumers read (the six feature tables and the event
+store, which the dedup rules read three times) are materialised once as
+Parquet in the shared checkpoint folder -- the feature-store contract of the
+original design -- so each consumer scans a table instead of recomputing its
+lineage, and a lost executor recomputes from the last written stage only.
+Single-consumer stages (prediction tables, forecasts) stay lazy and are
+fused into their consumer's plan; ``publish_all`` writes them as outputs.
 """
 from __future__ import annotations
 
@@ -103,11 +105,11 @@ class Pipeline:
 
     @cached_property
     def s1_predictions(self) -> DataFrame:
-        return self._stage(pp.ar_predictions(self.ar_scored, self.cfg), "s1_predictions")
+        return pp.ar_predictions(self.ar_scored, self.cfg)
 
     @cached_property
     def s2_predictions(self) -> DataFrame:
-        return self._stage(pp.ap_predictions(self.ap_scored, self.cfg), "s2_predictions")
+        return pp.ap_predictions(self.ap_scored, self.cfg)
 
     # ---------------------------------------------------------------- forecasts
     @cached_property
