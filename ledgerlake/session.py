@@ -17,6 +17,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # batch jobs: skip capturing the Python call site on every DataFrame/Column call (two JVM
+    # round trips per call while a plan is built); errors still carry the Catalyst context
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
