@@ -52,6 +52,8 @@ def customer_payment_stats(inv_pay: DataFrame, cfg: Settings = DEFAULT) -> DataF
         F.datediff(_ref(cfg), F.max("payment_date")).alias("days_since_last_payment"),
         (F.avg(F.when(recent, F.col("days_to_pay"))) - F.avg("days_to_pay")).alias("payment_trend_30d"),
         F.sum("payment_amount").alias("_total_paid"),
+        F.sum("days_to_pay").alias("_ts"), F.count("days_to_pay").alias("_tc"),
+        *month_sums(),
     )
 
 
@@ -87,19 +89,45 @@ def reminder_velocity(collections: DataFrame, cfg: Settings = DEFAULT) -> DataFr
             .groupBy("customer_id").agg(F.count(F.lit(1)).alias("recent_reminder_velocity")))
 
 
+MONTHS = range(1, 13)
+
+
+def month_sums() -> list:
+    """Per calendar month (1-12): sum and count of days_to_pay, as aggregate columns (fixed width)."""
+    m = F.month("payment_date")
+    cols = []
+    for k in MONTHS:
+        cols += [F.sum(F.when(m == k, F.col("days_to_pay"))).alias(f"_ms{k}"),
+                 F.count(F.when(m == k, F.col("days_to_pay"))).alias(f"_mc{k}")]
+    return cols
+
+
+def seasonality_raw(total_sum: F.Column, total_cnt: F.Column) -> F.Column:
+    """Sample std over pay-months of (month mean / customer mean) from the 12 month sums; null when
+    fewer than two months (or a zero customer mean)."""
+    cust_avg = total_sum / total_cnt
+    ratios = [F.when((F.col(f"_mc{k}") > 0) & (cust_avg != 0),
+                     (F.col(f"_ms{k}") / F.col(f"_mc{k}")) / cust_avg) for k in MONTHS]
+    n = sum(F.when(r.isNotNull(), F.lit(1)).otherwise(F.lit(0)) for r in ratios)
+    mean = sum(F.coalesce(r, F.lit(0.0)) for r in ratios) / n
+    ss = sum(F.when(r.isNotNull(), (r - mean) * (r - mean)).otherwise(F.lit(0.0)) for r in ratios)
+    return F.when(n >= 2, F.sqrt(ss / (n - 1)))
+
+
 def seasonality(inv_pay: DataFrame) -> DataFrame:
     """CF-10: std over calendar pay-months of (month mean / customer mean), null -> 1.0,
     re-centred on the mean over customers, clipped to [0.5, 2.0].
 
-    The window runs over at most 12 month rows per customer."""
+    One groupBy(customer) with 12 month-sum/count columns (the month domain is fixed), no
+    second shuffle by (customer, month)."""
     paid = inv_pay.filter(F.col("payment_date").isNotNull())
-    months = paid.groupBy("customer_id", F.month("payment_date").alias("pay_month")).agg(
-        F.sum("days_to_pay").alias("_s"), F.count("days_to_pay").alias("_c"))
-    w = Window.partitionBy("customer_id")
-    cust_avg = F.sum("_s").over(w) / F.sum("_c").over(w)
-    ratio = F.when(cust_avg != 0, (F.col("_s") / F.col("_c")) / cust_avg)
-    per = months.withColumn("_r", ratio).groupBy("customer_id").agg(
-        F.coalesce(F.stddev_samp("_r"), F.lit(1.0)).alias("_si"))
+    per = paid.groupBy("customer_id").agg(F.sum("days_to_pay").alias("_ts"), F.count("days_to_pay").alias("_tc"),
+                                          *month_sums())
+    return recentre_seasonality(per.select("customer_id", seasonality_raw(F.col("_ts"), F.col("_tc")).alias("_raw")))
+
+
+def recentre_seasonality(per: DataFrame) -> DataFrame:
+    per = per.select("customer_id", F.coalesce(F.col("_raw"), F.lit(1.0)).alias("_si"))
     mean = F.broadcast(per.agg(F.avg("_si").alias("_m")))        # exactly one row
     return per.crossJoin(mean).select(
         "customer_id", clip(F.lit(1.0) + (F.col("_si") - F.col("_m")), 0.5, 2.0).alias("seasonality_index"))
@@ -116,13 +144,16 @@ def customer_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataF
     """CF-13: customers spine + all aggregates, defaults, version stamps (19 columns)."""
     inv_pay = invoice_payments(t["invoices"], t["payments"])
     pay = customer_payment_stats(inv_pay, cfg)
+    # CF-10 fused: the seasonality inputs come out of the same aggregate as CF-2/7/8
+    season = recentre_seasonality(pay.select("customer_id", seasonality_raw(F.col("_ts"), F.col("_tc")).alias("_raw")))
+    pay = pay.drop("_ts", "_tc", *[f"_ms{k}" for k in MONTHS], *[f"_mc{k}" for k in MONTHS])
     nip = non_invoice_stats(t["non_invoice_payments"], "CUSTOMER", "customer_id")
     cf = (t["customers"].select("customer_id")
           .join(pay, "customer_id", "left")
           .join(customer_invoice_stats(t["invoices"]), "customer_id", "left")
           .join(ptp_kept(t["collections_events"], t["payments"]), "customer_id", "left")
           .join(reminder_velocity(t["collections_events"], cfg), "customer_id", "left")
-          .join(seasonality(inv_pay), "customer_id", "left")
+          .join(season, "customer_id", "left")
           .join(nip, "customer_id", "left"))
     # CF-12: advance ratio exists only for parties with ADVANCE payments
     adv = F.when(F.col("_advance").isNotNull(),
