@@ -102,16 +102,20 @@ def month_sums() -> list:
     return cols
 
 
-def seasonality_raw(total_sum: F.Column, total_cnt: F.Column) -> F.Column:
-    """Sample std over pay-months of (month mean / customer mean) from the 12 month sums; null when
-    fewer than two months (or a zero customer mean)."""
-    cust_avg = total_sum / total_cnt
-    ratios = [F.when((F.col(f"_mc{k}") > 0) & (cust_avg != 0),
-                     (F.col(f"_ms{k}") / F.col(f"_mc{k}")) / cust_avg) for k in MONTHS]
-    n = sum(F.when(r.isNotNull(), F.lit(1)).otherwise(F.lit(0)) for r in ratios)
-    mean = sum(F.coalesce(r, F.lit(0.0)) for r in ratios) / n
-    ss = sum(F.when(r.isNotNull(), (r - mean) * (r - mean)).otherwise(F.lit(0.0)) for r in ratios)
-    return F.when(n >= 2, F.sqrt(ss / (n - 1)))
+def seasonality_raw(per: DataFrame) -> DataFrame:
+    """Sample std over pay-months of (month mean / customer mean) from the 12 month sums (columns
+    ``_ts``, ``_tc``, ``_ms1..12``, ``_mc1..12``); null when fewer than two months or a zero mean.
+    Three small projections (ratios, mean, spread) keep each generated method small."""
+    cust_avg = F.col("_ts") / F.col("_tc")
+    r = per.select("customer_id", *[F.when((F.col(f"_mc{k}") > 0) & (cust_avg != 0),
+                                           (F.col(f"_ms{k}") / F.col(f"_mc{k}")) / cust_avg).alias(f"_r{k}")
+                                    for k in MONTHS])
+    n = sum(F.when(F.col(f"_r{k}").isNotNull(), F.lit(1)).otherwise(F.lit(0)) for k in MONTHS)
+    m = r.withColumn("_n", n).withColumn(
+        "_mean", sum(F.coalesce(F.col(f"_r{k}"), F.lit(0.0)) for k in MONTHS) / F.col("_n"))
+    ss = sum(F.when(F.col(f"_r{k}").isNotNull(), (F.col(f"_r{k}") - F.col("_mean")) * (F.col(f"_r{k}") - F.col("_mean")))
+             .otherwise(F.lit(0.0)) for k in MONTHS)
+    return m.select("customer_id", F.when(F.col("_n") >= 2, F.sqrt(ss / (F.col("_n") - 1))).alias("_raw"))
 
 
 def seasonality(inv_pay: DataFrame) -> DataFrame:
@@ -123,7 +127,7 @@ def seasonality(inv_pay: DataFrame) -> DataFrame:
     paid = inv_pay.filter(F.col("payment_date").isNotNull())
     per = paid.groupBy("customer_id").agg(F.sum("days_to_pay").alias("_ts"), F.count("days_to_pay").alias("_tc"),
                                           *month_sums())
-    return recentre_seasonality(per.select("customer_id", seasonality_raw(F.col("_ts"), F.col("_tc")).alias("_raw")))
+    return recentre_seasonality(seasonality_raw(per))
 
 
 def recentre_seasonality(per: DataFrame) -> DataFrame:
@@ -145,7 +149,7 @@ def customer_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataF
     inv_pay = invoice_payments(t["invoices"], t["payments"])
     pay = customer_payment_stats(inv_pay, cfg)
     # CF-10 fused: the seasonality inputs come out of the same aggregate as CF-2/7/8
-    season = recentre_seasonality(pay.select("customer_id", seasonality_raw(F.col("_ts"), F.col("_tc")).alias("_raw")))
+    season = recentre_seasonality(seasonality_raw(pay))
     pay = pay.drop("_ts", "_tc", *[f"_ms{k}" for k in MONTHS], *[f"_mc{k}" for k in MONTHS])
     nip = non_invoice_stats(t["non_invoice_payments"], "CUSTOMER", "customer_id")
     cf = (t["customers"].select("customer_id")
