@@ -1,8 +1,11 @@
 """SparkSession construction and the shared checkpoint folder."""
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -42,29 +45,45 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    A cluster names it; only when it is unset (local tests) a scratch folder
-    is created and registered, so that ``DataFrame.checkpoint()`` works.
+    The cluster names it and this reads it from the session.  On a real cluster an absent setting is
+    an error, because a folder of one machine would be invisible to the others.  A single-process
+    ``local[N]`` session (tests, laptops) gets a scratch folder of its own, deleted when Python exits.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared checkpoint folder: two runs never meet in a path."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def cut_lineage(df, name: str | None = None):
-    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and return a scan of it.
+    """Materialise ``df`` as a Parquet table in the run's shared folder and return a scan of it.
 
     Unlike ``localCheckpoint`` the data survives executor loss, and unlike an
     RDD checkpoint the result is columnar: later readers get column pruning and
     filter pushdown.  The plan behind the returned frame is a plain file scan,
     which also keeps downstream plans (and their analysis time) small."""
-    import uuid
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{name or 'stage'}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = f"{run_dir(spark)}/tables/{name or 'stage'}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release_stages(spark: SparkSession) -> None:
+    """Delete the tables this run materialised (call when no frame that reads them is needed any more)."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ensure_utc(spark: SparkSession) -> None:
