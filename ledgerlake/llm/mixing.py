@@ -112,9 +112,9 @@ def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 "transform(sequence(1, int(ceil(taken / k_size))), i -> least(k_size, taken - (i - 1) * k_size))"))
                 .alias("now")))
     text = F.col(f"row.`{text_col}`")
-    # the first `now` words with the blanks between them (now >= 1)
-    part = F.regexp_extract(text, F.concat(F.lit("^[\\x20\\x09-\\x0D]*(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){"),
-                                           F.col("now") - 1, F.lit("}[^\\x20\\x09-\\x0D]+")), F.lit(0))
+    # cut after each word: the first `now` pieces are the first `now` words and the blanks before them
+    pieces = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
+    part = F.array_join(F.slice(pieces, F.lit(1), F.col("now").cast("int")), "")
     cut = F.when(F.col("now") < F.col("k_size"), part).otherwise(text)
     out = F.col("row").withField(text_col, cut)
     if "n_chars" in docs.columns:
