@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import prepare_python
 from ledgerlake.session import cut_lineage
 
-BITS, SAMPLE, FIT_PARTS, MAX_ITER, RIDGE, MEMO = 17, 40_000, 6, 40, 0.3, 400_000
-MIN_TAIL, PREFIXES = 0.5, (4, 5, 6)
+BITS, SAMPLE, FIT_PARTS, MEMO = 17, 40_000, 6, 400_000
+MAX_ITER, TOLERANCE, RIDGE, RARE = 40, 2e-3, 1.0, 50.0
+MIN_TAIL, PREFIXES = 0.5, (5,)
 FEATURE = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -59,28 +60,25 @@ def features(bits: int) -> Features:
     return Features(bits)
 
 
-def loss_and_gradient(theta: np.ndarray, rows: list[tuple[np.ndarray, int, float]], dims: int) -> tuple[float, np.ndarray]:
-    """Weighted log loss of the cumulative-link model: theta is the weights, the first threshold and the logarithms of the
-    thresholds' distances."""
+def loss_and_gradient(theta: np.ndarray, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray,
+                      dims: int) -> tuple[float, np.ndarray]:
+    """Weighted log loss of the cumulative-link model and its gradient.  ``theta`` is the weights, the first threshold
+    and the logarithms of the thresholds' distances; ``ids`` the rows' features one after the other, ``sizes`` how many each has."""
     w, cuts = theta[:dims], thresholds(theta[dims:])
-    k = len(cuts)
-    ids = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int32)
-    at = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), np.diff(at))
-    score = np.bincount(owner, weights=w[ids], minlength=len(rows))
-    y, weight = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    n, k = len(y), len(cuts)
+    owner = np.repeat(np.arange(n), sizes)
+    score = np.bincount(owner, weights=w[ids], minlength=n)
     above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -40, 40)))      # P(grade > j)
-    full = np.concatenate([np.ones((len(rows), 1)), above, np.zeros((len(rows), 1))], axis=1)
-    i = np.arange(len(rows))
+    full = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+    slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
+    i = np.arange(n)
     p = np.maximum(full[i, y] - full[i, y + 1], 1e-12)
-    slope = np.concatenate([np.zeros((len(rows), 1)), above * (1 - above), np.zeros((len(rows), 1))], axis=1)
     d_score = -weight * (slope[i, y] - slope[i, y + 1]) / p
-    d_cut = np.zeros((len(rows), k + 2))
-    np.add.at(d_cut, (i, y), weight * slope[i, y] / p)
-    np.add.at(d_cut, (i, y + 1), -weight * slope[i, y + 1] / p)
-    g_cut = d_cut.sum(axis=0)[1:k + 1]
-    tail = np.cumsum(g_cut[::-1])[::-1]              # a distance moves all later thresholds
-    g = np.concatenate([np.bincount(ids, weights=d_score[owner], minlength=dims), tail * np.concatenate([[1.0], np.exp(theta[dims + 1:])])])
+    g_cut = (np.bincount(y, weights=weight * slope[i, y] / p, minlength=k + 2)
+             - np.bincount(y + 1, weights=weight * slope[i, y + 1] / p, minlength=k + 2))[1:k + 1]
+    later = np.cumsum(g_cut[::-1])[::-1]             # a distance moves all later thresholds
+    g = np.concatenate([np.bincount(ids, weights=d_score[owner], minlength=dims),
+                        later * np.concatenate([[1.0], np.exp(theta[dims + 1:])])])
     return float(-(weight * np.log(p)).sum()), g
 
 
@@ -88,53 +86,71 @@ def thresholds(free: np.ndarray) -> np.ndarray:
     return free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
+def rated_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text, grade) of about ``sample`` labelled documents at most, chosen by a hash of their ids (a documented bound, for the fit
+    only).  The graded rating: 2 good and harmless, 1 good or harmless only, 0 neither."""
+    graded = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade")).filter(
+        "grade is not null and doc_id is not null")
+    share = min(1.0, sample / max(1, graded.count()))
+    chosen = graded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # the sample's bound is the broadcast's
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+
+
 def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str = "grade", bits: int = BITS,
-        sample: int = SAMPLE, max_iter: int = MAX_ITER) -> np.ndarray:
-    """Weights and free thresholds from rows with a text and a grade 0..grades-1.
+        max_iter: int = MAX_ITER) -> np.ndarray:
+    """Weights and free thresholds from rows with a text and a grade 0..grades-1, by L-BFGS.
 
-    At most ``sample`` rows are used, the first by hash of the text (a documented bound for the fit only); grades are weighted
-    to equal totals.  Each L-BFGS step is one Spark job: the tasks (FIT_PARTS, as the sample is bounded) return one gradient each.
-    Without rows the weights are 0 and all grades equally likely."""
+    Grades are weighted to equal totals, and rare features are held back more (RARE).  Each evaluation is one Spark job over the
+    hashed rows; its FIT_PARTS tasks (the sample is bounded) return one gradient each.  Without rows the weights are 0 and
+    all grades equally likely."""
     prepare_python(rated.sparkSession)
     dims = 1 << bits
-    use = (rated.filter(F.col(grade_col).between(0, grades - 1)).select(text_col, F.col(grade_col).cast("int").alias("y"))
-           .orderBy(F.xxhash64(text_col), "y").limit(sample).repartition(FIT_PARTS))
 
     def hashed(batches):
         make = features(bits)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([make(t).tolist() for t in b.column("text").to_pylist()],
-                                                                      pa.list_(pa.int32()))], names=["y", "ids"])
-    rows = cut_lineage(use.select("y", F.col(text_col).alias("text")).mapInArrow(hashed, "y int, ids array<int>"), "rated")
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([make(t).tobytes() for t in b.column("text").to_pylist()],
+                                                                      pa.binary())], names=["y", "ids"])
+    rows = cut_lineage(rated.filter(F.col(grade_col).between(0, grades - 1))
+                       .select(F.col(grade_col).cast("int").alias("y"), F.col(text_col).alias("text"))
+                       .mapInArrow(hashed, "y int, ids binary").repartition(FIT_PARTS), "rated")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # start: equally likely grades
-    start = [-np.log(grades - 1.0)] + [np.log(np.log((k + 1) / (grades - 1 - k)) - np.log(k / (grades - k)))
-                                       for k in range(1, grades - 1)]
-    theta = np.concatenate([np.zeros(dims), start])
+    even = [np.log(k / (grades - k)) for k in range(1, grades)]
+    start = [even[0], *np.log(np.diff(even))]
     if not totals:
-        return theta
+        return np.concatenate([np.zeros(dims), start])
     size = sum(totals.values())
     share = {y: size / (len(totals) * n) for y, n in totals.items()}
+    context = rows.sparkSession.sparkContext
+
+    def gather(one):
+        """The sum over the tasks of what ``one(ids, sizes, y)`` returns: one row for each of the few tasks."""
+        def part(batches):
+            got = [(b.column("ids").to_pylist(), b.column("y").to_numpy()) for b in batches]
+            raw = [r for ids, _ in got for r in ids]
+            y = np.concatenate([y for _, y in got]) if got else np.zeros(0, dtype=np.int32)
+            out = one(np.frombuffer(b"".join(raw), dtype=np.int32), np.array([len(r) // 4 for r in raw], dtype=np.int64), y)
+            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
+        return sum(np.frombuffer(r["out"]) for r in rows.mapInArrow(part, "out binary").collect())
+
+    seen = gather(lambda ids, sizes, y: np.bincount(ids, minlength=dims).astype(float))
+    ridge = RIDGE * (1 + RARE / np.maximum(1.0, seen))
 
     def evaluate(theta):
-        shipped = rows.sparkSession.sparkContext.broadcast(theta)
+        shipped = context.broadcast(theta)
 
-        def part(batches):
-            loss, grad = 0.0, np.zeros(dims + grades - 1)
-            for b in batches:
-                got = [(np.array(i, dtype=np.int32), y, share[y]) for i, y in zip(b.column("ids").to_pylist(), b.column("y").to_pylist())]
-                if got:
-                    l, g = loss_and_gradient(shipped.value, got, dims)
-                    loss, grad = loss + l, grad + g
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], names=["loss", "grad"])
-        got = rows.mapInArrow(part, "loss double, grad binary").collect()      # one row for each of the few tasks
+        def one(ids, sizes, y):
+            loss, g = loss_and_gradient(shipped.value, ids, sizes, y, np.array([share[int(v)] for v in y]), dims)
+            return np.concatenate([[loss], g])
+        out = gather(one)
         shipped.destroy()
-        w = theta[:dims]
-        loss = sum(r["loss"] for r in got) + 0.5 * RIDGE * float(w @ w)
-        grad = sum(np.frombuffer(r["grad"]) for r in got)
-        grad[:dims] += RIDGE * w
-        return loss, grad
+        w, grad = theta[:dims], out[1:].copy()
+        grad[:dims] += ridge * w
+        return out[0] + 0.5 * float(ridge * w @ w), grad
 
+    theta = np.concatenate([np.zeros(dims), start])
     loss, grad = evaluate(theta)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(max_iter):
@@ -156,7 +172,7 @@ def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str =
             break
         s, d = -rate * q, new_grad - grad
         steps = (steps + [(s, d)])[-8:] if s @ d > 1e-12 else steps
-        done = loss - new_loss < 1e-4 * size / 1000
+        done = loss - new_loss < TOLERANCE * loss
         theta, loss, grad = theta + s, new_loss, new_grad
         if done:
             break
@@ -185,12 +201,6 @@ def score(docs: DataFrame, theta: np.ndarray, grades: int, id_col: str = "doc_id
     return src.mapInArrow(run, schema).withColumn("kept", F.col("tail_probability") >= min_tail)
 
 
-def rated_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a graded rating: 2 good and harmless, 1 good or harmless only, 0 neither."""
-    grade = F.col("quality") + 1 - F.col("toxic")
-    return docs.join(labels.select("doc_id", grade.alias("grade")).filter("grade is not null"), "doc_id").select("text", "grade")
-
-
 def contract(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
     theta = fit(rated_documents(docs, labels), 3)
     return score(docs, theta, 3).withColumnRenamed("id", "doc_id")
