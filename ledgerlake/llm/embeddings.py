@@ -27,7 +27,7 @@ def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     prepare_python(table.sparkSession)
     src = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
                        F.col(vec_col).cast("array<double>").alias("v"))
-    schema = src.select("row", "id", F.lit(b"").alias("raw")).schema
+    schema = src.select("row", "id", F.lit(None).cast("binary").alias("raw")).schema
 
     def raw(v):
         if not v or None in v:
