@@ -38,6 +38,19 @@ def prepare_python(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+BROADCAST_ROWS, SALTS = 20_000, 32
+
+
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``big`` joined to a written table with one row per key.  Up to BROADCAST_ROWS rows (counted) it is broadcast; beyond,
+    ``small`` is repeated for each of SALTS salts, so that a key that a third of ``big`` holds is split over as many tasks."""
+    if small.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), keys, how)
+    salted = small.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = big.withColumn("salt_", (F.monotonically_increasing_id() % SALTS).cast("int"))
+    return spread.join(salted, [*keys, "salt_"], how).drop("salt_")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node of each node's connected component, for the nodes of ``edges``.
 

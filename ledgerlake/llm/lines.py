@@ -6,6 +6,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.llm.common import join_small
 from ledgerlake.session import cut_lineage
 
 MIN_SITES, MIN_WORDS, LG_K = 5, 3, 12
@@ -34,7 +35,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
         "line_hash", "first", F.hll_sketch_estimate("sketch").alias("est"))
     likely = cut_lineage(est.filter(F.col("est") >= math.floor(min_sites * (1 - err))), "likely_lines")
     near = likely.filter(F.col("est") <= math.ceil(min_sites * (1 + err)))
-    exact = (lines.join(near.select("line_hash"), "line_hash", "left_semi").select("line_hash", "site").distinct()
+    exact = (join_small(lines, near.select("line_hash"), ["line_hash"]).select("line_hash", "site").distinct()
              .groupBy("line_hash").agg(F.count(F.lit(1)).alias("n")))
     return (likely.join(exact, "line_hash", "left").select("line_hash", F.coalesce("n", "est").alias("n_sites"), "first")
             .filter(F.col("n_sites") >= min_sites))
@@ -50,10 +51,10 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ones among them, always stay.  Rows that repeat id and text share what is removed.  The lines' hashes and places (not
     their texts) are written once to the shared folder; documents are shuffled once, by id and text hash."""
     lines = cut_lineage(line_table(docs, id_col, text_col, site_col, min_words), "lines")
-    found = boilerplate(lines, min_sites)
+    found = cut_lineage(boilerplate(lines, min_sites).select("line_hash", "first"), "boilerplate")
     here = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "at")
     names = ["k_none", "k_id", "k_hash"]
-    drop = (lines.join(found.select("line_hash", "first"), "line_hash").filter(~here.eqNullSafe(F.col("first")))
+    drop = (join_small(lines, found, ["line_hash"]).filter(~here.eqNullSafe(F.col("first")))
             .select(F.col("id").isNull().alias("k_none"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("k_id"),
                     F.col("text_hash").alias("k_hash"), "at")
             .groupBy(*names).agg(F.collect_set("at").alias("gone")))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.common import join_small, prepare_python
 from ledgerlake.session import cut_lineage
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
@@ -139,9 +139,9 @@ def estimates(stats: DataFrame, keys: list[str]) -> DataFrame:
     scale = 1 / KEPT_SHARE                            # the kept core is narrower than its group
     for _ in range(STEPS):
         est = cut_lineage(est, "mcd")
-        near = stats.join(est, keys).withColumn("d2", _distance())
-        cut = near.groupBy(*keys).agg(level(KEPT_SHARE).alias("cut"))
-        core = near.join(cut, keys).filter(F.round(F.log(F.col("d2") + 1e-6), 2) <= F.col("cut"))
+        near = join_small(stats, est, keys).withColumn("d2", _distance())
+        cut = cut_lineage(near.groupBy(*keys).agg(level(KEPT_SHARE).alias("cut")), "mcd_cut")
+        core = join_small(near, cut, keys).filter(F.round(F.log(F.col("d2") + 1e-6), 2) <= F.col("cut"))
         moments = cut_lineage(_moments(core, keys), "mcd_moments")
         total = moments.agg(F.sum("n"), F.array(*[F.sum(F.col("s")[i]) for i in range(d)]),
                             F.array(*[F.sum(F.col("ss")[i]) for i in range(d * (d + 1) // 2)])).first()
@@ -161,7 +161,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = [f"g{i}" for i in range(len(group_cols))]
     stats = cut_lineage(statistics(docs, id_col, text_col, list(group_cols)), "text_stats")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return (stats.join(estimates(stats, keys), keys).withColumn("distance2", _distance()).withColumn("base_failed", base)
+    return (join_small(stats, estimates(stats, keys), keys).withColumn("distance2", _distance()).withColumn("base_failed", base)
             .withColumn("kept", ~base & (F.col("distance2") <= chi2_quantile(tail_z, len(DIMS))))
             .select("id", "text_hash", *STATS, "base_failed", "distance2", "kept"))
 
