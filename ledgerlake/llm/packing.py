@@ -8,7 +8,6 @@ length, which takes one prefix count per (partition, length) and no sort.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -19,13 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.char_classes import SPACE, Matcher
+from ledgerlake.llm.char_classes import SPACE
 from ledgerlake.llm.common import prepare_python
 from ledgerlake.session import cut_lineage
 
-CAP, END_ID, MEMO, BLOCK = 2048, 0, 600_000, 1 << 20
-# The word-level BPE's pre-token pattern (what is between the matches is dropped).
-PRE_TOKEN = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+CAP, END_ID, MEMO, BLOCK = 2048, 0, 1_500_000, 1 << 20
 
 
 class WordEncoder:
@@ -38,30 +35,26 @@ class WordEncoder:
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec.decode())
-        self.words = Matcher(PRE_TOKEN)
         self.runs = re.compile(f"[^{SPACE}]+")
-        self.controls = re.compile("[\x1c-\x1f]")   # str.split() takes these for white space
+        self.controls = re.compile("[\\x1c-\\x1f]")   # str.split() takes these for white space
         self.special = re.compile("|".join(
             re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
         self.memo: dict[str, bytes] = {}
 
     def learn(self, runs: set[str]) -> None:
-        """Have the library encode those of a text's distinct ``runs`` that the memo doesn't hold."""
+        """Have the library encode those of a text's distinct ``runs`` that the memo doesn't hold, a few hundred at once;
+        the tokens' places in the joined string tell the runs apart."""
         new = [r for r in runs if r not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
             new = list(runs)
         for lo in range(0, len(new), 200):
             part = new[lo:lo + 200]
-            words, ends = [], []
-            for run in part:
-                if not run.isascii():
-                    run = unicodedata.normalize("NFC", run).replace("Σ", "σ")   # lower() is context-free
-                words += self.words.findall(run.lower())
-                ends.append(len(words))
-            got = self.tok.encode(" ".join(words), add_special_tokens=False)
+            got = self.tok.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(r) + 1 for r in part)])
+            places = np.fromiter((s for s, _ in got.offsets), dtype=np.int64, count=len(got))
+            at = (4 * np.searchsorted(places, starts)).tolist()
             ids = np.array(got.ids, dtype="<u4").tobytes()
-            at = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), [0, *ends])).tolist()
             for run, x, y in zip(part, at, at[1:]):
                 self.memo[run] = ids[x:y]
 
