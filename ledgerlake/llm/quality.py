@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import prepare_python
 from ledgerlake.session import cut_lineage
 
-BITS, SAMPLE, FIT_PARTS, MEMO = 17, 40_000, 6, 400_000
+BITS, SAMPLE, FIT_PARTS, MEMO = 17, 40_000, 6, 1_000_000
 MAX_ITER, TOLERANCE, RIDGE, RARE = 40, 2e-3, 1.0, 50.0
 MIN_TAIL, PREFIXES = 0.5, (5,)
-FEATURE = re.compile(r"\w+|[^\w\s]+")
+FEATURE = re.compile(r"\w+")
 
 
 class Features:
-    """Hashed binary features of a whole text: its distinct lower-cased words and runs of marks, the beginnings of the words,
-    and how often a word follows itself, the share of marks and the share of capitals, as coarse steps."""
+    """Hashed features of a whole text: its distinct lower-cased words, the beginnings of those words, and as coarse steps how
+    often a word follows itself, the share of marks and the share of capitals."""
 
     def __init__(self, bits: int = BITS):
         self.mask, self.memo = (1 << bits) - 1, {}
@@ -35,24 +35,37 @@ class Features:
         return zlib.crc32(name.encode()) & self.mask
 
     def of_word(self, word: str) -> tuple[int, ...]:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        names = [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) >= k)]
-        got = self.memo[word] = tuple(map(self.slot, names))
-        return got
+        return self.slot(word), *(self.slot(f"{word[:k]}-") for k in PREFIXES if len(word) >= k)
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def split(self, text: str | None) -> tuple[set[str], list[int]]:
+        """The distinct words, and the slots of the steps."""
         text = text or ""
         words = FEATURE.findall(text.lower())
-        memo, n = self.memo, max(1, len(words))
-        ids = set().union(*[memo[w] if w in memo else self.of_word(w) for w in set(words)])
         raw = text.encode()
-        steps = {"again": sum(map(str.__eq__, words, words[1:])) / n,
+        steps = {"again": sum(map(str.__eq__, words, words[1:])) / max(1, len(words)),
                  "marks": 1 - len(raw.translate(None, b"#*$%&|<>!")) / max(1, len(raw)),
                  "upper": 1 - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / max(1, len(raw))}
-        for name, x in steps.items():
-            ids.update(self.slot(f"<{name}>{k}") for k in range(1, int(x * 20) + 1))
-        return np.fromiter(ids, dtype=np.int32, count=len(ids))
+        return set(words), [self.slot(f"<{name}>{k}") for name, x in steps.items() for k in range(1, int(min(x, 0.4) * 50) + 1)]
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words, ids = self.split(text)
+        for w in words:
+            ids += self.of_word(w)
+        return np.array(ids, dtype=np.int32)
+
+    def total(self, text: str | None, w: np.ndarray, memo: dict[str, float]) -> float:
+        """The sum of the text's feature weights; ``memo`` holds the words' (bounded)."""
+        words, ids = self.split(text)
+        try:
+            score = sum([memo[x] for x in words])
+        except KeyError:
+            if len(memo) > MEMO:
+                memo.clear()
+            for x in words:
+                if x not in memo:
+                    memo[x] = float(sum(w[i] for i in self.of_word(x)))
+            score = sum([memo[x] for x in words])
+        return score + float(w[ids].sum())
 
 
 @lru_cache(maxsize=2)
@@ -192,9 +205,9 @@ def score(docs: DataFrame, theta: np.ndarray, grades: int, id_col: str = "doc_id
     schema = src.select("id", F.lit(0.0).alias("expected_grade"), F.lit(0.0).alias("tail_probability")).schema
 
     def run(batches):
-        make, w, cuts = features(bits), shipped.value[:dims], thresholds(shipped.value[dims:])
+        make, w, cuts, memo = features(bits), shipped.value[:dims], thresholds(shipped.value[dims:]), {}
         for b in batches:
-            z = np.array([w[make(t)].sum() for t in b.column("text").to_pylist()])
+            z = np.array([make.total(t, w, memo) for t in b.column("text").to_pylist()])
             above = 1 / (1 + np.exp(-np.clip(z.reshape(-1, 1) - cuts[None, :], -40, 40)))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(above.sum(axis=1)), pa.array(above[:, -1])],
                                              names=schema.names)
