@@ -20,7 +20,7 @@ from ledgerlake.session import cut_lineage
 
 BITS, SAMPLE, FIT_PARTS, MEMO = 17, 40_000, 6, 1_000_000
 MAX_ITER, TOLERANCE, RIDGE, RARE = 40, 2e-3, 1.0, 50.0
-MIN_TAIL, PREFIXES = 0.5, (5,)
+MIN_TAIL, PREFIXES, DAMPING = 0.5, (5,), 0.5
 FEATURE = re.compile(r"\w+")
 
 
@@ -47,11 +47,15 @@ class Features:
                  "upper": 1 - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")) / max(1, len(raw))}
         return set(words), [self.slot(f"<{name}>{k}") for name, x in steps.items() for k in range(1, int(min(x, 0.4) * 50) + 1)]
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The features' slots and values: 1 for a step; for a word less in texts of many words (DAMPING)."""
         words, ids = self.split(text)
+        steps = len(ids)
         for w in words:
             ids += self.of_word(w)
-        return np.array(ids, dtype=np.int32)
+        values = np.full(len(ids), damped(len(words)), dtype=np.float32)
+        values[:steps] = 1
+        return np.array(ids, dtype=np.int32), values
 
     def total(self, text: str | None, w: np.ndarray, memo: dict[str, float]) -> float:
         """The sum of the text's feature weights; ``memo`` holds the words' (bounded)."""
@@ -65,7 +69,11 @@ class Features:
                 if x not in memo:
                     memo[x] = float(sum(w[i] for i in self.of_word(x)))
             score = sum([memo[x] for x in words])
-        return score + float(w[ids].sum())
+        return score * damped(len(words)) + float(w[ids].sum())
+
+
+def damped(words: int) -> float:
+    return 4 * max(1, words) ** -DAMPING
 
 
 @lru_cache(maxsize=2)
@@ -73,14 +81,14 @@ def features(bits: int) -> Features:
     return Features(bits)
 
 
-def loss_and_gradient(theta: np.ndarray, ids: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray,
-                      dims: int) -> tuple[float, np.ndarray]:
+def loss_and_gradient(theta: np.ndarray, ids: np.ndarray, values: np.ndarray, sizes: np.ndarray, y: np.ndarray,
+                      weight: np.ndarray, dims: int) -> tuple[float, np.ndarray]:
     """Weighted log loss of the cumulative-link model and its gradient.  ``theta`` is the weights, the first threshold
-    and the logarithms of the thresholds' distances; ``ids`` the rows' features one after the other, ``sizes`` how many each has."""
+    and the logarithms of the thresholds' distances; ``ids`` and ``values`` the rows' features one after the other, ``sizes`` how many each has."""
     w, cuts = theta[:dims], thresholds(theta[dims:])
     n, k = len(y), len(cuts)
     owner = np.repeat(np.arange(n), sizes)
-    score = np.bincount(owner, weights=w[ids], minlength=n)
+    score = np.bincount(owner, weights=w[ids] * values, minlength=n)
     above = 1 / (1 + np.exp(-np.clip(score[:, None] - cuts[None, :], -40, 40)))      # P(grade > j)
     full = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
     slope = np.concatenate([np.zeros((n, 1)), above * (1 - above), np.zeros((n, 1))], axis=1)
@@ -90,7 +98,7 @@ def loss_and_gradient(theta: np.ndarray, ids: np.ndarray, sizes: np.ndarray, y:
     g_cut = (np.bincount(y, weights=weight * slope[i, y] / p, minlength=k + 2)
              - np.bincount(y + 1, weights=weight * slope[i, y + 1] / p, minlength=k + 2))[1:k + 1]
     later = np.cumsum(g_cut[::-1])[::-1]             # a distance moves all later thresholds
-    g = np.concatenate([np.bincount(ids, weights=d_score[owner], minlength=dims),
+    g = np.concatenate([np.bincount(ids, weights=d_score[owner] * values, minlength=dims),
                         later * np.concatenate([[1.0], np.exp(theta[dims + 1:])])])
     return float(-(weight * np.log(p)).sum()), g
 
@@ -123,11 +131,12 @@ def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str =
     def hashed(batches):
         make = features(bits)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([make(t).tobytes() for t in b.column("text").to_pylist()],
-                                                                      pa.binary())], names=["y", "ids"])
+            got = [make(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("y"), *(pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1))], names=["y", "ids", "values"])
     rows = cut_lineage(rated.filter(F.col(grade_col).between(0, grades - 1))
                        .select(F.col(grade_col).cast("int").alias("y"), F.col(text_col).alias("text"))
-                       .mapInArrow(hashed, "y int, ids binary").repartition(FIT_PARTS), "rated")
+                       .mapInArrow(hashed, "y int, ids binary, values binary").repartition(FIT_PARTS), "rated")
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # start: equally likely grades
     even = [np.log(k / (grades - k)) for k in range(1, grades)]
@@ -139,23 +148,24 @@ def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str =
     context = rows.sparkSession.sparkContext
 
     def gather(one):
-        """The sum over the tasks of what ``one(ids, sizes, y)`` returns: one row for each of the few tasks."""
+        """The sum over the tasks of what ``one(ids, values, sizes, y)`` returns: one row for each of the few tasks."""
         def part(batches):
-            got = [(b.column("ids").to_pylist(), b.column("y").to_numpy()) for b in batches]
-            raw = [r for ids, _ in got for r in ids]
-            y = np.concatenate([y for _, y in got]) if got else np.zeros(0, dtype=np.int32)
-            out = one(np.frombuffer(b"".join(raw), dtype=np.int32), np.array([len(r) // 4 for r in raw], dtype=np.int64), y)
+            got = list(batches)
+            raw, values = ([r for b in got for r in b.column(c).to_pylist()] for c in ("ids", "values"))
+            y = np.array([v for b in got for v in b.column("y").to_pylist()], dtype=np.int64)
+            out = one(np.frombuffer(b"".join(raw), dtype=np.int32), np.frombuffer(b"".join(values), dtype=np.float32),
+                      np.array([len(r) // 4 for r in raw], dtype=np.int64), y)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
         return sum(np.frombuffer(r["out"]) for r in rows.mapInArrow(part, "out binary").collect())
 
-    seen = gather(lambda ids, sizes, y: np.bincount(ids, minlength=dims).astype(float))
+    seen = gather(lambda ids, values, sizes, y: np.bincount(ids, minlength=dims).astype(float))
     ridge = RIDGE * (1 + RARE / np.maximum(1.0, seen))
 
     def evaluate(theta):
         shipped = context.broadcast(theta)
 
-        def one(ids, sizes, y):
-            loss, g = loss_and_gradient(shipped.value, ids, sizes, y, np.array([share[int(v)] for v in y]), dims)
+        def one(ids, values, sizes, y):
+            loss, g = loss_and_gradient(shipped.value, ids, values, sizes, y, np.array([share[int(v)] for v in y]), dims)
             return np.concatenate([[loss], g])
         out = gather(one)
         shipped.destroy()

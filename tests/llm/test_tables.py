@@ -26,14 +26,14 @@ def test_matches_oracle(spark, name):
 def test_gradient_is_the_slope_of_the_loss():
     rng = np.random.default_rng(0)
     dims = 20
-    ids, sizes = rng.integers(0, dims, 120), np.full(30, 4)
+    ids, values, sizes = rng.integers(0, dims, 120), rng.random(120), np.full(30, 4)
     y, weight = rng.integers(0, 4, 30), rng.random(30) + 0.5
     theta = rng.normal(size=dims + 3)
-    _, g = quality.loss_and_gradient(theta, ids, sizes, y, weight, dims)
+    _, g = quality.loss_and_gradient(theta, ids, values, sizes, y, weight, dims)
     for i in range(len(theta)):
         e = np.zeros(len(theta))
         e[i] = 1e-6
-        up, down = (quality.loss_and_gradient(theta + x, ids, sizes, y, weight, dims)[0] for x in (e, -e))
+        up, down = (quality.loss_and_gradient(theta + x, ids, values, sizes, y, weight, dims)[0] for x in (e, -e))
         assert abs((up - down) / 2e-6 - g[i]) < 1e-4
 
 
