@@ -7,8 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "lookup", "clip", "clip_lower", "days_between", "floor_days", "lit_date", "week_label",
-    "month_label", "stable_id", "half_even", "bool_ratio", "safe_ratio", "tier",
+    "lookup", "clip", "floor_days", "lit_date", "week_label",
+    "month_label", "stable_id", "half_even", "bool_ratio", "safe_ratio",
 ]
 
 
@@ -37,15 +37,6 @@ def clip(c: Column, lo=None, hi=None) -> Column:
     return out
 
 
-def clip_lower(c: Column, lo) -> Column:
-    return clip(c, lo=lo)
-
-
-def days_between(later: Column, earlier: Column) -> Column:
-    """Whole days between two dates (calendar difference)."""
-    return F.datediff(later, earlier)
-
-
 def floor_days(later: Column, earlier: Column) -> Column:
     """Floor of a timestamp difference in days (``Timedelta.days`` semantics)."""
     micros = F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))
@@ -78,15 +69,6 @@ def safe_ratio(num: Column, den: Column, default=0.0) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(default))
 
 
-def tier(c: Column, cuts: list[tuple[float, str]], default: str, strict: bool = False) -> Column:
-    """First label whose threshold is reached (``>=``), else default."""
-    expr = None
-    for thr, label in cuts:
-        cond = c > F.lit(thr) if strict else c >= F.lit(thr)
-        expr = F.when(cond, label) if expr is None else expr.when(cond, label)
-    return expr.otherwise(default)
-
-
 def half_even(c: Column, n: int = 0) -> Column:
     """NumPy/pandas ``round(n)``: scale, round half to even (``rint``), unscale."""
     c = F.col(c) if isinstance(c, str) else c

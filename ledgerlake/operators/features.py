@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.config import DEFAULT, ESCALATION_LABEL, ESCALATION_RANK, SCORE_WEIGHTS, Settings
 from ledgerlake.functions.columns import half_even, bool_ratio, clip, floor_days, lit_date, lookup, safe_ratio
+from ledgerlake.session import cut_lineage
 from ledgerlake.operators.quantiles import exact_quantile
 from ledgerlake.operators.ranking import avg_rank_pct
 
@@ -147,8 +148,9 @@ def non_invoice_stats(nip: DataFrame, party_type: str, key: str) -> DataFrame:
 def customer_features(t: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataFrame:
     """CF-13: customers spine + all aggregates, defaults, version stamps (19 columns)."""
     inv_pay = invoice_payments(t["invoices"], t["payments"])
-    pay = customer_payment_stats(inv_pay, cfg)
-    # CF-10 fused: the seasonality inputs come out of the same aggregate as CF-2/7/8
+    # CF-10 fused: the seasonality inputs come out of the same aggregate as CF-2/7/8, which is written once at
+    # customer grain: its spread, the mean over customers and the assembly read it, not the invoice join
+    pay = cut_lineage(customer_payment_stats(inv_pay, cfg), "customer_pay")
     season = recentre_seasonality(seasonality_raw(pay))
     pay = pay.drop("_ts", "_tc", *[f"_ms{k}" for k in MONTHS], *[f"_mc{k}" for k in MONTHS])
     nip = non_invoice_stats(t["non_invoice_payments"], "CUSTOMER", "customer_id")
@@ -289,7 +291,8 @@ def vendor_payment_stats(bill_pay: DataFrame) -> DataFrame:
         F.avg("bill_amount").alias("avg_invoice_amount"),
         F.countDistinct("bill_id").alias("invoice_count"),
         bool_ratio(F.col("days_late") < 0).alias("discount_capture_ratio"),
-        half_even(F.count(F.lit(1)) / F.countDistinct(F.date_format("payment_date", "yyyy-MM")), 0)
+        # distinct pay months as a set, which the calendar bounds: one distinct aggregate only, so no Expand
+        half_even(F.count(F.lit(1)) / F.size(F.collect_set(F.year("payment_date") * 12 + F.month("payment_date"))), 0)
         .cast("long").alias("vendor_chase_frequency"),
         F.max("payment_date").alias("last_payment_date"),
         F.sum("payment_amount").alias("_total_paid"),

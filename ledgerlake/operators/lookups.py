@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.config import DEFAULT, RISK_CLASS, TERMS_DAYS, Settings
+from ledgerlake.config import DEFAULT, RISK_CLASS, S1_ORDINAL, TERMS_DAYS, Settings
 from ledgerlake.functions.columns import half_even, lit_date, lookup
 
 # fixed values: serving-side encodings and feature orders
-BUCKET_MAP = {"SMALL": 0, "MEDIUM": 1, "LARGE": 2}
-RISK_MAP = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
-ESC_MAP = {"NONE": 0, "REMINDER": 1, "FORMAL": 2, "LEGAL": 3}
+BUCKET_MAP, RISK_MAP, ESC_MAP = S1_ORDINAL["invoice_amount_bucket"], RISK_CLASS, S1_ORDINAL["escalation_status"]
 APPROVAL_MAP = {"PENDING": 0, "APPROVED": 1}
 RISK_LABELS = {0: "LOW", 1: "MEDIUM", 2: "HIGH"}
 
@@ -266,12 +264,13 @@ def deal_lookup(s4: DataFrame) -> DataFrame:
         F.min("expected_cash_date").alias("first_cash_date"), F.max("expected_cash_date").alias("last_cash_date"))
 
 
-def source_status(events_marked: DataFrame) -> DataFrame:
-    """QY-14: per source: total, active and suppressed events, active amount."""
-    return events_marked.groupBy("source_module").agg(
-        F.count(F.lit(1)).alias("total_events"), F.count_if(~F.col("suppressed")).alias("active_events"),
-        F.count_if(F.col("suppressed")).alias("suppressed_events"),
-        half_even(F.sum(F.when(~F.col("suppressed"), F.col("forecast_amount"))), 2).alias("active_amount"))
+def source_status(days: DataFrame) -> DataFrame:
+    """QY-14: per source: total, active and suppressed events, active amount, from the marked source days."""
+    n, out = F.col("_events"), F.col("suppressed")
+    return days.groupBy("source_module").agg(
+        F.sum(n).alias("total_events"), F.coalesce(F.sum(F.when(~out, n)), F.lit(0)).alias("active_events"),
+        F.coalesce(F.sum(F.when(out, n)), F.lit(0)).alias("suppressed_events"),
+        half_even(F.sum(F.when(~out, F.col("_net"))), 2).alias("active_amount"))
 
 
 def recommendation_overview(recs: DataFrame) -> DataFrame:
@@ -289,6 +288,15 @@ def metric_pivot(long: DataFrame, metrics: list[str]) -> DataFrame:
     return long.groupBy().pivot("metric", metrics).agg(F.first("value"))
 
 
+def value_mix(name: str, df: DataFrame, columns: list[str]) -> DataFrame:
+    """QY-19: how many rows hold each value of the given columns (one pass, grouping sets)."""
+    which = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in columns])
+    value = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c).cast("string")) for c in columns])
+    return (df.groupingSets([[c] for c in columns], *columns)
+            .agg(F.lit(name).alias("module"), which.alias("attribute"), value.alias("value"), F.count(F.lit(1)).alias("records"))
+            .select("module", "attribute", "value", "records"))
+
+
 def module_profile(name: str, df: DataFrame, entity: str, amount: str, date_col: str) -> DataFrame:
     """QY-19: rows, distinct entities, amount total and date range of one module's output."""
     return df.agg(F.lit(name).alias("module"), F.count(F.lit(1)).alias("records"),

@@ -2,13 +2,14 @@
 
 Every metric is computed by one aggregation over a scored frame
 (``label``, ``prediction`` columns), partially aggregated map-side; medians use
-the bracketed exact quantile.  Nothing is collected: results are one-row
+the exact quantile from value counts.  Nothing is collected: results are one-row
 DataFrames that ``long_report`` unpivots into (metric, value) rows.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.functions.columns import half_even
 from ledgerlake.operators.quantiles import exact_quantile
@@ -39,7 +40,7 @@ def regression_metrics(df: DataFrame, y: str = "label", p: str = "prediction", p
 
 def overfit_check(train_mae: DataFrame, test_mae: DataFrame, threshold: float = 1.5) -> DataFrame:
     """ME-2: test/train MAE ratio (1.0 when train MAE is 0), and the warning flag."""
-    j = train_mae.select(F.col("mae").alias("_tr")).crossJoin(test_mae.select(F.col("mae").alias("_te")))
+    j = train_mae.select(F.col("mae").alias("_tr")).crossJoin(F.broadcast(test_mae.select(F.col("mae").alias("_te"))))
     ratio = F.when(F.col("_tr") > 0, F.col("_te") / F.col("_tr")).otherwise(F.lit(1.0))
     return j.select(half_even(ratio, 3).alias("overfit_ratio"), (ratio > threshold).alias("overfit_warning"))
 
@@ -47,11 +48,11 @@ def overfit_check(train_mae: DataFrame, test_mae: DataFrame, threshold: float =
 def compare_models(primary: DataFrame, baseline: DataFrame, metric: str = "mae", lower_is_better: bool = True,
                    names=("GBT", "RandomForest")) -> DataFrame:
     """ME-3: best model and improvement percentage (ties go to the baseline)."""
-    j = primary.select(F.col(metric).alias("_a")).crossJoin(baseline.select(F.col(metric).alias("_b")))
+    j = primary.select(F.col(metric).alias("_a")).crossJoin(F.broadcast(baseline.select(F.col(metric).alias("_b"))))
     a, b = F.col("_a"), F.col("_b")
     wins = (a < b) if lower_is_better else (a > b)
-    if lower_is_better:
-        imp = F.when(wins, (b - a) / b * 100).otherwise((a - b) / a * 100)
+    if lower_is_better:                               # equal zero errors: no improvement
+        imp = F.coalesce(F.when(wins, F.try_divide(b - a, b)).otherwise(F.try_divide(a - b, a)), F.lit(0.0)) * 100
     else:
         imp = F.when(wins, F.when(b > 0, (a - b) / b * 100).otherwise(F.lit(0.0))) \
                .otherwise(F.when(a > 0, (b - a) / a * 100).otherwise(F.lit(0.0)))
@@ -128,9 +129,9 @@ def classification_metrics(df: DataFrame, classes=(0, 1, 2), names=("LOW", "MEDI
         return sum(m[c] for c in classes) / k
 
     def weighted(m):
-        return sum(m[c] * sup[c] for c in classes) / F.col("_tot")
+        return z(sum(m[c] * sup[c] for c in classes), F.col("_tot"))
 
-    cols = [half_even(F.col("_hit") / F.col("_tot"), 4).alias("accuracy"),
+    cols = [half_even(z(F.col("_hit"), F.col("_tot")), 4).alias("accuracy"),
             half_even(macro(prec), 4).alias("precision_macro"), half_even(macro(rec), 4).alias("recall_macro"),
             half_even(macro(f1), 4).alias("f1_macro"),
             half_even(weighted(prec), 4).alias("precision_weighted"),
@@ -141,21 +142,21 @@ def classification_metrics(df: DataFrame, classes=(0, 1, 2), names=("LOW", "MEDI
 
 def auc_ovr_macro(df: DataFrame, prob_cols: dict[int, str], y: str = "label") -> DataFrame:
     """ME-9: one-vs-rest AUC per class by the rank-sum (Mann-Whitney) formula with average ranks
-    for ties, averaged over classes.  Ranks come from the skew-safe ``group_value_ranks``."""
-    parts = []
-    for c, col in prob_cols.items():
-        s = df.select((F.col(y) == c).alias("_pos"), F.col(col).alias("_s"), F.lit(c).alias("_cls"))
-        r = group_value_ranks(s, "_cls", "_s").select("_s", "_less", "_eq")
-        ranked = s.join(r, "_s", "left").withColumn("_rank", F.col("_less") + (F.col("_eq") + 1) / 2.0)
-        auc = ranked.agg(F.sum(F.when(F.col("_pos"), F.col("_rank"))).alias("_rs"),
-                         F.count_if(F.col("_pos")).alias("_np"), F.count_if(~F.col("_pos")).alias("_nn"))
-        parts.append(auc.select(((F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2.0)
-                                 / (F.col("_np") * F.col("_nn"))).alias(f"auc_{c}")))
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.crossJoin(q)
-    mean = sum(F.col(f"auc_{c}") for c in prob_cols) / float(len(prob_cols))
-    return out.select(half_even(mean, 4).alias("auc_roc_ovr"))
+    for ties, averaged over classes.
+
+    Rows are counted per (class, score), with how many are positive; ranks come from the skew-safe
+    ``group_value_ranks`` on those counts.  So no row is joined back on its score, and tied or null scores (left out)
+    cost nothing.  A class without positives or without negatives has no AUC and is left out of the mean."""
+    s = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_cls"), F.col(col).cast("double").alias("_s"),
+                                               (F.col(y) == c).alias("_pos")) for c, col in prob_cols.items()])).alias("r")
+                  ).select("r.*").filter(F.col("_s").isNotNull())
+    pos = s.groupBy("_cls", "_s").agg(F.count_if("_pos").alias("_hits"))
+    ranked = group_value_ranks(s, "_cls", "_s").join(pos, ["_cls", "_s"])
+    rank = F.col("_less") + (F.col("_eq") + 1) / 2.0
+    per = ranked.groupBy("_cls").agg(F.sum(F.col("_hits") * rank).alias("_rs"), F.sum("_hits").alias("_np"),
+                                     F.sum(F.col("_eq") - F.col("_hits")).alias("_nn"))
+    auc = F.try_divide(F.col("_rs") - F.col("_np") * (F.col("_np") + 1) / 2.0, (F.col("_np") * F.col("_nn")).cast("double"))
+    return per.agg(half_even(F.avg(auc), 4).alias("auc_roc_ovr"))
 
 
 def confusion_matrix(df: DataFrame, classes=(0, 1, 2), y: str = "label", p: str = "prediction") -> DataFrame:
@@ -189,7 +190,8 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def long_report(wide: DataFrame) -> DataFrame:
-    """SNK-5: one-row metrics frame -> (metric, value) rows."""
-    cols = [c for c in wide.columns]
-    return wide.select(*[F.col(c).cast("double").alias(c) for c in cols]) \
-               .unpivot([], cols, "metric", "value")
+    """SNK-5: one-row metrics frame -> (metric, value, text) rows: numbers in ``value``, names and dates in ``text``."""
+    numeric = {f.name for f in wide.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))}
+    rows = [F.struct(F.lit(c).alias("metric"), (F.col(c) if c in numeric else F.lit(None)).cast("double").alias("value"),
+                     (F.lit(None) if c in numeric else F.col(c)).cast("string").alias("text")) for c in wide.columns]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")

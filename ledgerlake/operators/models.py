@@ -14,11 +14,9 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline as MLPipeline
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +30,7 @@ class ModelParams:
     gbt_depth: int = 8
     gbt_step: float = 0.05
     gbt_min_instances: int = 20
-    gbt_subsample: float = 0.8
+    gbt_subsample: float = 1.0        # row subsampling is inactive without a bagging frequency, and none is set
     gbt_feature_subset: str = "0.8"
     rf_trees: int = 300
     rf_depth: int = 12
@@ -46,12 +44,6 @@ S2_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10)
 RISK_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10)
 
 
-def smoke(p: ModelParams) -> ModelParams:
-    """Small-ensemble profile for smoke runs on test data (same model family and depth)."""
-    from dataclasses import replace
-    return replace(p, gbt_iter=10, rf_trees=10, folds=3)
-
-
 def assembler(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
 
@@ -60,7 +52,8 @@ def gbt_regressor(p: ModelParams, label: str = "label") -> GBTRegressor:
     """ML-1."""
     return GBTRegressor(labelCol=label, featuresCol="features", predictionCol="prediction", maxIter=p.gbt_iter,
                         maxDepth=p.gbt_depth, stepSize=p.gbt_step, minInstancesPerNode=p.gbt_min_instances,
-                        subsamplingRate=p.gbt_subsample, featureSubsetStrategy=p.gbt_feature_subset, seed=p.seed)
+                        subsamplingRate=p.gbt_subsample, featureSubsetStrategy=p.gbt_feature_subset, seed=p.seed,
+                        checkpointInterval=20)
 
 
 def rf_regressor(p: ModelParams, label: str = "label") -> RandomForestRegressor:
@@ -74,7 +67,7 @@ def gbt_multiclass(p: ModelParams, label: str = "label", weight: str | None = "c
     """ML-3: one-vs-rest over binary GBTs, balanced class weights."""
     base = GBTClassifier(featuresCol="features", maxIter=p.gbt_iter, maxDepth=p.gbt_depth, stepSize=p.gbt_step,
                          minInstancesPerNode=p.gbt_min_instances, subsamplingRate=p.gbt_subsample,
-                         featureSubsetStrategy=p.gbt_feature_subset, seed=p.seed)
+                         featureSubsetStrategy=p.gbt_feature_subset, seed=p.seed, checkpointInterval=20)
     ovr = OneVsRest(classifier=base, labelCol=label, featuresCol="features", predictionCol="prediction",
                     rawPredictionCol="rawPrediction")
     if weight:
@@ -82,8 +75,8 @@ def gbt_multiclass(p: ModelParams, label: str = "label", weight: str | None = "c
     return ovr
 
 
-def rf_classifier(p: ModelParams, label: str = "label", weight: str | None = "class_weight") -> RandomForestClassifier:
-    """ML-4."""
+def rf_classifier(p: ModelParams, label: str = "label", weight: str | None = "class_weight_squared") -> RandomForestClassifier:
+    """ML-4.  The forest takes the balanced sample weights and balanced class weights: they multiply."""
     rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=p.rf_trees, maxDepth=p.rf_depth,
                                 minInstancesPerNode=p.rf_min_instances, featureSubsetStrategy="sqrt", seed=p.seed)
     if weight:
@@ -91,25 +84,60 @@ def rf_classifier(p: ModelParams, label: str = "label", weight: str | None = "cl
     return rf
 
 
+ROWS_PER_TASK = 100_000
+
+
+def compact(train: DataFrame) -> DataFrame:
+    """The design matrix in as few partitions as its rows ask for: each boosting round is several jobs over it, so
+    tasks of a few hundred rows would cost scheduling only."""
+    return train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
+
+
+def class_scores(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+    """ML-3/ML-8: one-vs-rest class scores: each class's own probability, normalised to sum 1, and the class with
+    the largest (the smallest of equals)."""
+    ovr = model.stages[-1]
+    x = model.stages[0].transform(df)
+    for k, m in enumerate(ovr.models):
+        out = m.transform(x.select("*"))
+        x = out.withColumn(f"_p{k}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", m.getPredictionCol())
+    ps = [F.col(f"_p{k}") for k in range(len(ovr.models))]
+    total = sum(ps[1:], ps[0])
+    scores = F.array(*[F.when(total > 0, p / total).otherwise(F.lit(1.0 / len(ps))) for p in ps])
+    return x.withColumn("probability", scores).select(
+        *keep, (F.array_position("probability", F.array_max("probability")) - 1).cast("double").alias("prediction"), "probability")
+
+
+def macro_f1(scored: DataFrame, label: str = "label") -> float:
+    """Macro F1 from the confusion counts (k*k rows)."""
+    from ledgerlake.operators.metrics import classification_metrics
+    return classification_metrics(scored, y=label).first()["f1_macro"]
+
+
 def fit(train: DataFrame, features: list[str], estimator) -> PipelineModel:
     return MLPipeline(stages=[assembler(features), estimator]).fit(train)
 
 
 def cross_validate(train: DataFrame, features: list[str], estimator, metric: str = "mae", folds: int = 5,
-                   seed: int = 42, label: str = "label") -> DataFrame:
-    """ML-6: k-fold CV; mean and standard deviation of the metric over folds, as one row."""
-    if metric in ("mae", "rmse", "r2"):
-        ev = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    else:
-        ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=metric)
-    pipe = MLPipeline(stages=[assembler(features), estimator])
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=ev,
-                        numFolds=folds, seed=seed, parallelism=1)
-    m = cv.fit(train)
-    spark = train.sparkSession
-    std = m.stdMetrics[0] if getattr(m, "stdMetrics", None) else None
-    return spark.createDataFrame([(metric, float(m.avgMetrics[0]), None if std is None else float(std), folds)],
-                                 "metric string, cv_mean double, cv_std double, folds int")
+                   seed: int = 42, label: str = "label", id_col: str | None = None) -> DataFrame:
+    """ML-6: k-fold CV; mean and standard deviation (over the folds) of MAE or macro F1, as one row.
+
+    A row's fold comes from a hash of its id, so folds are the same on every run."""
+    row = F.col(id_col) if id_col else F.xxhash64(*features)
+    data = train.withColumn("_fold", F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(folds)))
+    got = []
+    for k in range(folds):
+        m = fit(data.filter(F.col("_fold") != k), features, estimator)
+        held = m.transform(data.filter(F.col("_fold") == k))
+        if metric == "f1_macro":
+            got.append(macro_f1(held, label))
+        else:
+            got.append(held.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0])
+    got = [float(x) for x in got if x is not None]
+    mean = sum(got) / len(got) if got else None
+    std = (sum((x - mean) ** 2 for x in got) / len(got)) ** 0.5 if got else None
+    return train.sparkSession.createDataFrame([(metric, mean, std, folds)],
+                                              "metric string, cv_mean double, cv_std double, folds int")
 
 
 def importances(model: PipelineModel, features: list[str], top: int = 10) -> DataFrame:
@@ -161,14 +189,18 @@ def _s1_design_labelled(p):
     return cut_lineage(tr.time_split(d, ["invoice_date", "invoice_id"], p.cfg.test_size)), S1_FEATURES
 
 
+def _trained(p, name: str, train: DataFrame, feats: list[str], estimator) -> PipelineModel:
+    """Fit, save below the job's folder and load again: scoring uses what was persisted."""
+    model = fit(train, feats, estimator)
+    return load(save(model, f"{p.model_root}/{name}")) if p.model_root else model
+
+
 def score_ar(p, params: ModelParams = S1_PARAMS) -> DataFrame:
     """S1 scoring with trained models: pred_primary (GBT) and pred_baseline (RF) for every paid invoice."""
     d, feats = _s1_design_labelled(p)
-    train = d.filter(F.col("is_train"))
-    gbt = fit(train, feats, gbt_regressor(params))
-    rf = fit(train, feats, rf_regressor(params))
-    a = predict(gbt, d, ["invoice_id"], "pred_primary")
-    b = predict(rf, d, ["invoice_id"], "pred_baseline")
+    train = compact(d.filter(F.col("is_train")))
+    a = predict(_trained(p, "s1_primary", train, feats, gbt_regressor(params)), d, ["invoice_id"], "pred_primary")
+    b = predict(_trained(p, "s1_baseline", train, feats, rf_regressor(params)), d, ["invoice_id"], "pred_baseline")
     return p.ar_labelled.join(a, "invoice_id").join(b, "invoice_id")
 
 
@@ -189,12 +221,11 @@ def _s2_design_labelled(p):
 
 
 def score_ap(p, params: ModelParams = S2_PARAMS) -> DataFrame:
+    """S2 scoring: the adjustment in days to the vendor's terms, for every paid bill."""
     d, feats = _s2_design_labelled(p)
-    train = d.filter(F.col("is_train"))
-    gbt = fit(train, feats, gbt_regressor(params))
-    rf = fit(train, feats, rf_regressor(params))
-    a = predict(gbt, d, ["bill_id"], "pred_primary")
-    b = predict(rf, d, ["bill_id"], "pred_baseline")
+    train = compact(d.filter(F.col("is_train")))
+    a = predict(_trained(p, "s2_primary", train, feats, gbt_regressor(params)), d, ["bill_id"], "pred_primary")
+    b = predict(_trained(p, "s2_baseline", train, feats, rf_regressor(params)), d, ["bill_id"], "pred_baseline")
     return p.ap_labelled.join(a, "bill_id").join(b, "bill_id")
 
 
@@ -206,5 +237,6 @@ def risk_design(p):
     x = f.select("customer_id", "is_train", F.col("target").cast("double").alias("label"),
                  *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in CR_FEATURES])
     x = cut_lineage(x)
-    train = cut_lineage(tr.class_weights(x.filter(F.col("is_train")), "label"))
+    train = tr.class_weights(x.filter(F.col("is_train")), "label")
+    train = cut_lineage(train.withColumn("class_weight_squared", F.col("class_weight") * F.col("class_weight")))
     return x, train, CR_FEATURES

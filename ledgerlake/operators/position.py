@@ -46,7 +46,8 @@ def standardise(df: DataFrame, source: str, cfg: Settings = DEFAULT) -> DataFram
         direction = F.when(F.col("forecast_amount") < 0, "OUTFLOW").otherwise("INFLOW")
     tier = F.col("confidence_tier") if "confidence_tier" in cols else lookup(module, SOURCE_CONFIDENCE, "LOW")
     fdate = F.col("forecast_date") if "forecast_date" in cols else F.lit(str(cfg.reference_date))
-    key = F.col("forecast_id") if "forecast_id" in cols else F.monotonically_increasing_id()
+    # without an id the row's own columns name the event: the same on every retry
+    key = F.col("forecast_id") if "forecast_id" in cols else F.xxhash64(*sorted(cols))
     out = df.select(
         stable_id(F.lit(source), key, F.lit(cfg.run_id)).alias("event_id"),
         module.alias("source_module"),
@@ -68,40 +69,49 @@ def event_store(sources: dict[str, DataFrame], cfg: Settings = DEFAULT) -> DataF
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _mark(df: DataFrame, source_dates: DataFrame, rules) -> DataFrame:
+    """``suppressed`` and ``suppression_reason`` for rows with a source and a day; one date table per winner source."""
+    out, reason = df, F.lit(None).cast("string")
+    for winner in dict.fromkeys(w for _, w, _ in rules):
+        dates = (source_dates.filter(F.col("source_module") == winner)
+                 .select(F.col("target_date").alias(f"_d_{winner}")).distinct().withColumn(f"_hit_{winner}", F.lit(True)))
+        # <= horizon_days+1 rows: size bounded by the horizon filter, safe to broadcast
+        out = out.join(F.broadcast(dates), F.col("target_date") == F.col(f"_d_{winner}"), "left").drop(f"_d_{winner}")
+    for loser, winner, why in rules:
+        reason = F.when((F.col("source_module") == loser) & F.col(f"_hit_{winner}").isNotNull(), F.lit(why)).otherwise(reason)
+    return (out.withColumn("suppression_reason", F.coalesce(reason, F.lit("")))
+            .withColumn("suppressed", F.col("suppression_reason") != "").drop(*[f"_hit_{w}" for _, w, _ in rules]))
+
+
 def dedup(events: DataFrame, rules=DEDUP_RULES) -> DataFrame:
     """S7-7: mark loser rows on dates where the winner source also has an event.
 
     Evaluated on all events (not on survivors of an earlier rule); a later
     rule overwrites the reason of an earlier one.
     """
-    reason = F.lit(None).cast("string")
-    out = events
-    for i, (loser, winner, why) in enumerate(rules):
-        dates = (events.filter(F.col("source_module") == winner)
-                 .select(F.col("target_date").alias(f"_d{i}")).distinct()
-                 .withColumn(f"_hit{i}", F.lit(True)))
-        # <= horizon_days+1 rows: size bounded by the horizon filter, safe to broadcast
-        out = out.join(F.broadcast(dates), (F.col("source_module") == loser) & (F.col("target_date") == F.col(f"_d{i}")),
-                       "left").drop(f"_d{i}")
-        reason = F.when(F.col(f"_hit{i}").isNotNull(), F.lit(why)).otherwise(reason)
-    out = out.withColumn("suppression_reason", F.coalesce(reason, F.lit("")))
-    out = out.withColumn("suppressed", F.col("suppression_reason") != "")
-    return out.select(*EVENT_COLUMNS, "suppressed", "suppression_reason")
+    return _mark(events, events, rules).select(*EVENT_COLUMNS, "suppressed", "suppression_reason")
 
 
 def active(events_marked: DataFrame) -> DataFrame:
     return events_marked.filter(~F.col("suppressed"))
 
 
-def daily_position(active_events: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """S7-8..S7-10: gross in/out by amount sign per day, dense calendar from the
-    reference date to the last active event, running balance."""
+def source_days(events: DataFrame, rules=DEDUP_RULES) -> DataFrame:
+    """The event store at (source, day) grain with the dedup verdict: at most ``horizon_days + 1`` rows per source,
+    whatever the number of events.  The verdict depends on source and day only, so every S7 figure below event level comes
+    from this one aggregate and one scan of the store."""
     amt = F.col("forecast_amount")
-    per_day = active_events.groupBy("target_date").agg(
-        F.sum(F.when(amt > 0, amt)).alias("_in"),
-        F.sum(F.when(amt < 0, amt)).alias("_out"),
-    )
-    span = active_events.agg(F.max("target_date").alias("_last"))
+    per = events.groupBy("source_module", "target_date").agg(
+        F.sum(F.when(amt > 0, amt)).alias("_in"), F.sum(F.when(amt < 0, amt)).alias("_out"),
+        F.sum(amt).alias("_net"), F.count(F.lit(1)).alias("_events"))
+    return _mark(per, per, rules).drop("suppression_reason")
+
+
+def daily_position(days: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """S7-8..S7-10 from the active source days: gross in/out by amount sign per day, dense calendar from the
+    reference date to the last active event, running balance."""
+    per_day = days.groupBy("target_date").agg(F.sum("_in").alias("_in"), F.sum("_out").alias("_out"))
+    span = days.agg(F.max("target_date").alias("_last"))
     calendar = span.select(F.explode(F.sequence(lit_date(cfg.reference_date), F.col("_last"))).alias("date"))
     # both sides hold at most horizon_days+1 rows
     daily = calendar.join(F.broadcast(per_day), calendar["date"] == per_day["target_date"], "left").select(
@@ -135,8 +145,8 @@ def monthly_position(daily: DataFrame) -> DataFrame:
     return _rollup(daily, month_label(F.col("date")), "month")
 
 
-def position_summary(daily: DataFrame, events_marked: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """S7-13 / QY-14: one row of headline figures."""
+def position_summary(daily: DataFrame, days: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """S7-13 / QY-14: one row of headline figures from the daily position and the marked source days."""
     d = daily.agg(
         half_even(F.sum("gross_inflow"), 2).alias("total_inflows"),
         half_even(F.sum("gross_outflow"), 2).alias("total_outflows"),
@@ -147,12 +157,13 @@ def position_summary(daily: DataFrame, events_marked: DataFrame, cfg: Settings =
         F.min(F.struct("cumulative_position", "date"))["date"].alias("min_cash_date"),
         F.count(F.lit(1)).alias("forecast_days"),
     )
-    e = events_marked.agg(
-        F.count(F.lit(1)).alias("total_events"),
-        F.count_if(~F.col("suppressed")).alias("active_events"),
-        F.count_if(F.col("suppressed")).alias("suppressed_events"),
+    n, out = F.col("_events"), F.col("suppressed")
+    e = days.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum(F.when(~out, n)), F.lit(0)).alias("active_events"),
+        F.coalesce(F.sum(F.when(out, n)), F.lit(0)).alias("suppressed_events"),
     )
-    return d.crossJoin(e).withColumn("opening_balance", F.lit(cfg.opening_balance))
+    return d.crossJoin(F.broadcast(e)).withColumn("opening_balance", F.lit(cfg.opening_balance))
 
 
 def cash_outputs(daily: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
@@ -170,11 +181,11 @@ def cash_outputs(daily: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     )
 
 
-def by_source(events_marked: DataFrame) -> DataFrame:
+def by_source(days: DataFrame) -> DataFrame:
     """S7-15: active-event count and total per source, with direction label and absolute amount."""
-    a = active(events_marked).groupBy("source_module").agg(
-        F.count(F.lit(1)).alias("event_count"),
-        half_even(F.sum("forecast_amount"), 2).alias("total"),
+    a = active(days).groupBy("source_module").agg(
+        F.sum("_events").alias("event_count"),
+        half_even(F.sum("_net"), 2).alias("total"),
     )
     return a.withColumn("flow_direction", F.when(F.col("total") > 0, "inflow").otherwise("outflow")) \
             .withColumn("abs_total", F.abs("total"))

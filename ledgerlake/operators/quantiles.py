@@ -1,43 +1,27 @@
 """Exact global quantile (linear interpolation, as pandas/numpy) without one giant task.
 
-Spark's exact ``percentile`` merges a map of every distinct value in a single
-final task.  Here the approximate sketch (``percentile_approx``, bounded
-memory, partial aggregation) first brackets the target rank; only rows inside
-that bracket -- about ``4 / accuracy`` of the data -- are ordered, in one
-small window, and the two neighbours of the fractional rank are interpolated.
-Everything stays lazy; the result is a one-row DataFrame to cross-join.
+Spark's exact ``percentile`` merges a map of every distinct value in a single final task.  Here the rows
+are counted per value (partial aggregation, so ties cost nothing), the distinct values are range-partitioned, and
+prefix counts per partition plus partition offsets give every value the ranks it covers.  The two neighbours of
+the fractional rank are then picked by one partially aggregated ``max``.  One path for every size.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.ranking import group_value_ranks
 
-def exact_quantile(df: DataFrame, col: str, p: float, out: str = "quantile", accuracy: int = 10000) -> DataFrame:
-    x = df.select(F.col(col).cast("double").alias("_x")).filter(F.col("_x").isNotNull())
-    margin = 2.0 / accuracy
-    lo_p, hi_p = max(0.0, p - margin), min(1.0, p + margin)
-    stats = x.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", F.array(F.lit(lo_p), F.lit(hi_p)), accuracy).alias("_b"),
-    ).select("_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"),
-             ((F.col("_n") - 1) * F.lit(p)).alias("_h"))
-    stats = F.broadcast(stats)                       # one row
-    tagged = x.crossJoin(stats)
-    # the sketch's rank error is n/accuracy: the bracket provably holds both neighbours of the
-    # fractional rank once n > accuracy; below that the whole input (<= accuracy rows) is the band
-    small = F.col("_n") <= F.lit(accuracy)
-    below = tagged.agg(F.count_if(~small & (F.col("_x") < F.col("_lo"))).alias("_below"))
-    band = tagged.filter(small | ((F.col("_x") >= F.col("_lo")) & (F.col("_x") <= F.col("_hi")))).select("_x")
-    # the band holds ~4/accuracy of the rows (or <= accuracy rows): one ordered window over it is bounded
-    ranked = band.withColumn("_rn", F.row_number().over(Window.orderBy("_x")))
-    pos = ranked.crossJoin(F.broadcast(below)).crossJoin(stats).withColumn(
-        "_pos", F.col("_below") + F.col("_rn") - 1)
-    lo_i, hi_i = F.floor("_h"), F.ceil("_h")
-    picked = pos.groupBy().agg(
-        F.max(F.when(F.col("_pos") == lo_i, F.col("_x"))).alias("_a"),
-        F.max(F.when(F.col("_pos") == hi_i, F.col("_x"))).alias("_b"),
-        F.max("_h").alias("_h"))
+
+def exact_quantile(df: DataFrame, col: str, p: float, out: str = "quantile") -> DataFrame:
+    """One row: the ``p`` quantile of the non-null values of ``col`` (null if there are none)."""
+    x = df.select(F.lit(0).alias("_all"), F.col(col).cast("double").alias("_x"))
+    ranks = group_value_ranks(x, "_all", "_x")
+    h = (F.col("_n") - 1) * F.lit(float(p))
+
+    def at(i):                                        # the value that covers 0-based rank i
+        return F.max(F.when((F.col("_less") <= i) & (i < F.col("_less") + F.col("_eq")), F.col("_x")))
+    picked = ranks.agg(at(F.floor(h)).alias("_a"), at(F.ceil(h)).alias("_b"), F.max(h).alias("_h"))
     t = F.col("_h") - F.floor("_h")
     diff = F.col("_b") - F.col("_a")
     value = F.when(t >= 0.5, F.col("_b") - diff * (F.lit(1.0) - t)).otherwise(F.col("_a") + diff * t)

@@ -25,9 +25,9 @@ def _parts(df: DataFrame, partitions: int | None) -> int:
 
 
 def global_position(df: DataFrame, order_cols: list[str], partitions: int | None = None,
-                    out: str = "_pos") -> DataFrame:
+                    out: str = "_pos", count_out: str | None = None) -> DataFrame:
     """0-based position of each row in the total order ``order_cols`` (ties broken
-    by the listed columns only; make them unique for a strict order)."""
+    by the listed columns only; make them unique for a strict order), and on request the number of rows."""
     p = _parts(df, partitions)
     ranged = df.repartitionByRange(p, *order_cols).withColumn("_pid", F.spark_partition_id())
     # materialised once (reliable checkpoint): the partition ids are then data, so the two
@@ -36,7 +36,9 @@ def global_position(df: DataFrame, order_cols: list[str], partitions: int | None
         "_local", F.row_number().over(Window.partitionBy("_pid").orderBy(*order_cols)) - 1))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # at most `p` rows: size bounded by the partition count, broadcast
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
+    total = F.sum("_n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"),
+                            *([total.alias(count_out)] if count_out else []))
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off"))
 
@@ -46,8 +48,8 @@ def group_value_ranks(df: DataFrame, group: str, value: str, partitions: int | N
     ``_eq`` (rows with this value), ``_n`` (rows in the group) and ``_sum``
     (sum of the group's values).  Rows with a null value are ignored, as pandas does."""
     p = _parts(df, partitions)
-    pairs = (df.filter(F.col(value).isNotNull()).groupBy(group, value)
-             .agg(F.count(F.lit(1)).alias("_eq")))            # partial aggregation, skew-safe
+    # partial aggregation, skew-safe; written once, as the range partitioning samples its input first
+    pairs = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_eq")))
     ranged = pairs.repartitionByRange(p, group, value).withColumn("_pid", F.spark_partition_id())
     w_local = Window.partitionBy("_pid", group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = cut_lineage(ranged.withColumn("_lless", F.coalesce(F.sum("_eq").over(w_local), F.lit(0))))

@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from ledgerlake.config import DEFAULT, RECOMMENDATION_WEIGHTS as W, Settings
 from ledgerlake.functions.columns import clip, half_even, lit_date, stable_id
+from ledgerlake.session import cut_lineage
 
 REC_COLUMNS = ["recommendation_id", "lever", "priority", "entity_type", "entity_id", "customer_id", "action",
                "channel", "description", "cash_impact", "days_accelerated", "risk_segment", "score", "confidence"]
 
-DASH = "—"
-
+# The lever, action and description texts below are fixed values: they must read the same everywhere.
 
 def money0(c) -> F.Column:
     """``f"{x:,.0f}"``."""
@@ -39,6 +39,13 @@ def overdue_view(invoice_features: DataFrame, collections_features: DataFrame, s
             .join(preds, "invoice_id", "left"))
 
 
+def overdue_scores(invoice_features: DataFrame, scores: DataFrame) -> DataFrame:
+    """The columns of overdue invoices that the collections lever scores: no collections history, no ranks, no predictions."""
+    return (invoice_features.filter(F.col("days_past_due") > 0)
+            .select("invoice_id", "customer_id", "invoice_amount", "days_past_due")
+            .join(scores.select("customer_id", "payment_score", "risk_segment"), "customer_id", "left"))
+
+
 def collections_candidates(overdue: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """RE-2/RE-3: response probability, expected impact and weighted score for every overdue invoice."""
     prob = clip(F.coalesce(F.col("payment_score"), F.lit(0.5)), 0.1, 0.95)
@@ -52,10 +59,16 @@ def collections_candidates(overdue: DataFrame, cfg: Settings = DEFAULT) -> DataF
     return c.crossJoin(norm).withColumn("total_score", half_even(total, 4))
 
 
-def collections_lever(overdue: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
-    """RE-4/RE-5: top-k overdue invoices as collection recommendations."""
-    top = (collections_candidates(overdue, cfg)
+def collections_lever(overdue: DataFrame, s1_predictions: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
+    """RE-4/RE-5: top-k overdue invoices as collection recommendations.  The candidates are scored narrow and written once (the
+    normalisers and the ranking both read them); only the k chosen invoices meet their predictions."""
+    top = (collections_candidates(cut_lineage(overdue, "overdue"), cfg)
            .orderBy(F.col("total_score").desc(), F.col("invoice_id")).limit(cfg.collections_top))
+    preds = s1_predictions.select(F.col("transaction_id").alias("invoice_id"),
+                                  F.col("confidence_tier").alias("prediction_confidence"))
+    # at most collections_top rows: a bounded broadcast, so the predictions are scanned and not shuffled
+    found = preds.join(F.broadcast(top.select("invoice_id")), "invoice_id", "left_semi")
+    top = top.join(F.broadcast(found), "invoice_id", "left")
     risk = F.col("risk_segment")
     action = (F.when(risk == "HIGH", "Formal notice + phone call").when(risk == "MEDIUM", "Email reminder + follow-up call")
               .otherwise("Portal nudge + email"))
@@ -63,7 +76,7 @@ def collections_lever(overdue: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     s = F.col("total_score")
     desc = F.concat(
         F.lit("Escalate "), F.col("invoice_id").cast("string"), F.lit(" ($"), money0(F.col("invoice_amount")),
-        F.lit(", "), F.col("days_past_due").cast("int").cast("string"), F.lit(f" days overdue) {DASH} est. accelerate by "),
+        F.lit(", "), F.col("days_past_due").cast("int").cast("string"), F.lit(f" days overdue) — est. accelerate by "),
         F.lit(str(cfg.accel_days)), F.lit(" days, expected cash impact $"), money0(F.col("expected_cash_impact")))
     return top.select(
         stable_id(F.lit("COLLECTIONS"), F.col("invoice_id"), F.lit(cfg.run_id)).alias("recommendation_id"),
@@ -98,7 +111,7 @@ def vendor_deferral_lever(s2_predictions: DataFrame, cfg: Settings = DEFAULT) ->
         F.col("transaction_id").alias("entity_id"), F.lit(None).cast("long").alias("customer_id"),
         F.lit(f"Defer payment by {d} days (no penalty)").alias("action"), F.lit("TREASURY").alias("channel"),
         F.concat(F.lit("Defer "), F.col("transaction_id").cast("string"), F.lit(" ($"), amt,
-                 F.lit(f") by {d} days {DASH} improves short-term cash by $"), amt).alias("description"),
+                 F.lit(f") by {d} days — improves short-term cash by $"), amt).alias("description"),
         half_even(F.col("expected_payment_amount"), 2).alias("cash_impact"),
         F.lit(-d).alias("days_accelerated"), F.lit(None).cast("string").alias("risk_segment"),
         F.col("score"), F.col("confidence_tier").alias("confidence"),
@@ -120,7 +133,7 @@ def expense_deferral_lever(s6_detail: DataFrame, cfg: Settings = DEFAULT) -> Dat
         F.col("expense_id").alias("entity_id"), F.lit(None).cast("long").alias("customer_id"),
         F.concat(F.lit("Defer "), F.lower("category"), F.lit(f" expense by {d} days")).alias("action"),
         F.lit("FINANCE").alias("channel"),
-        F.concat(F.lit("Defer "), label, F.lit(" ($"), amt, F.lit(f") by {d} days {DASH} frees $"), amt,
+        F.concat(F.lit("Defer "), label, F.lit(" ($"), amt, F.lit(f") by {d} days — frees $"), amt,
                  F.lit(" during the period")).alias("description"),
         half_even(F.col("cash_freed"), 2).alias("cash_impact"),
         F.lit(-d).alias("days_accelerated"), F.lit(None).cast("string").alias("risk_segment"),

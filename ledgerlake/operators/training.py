@@ -109,13 +109,12 @@ def select_features(df: DataFrame, features: list[str], keep: list[str] = ()) ->
 def time_split(df: DataFrame, order_cols: list[str], test_size: float = 0.2, partitions: int | None = None) -> DataFrame:
     """TS-13: first floor(n * (1 - test_size)) rows in (date, id) order are train.
 
-    Positions come from the range-partitioned ``global_position`` operator (no
-    single-partition window); n is a one-row aggregate joined by broadcast."""
+    Positions and n come from the range-partitioned ``global_position`` operator (no
+    single-partition window over rows, and the input is evaluated once)."""
     from ledgerlake.operators.ranking import global_position
-    n = F.broadcast(df.agg(F.count(F.lit(1)).alias("_n")))
-    pos = global_position(df, order_cols, partitions)
+    pos = global_position(df, order_cols, partitions, count_out="_n")
     cut = F.floor(F.col("_n") * F.lit(1.0 - test_size))
-    return pos.crossJoin(n).withColumn("is_train", F.col("_pos") < cut).drop("_n")
+    return pos.withColumn("is_train", F.col("_pos") < cut).drop("_n")
 
 
 def hashed_order(id_col: str, seed: int = 42) -> F.Column:

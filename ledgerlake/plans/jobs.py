@@ -11,17 +11,17 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ledgerlake.operators import position as po
-from ledgerlake.operators import recommend as rc
 from ledgerlake.plans.pipeline import Pipeline
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.session import run_dir
 from ledgerlake.sources import files
+from ledgerlake.sources.driver import StagedInputs
 
 FEATURE_TABLES = ("customer_features", "customer_payment_scores", "invoice_features", "collections_features",
                   "vendor_features", "bill_features")
 
 
 def store_root(spark: SparkSession, name: str = "store") -> str:
-    return f"{checkpoint_dir(spark)}/{name}"
+    return f"{run_dir(spark)}/{name}"
 
 
 def publish_features(p: Pipeline, root: str) -> dict[str, str]:
@@ -53,12 +53,10 @@ def publish_forecasts(p: Pipeline, root: str) -> str:
 
 
 def publish_position(p: Pipeline, root: str) -> dict[str, str]:
-    """SNK-3: event store (written first; later views read it back), daily / weekly / monthly."""
+    """SNK-3: the marked event store; daily from the source-day aggregate; weekly and monthly from the written daily."""
     ev_path = files.write_table(p.event_store, f"{root}/s7/event_store", ["source_module"])
-    ev = p.t["customers"].sparkSession.read.parquet(ev_path)
-    daily = po.daily_position(po.active(ev), p.cfg)
-    d_path = files.write_table(daily, f"{root}/s7/daily_position")
-    daily = ev.sparkSession.read.parquet(d_path)
+    d_path = files.write_table(p.daily, f"{root}/s7/daily_position")
+    daily = p.daily.sparkSession.read.parquet(d_path)
     return {"event_store": ev_path, "daily": d_path,
             "weekly": files.write_table(po.weekly_position(daily), f"{root}/s7/weekly_position"),
             "monthly": files.write_table(po.monthly_position(daily), f"{root}/s7/monthly_position")}
@@ -69,13 +67,17 @@ def publish_recommendations(p: Pipeline, root: str) -> str:
     return files.write_table(p.recommendations, f"{root}/recommendations")
 
 
-def publish_all(spark: SparkSession, sf_dir: str, root: str | None = None) -> dict:
+def publish_all(spark: SparkSession, sf_dir: str, root: str | None = None, p: Pipeline | None = None) -> dict:
+    """The whole job.  S1 and S2 are scored by models that this run trains on the labelled documents, saves under ``root`` and
+    loads again for scoring."""
     root = root or store_root(spark)
-    p = Pipeline.from_driver(spark, sf_dir)
+    p = p or Pipeline(StagedInputs(spark, sf_dir, f"{root}/inputs"))
+    if p.predictions == "model" and p.model_root is None:
+        p.model_root = f"{root}/models"
     out = {"features": publish_features(p, root), "forecasts": publish_forecasts(p, root),
            "position": publish_position(p, root), "recommendations": publish_recommendations(p, root)}
     return out
 
 
 __all__ = ["publish_all", "publish_features", "publish_forecasts", "publish_position", "publish_recommendations",
-           "store_root", "rc"]
+           "store_root"]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ledgerlake.config import DEFAULT, Settings
 from ledgerlake.operators import features as fe
 from ledgerlake.operators import forecasts as fc
+from ledgerlake.operators import models
 from ledgerlake.operators import position as po
 from ledgerlake.operators import predictions as pp
 from ledgerlake.operators import training as tr
@@ -28,11 +29,17 @@ from ledgerlake.sources.driver import finance_tables
 
 
 class Pipeline:
-    def __init__(self, tables: dict[str, DataFrame], cfg: Settings = DEFAULT, predictions: str = "pseudo",
+    def __init__(self, tables: dict[str, DataFrame], cfg: Settings = DEFAULT, predictions: str = "model",
                  materialize: bool = True):
         self.t = tables
         self.cfg = cfg
-        self.predictions = predictions   # "pseudo" (deterministic) or "model" (MLlib)
+        # "model": trained MLlib models, what a job publishes.  "pseudo": deterministic numbers made from the true
+        # labels, which only the queries that are compared with an oracle ask for
+        if predictions not in ("model", "pseudo"):
+            raise ValueError(predictions)
+        self.predictions = predictions
+        self.model_root: str | None = None   # where trained models are saved and loaded again for scoring
+        self.s1_params, self.s2_params, self.risk_params = models.S1_PARAMS, models.S2_PARAMS, models.RISK_PARAMS
         self.materialize = materialize   # False: one lazy plan end to end (for explain / plan review)
 
     def _stage(self, df: DataFrame, name: str) -> DataFrame:
@@ -69,10 +76,7 @@ class Pipeline:
 
     @cached_property
     def customer_delays(self) -> DataFrame:
-        """Average payment delay per customer: read from the feature table when it is already built,
-        otherwise derived from the AR join alone (S3/S4 need nothing else)."""
-        if "customer_features" in self.__dict__:
-            return self.customer_features.select("customer_id", "avg_payment_delay")
+        """Average payment delay per customer, from the AR join alone (S3/S4 need nothing else of the feature table)."""
         return fe.customer_delays(self.t)
 
     # ---------------------------------------------------------------- targets
@@ -93,15 +97,13 @@ class Pipeline:
     def ar_scored(self) -> DataFrame:
         if self.predictions == "pseudo":
             return pp.pseudo_predictions(self.ar_labelled, "invoice_id", "days_to_pay")
-        from ledgerlake.operators import models
-        return models.score_ar(self)
+        return self._stage(models.score_ar(self, self.s1_params), "ar_scored")
 
     @cached_property
     def ap_scored(self) -> DataFrame:
         if self.predictions == "pseudo":
             return pp.pseudo_predictions(self.ap_labelled, "bill_id", "adjustment_delta")
-        from ledgerlake.operators import models
-        return models.score_ap(self)
+        return self._stage(models.score_ap(self, self.s2_params), "ap_scored")
 
     @cached_property
     def s1_predictions(self) -> DataFrame:
@@ -140,19 +142,24 @@ class Pipeline:
         return {k: src[k]() for k in which}
 
     # ---------------------------------------------------------------- cash position
-    def events(self, which=("S1", "S2", "S3", "S4", "S5", "S6")) -> DataFrame:
-        """Normalised event store, written once to the shared folder (it is read by the dedup rules,
-        the cash position and the reports), then marked by the dedup rules."""
-        raw = self._stage(po.event_store(self.forecast_sources(which), self.cfg), "event_store")
-        return po.dedup(raw)
+    @cached_property
+    def raw_events(self) -> DataFrame:
+        """Normalised event store, written once to the shared folder."""
+        return self._stage(po.event_store(self.forecast_sources(), self.cfg), "event_store")
 
     @cached_property
     def event_store(self) -> DataFrame:
-        return self.events()
+        """The events, marked by the dedup rules."""
+        return po.dedup(self.raw_events)
+
+    @cached_property
+    def source_days(self) -> DataFrame:
+        """The marked event store at (source, day) grain: all S7 figures below event level read this small table."""
+        return self._stage(po.source_days(self.raw_events), "source_days")
 
     @cached_property
     def daily(self) -> DataFrame:
-        return po.daily_position(po.active(self.event_store), self.cfg)
+        return po.daily_position(po.active(self.source_days), self.cfg)
 
     # ---------------------------------------------------------------- recommendations
     @cached_property
@@ -164,7 +171,8 @@ class Pipeline:
     @cached_property
     def lever_collections(self) -> DataFrame:
         from ledgerlake.operators import recommend as re_
-        return re_.collections_lever(self.overdue, self.cfg)
+        return re_.collections_lever(re_.overdue_scores(self.invoice_features, self.payment_scores), self.s1_predictions,
+                                     self.cfg)
 
     @cached_property
     def lever_vendor(self) -> DataFrame:

@@ -1,7 +1,7 @@
 """Query catalogue: sources and sinks, exercised as write -> read round trips in the shared folder."""
 from __future__ import annotations
 
-import os
+import hashlib
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from ledgerlake.sources import files
 
 
 def _root(spark, d):
-    return f"{jobs.store_root(spark)}/{os.path.basename(d.rstrip('/'))}"
+    return f"{jobs.store_root(spark)}/{hashlib.sha256(d.encode()).hexdigest()[:16]}"
 
 
 INV_SCHEMA = T.StructType([

@@ -151,3 +151,36 @@ def q_me11(spark, d):
 @reg("SNK-5", "metric value:d", "snk5")
 def q_snk5(spark, d):
     return me.long_report(me.regression_metrics(_s1(spark, d)))
+
+
+@reg("TS-17:s2", "n:i mean:d std:d median:d", "SELECT count(*) AS n, avg(adjustment_delta) AS mean, "
+     "stddev_samp(adjustment_delta) AS std, quantile_cont(adjustment_delta, 0.5) AS median FROM s2_train")
+def q_target_summary_s2(spark, d):
+    return tr.target_summary(_s2(spark, d, True), "adjustment_delta")
+
+
+@reg("SNK-5:risk", "metric value:d text", "SELECT metric, value, CAST(NULL AS VARCHAR) AS text FROM (SELECT * FROM me8) UNPIVOT "
+     "(value FOR metric IN (accuracy, precision_macro, recall_macro, f1_macro, precision_weighted, recall_weighted, "
+     "f1_weighted, f1_LOW, f1_MEDIUM, f1_HIGH))")
+def q_risk_report(spark, d):
+    return me.long_report(me.classification_metrics(_risk_test(spark, d)))
+
+
+@reg("SNK-5:models", "metric value:d text", "SELECT 'best_model' AS metric, CAST(NULL AS DOUBLE) AS value, best_model AS text FROM me3 "
+     "UNION ALL SELECT 'improvement_pct', CAST(improvement_pct AS DOUBLE), NULL FROM me3")
+def q_model_report(spark, d):
+    t = _s1(spark, d)
+    return me.long_report(me.compare_models(me.regression_metrics(t), me.regression_metrics(t, p="pred_baseline")))
+
+
+@reg("SNK-5:s7", "metric value:d text", """
+SELECT metric, value, CAST(NULL AS VARCHAR) AS text FROM (SELECT CAST(total_inflows AS DOUBLE) AS total_inflows,
+  CAST(total_outflows AS DOUBLE) AS total_outflows, CAST(closing_balance AS DOUBLE) AS closing_balance,
+  CAST(total_events AS DOUBLE) AS total_events FROM s7_summary)
+  UNPIVOT (value FOR metric IN (total_inflows, total_outflows, closing_balance, total_events))
+UNION ALL SELECT 'min_cash_date', NULL, CAST(min_cash_date AS VARCHAR) FROM s7_summary""")
+def q_position_report(spark, d):
+    from ledgerlake.operators import position as po
+    p = pipe(spark, d)
+    return me.long_report(po.position_summary(p.daily, p.source_days, CFG).select(
+        "total_inflows", "total_outflows", "closing_balance", "total_events", "min_cash_date"))

@@ -1,91 +1,187 @@
-"""Query catalogue: MLlib models (rows-only checks; model output is never oracled)."""
+"""Query catalogue: MLlib models at their configured sizes.
+
+Model numbers are never compared with an oracle.  Each query returns the rows its model covers with properties that must
+hold (finite, class scores sum to 1, a saved model predicts the same, better than a constant), and the oracle has the
+same rows with all properties true.  A model that several queries use is fitted once per application and input folder.
+"""
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import models as ml
 from ledgerlake.plans.registry import pipe, reg
-from ledgerlake.session import checkpoint_dir
+from ledgerlake.session import run_dir
+
+
+def _kept(spark, d, name, make):
+    """Designs and fitted models live with the pipeline object of the application and folder."""
+    store = pipe(spark, d).__dict__.setdefault("fitted", {})
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+def _s1(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    def make():
+        data, feats = ml._s1_design_labelled(pipe(spark, d))
+        return data, ml.compact(data.filter(F.col("is_train"))), feats
+    return _kept(spark, d, "s1", make)
+
+
+def _s2(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    def make():
+        data, feats = ml._s2_design_labelled(pipe(spark, d))
+        return data, ml.compact(data.filter(F.col("is_train"))), feats
+    return _kept(spark, d, "s2", make)
+
 
-P1 = ml.smoke(ml.S1_PARAMS)
-PR = ml.smoke(ml.RISK_PARAMS)
+def _risk(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    def make():
+        x, train, feats = ml.risk_design(pipe(spark, d))
+        return x, ml.compact(train), feats
+    return _kept(spark, d, "risk", make)
 
 
-def _s1(spark, d):
-    p = pipe(spark, d)
-    if "s1_design" not in p.__dict__:
-        p.__dict__["s1_design"] = ml._s1_design_labelled(p)
-    return p.__dict__["s1_design"]
+def _model(spark, d, name) -> PipelineModel:
+    design, estimator = {
+        "s1_gbt": (_s1, lambda: ml.gbt_regressor(ml.S1_PARAMS)), "s1_rf": (_s1, lambda: ml.rf_regressor(ml.S1_PARAMS)),
+        "s2_rf": (_s2, lambda: ml.rf_regressor(ml.S2_PARAMS)),
+        "risk_gbt": (_risk, lambda: ml.gbt_multiclass(ml.RISK_PARAMS)), "risk_rf": (_risk, lambda: ml.rf_classifier(ml.RISK_PARAMS)),
+    }[name]
 
+    def make():
+        _, train, feats = design(spark, d)
+        return ml.fit(train, feats, estimator())
+    return _kept(spark, d, name, make)
 
-def _risk(spark, d):
-    p = pipe(spark, d)
-    if "risk_design" not in p.__dict__:
-        p.__dict__["risk_design"] = ml.risk_design(p)
-    return p.__dict__["risk_design"]
 
+def _finite(c: str) -> Column:
+    x = F.col(c)
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
-@reg("ML-1", "invoice_id:i label:d prediction:d is_train")
+
+def _scored(spark, d, design, name, id_col) -> DataFrame:
+    data, _, _ = design(spark, d)
+    return ml.predict(_model(spark, d, name), data, [id_col, "label", "is_train"]).withColumn("finite", _finite("prediction"))
+
+
+def _quality(scored: DataFrame) -> DataFrame:
+    """Is the held-out absolute error below that of the training mean?"""
+    mean = F.broadcast(scored.filter("is_train").agg(F.avg("label").alias("_m")))       # one row
+    return scored.crossJoin(mean).agg(
+        F.count(F.lit(1)).alias("rows"), F.every("finite").alias("all_finite"),
+        (F.avg(F.when(~F.col("is_train"), F.abs(F.col("label") - F.col("prediction"))))
+         < F.avg(F.when(~F.col("is_train"), F.abs(F.col("label") - F.col("_m"))))).alias("beats_constant"))
+
+
+ROWS = "SELECT invoice_id, label, is_train, true AS finite FROM s1_split"
+QUALITY = "SELECT count(*) AS rows, true AS all_finite, true AS beats_constant FROM s1_split"
+
+
+@reg("ML-1", "invoice_id:i label:d is_train finite", ROWS)
 def q_gbt(spark, d):
-    data, feats = _s1(spark, d)
-    m = ml.fit(data.filter(F.col("is_train")), feats, ml.gbt_regressor(P1))
-    return ml.predict(m, data, ["invoice_id", "label", "is_train"])
+    return _scored(spark, d, _s1, "s1_gbt", "invoice_id")
+
 
+@reg("ML-1:quality", "rows:i all_finite beats_constant", QUALITY)
+def q_gbt_quality(spark, d):
+    return _quality(_scored(spark, d, _s1, "s1_gbt", "invoice_id"))
 
-@reg("ML-2", "invoice_id:i label:d prediction:d is_train")
+
+@reg("ML-2", "invoice_id:i label:d is_train finite", ROWS)
 def q_rf(spark, d):
-    data, feats = _s1(spark, d)
-    m = ml.fit(data.filter(F.col("is_train")), feats, ml.rf_regressor(P1))
-    return ml.predict(m, data, ["invoice_id", "label", "is_train"])
+    return _scored(spark, d, _s1, "s1_rf", "invoice_id")
+
+
+@reg("ML-2:quality", "rows:i all_finite beats_constant", QUALITY)
+def q_rf_quality(spark, d):
+    return _quality(_scored(spark, d, _s1, "s1_rf", "invoice_id"))
+
+
+@reg("ML-2:s2", "rows:i all_finite beats_constant", QUALITY.replace("s1_split", "s2_split"))
+def q_rf_s2(spark, d):
+    return _quality(_scored(spark, d, _s2, "s2_rf", "bill_id"))
+
+
+def _sound(scored: DataFrame) -> DataFrame:
+    """Class scores sum to 1; the predicted class has the largest."""
+    p = F.col("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return (scored.withColumn("sums_to_one", F.abs(total - 1) < 1e-9)
+            .withColumn("label_is_largest", F.get(p, F.col("prediction").cast("int")) >= F.array_max(p) - 1e-12))
+
 
+RISK = "SELECT customer_id, CAST(target AS DOUBLE) AS label, true AS sums_to_one, true AS label_is_largest FROM {}"
 
-@reg("ML-3", "customer_id:i label:d prediction:d")
+
+@reg("ML-3", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_test"))
 def q_ovr(spark, d):
-    x, train, feats = _risk(spark, d)
-    m = ml.fit(train, feats, ml.gbt_multiclass(PR))
-    return ml.predict(m, x.filter(~F.col("is_train")), ["customer_id", "label"])
+    x, _, _ = _risk(spark, d)
+    return _sound(ml.class_scores(_model(spark, d, "risk_gbt"), x.filter(~F.col("is_train")), ["customer_id", "label"]))
 
 
-@reg("ML-4", "customer_id:i label:d prediction:d probability")
+@reg("ML-4", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_test"))
 def q_rfc(spark, d):
-    x, train, feats = _risk(spark, d)
-    m = ml.fit(train, feats, ml.rf_classifier(PR))
-    return ml.predict(m, x.filter(~F.col("is_train")), ["customer_id", "label"])
+    x, _, _ = _risk(spark, d)
+    return _sound(ml.predict(_model(spark, d, "risk_rf"), x.filter(~F.col("is_train")), ["customer_id", "label"]))
 
 
-@reg("ML-6", "metric cv_mean:d cv_std:d folds:i")
+@reg("ML-6", "metric folds:i finite", "SELECT 'mae' AS metric, 5 AS folds, true AS finite")
 def q_cv(spark, d):
-    data, feats = _s1(spark, d)
-    return ml.cross_validate(data.filter(F.col("is_train")), feats, ml.rf_regressor(P1), "mae", P1.folds)
+    _, train, feats = _s1(spark, d)
+    p = ml.S1_PARAMS
+    return ml.cross_validate(train, feats, ml.rf_regressor(p), "mae", p.folds, id_col="invoice_id").withColumn(
+        "finite", _finite("cv_mean") & _finite("cv_std"))
+
 
+@reg("ML-6:f1", "metric folds:i better_than_chance", "SELECT 'f1_macro' AS metric, 5 AS folds, true AS better_than_chance")
+def q_cv_f1(spark, d):
+    _, train, feats = _risk(spark, d)
+    p = ml.RISK_PARAMS
+    return ml.cross_validate(train, feats, ml.rf_classifier(p), "f1_macro", p.folds, id_col="customer_id").withColumn(
+        "better_than_chance", F.col("cv_mean") > 1 / 3)
 
-@reg("ML-7", "feature importance:d rank:i")
+
+@reg("ML-7", "rank:i known ordered", "SELECT i + 1 AS rank, true AS known, true AS ordered FROM range(10) r(i)")
 def q_importance(spark, d):
-    data, feats = _s1(spark, d)
-    m = ml.fit(data.filter(F.col("is_train")), feats, ml.rf_regressor(P1))
-    return ml.importances(m, feats, 10)
+    from pyspark.sql import Window
+    _, _, feats = _s1(spark, d)
+    top = ml.importances(_model(spark, d, "s1_rf"), feats, 10)                          # ten rows
+    above = F.lag("importance").over(Window.orderBy("rank"))
+    return (top.withColumn("known", F.col("feature").isin(feats))
+            .withColumn("ordered", F.coalesce(above >= F.col("importance"), F.lit(True)) & (F.col("importance") >= 0)))
 
 
-@reg("ML-8", "customer_id:i label:d prediction:d probability")
+@reg("ML-8", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_eval"))
 def q_predict_proba(spark, d):
-    x, train, feats = _risk(spark, d)
-    m = ml.fit(train, feats, ml.rf_classifier(PR))
-    return ml.predict(m, x, ["customer_id", "label"])
+    x, _, _ = _risk(spark, d)
+    return _sound(ml.class_scores(_model(spark, d, "risk_gbt"), x, ["customer_id", "label"]))
+
+
+@reg("QY-8:model", "customer_id:i known_class", "SELECT customer_id, true AS known_class FROM risk_eval")
+def q_score_by_model(spark, d):
+    """Risk scoring by the trained forest (QY-8 on model output)."""
+    x, _, _ = _risk(spark, d)
+    return ml.predict(_model(spark, d, "risk_rf"), x, ["customer_id"]).withColumn("known_class", F.col("prediction").isin(0.0, 1.0, 2.0))
+
+
+def _reloaded(spark, d, name) -> PipelineModel:
+    return ml.load(ml.save(_model(spark, d, name), f"{run_dir(spark)}/models/{name}"))
 
 
-@reg("SNK-6", "invoice_id:i label:d prediction:d is_train")
+@reg("SNK-6", "invoice_id:i same", "SELECT invoice_id, true AS same FROM s1_split")
 def q_model_roundtrip(spark, d):
-    """Model persisted to the shared checkpoint folder and loaded back (SNK-6 + SRC-6)."""
-    data, feats = _s1(spark, d)
-    m = ml.fit(data.filter(F.col("is_train")), feats, ml.rf_regressor(P1))
-    path = ml.save(m, f"{checkpoint_dir(spark)}/models/s1_rf")
-    return ml.predict(ml.load(path), data, ["invoice_id", "label", "is_train"])
+    """A model saved to the run's shared folder and loaded back predicts the same (SNK-6 + SRC-6)."""
+    data, _, _ = _s1(spark, d)
+    a = ml.predict(_model(spark, d, "s1_rf"), data, ["invoice_id"], "one")
+    b = ml.predict(_reloaded(spark, d, "s1_rf"), data, ["invoice_id"], "two")
+    return a.join(b, "invoice_id").withColumn("same", F.col("one") == F.col("two"))
 
 
-@reg("SRC-6", "customer_id:i label:d prediction:d probability")
+@reg("SRC-6", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_eval"))
 def q_model_load(spark, d):
     """Risk classifier saved to and loaded from the shared folder, then used for batch scoring."""
-    x, train, feats = _risk(spark, d)
-    m = ml.fit(train, feats, ml.rf_classifier(PR))
-    path = ml.save(m, f"{checkpoint_dir(spark)}/models/risk_rf")
-    return ml.predict(ml.load(path), x, ["customer_id", "label"])
+    x, _, _ = _risk(spark, d)
+    return _sound(ml.predict(_reloaded(spark, d, "risk_rf"), x, ["customer_id", "label"]))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ledgerlake.operators import lookups as lk
 from ledgerlake.operators import metrics as me
 from ledgerlake.operators import summaries as su
+from ledgerlake.operators.position import monthly_position, weekly_position
+from ledgerlake.plans.queries_core import DAILY, REC, S6D
 from ledgerlake.plans.registry import pipe, reg
 
 CB = " ".join(f"{c}:d" for c in lk.CUSTOMER_BEHAVIOUR)
@@ -161,7 +163,7 @@ def q_s5_s6_summary(spark, d):
 
 @reg("QY-14", "source_module total_events:i active_events:i suppressed_events:i active_amount:d", "qy14")
 def q_s7_status(spark, d):
-    return lk.source_status(pipe(spark, d).event_store)
+    return lk.source_status(pipe(spark, d).source_days)
 
 
 @reg("QY-15", "total_recommendations:i total_cash_impact:d high_priority:i collections:i vendor_deferrals:i "
@@ -192,3 +194,46 @@ def q_profile(spark, d):
              lk.module_profile("S6", p.s6_detail, "expense_id", "forecast_amount", "expected_cash_date"),
              lk.module_profile("invoices", p.t["invoices"], "customer_id", "invoice_amount", "invoice_date")]
     return reduce(DataFrame.unionByName, parts)
+
+
+MIXES = {"S3": ("s3_detail", ["project_type", "confidence_tier"]), "S4": ("s4_detail", ["crm_stage", "deal_type"]),
+         "S5": ("s5_detail", ["category", "approval_status", "confidence_tier"]),
+         "S6": ("s6_detail", ["category", "recurrence_type", "confidence_tier"])}
+INPUT_MIXES = {"invoices": ["invoice_status"], "bills": ["bill_status"], "payments": ["reference_type"],
+               "customers": ["industry", "credit_terms"]}
+
+
+@reg("QY-19:mix", "module attribute value records:i", " UNION ALL ".join(
+    f"SELECT '{m}' AS module, '{c}' AS attribute, CAST({c} AS VARCHAR) AS value, count(*) AS records FROM {t} GROUP BY {c}"
+    for m, t, cols in [(m, t, cols) for m, (t, cols) in MIXES.items()] + [(t, t, cols) for t, cols in INPUT_MIXES.items()]
+    for c in cols))
+def q_value_mixes(spark, d):
+    p = pipe(spark, d)
+    parts = [lk.value_mix(m, getattr(p, t), cols) for m, (t, cols) in MIXES.items()]
+    parts += [lk.value_mix(t, p.t[t], cols) for t, cols in INPUT_MIXES.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@reg("QY-18:s6", S6D, "s6_detail")
+def q_whole_s6(spark, d):
+    return pipe(spark, d).s6_detail
+
+
+@reg("QY-18:s7_daily", DAILY, "daily_position")
+def q_whole_daily(spark, d):
+    return pipe(spark, d).daily
+
+
+@reg("QY-18:s7_weekly", "week gross_inflow:d gross_outflow:d net_flow:d closing_position:d", "weekly_position")
+def q_whole_weekly(spark, d):
+    return weekly_position(pipe(spark, d).daily)
+
+
+@reg("QY-18:s7_monthly", "month gross_inflow:d gross_outflow:d net_flow:d closing_position:d", "monthly_position")
+def q_whole_monthly(spark, d):
+    return monthly_position(pipe(spark, d).daily)
+
+
+@reg("QY-18:recommendations", REC + " rank:i", "recommendations")
+def q_whole_recommendations(spark, d):
+    return pipe(spark, d).recommendations

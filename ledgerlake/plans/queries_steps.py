@@ -186,7 +186,8 @@ step("S7-9", "date gross_inflow:d gross_outflow:d net_flow:d", "daily_position",
 _ov = lambda s, d: pipe(s, d).overdue
 step("RE-1", "invoice_id:i customer_id:i days_past_due:i payment_score:d risk_segment prediction_confidence",
      "overdue", _ov)
-_cc = lambda s, d: rc.collections_candidates(pipe(s, d).overdue, CFG)
+_cc = lambda s, d: rc.collections_candidates(
+    rc.overdue_scores(pipe(s, d).invoice_features, pipe(s, d).payment_scores), CFG)
 step("RE-2", "invoice_id:i response_probability:d expected_cash_impact:d", "coll_cand", _cc)
 step("RE-3", "invoice_id:i total_score:d", "coll_cand", _cc)
 step("RE-4", "invoice_id:i total_score:d",

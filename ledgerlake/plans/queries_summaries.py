@@ -86,7 +86,7 @@ def q_s7_profile(spark, d):
      "s7_summary")
 def q_s7_summary(spark, d):
     p = pipe(spark, d)
-    return po.position_summary(p.daily, p.event_store, CFG)
+    return po.position_summary(p.daily, p.source_days, CFG)
 
 
 @reg("S7-14", "forecast_id forecast_date forecast_type target_date forecast_amount:d confidence_low:d "
@@ -97,7 +97,7 @@ def q_s7_cash(spark, d):
 
 @reg("S7-15", "source_module event_count:i total:d flow_direction abs_total:d", "s7_by_source")
 def q_s7_by_source(spark, d):
-    return po.by_source(pipe(spark, d).event_store)
+    return po.by_source(pipe(spark, d).source_days)
 
 
 @reg("RE-9", "lever priority recommendations:i cash_impact:d", "re_summary")
@@ -110,9 +110,9 @@ def q_re_summary(spark, d):
               "prob_pay_60_plus:d priority_rank:i", "re_prioritised")
 def q_re_prioritised(spark, d):
     """Collections prioritisation: every overdue invoice ranked by score, with payment-timing buckets."""
-    from ledgerlake.operators.recommend import collections_candidates
+    from ledgerlake.operators.recommend import collections_candidates, overdue_scores
     p = pipe(spark, d)
-    cand = collections_candidates(p.overdue, CFG)
+    cand = collections_candidates(overdue_scores(p.invoice_features, p.payment_scores), CFG)
     b = p.s1_predictions.select(F.col("transaction_id").alias("invoice_id"), "prob_pay_0_30", "prob_pay_30_60",
                                 "prob_pay_60_plus")
     j = cand.join(b, "invoice_id", "left").withColumn("_neg", -F.col("total_score"))

@@ -7,6 +7,7 @@ columns each downstream query needs and pushes filters into Parquet.
 """
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,37 @@ def collections_from(events: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def payments_from(invoices: DataFrame, bills: DataFrame) -> DataFrame:
+    """Customer and vendor payments of the given documents."""
+    paid_inv = invoices.filter(F.col("invoice_status").isin("PAID", "PARTIAL"))
+    ar_first = paid_inv.select(
+        F.concat(F.lit("AR-"), F.col("invoice_id").cast("string"), F.lit("-1")).alias("payment_id"),
+        F.lit("AR").alias("reference_type"),
+        F.col("invoice_id").alias("reference_id"),
+        _add_days(F.col("invoice_date"),
+                  F.lit(5) + (F.col("invoice_id") * 37 + F.col("customer_id") * 11)
+                  % (F.lit(20) + (F.col("customer_id") % 7) * 15)).alias("payment_date"),
+        F.when(F.col("invoice_status") == "PARTIAL", F.col("invoice_amount") * 0.5)
+        .otherwise(F.col("invoice_amount")).alias("payment_amount"),
+    )
+    ar_second = invoices.filter((F.col("invoice_status") == "PARTIAL") & (F.col("invoice_id") % 2 == 0)).select(
+        F.concat(F.lit("AR-"), F.col("invoice_id").cast("string"), F.lit("-2")).alias("payment_id"),
+        F.lit("AR").alias("reference_type"),
+        F.col("invoice_id").alias("reference_id"),
+        _add_days(F.col("invoice_date"), F.lit(35) + (F.col("invoice_id") * 17) % 60).alias("payment_date"),
+        (F.col("invoice_amount") * 0.25).alias("payment_amount"),
+    )
+    ap = bills.filter(F.col("bill_status").isin("PAID", "DEFERRED")).select(
+        F.concat(F.lit("AP-"), F.col("bill_id").cast("string")).alias("payment_id"),
+        F.lit("AP").alias("reference_type"),
+        F.col("bill_id").alias("reference_id"),
+        _add_days(F.col("bill_date"),
+                  F.lit(10) + (F.col("bill_id") * 29) % (F.lit(20) + (F.col("vendor_id") % 5) * 25)).alias("payment_date"),
+        F.col("bill_amount").alias("payment_amount"),
+    )
+    return reduce(DataFrame.unionByName, [ar_first, ar_second, ap])
+
+
 def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All twelve raw finance inputs, lazily defined over the driver tables."""
     t = read_driver(spark, sf_dir)
@@ -123,33 +155,7 @@ def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         )
     )
 
-    paid_inv = invoices.filter(F.col("invoice_status").isin("PAID", "PARTIAL"))
-    ar_first = paid_inv.select(
-        F.concat(F.lit("AR-"), F.col("invoice_id").cast("string"), F.lit("-1")).alias("payment_id"),
-        F.lit("AR").alias("reference_type"),
-        F.col("invoice_id").alias("reference_id"),
-        _add_days(F.col("invoice_date"),
-                  F.lit(5) + (F.col("invoice_id") * 37 + F.col("customer_id") * 11)
-                  % (F.lit(20) + (F.col("customer_id") % 7) * 15)).alias("payment_date"),
-        F.when(F.col("invoice_status") == "PARTIAL", F.col("invoice_amount") * 0.5)
-        .otherwise(F.col("invoice_amount")).alias("payment_amount"),
-    )
-    ar_second = invoices.filter((F.col("invoice_status") == "PARTIAL") & (F.col("invoice_id") % 2 == 0)).select(
-        F.concat(F.lit("AR-"), F.col("invoice_id").cast("string"), F.lit("-2")).alias("payment_id"),
-        F.lit("AR").alias("reference_type"),
-        F.col("invoice_id").alias("reference_id"),
-        _add_days(F.col("invoice_date"), F.lit(35) + (F.col("invoice_id") * 17) % 60).alias("payment_date"),
-        (F.col("invoice_amount") * 0.25).alias("payment_amount"),
-    )
-    ap = bills.filter(F.col("bill_status").isin("PAID", "DEFERRED")).select(
-        F.concat(F.lit("AP-"), F.col("bill_id").cast("string")).alias("payment_id"),
-        F.lit("AP").alias("reference_type"),
-        F.col("bill_id").alias("reference_id"),
-        _add_days(F.col("bill_date"),
-                  F.lit(10) + (F.col("bill_id") * 29) % (F.lit(20) + (F.col("vendor_id") % 5) * 25)).alias("payment_date"),
-        F.col("bill_amount").alias("payment_amount"),
-    )
-    payments = reduce(DataFrame.unionByName, [ar_first, ar_second, ap])
+    payments = payments_from(invoices, bills)
 
     shifted = F.col("ts") - F.expr(f"INTERVAL {EVENT_SHIFT_DAYS} DAYS")
     collections_events = collections_from(events, orders)
@@ -233,15 +239,28 @@ def finance_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def stage_inputs(spark: SparkSession, sf_dir: str, root: str) -> dict[str, DataFrame]:
-    """Write the twelve finance inputs once as Parquet tables under ``root`` and return scans of them.
+class StagedInputs(Mapping):
+    """The twelve finance inputs by name, each written once as Parquet under ``root`` when it is first read.
+
+    Downstream jobs then start from real input tables (as they would in production) instead of re-deriving every
+    input from the driver tables in each plan; a query stages the inputs it reads and no others.  The payments are
+    derived from the staged bills, so the largest aggregate runs once."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str):
+        self.spark, self.root = spark, root
+        self.lazy, self.staged = finance_tables(spark, sf_dir), {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.staged:
+            df = self.lazy[name]
+            if name == "payments":
+                df = payments_from(self.lazy["invoices"], self["bills"])
+            df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+            self.staged[name] = self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return self.staged[name]
+
+    def __iter__(self):
+        return iter(self.lazy)
 
-    Downstream jobs then start from real input tables (as they would in
-    production) instead of re-deriving every input from the driver tables in
-    each plan; the write also cuts the lineage back to the driver files."""
-    out = {}
-    for name, df in finance_tables(spark, sf_dir).items():
-        path = f"{root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out[name] = spark.read.parquet(path)
-    return out
+    def __len__(self):
+        return len(self.lazy)

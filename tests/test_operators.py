@@ -1,16 +1,24 @@
 """Micro golden tests for the semantic traps and the custom operators."""
 import datetime as dt
+import os
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlake.config import Settings
 from ledgerlake.functions.columns import clip, floor_days, half_even, week_label
 from ledgerlake.operators import features as fe
+from ledgerlake.operators import metrics as me
 from ledgerlake.operators import position as po
 from ledgerlake.operators.quantiles import exact_quantile
-from ledgerlake.operators.ranking import avg_rank_pct, global_position
+from ledgerlake.operators.ranking import avg_rank_pct, global_position, group_value_ranks
+from ledgerlake.plans import registry
+from ledgerlake.session import checkpoint_dir
+from ledgerlake.sources import files
+from ledgerlake.sources.driver import StagedInputs
 
 D = dt.date
 
@@ -120,7 +128,7 @@ def test_daily_position_dense_calendar_and_running_balance(spark):
                          ("b", "S6", "EXPENSE", ref + dt.timedelta(days=2), -40.0),
                          ("c", "S6", "EXPENSE", ref + dt.timedelta(days=4), -10.0),
                          ("z", "S6", "EXPENSE", ref + dt.timedelta(days=4), 0.0)])
-    daily = po.daily_position(po.event_store({"S5": ev}, cfg), cfg).toPandas()
+    daily = po.daily_position(po.active(po.source_days(po.event_store({"S5": ev}, cfg))), cfg).toPandas()
     assert len(daily) == 5                                    # ref .. last active date, gaps filled
     assert list(daily.gross_inflow) == [0, 0, 100, 0, 0]
     assert list(daily.gross_outflow) == [0, 0, 40, 0, 10]
@@ -139,3 +147,85 @@ def test_single_payment_std_is_zero_and_seasonality_default(spark):
     assert stats.payment_volatility == 0.0 and stats.avg_payment_delay == 10.0
     season = fe.seasonality(ip).collect()[0]
     assert season.seasonality_index == 1.0
+
+
+def test_exact_quantile_with_ties_orders_distinct_values_only(spark):
+    df = spark.range(0, 100_000).select((F.col("id") * 7919 % 6).cast("double").alias("x"))
+    got = exact_quantile(df, "x", 0.5, out="q")
+    assert got.collect()[0]["q"] == np.median(np.arange(100_000) * 7919 % 6)
+    assert group_value_ranks(df.withColumn("g", F.lit(0)), "g", "x").count() == 6      # what is ranked: six rows
+    assert exact_quantile(df.limit(0), "x", 0.5, out="q").collect()[0]["q"] is None
+
+
+def test_metrics_do_not_fail_on_zero_error_absent_class_or_empty_input(spark):
+    perfect = spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "label double, prediction double")
+    m = me.regression_metrics(perfect)
+    assert tuple(me.compare_models(m, m).first()) == ("RandomForest", 0.0)
+    two = spark.createDataFrame([(0, 0.9, 0.1, 0.0), (1, 0.2, 0.8, 0.0), (0, 0.6, 0.4, 0.0), (1, None, 0.7, 0.0)],
+                                "label int, prob_0 double, prob_1 double, prob_2 double")
+    assert me.auc_ovr_macro(two, {0: "prob_0", 1: "prob_1", 2: "prob_2"}).first()[0] == 1.0
+    empty = spark.createDataFrame([], "label int, prediction int")
+    assert me.classification_metrics(empty).first()["accuracy"] == 0.0
+
+
+def test_auc_matches_pair_counting_with_ties(spark):
+    rng = np.random.default_rng(5)
+    y, s = rng.integers(0, 2, 500), rng.integers(0, 8, 500) / 8
+    df = spark.createDataFrame(pd.DataFrame({"label": y, "p": s}))
+    pairs = [(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]]
+    assert abs(me.auc_ovr_macro(df, {1: "p"}).first()[0] - round(float(np.mean(pairs)), 4)) < 1e-4
+
+
+def test_long_report_holds_dates_and_names(spark):
+    wide = spark.createDataFrame([(1.5, 2, D(2001, 8, 2), "GBT", None)], "a double, b int, c date, d string, e double")
+    assert {r.metric: (r.value, r.text) for r in me.long_report(wide).collect()} == {
+        "a": (1.5, None), "b": (2.0, None), "c": (None, "2001-08-02"), "d": (None, "GBT"), "e": (None, None)}
+
+
+def test_source_days_agree_with_event_level_dedup(spark):
+    cfg = Settings()
+    ref = cfg.reference_date
+    rows = [(f"{s}{k}", s, "AP" if s in ("S2", "S6") else "AR", ref + dt.timedelta(days=k % 9), (-1.0 if s in ("S2", "S6") else 1.0) * k)
+            for s in ("S1", "S2", "S4", "S6") for k in range(1, 40 if s < "S3" else 60, 2 if s == "S1" else 3)]
+    ev = po.event_store({"S": _events(spark, rows)}, cfg)
+    marked = po.dedup(ev)
+    by_event = {(r[0], r[1], r[2]): r[3] for r in marked.groupBy("source_module", "target_date", "suppressed").count().collect()}
+    by_day = {(r[0], r[1], r[2]): r[3] for r in po.source_days(ev).select("source_module", "target_date", "suppressed", "_events").collect()}
+    assert by_event == by_day
+
+
+def test_checkpoint_folder_is_demanded_on_a_cluster():
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "local-cluster[2,1,1024]"})
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(Fake)
+
+
+def test_inputs_are_staged_on_first_read_only(spark, tmp_path):
+    t = StagedInputs(spark, "/root/testdata/sf0.001", str(tmp_path / "a"))
+    t["expense_schedule"].count()
+    assert os.listdir(tmp_path / "a") == ["expense_schedule"]
+    n = t["payments"].count()
+    assert sorted(os.listdir(tmp_path / "a")) == ["bills", "expense_schedule", "payments"] and n > 0
+
+
+def test_equal_base_names_do_not_meet(spark, tmp_path):
+    import shutil
+    for k, rows in (("a", 5), ("b", 7)):
+        shutil.copytree("/root/testdata/sf0.001", tmp_path / k / "sf")
+        spark.read.parquet("/root/testdata/sf0.001/customer.parquet").limit(rows).toPandas().to_parquet(tmp_path / k / "sf/customer.parquet")
+    frames = [registry.tables(spark, str(tmp_path / k / "sf"))["customers"] for k in ("a", "b")]
+    assert [f.count() for f in frames] == [5, 7]
+
+
+@pytest.mark.parametrize("table", ["payments", "bills"])
+def test_malformed_csv_dates_become_null(spark, tmp_path, table):
+    col = files.DATE_COLUMNS[table][0]
+    (tmp_path / "x.csv").write_text(f"{col}\n2001-01-31\n2001-02-30\nsoon\n\n")
+    got = files.read_raw_csv(spark, str(tmp_path / "x.csv"), T.StructType([T.StructField(col, T.DateType())]), table)
+    assert [r[0] for r in got.collect()] == [D(2001, 1, 31), None, None]
