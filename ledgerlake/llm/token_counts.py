@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.char_classes import Matcher
 from ledgerlake.llm.common import prepare_python
 
-CHUNK, MEMO = 1 << 16, 400_000
+CHUNK, MEMO, PAIRS = 1 << 16, 1_200_000, 800_000
 LIMIT = 512
 # The byte-level BPE's pre-token pattern.
 PRE_TOKEN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -78,7 +78,7 @@ class CountTransducer:
         """Whether token ``b`` can follow token ``a``: their joined bytes encode to exactly these two."""
         ok = self.pairs.get((a, b))
         if ok is None:
-            if len(self.pairs) >= MEMO:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
         return ok
