@@ -199,7 +199,8 @@ def pack(docs: DataFrame, spec: bytes, id_col: str = "doc_id", text_col: str = "
     before = counts.select("length", "part", (F.sum("n").over(
         Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before"))
     plan = spark.sparkContext.broadcast({c: v.to_numpy() for c, v in slots(best_two_fit(histogram, cap)).items()})
-    ranked = got.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    # the offsets grow with the number of tasks: merged, never broadcast
+    ranked = got.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     cols = ["id", "piece", "start", "length", "ids_crc32"]
     schema = ranked.select(*cols, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
 
