@@ -148,6 +148,14 @@ def chunk_map(fst: CountTransducer, text: str) -> tuple[bool, str, int, str]:
     return False, text[:p], fst.count(text[p:q]), text[q:]
 
 
+def known_ends(fst: CountTransducer, m: tuple, first: bool, last: bool) -> tuple:
+    """The map of a text's first chunk from the start state, and of its last up to the end of text: nothing stays open there."""
+    is_open, head, n, tail = m
+    if is_open:
+        return (False, "", fst.count(head), "") if first and last else m
+    return False, "" if first else head, n + (fst.count(head) if first else 0) + (fst.count(tail) if last else 0), "" if last else tail
+
+
 def compose(fst: CountTransducer, left: tuple, right: tuple) -> tuple:
     """The map of two neighbouring spans (associative)."""
     lo, lh, lc, lt = left
@@ -185,7 +193,7 @@ def token_counts(docs: DataFrame, spec: bytes, id_col: str = "doc_id", text_col:
     shipped = spark.sparkContext.broadcast(spec)
     text = F.coalesce(F.col(text_col), F.lit(""))
     chunks = (docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("t"))
-              .select("row", "id", F.posexplode(F.expr(
+              .select("row", "id", F.expr(f"greatest(length(t) - 1, 0) div {chunk}").alias("end"), F.posexplode(F.expr(
                   f"transform(sequence(0, greatest(length(t) - 1, 0) div {chunk}), i -> substring(t, int(i) * {chunk} + 1, {chunk}))"))
                   .alias("at", "part")))
     schema = chunks.select("row", "id", "at", F.lit(0).cast("long").alias("bytes"), F.lit(True).alias("open"),
@@ -195,7 +203,8 @@ def token_counts(docs: DataFrame, spec: bytes, id_col: str = "doc_id", text_col:
         fst = compiled(shipped.value)
         for b in batches:
             parts = b.column("part").to_pylist()
-            got = [chunk_map(fst, p) for p in parts]
+            got = [known_ends(fst, chunk_map(fst, p), at == 0, at == end)
+                   for p, at, end in zip(parts, b.column("at").to_pylist(), b.column("end").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("id"), b.column("at"), pa.array([len(p.encode()) for p in parts], pa.int64()),
                  pa.array([m[0] for m in got], pa.bool_()), pa.array([m[1] for m in got], pa.string()),

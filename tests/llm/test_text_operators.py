@@ -118,6 +118,13 @@ def test_token_counts_equal_library(spark):
     for i, t in enumerate(texts):
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        spec = f.read()
+    for size in (1, 40):                              # chunks cut anywhere, composed over the shuffle
+        few = frame(spark, texts[:5] + [texts[9]] + texts[10:])
+        by_chunk = {r.id: r.n_tokens for r in token_counts.token_counts(few, spec, chunk=size).collect()}
+        assert [by_chunk[i] for i in range(len(by_chunk))] == [
+            len(lib.encode(t or "", add_special_tokens=False).ids) for t in texts[:5] + [texts[9]] + texts[10:]]
     empty = frame(spark, ["x"]).limit(0)
     assert token_counts.contract(spark, empty).count() == 0
     twice = frame(spark, ["same text"]).unionAll(frame(spark, ["same text"]))
