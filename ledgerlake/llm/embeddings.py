@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import components, prepare_python
 from ledgerlake.session import cut_lineage
 
-MIN_COSINE, LEADING, INTERVAL, FAN_OUT, LEAF, PCA_SAMPLE = 0.9, 8, 2048, 4, 128, 10_000
+MIN_COSINE, LEADING, INTERVAL, FAN_OUT, LEAF, PCA_SAMPLE = 0.9, 8, 2048, 4, 128, 4_000
 
 
 def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
