@@ -8,6 +8,7 @@ length, which takes one prefix count per (partition, length) and no sort.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -18,53 +19,79 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.char_classes import SPACE
+from ledgerlake.llm.char_classes import SPACE, Matcher
 from ledgerlake.llm.common import prepare_python
 from ledgerlake.session import cut_lineage
 
-CAP, END_ID, MEMO, BLOCK = 2048, 0, 1_500_000, 1 << 20
+CAP, END_ID, MEMO, BLOCK = 2048, 0, 1_200_000, 1 << 20
+# The word-level BPE's pre-token pattern (what is between the matches is dropped); the last
+# alternative only separates runs.
+PRE_TOKEN = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+|\n"
 
 
 class WordEncoder:
     """Token ids (little-endian uint32 bytes) of whole texts, equal to the tokenizer library's.
 
-    No pre-token and no step of the normalizer spans white space.  So the library encodes each distinct
-    blank-separated run once for each worker process (a bounded memo), and a text is looked up run by run.
-    Texts that contain one of the file's special strings go to the library whole."""
+    No pre-token and no step of the normalizer spans white space.  So a text is looked up blank-separated run by
+    run in a bounded memo of each worker process.  A new run is split into pre-tokens, which have a memo of their own,
+    and only new pre-tokens go to the library, a few hundred at once.  Texts that contain one of the file's special
+    strings go to the library whole."""
 
     def __init__(self, spec: bytes):
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(spec.decode())
+        self.words = Matcher(PRE_TOKEN)
         self.runs = re.compile(f"[^{SPACE}]+")
         self.controls = re.compile("[\\x1c-\\x1f]")   # str.split() takes these for white space
         self.special = re.compile("|".join(
             re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()) or r"(?!)")
         self.memo: dict[str, bytes] = {}
-
-    def learn(self, runs: set[str]) -> None:
-        """Have the library encode those of a text's distinct ``runs`` that the memo doesn't hold, a few hundred at once;
-        the tokens' places in the joined string tell the runs apart."""
-        new = [r for r in runs if r not in self.memo]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(runs)
-        for lo in range(0, len(new), 200):
-            part = new[lo:lo + 200]
+        self.word_memo: dict[str, bytes] = {}
+
+    def ids_of(self, words: set[str]) -> None:
+        """Have the library encode those ``words`` (normalised pre-tokens) that their memo doesn't hold."""
+        memo = self.word_memo
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > MEMO * 2 // 3:
+            memo.clear()
+            new = list(words)
+        for lo in range(0, len(new), 400):
+            part = new[lo:lo + 400]
             got = self.tok.encode(" ".join(part), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(r) + 1 for r in part)])
-            places = np.fromiter((s for s, _ in got.offsets), dtype=np.int64, count=len(got))
-            at = (4 * np.searchsorted(places, starts)).tolist()
+            at = (4 * np.searchsorted(np.array(got.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
             ids = np.array(got.ids, dtype="<u4").tobytes()
-            for run, x, y in zip(part, at, at[1:]):
-                self.memo[run] = ids[x:y]
+            memo.update(zip(part, [ids[x:y] for x, y in zip(at, at[1:])]))
+
+    def learn(self, missing: set[str], runs: list[str]) -> None:
+        """Enter a text's ``missing`` runs, or all its ``runs`` where the memo is full and starts anew."""
+        memo, new = self.memo, list(missing)
+        if len(memo) + len(new) > MEMO:
+            memo.clear()
+            new = list(set(runs))
+        joined = "\n".join(new)
+        if not joined.isascii():
+            joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")      # lower() is context-free
+        words = self.words.findall(joined.lower())    # a line feed between the runs
+        distinct = set(words)
+        distinct.discard("\n")
+        self.ids_of(distinct)
+        known, parts, out = self.word_memo, [], []
+        for w in words:
+            if w == "\n":
+                out.append(b"".join(parts))
+                parts = []
+            else:
+                parts.append(known[w])
+        out.append(b"".join(parts))
+        memo.update(zip(new, out))
 
     def block(self, text: str) -> bytes:
-        runs, memo = (self.runs.findall(text) if self.controls.search(text) else text.split()), self.memo
-        try:
-            return b"".join([memo[r] for r in runs])
-        except KeyError:
-            self.learn(set(runs))
-            return b"".join([memo[r] for r in runs])
+        runs = self.runs.findall(text) if self.controls.search(text) else text.split()
+        parts = list(map(self.memo.get, runs))
+        if None in parts:
+            self.learn({r for r, ids in zip(runs, parts) if ids is None}, runs)
+            parts = list(map(self.memo.get, runs))
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         if self.special.search(text):
