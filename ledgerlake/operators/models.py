@@ -69,7 +69,7 @@ def gbt_multiclass(p: ModelParams, label: str = "label", weight: str | None = "c
                          minInstancesPerNode=p.gbt_min_instances, subsamplingRate=p.gbt_subsample,
                          featureSubsetStrategy=p.gbt_feature_subset, seed=p.seed, checkpointInterval=20)
     ovr = OneVsRest(classifier=base, labelCol=label, featuresCol="features", predictionCol="prediction",
-                    rawPredictionCol="rawPrediction")
+                    rawPredictionCol="rawPrediction", parallelism=3)
     if weight:
         ovr = ovr.setWeightCol(weight)
     return ovr

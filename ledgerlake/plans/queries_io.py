@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.plans import jobs
-from ledgerlake.plans.registry import pipe, reg
+from ledgerlake.plans.registry import FIXTURE_KINDS, pipe, reg
 from ledgerlake.sources import files
 
 
@@ -107,3 +108,38 @@ def q_forecast_inputs(spark, d):
              for n, c in (("project_milestones", "billing_amount"), ("crm_pipeline", "deal_value"),
                           ("contingent_inflows", "amount"), ("expense_schedule", "amount"))]
     return reduce(DataFrame.unionByName, parts)
+
+
+def _csv(spark, d, name, df=None):
+    """One raw table as CSV files, read back with a declared schema and coercing date parsing."""
+    df = pipe(spark, d).t[name] if df is None else df
+    schema = pipe(spark, d).t[name].schema
+    return files.read_raw_csv(spark, files.write_csv(df, f"{_root(spark, d)}/raw/{name}_{uuid.uuid4().hex[:8]}"), schema, name)
+
+
+RAW = ("customers", "invoices", "payments", "collections_events", "non_invoice_payments", "vendors", "bills", "purchase_orders")
+
+
+def _register_csv(name):
+    spec = " ".join(c if k == "s" else f"{c}:{k}" for c, k in FIXTURE_KINDS[name])
+
+    @reg(f"SRC-1:csv_{name}", spec, name)
+    def q_csv(spark, d):
+        return _csv(spark, d, name)
+
+    dates = files.DATE_COLUMNS.get(name)
+    if dates:
+        key, c = FIXTURE_KINDS[name][0][0], dates[0]
+        row = f"{key} % 10" if FIXTURE_KINDS[name][0][1] == "i" else "reference_id % 10"
+
+        @reg(f"SRC-2:{name}", spec, f"SELECT * REPLACE (CASE WHEN {row} IN (0, 1, 2) THEN NULL ELSE {c} END AS {c}) FROM {name}")
+        def q_malformed(spark, d):
+            """Words, impossible days and empty text among the dates: null after parsing."""
+            t = pipe(spark, d).t[name]
+            k = F.expr(row)
+            bad = F.when(k == 0, "soon").when(k == 1, "2001-02-30").when(k == 2, "").otherwise(F.col(c).cast("string"))
+            return _csv(spark, d, name, t.withColumn(c, bad))
+
+
+for _name in RAW:
+    _register_csv(_name)

@@ -73,7 +73,7 @@ def _round_sql(table: str, cols: list[tuple[str, str]]) -> str:
 
 
 # --- SRC-1 / SRC-2 / SRC-4: the raw inputs -------------------------------------------------
-_FIXTURE_KINDS = {
+FIXTURE_KINDS = {
     "customers": [("customer_id", "i"), ("customer_name", "s"), ("industry", "s"), ("credit_terms", "s")],
     "invoices": [("invoice_id", "i"), ("customer_id", "i"), ("invoice_date", "s"), ("due_date", "s"),
                  ("invoice_amount", "d"), ("dispute_flag", "s"), ("invoice_status", "s")],
@@ -107,7 +107,7 @@ def _fixture_query(name):
     return q
 
 
-for _name, _kinds in _FIXTURE_KINDS.items():
+for _name, _kinds in FIXTURE_KINDS.items():
     register(f"SRC-1:{_name}", O.compose(_round_sql(_name, _kinds)))(_fixture_query(_name))
 
 

@@ -84,6 +84,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
-    """CSV export (header, one part file per task; no single-file coalesce)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV export (header, one part file per task; no single-file coalesce), timestamps to the microsecond."""
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option(
+        "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
     return path
