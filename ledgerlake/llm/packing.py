@@ -62,12 +62,11 @@ class WordEncoder:
             ids = np.array(got.ids, dtype="<u4").tobytes()
             memo.update(zip(part, [ids[x:y] for x, y in zip(at, at[1:])]))
 
-    def learn(self, missing: set[str], runs: list[str]) -> None:
-        """Enter a text's ``missing`` runs, or all its ``runs`` where the memo is full and starts anew."""
+    def learn(self, missing: set[str]) -> None:
+        """Enter runs that the memo doesn't hold (a full memo starts anew)."""
         memo, new = self.memo, list(missing)
         if len(memo) + len(new) > MEMO:
             memo.clear()
-            new = list(set(runs))
         joined = "\n".join(new)
         if not joined.isascii():
             joined = unicodedata.normalize("NFC", joined).replace("Σ", "σ")      # lower() is context-free
@@ -88,9 +87,12 @@ class WordEncoder:
     def block(self, text: str) -> bytes:
         runs = self.runs.findall(text) if self.controls.search(text) else text.split()
         parts = list(map(self.memo.get, runs))
-        if None in parts:
-            self.learn({r for r, ids in zip(runs, parts) if ids is None}, runs)
-            parts = list(map(self.memo.get, runs))
+        missing = [i for i, ids in enumerate(parts) if ids is None]
+        if missing:
+            self.learn({runs[i] for i in missing})
+            memo = self.memo
+            for i in missing:
+                parts[i] = memo[runs[i]]
         return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
