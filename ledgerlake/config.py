@@ -55,6 +55,7 @@ S1_ORDINAL = {
 RISK_CLASS = {"LOW": 0, "MEDIUM": 1, "HIGH": 2}
 
 
+# fixed values: the defaults below, too
 @dataclass(frozen=True)
 class Settings:
     reference_date: dt.date = dt.date(2001, 8, 2)

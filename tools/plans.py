@@ -12,8 +12,8 @@ sys.path.insert(0, ".")
 
 NOTES = """## Notes
 
-* The job itself materialises shared stages (six feature tables, customer payments, event store, source days, the overdue
-  candidates), so a stage's plan starts from scans of what is above it; the counts here are without that.
+* Written stages: the six feature tables, customer payments, event store, source days, the overdue candidates, value counts
+  of quantiles and ranks.
 * S7 below event level reads one table of at most `horizon_days + 1` rows per source.
 * RE-8 scores narrow candidates, takes the top rows, and only then reads their predictions.
 * Quantiles rank distinct values (range partitions and prefix counts); no window orders rows.
@@ -32,26 +32,26 @@ def summary(df) -> dict:
 
 
 def main():
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     from ledgerlake.session import build_session
-    from ledgerlake.plans.pipeline import Pipeline
-    from ledgerlake.plans.registry import tables
-    from ledgerlake.operators import position as po, recommend as rc
+    from ledgerlake.plans.registry import pipe
+    from ledgerlake.operators import features as fe, position as po
     spark = build_session("local[8]", 16)
-    p = Pipeline(tables(spark, sf_dir), materialize=False)
+    p = pipe(spark, sf_dir)
     ops = {
-        "customer_features (CF-13)": p.customer_features, "payment_scores (PS-3)": p.payment_scores,
-        "invoice_features (IF-6)": p.invoice_features, "collections_features (CO-5)": p.collections_features,
-        "vendor_features (VF-8)": p.vendor_features, "bill_features (BF-5)": p.bill_features,
+        "customer_features (CF-13)": fe.customer_features(p.t, p.cfg),
+        "payment_scores (PS-3)": fe.payment_scores(p.customer_features, p.cfg),
+        "invoice_features (IF-6)": fe.invoice_features(p.t, p.cfg),
+        "collections_features (CO-5)": fe.collections_features(p.t, p.customer_features, p.cfg),
+        "vendor_features (VF-8)": fe.vendor_features(p.t, p.cfg), "bill_features (BF-5)": fe.bill_features(p.t, p.cfg),
         "s1_predictions (PP-3)": p.s1_predictions, "s3_detail (S3-6)": p.s3_detail, "s4_detail (S4-6)": p.s4_detail,
-        "event_store (S7-7)": p.event_store, "daily_position (S7-10)": p.daily,
+        "event_store (S7-7)": p.event_store, "source_days": po.source_days(p.raw_events), "daily_position (S7-10)": p.daily,
         "weekly_position (S7-11)": po.weekly_position(p.daily), "recommendations (RE-8)": p.recommendations,
     }
     lines = ["# PLANS", "",
-             "Physical plans of the main operators, built end to end without intermediate materialisation",
-             f"(`Pipeline(materialize=False)`, staged inputs of `{sf_dir}`, 16 shuffle partitions, AQE on).",
-             "Generated by `python -m tools.plans`.  Windows listed here are bounded ones (<= horizon days,",
-             "<= 12 months per customer, per-partition ranks); no Python UDF appears in any plan.", "",
+             "Physical plans of the main operators as the job runs them: from the scans of the stages written before",
+             f"(inputs of `{sf_dir}`, 16 shuffle partitions, AQE on; small inputs, so more broadcast joins than at scale).",
+             "Generated by `python -m tools.plans`.", "",
              "| operator | exchanges | scans | sort-merge joins | broadcast joins | windows | partial aggs | python UDFs |",
              "|---|---|---|---|---|---|---|---|"]
     for name, df in ops.items():
