@@ -127,6 +127,24 @@ def test_outliers_reject_junk_and_keep_clean(spark):
     assert got.kept[got.quality == 1].mean() > 0.99 and got.kept[got.quality == 0].mean() < 0.05
 
 
+def test_spread_of_the_group_decides(spark):
+    rng = np.random.default_rng(3)
+
+    def text(n, share):
+        letters = rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5 * n)
+        high = rng.permutation(5 * n) < round(share * 5 * n)
+        letters = np.where(high, np.char.upper(letters), letters)
+        return " ".join("".join(w) for w in letters.reshape(n, 5))
+    roots = {"narrow": (0.24, 0.26), "wide": (0.1, 0.4)}      # square roots of the share of capitals
+    same = text(200, 0.16)
+    rows = [(i, text(int(rng.integers(180, 221)), rng.uniform(*r) ** 2), "en", s)
+            for s, r in roots.items() for i in range(400)] + [(-1, same, "en", s) for s in roots]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(4)
+    got = outliers.judge(docs).cache()
+    assert sorted(r.kept for r in got.filter("id = -1").collect()) == [False, True]
+    assert got.filter("id >= 0 and not kept").count() < 8
+
+
 def test_outliers_odd_rows(spark):
     rows = [(1, None, None, None), (2, "", "en", None), (3, "w " * 60, "en", "s"), (None, "q r " * 40, None, "s"), (5, "tie", "en", "s"), (5, "tie", "en", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("g0", F.lit(1)).withColumn("kept", F.lit("x"))
