@@ -1,10 +1,10 @@
 """Operator 1: personal data by bootstrapped contextual extraction.
 
 Base patterns find seed entities.  The words around a mention are its lexical patterns.  Spark scores the graph of patterns
-and instances in rounds: a pattern's confidence in a kind is the smoothed share of its distinct instances that are of
-the kind, an instance's score is what its confident patterns agree on.  Identifier-like strings that the base
-patterns missed, and that confident patterns point to, become new instances of the kind, feed the next
-round, and at the end give additional spans.
+and instances in rounds: a pattern's confidence in a kind is the smoothed share of its labelled distinct instances that are of
+the kind (labelled: of a kind, or shown to be none), an instance's score is what its confident patterns agree on.  Identifier-like strings that the base
+patterns missed, and that confident patterns point to, become new instances of the kind and feed the next
+round, until no pattern is added, and at the end give additional spans.
 """
 from __future__ import annotations
 
@@ -26,11 +26,14 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Identifier-like strings: seven or more digits with separators; two names around an at sign, plain or spelt out.
 NUMBER = re.compile(r"\(?[0-9][0-9()\x20./:-]{5,60}[0-9]")
 AT = re.compile(r"[\w.%+-]{1,64}\x20?(?:@|[\[(]at[\])])\x20?[\w-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[\w-]{1,64}){0,8}")
+# Strings shown not to be identifiers, as they have a kind's form and fail its rule: card groups, four dotted numbers.
+CARD_FORM = re.compile(r"[0-9]{13,19}|(?:[0-9]{4}[\x20-]){3,4}[0-9]{1,4}")
+NO_KIND = -2
 HAS_AT = re.compile(r"@|[\[(]at[\])]")
 TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"\w+")
 
-ROUNDS, MIN_CONFIDENCE, MIN_SEEDS, SMOOTHING = 3, 0.85, 5, 0.5
+MIN_CONFIDENCE, MIN_SEEDS, SMOOTHING = 0.85, 5, 0.5
 CONTEXT_CHARS = 120
 
 
@@ -78,6 +81,13 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
+def no_identifier(text: str) -> bool:
+    """Whether a candidate has the form of a card or address and fails its rule."""
+    if CARD_FORM.fullmatch(text):
+        return not luhn(re.sub("[ -]", "", text))
+    return bool(IP.fullmatch(text)) and any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in text.split("."))
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of a mention: the last one and two words before it (with the form of the string), the words on
     both sides.  Words are lower-cased; a line's or text's edge counts as a word."""
@@ -90,8 +100,8 @@ def patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_email.., base, base_sha256, seen): per row the base spans, and all mentions (kind or -1, span, instance,
-    patterns)."""
+    """(row, id, n_email.., base, base_sha256, seen): per row the base spans, and all mentions (kind, -1 for unseen or NO_KIND,
+    span, instance, patterns)."""
     spark = docs.sparkSession
     prepare_python(spark)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -108,7 +118,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 text = text or ""
                 base = base_spans(text)
                 n.append([sum(k == i for k, _, _ in base) for i in range(len(KINDS))])
-                all_ = base + [(-1, s, e) for s, e in candidates(text, base)]
+                all_ = base + [(NO_KIND if no_identifier(text[s:e]) else -1, s, e) for s, e in candidates(text, base)]
                 seen.append([{"kind": k, "start": s, "end": e, "instance": re.sub(r"\s+", " ", text[s:e].lower()),
                               "patterns": patterns(text, s, e)} for k, s, e in all_])
             cols = list(zip(*n)) or [()] * len(KINDS)
@@ -117,32 +127,39 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, schema)
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_confidence: float = MIN_CONFIDENCE,
-                       min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(pattern, kind, confidence) from the graph ``edges`` (pattern, instance, kind or -1), each edge once.
+def confident_patterns(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(pattern, kind, confidence) from the graph ``edges`` (pattern, instance, kind, -1 or NO_KIND), each edge once.
 
-    Each round is two aggregations: per (pattern, kind) over its instances, per (instance, kind) over its patterns.  Both are
-    partial sums, so a pattern with a third of all mentions ("the _") is never gathered."""
+    Unseen instances are neutral: a confidence is the share among the labelled ones.  Each round is two aggregations: per
+    (pattern, kind) over its instances, per (instance, kind) over its patterns.  Both are partial sums, so a pattern with a
+    third of all mentions ("the _") is never gathered.  A confident pattern stays, and rounds end when none is added."""
     known = edges.filter("kind >= 0").groupBy("instance", "kind").agg(F.lit(1.0).alias("score"))
-    sizes = edges.groupBy("pattern").agg(F.count_distinct("instance").alias("n"))
     links = cut_lineage(edges.select("pattern", "instance").distinct(), "pii_links")
+    never = (edges.filter(F.col("kind") == NO_KIND).select("instance").distinct()
+             .join(known.select("instance").distinct(), "instance", "left_anti")
+             .select("instance", F.lit(NO_KIND).alias("kind"), F.lit(1.0).alias("score")))
+    known = cut_lineage(known.unionByName(never), "pii_known")
     fresh = links.join(known.select("instance").distinct(), "instance", "left_anti")
-    scores = known
-    for i in range(rounds):
-        good = (links.join(scores, "instance").groupBy("pattern", "kind").agg(
-                    F.sum("score").alias("hits"), F.count(F.lit(1)).alias("of_kind"))
-                .join(sizes, "pattern").withColumn("confidence", F.col("hits") / (F.col("n") + SMOOTHING))
-                .filter((F.col("of_kind") >= min_seeds) & (F.col("confidence") >= min_confidence))
-                .select("pattern", "kind", "confidence"))
-        good = cut_lineage(good, "pii_patterns")
-        if i + 1 == rounds:
-            break
+    scores, good = known, None
+    while True:
+        sizes = links.join(scores.groupBy("instance").agg(F.max("score").alias("score")), "instance").groupBy("pattern").agg(
+            F.sum("score").alias("n"))
+        now = (links.join(scores.filter("kind >= 0"), "instance").groupBy("pattern", "kind").agg(
+                   F.sum("score").alias("hits"), F.count(F.lit(1)).alias("of_kind"))
+               .filter(F.col("of_kind") >= min_seeds)
+               .join(sizes, "pattern").withColumn("confidence", F.col("hits") / (F.col("n") + SMOOTHING))
+               .filter(F.col("confidence") >= min_confidence).select("pattern", "kind", "confidence"))
+        if good is not None:
+            now = now.join(good, ["pattern", "kind"], "left_anti")
+        now = cut_lineage(now, "pii_patterns")
+        if not now.count():
+            return now if good is None else good
+        good = now if good is None else cut_lineage(good.unionByName(now), "pii_patterns")
         # an unseen string is as sure as its surest pattern, if its confident patterns name one kind
         new = (fresh.join(good, "pattern").groupBy("instance").agg(
                    F.max("confidence").alias("score"), F.min("kind").alias("kind"), F.max("kind").alias("other"))
                .filter("kind = other").select("instance", "kind", "score"))
         scores = cut_lineage(known.unionByName(new), "pii_scores")
-    return good
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **graph) -> DataFrame:

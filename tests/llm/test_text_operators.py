@@ -83,6 +83,23 @@ def test_context_discovers_unseen_identifiers(spark):
     assert personal_data.contract(spark, docs.limit(0)).count() == 0
 
 
+def test_as_many_unseen_as_seeds_are_discovered(spark):
+    seeds = [f"please call now +1 (2{i:02d}) 555-01{i:02d} today friend" for i in range(6)]
+    unseen = [f"please call now 04{i:02d}5550199 today friend" for i in range(6)]
+    next_ = [f"ring 04{i:02d}5550199 at home" for i in range(6)] + ["ring 0499 5550188 at home"]
+    # five cards and as many strings of their form that fail the check digit: the context is no evidence
+    paid = [f"paid by {n} then" for n in ("4111111111111111", "5500000000000004", "340000000000009", "30000000000004",
+                                          "6011000000000004", *(f"411111111111112{i}" for i in range(5)))]
+    docs = frame(spark, seeds + unseen + next_ + paid + ["paid by 12345678 then"])
+    got = {r.doc_id: r.spans for r in personal_data.contract(spark, docs).collect()}
+    texts = seeds + unseen + next_
+    for i, t in enumerate(texts[6:], 6):
+        a = re.search("[0-9]", t).start()
+        assert got[i] == f"phone:{a}:{max(m.end() for m in re.finditer('[0-9]', t))}"
+    assert [got[i].partition(":")[0] for i in range(19, 24)] == ["card"] * 5
+    assert all(got[i] == "" for i in range(24, 30))
+
+
 # ---- 2: token counts ---------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
