@@ -10,16 +10,19 @@ from ledgerlake.llm.common import join_small
 from ledgerlake.session import cut_lineage
 
 MIN_SITES, MIN_WORDS, LG_K = 5, 3, 12
+# Outer blanks of a line: the contract's (its SQL trims spaces), and all of ASCII white space.
+SPACE, BLANKS = " ", " \t\r\x0b\f"
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """(id, text_hash, at, line_hash, site) of the lines with ``min_words`` or more words, outer blanks ignored."""
+def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int,
+               blanks: str = SPACE) -> DataFrame:
+    """(id, text_hash, at, line_hash, site) of the lines with ``min_words`` or more words, outer ``blanks`` ignored."""
     enough = r"(\S+\s+){%d}\S" % (min_words - 1)
     return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
                         F.coalesce(F.concat(F.lit("="), F.col(site_col)), F.lit("")).alias("site"),
                         F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
             .filter(F.col("line").rlike(enough))
-            .select("id", "text_hash", "at", F.xxhash64(F.btrim("line")).alias("line_hash"), "site"))
+            .select("id", "text_hash", "at", F.xxhash64(F.btrim("line", F.lit(blanks))).alias("line_hash"), "site"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -42,15 +45,15 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, blanks: str = SPACE) -> DataFrame:
     """(row, n_lines, n_removed, text): every row of ``docs`` as a struct of all its columns, and its text without
-    the lines that are found on ``min_sites`` or more sites; such a line's first occurrence (smallest id, then text
+    the lines that, without outer ``blanks``, are found on ``min_sites`` or more sites; such a line's first occurrence (smallest id, then text
     hash, then place) stays, so that nothing is lost from the corpus.
 
     A null site is a site of its own.  Null texts stay null with 0 lines; lines of fewer than ``min_words`` words, empty
     ones among them, always stay.  Rows that repeat id and text share what is removed.  The lines' hashes and places (not
     their texts) are written once to the shared folder; documents are shuffled once, by id and text hash."""
-    lines = cut_lineage(line_table(docs, id_col, text_col, site_col, min_words), "lines")
+    lines = cut_lineage(line_table(docs, id_col, text_col, site_col, min_words, blanks), "lines")
     found = cut_lineage(boilerplate(lines, min_sites).select("line_hash", "first"), "boilerplate")
     here = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "at")
     names = ["k_none", "k_id", "k_hash"]

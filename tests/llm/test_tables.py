@@ -277,6 +277,14 @@ def test_pipeline_stages(spark):
     assert five.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
 
 
+def test_pipeline_drops_short_lines_whatever_ends_them(spark):
+    ends = ["", "\r", "\t", " \f", "\x0b"]
+    docs = spark.createDataFrame([(i, f"Home\n\nRead more{ends[i % 5]}\nown {i}\nwe all say this{ends[i % 5]}", "en", f"s{i}", 1)
+                                  for i in range(6)], DOCS)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: "Home\n\nRead more\nown 0\nwe all say this"} | {i: f"\nown {i}" for i in range(1, 6)}
+
+
 def test_pipeline_of_an_empty_table(spark):
     docs = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
