@@ -8,6 +8,7 @@ round, until no pattern is added, and at the end give additional spans.
 """
 from __future__ import annotations
 
+import bisect
 import re
 
 import pyarrow as pa
@@ -24,7 +25,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Identifier-like strings: seven or more digits with separators; two names around an at sign, plain or spelt out.
-NUMBER = re.compile(r"\(?[0-9][0-9()\x20./:-]{5,60}[0-9]")
+NUMBERS = re.compile(r"\(?[0-9](?:[0-9()\x20./:-]*[0-9])?")
+NUMBER = re.compile(r"\(?[0-9](?:[0-9()./:-]*[0-9])?")
+LEAST_DIGITS, MOST_DIGITS = 7, 19                     # no kind has more digits than a card
+# Digits that an unseen string of a kind can have (ip, card, phone).
+DIGITS = {1: (7, 12), 2: (13, 19), 3: (7, 15)}
 AT = re.compile(r"[\w.%+-]{1,64}\x20?(?:@|[\[(]at[\])])\x20?[\w-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[\w-]{1,64}){0,8}")
 # Strings shown not to be identifiers, as they have a kind's form and fail its rule: card groups, four dotted numbers.
 CARD_FORM = re.compile(r"[0-9]{13,19}|(?:[0-9]{4}[\x20-]){3,4}[0-9]{1,4}")
@@ -67,18 +72,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def numbers(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The numbers between ``start`` and ``end`` with seven or more digits: each blank-separated one, each run of them with as
+    many digits as a kind can have, and the whole of each list."""
+    out = set()
+    for run in NUMBERS.finditer(text, start, end):
+        parts = [(m.start(), m.end(), sum(map(str.isdigit, m.group()))) for m in NUMBER.finditer(text, run.start(), run.end())]
+        if sum(p[2] for p in parts) >= LEAST_DIGITS:
+            out.add((parts[0][0], parts[-1][1]))
+        for i, (s, _, _) in enumerate(parts):
+            n = 0
+            for j in range(i, len(parts)):
+                n += parts[j][2]
+                if n > MOST_DIGITS and j > i:
+                    break
+                if n >= LEAST_DIGITS:
+                    out.add((s, parts[j][1]))
+    return sorted(out)
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like spans that touch no base span; leftmost first, not overlapping."""
-    found = [(m.start(), m.end()) for m in NUMBER.finditer(text) if sum(c.isdigit() for c in m.group()) >= 7]
-    if HAS_AT.search(text):
-        found += [(m.start(), m.end()) for m in AT.finditer(text)]
-    if not found:
-        return []
-    busy, out = sorted((s, e) for _, s, e in taken), []
-    for s, e in sorted(found):
-        if all(e <= a or s >= b for a, b in busy) and (not out or s >= out[-1][1]):
-            out.append((s, e))
-    return out
+    """Identifier-like spans in the gaps between base spans, by start; numbers and runs of them overlap."""
+    out, at = [], 0
+    for s, e in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
+        if s > at:
+            out += numbers(text, at, s)
+            if HAS_AT.search(text, at, s):
+                out += [(m.start(), m.end()) for m in AT.finditer(text, at, s)]
+        at = max(at, e)
+    return sorted(set(out))
+
+
+def can_be(kind: int, instance: str) -> bool:
+    """Whether an unseen string has what every string of the kind has: an at sign, or as many digits."""
+    if kind == 0 or HAS_AT.search(instance):
+        return kind == 0 and bool(HAS_AT.search(instance))
+    low, high = DIGITS[kind]
+    return low <= sum(map(str.isdigit, instance)) <= high
+
+
+def pointed(unseen: DataFrame, good: DataFrame) -> DataFrame:
+    """(row, start, end, instance, kind, score): the spans of ``unseen`` whose confident patterns name one kind.  Of those that
+    overlap, the one with the surest pattern stays, then the most patterns, then the longest."""
+    hits = (unseen.join(good, "pattern").groupBy("row", "start", "end", "instance").agg(
+                F.max("confidence").alias("score"), F.count(F.lit(1)).alias("n"),
+                F.min("kind").alias("kind"), F.max("kind").alias("other")).filter("kind = other")
+            .groupBy("row").agg(F.collect_list(F.struct("score", "n", "start", "end", "instance", "kind")).alias("hits")))
+    schema = hits.select("row", F.inline("hits")).select("row", "start", "end", "instance", "kind", "score").schema
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for row, found in zip(b.column("row").to_pylist(), b.column("hits").to_pylist()):
+                starts, ends = [], []                 # of the chosen ones, in order of place
+                for h in sorted(found, key=lambda h: (-h["score"], -h["n"], h["start"] - h["end"], h["start"])):
+                    if can_be(h["kind"], h["instance"]):
+                        i = bisect.bisect_left(starts, h["end"])
+                        if not i or ends[i - 1] <= h["start"]:
+                            starts.insert(i, h["start"])
+                            ends.insert(i, h["end"])
+                            out.append((row, h["start"], h["end"], h["instance"], h["kind"], h["score"]))
+            cols = list(zip(*out)) or [()] * len(schema)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=schema.names)
+    return hits.mapInArrow(run, schema)
 
 
 def no_identifier(text: str) -> bool:
@@ -127,8 +184,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return src.mapInArrow(run, schema)
 
 
-def confident_patterns(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
-    """(pattern, kind, confidence) from the graph ``edges`` (pattern, instance, kind, -1 or NO_KIND), each edge once.
+def confident_patterns(edges: DataFrame, unseen: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(pattern, kind, confidence) from the graph ``edges`` (pattern, instance, kind, -1 or NO_KIND), each edge once, and the
+    ``unseen`` spans (row, start, end, instance, pattern).
 
     Unseen instances are neutral: a confidence is the share among the labelled ones.  Each round is two aggregations: per
     (pattern, kind) over its instances, per (instance, kind) over its patterns.  Both are partial sums, so a pattern with a
@@ -139,7 +197,7 @@ def confident_patterns(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE,
              .join(known.select("instance").distinct(), "instance", "left_anti")
              .select("instance", F.lit(NO_KIND).alias("kind"), F.lit(1.0).alias("score")))
     known = cut_lineage(known.unionByName(never), "pii_known")
-    fresh = links.join(known.select("instance").distinct(), "instance", "left_anti")
+    fresh = unseen.join(known.select("instance").distinct(), "instance", "left_anti")
     scores, good = known, None
     while True:
         sizes = links.join(scores.groupBy("instance").agg(F.max("score").alias("score")), "instance").groupBy("pattern").agg(
@@ -156,8 +214,8 @@ def confident_patterns(edges: DataFrame, min_confidence: float = MIN_CONFIDENCE,
             return now if good is None else good
         good = now if good is None else cut_lineage(good.unionByName(now), "pii_patterns")
         # an unseen string is as sure as its surest pattern, if its confident patterns name one kind
-        new = (fresh.join(good, "pattern").groupBy("instance").agg(
-                   F.max("confidence").alias("score"), F.min("kind").alias("kind"), F.max("kind").alias("other"))
+        new = (pointed(fresh, good).groupBy("instance").agg(
+                   F.max("score").alias("score"), F.min("kind").alias("kind"), F.max("kind").alias("other"))
                .filter("kind = other").select("instance", "kind", "score"))
         scores = cut_lineage(known.unionByName(new), "pii_scores")
 
@@ -171,10 +229,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **grap
     got = cut_lineage(mentions(docs, id_col, text_col), "pii_mentions")
     each = got.select("row", F.explode("seen").alias("m")).select("row", "m.*")
     edges = each.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
-    good = confident_patterns(cut_lineage(edges, "pii_edges"), **graph)
-    new = (each.filter("kind = -1").select("row", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern")
-           .groupBy("row", "start", "end").agg(F.min("kind").alias("kind"), F.max("kind").alias("other"))
-           .filter("kind = other").groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more")))
+    unseen = cut_lineage(each.filter("kind = -1").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern")),
+                         "pii_unseen")
+    good = confident_patterns(cut_lineage(edges, "pii_edges"), unseen, **graph)
+    new = pointed(unseen, good).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     base = F.transform(F.filter("seen", lambda m: m["kind"] >= 0), lambda m: F.struct(
         m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     return (got.join(new, "row", "left").withColumn("base", F.sort_array(base))

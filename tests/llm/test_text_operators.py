@@ -100,6 +100,23 @@ def test_as_many_unseen_as_seeds_are_discovered(spark):
     assert all(got[i] == "" for i in range(24, 30))
 
 
+def test_numbers_beside_base_spans_and_in_lists(spark):
+    t = "host 10.20.30.40 5551234567"
+    assert personal_data.candidates(t, personal_data.base_spans(t)) == [(17, 27)]
+    t = "card 4111111111111111. 0455 555 0199"
+    assert t.index("0455") in {s for s, e in personal_data.candidates(t, personal_data.base_spans(t)) if e == len(t)}
+    many = " ".join(str(5550000000 + i) for i in range(30))
+    assert {many[s:e] for s, e in personal_data.candidates(many, [])} >= set(many.split()) | {many}
+    # a seed's context, then: a number after an address, a list of two
+    seeds = [f"please call now +1 (2{i:02d}) 555-01{i:02d} today friend" for i in range(6)]
+    seeds += [f"host 10.20.30.{i} +1 (3{i:02d}) 555-01{i:02d} up" for i in range(6)]
+    tails = ["host 10.20.30.99 5551234567 up", "please call now 5551234567 5559876543 20"]
+    texts = [re.sub(r"(?<=host 10\.20\.30\.)[0-5] ", "9 ", s) for s in seeds] + [tails[0].replace("99", "9"), tails[1]]
+    got = {r.doc_id: r.spans.split(",") for r in personal_data.contract(spark, frame(spark, texts)).collect()}
+    a, b = texts[12].index("555"), texts[13].index("555")
+    assert f"phone:{a}:{a + 10}" in got[12] and f"phone:{b}:{b + 10}" in got[13]
+
+
 # ---- 2: token counts ---------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
