@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 import ledgerlake
 from ledgerlake.session import cut_lineage
@@ -38,6 +39,11 @@ def prepare_python(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def output_schema(df: DataFrame) -> StructType:
+    """The columns of ``df``, all nullable: the schema of a Python task that returns them."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema])
+
+
 BROADCAST_ROWS, SALTS = 20_000, 32
 
 

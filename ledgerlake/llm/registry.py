@@ -2,8 +2,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from ledgerlake.llm import (chat, embeddings, lines, mixing, near_text, outliers, packing, personal_data, quality,
-                            token_counts)
+from ledgerlake.llm import (chat, embeddings, fill_middle, lines, mixing, near_text, outliers, packing, personal_data,
+                            quality, token_counts, toxicity, whitening)
 from ledgerlake.llm.common import table
 
 
@@ -24,10 +24,14 @@ def queries() -> dict:
         "op8_mix_sources": _over("documents", mixing.contract),
         "op9_line_dedup": _over("documents", lines.contract),
         "op10_embedding_near_dedup": _over("embeddings", embeddings.contract),
+        "op11_embedding_whitening": _over("embeddings", whitening.contract),
+        "op12_fill_in_middle": _over("documents", fill_middle.contract),
+        "op13_toxicity": lambda spark, sf_dir: toxicity.contract(
+            spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op6_chat_formatting": chat.ORACLE, "op8_mix_sources": mixing.ORACLE, "op9_line_dedup": lines.ORACLE,
-            "op10_embedding_near_dedup": embeddings.ORACLE}
+            "op10_embedding_near_dedup": embeddings.ORACLE, "op12_fill_in_middle": fill_middle.ORACLE}
