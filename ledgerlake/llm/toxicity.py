@@ -167,7 +167,8 @@ def fit(labelled: DataFrame, grams: tuple[int, ...] = GRAMS, bits: int = BITS, r
             owner = np.repeat(np.arange(len(y)), [len(c) for c in counts])
             out = one(np.frombuffer(b"".join(ids), np.int32), np.frombuffer(b"".join(counts), np.uint8), owner, y)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
-        return sum(np.frombuffer(r["out"]) for r in rows.mapInArrow(part, "out binary").collect())
+        # however small the splits in which the written rows are read, no more than FIT_PARTS sums reach the driver
+        return sum(np.frombuffer(r["out"]) for r in rows.coalesce(FIT_PARTS).mapInArrow(part, "out binary").collect())
 
     def class_sums(ids, counts, owner, y):
         value, toxic = LOG_COUNT[counts], y[owner] == 1
