@@ -9,20 +9,21 @@ from pyspark.sql import functions as F
 from ledgerlake.llm.common import join_small
 from ledgerlake.session import cut_lineage
 
-MIN_SITES, MIN_WORDS, LG_K = 5, 3, 12
-# Outer blanks of a line: the contract's (its SQL trims spaces), and all of ASCII white space.
-SPACE, BLANKS = " ", " \t\r\x0b\f"
+MIN_SITES, MIN_WORDS, LG_K = 5, 1, 12
+# Outer blanks of a line that are ignored: ASCII white space.
+BLANKS = " \t\r\x0b\f"
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_words: int,
-               blanks: str = SPACE) -> DataFrame:
-    """(id, text_hash, at, line_hash, site) of the lines with ``min_words`` or more words, outer ``blanks`` ignored."""
+               blanks: str = BLANKS) -> DataFrame:
+    """(id, text_hash, at, line_hash, site) of the lines with ``min_words`` or more words, outer ``blanks`` ignored.  A line is
+    known by 128 bits, as 64 would let tens of thousands of a trillion different lines meet."""
     enough = r"(\S+\s+){%d}\S" % (min_words - 1)
     return (docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"),
                         F.coalesce(F.concat(F.lit("="), F.col(site_col)), F.lit("")).alias("site"),
                         F.posexplode(F.split(text_col, "\n")).alias("at", "line"))
             .filter(F.col("line").rlike(enough))
-            .select("id", "text_hash", "at", F.xxhash64(F.btrim("line", F.lit(blanks))).alias("line_hash"), "site"))
+            .select("id", "text_hash", "at", F.unhex(F.md5(F.btrim("line", F.lit(blanks)))).alias("line_hash"), "site"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
@@ -45,7 +46,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, blanks: str = SPACE) -> DataFrame:
+                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, blanks: str = BLANKS) -> DataFrame:
     """(row, n_lines, n_removed, text): every row of ``docs`` as a struct of all its columns, and its text without
     the lines that, without outer ``blanks``, are found on ``min_sites`` or more sites; such a line's first occurrence (smallest id, then text
     hash, then place) stays, so that nothing is lost from the corpus.
@@ -93,7 +94,7 @@ def contract(spark, docs: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH l AS (SELECT doc_id, text, coalesce('=' || source, '') AS site, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
-c AS (SELECT *, trim(line, ' ') AS k FROM l WHERE regexp_matches(line, '([^ \t\n\x0b\f\r]+[ \t\n\x0b\f\r]+){2}[^ \t\n\x0b\f\r]')),
+c AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS k FROM l WHERE regexp_matches(line, '[^ \t\n\x0b\f\r]')),
 b AS (SELECT k FROM c GROUP BY k HAVING count(DISTINCT site) >= 5),
 g AS (SELECT c.*, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS nth FROM c JOIN b USING (k)),
 x AS (SELECT l.doc_id, l.pos, l.line, coalesce(g.nth, 1) > 1 AS gone

@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import WORD_GAP
+from ledgerlake.llm.common import join_small
+from ledgerlake.operators.ranking import global_position
 from ledgerlake.session import cut_lineage
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 42
@@ -16,9 +17,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " +"))), F.lit(0)).cast("long")
 
 
-def place(id_col: str, seed: int) -> Column:
-    """The seeded order in which a source's documents are drawn: a hex digest of id and seed."""
-    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit(f"|{seed}")))
+def place(name: Column, seed: int) -> Column:
+    """The seeded order in which a source's documents are drawn: a hex digest of name and seed."""
+    return F.md5(F.concat(name, F.lit(f"|{seed}")))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -28,10 +29,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     Water-filling: a level is raised until the sources above their cap no longer change; sources below it get
     level * weight, the others their cap.  Each round is one aggregate over the sources (one row back)."""
     per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"))
-    # one row per source, never per document, so the order of the sources is one small sort
-    order = Window.orderBy(F.col("src").isNull(), "src")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]),
-                          ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
+    per = global_position(per.withColumn("none", F.col("src").isNull()), ["none", "src"], out="nth")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("nth") % len(weights) + 1).cast("int"))
     per = cut_lineage(per.select("src", "source_size", weight.alias("w"),
                                  (F.col("source_size") * float(epochs)).alias("cap")), "sources")
     total = per.agg(F.sum("source_size")).first()[0] or 0
@@ -47,47 +46,102 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epoc
     return per.select("src", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """``docs`` with what the mix goes by: k_named, k_src (source), k_size (words), k_at (place in the seeded order), k_bucket
+    (the place's first digits).  Rows without an id are placed by their text."""
+    at = F.when(F.col(id_col).isNull(), place(F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
+                ).otherwise(place(F.col(id_col).cast("string"), seed))
+    src = F.col(source_col)
+    return docs.select("*", src.isNotNull().alias("k_named"), F.coalesce(src.cast("string"), F.lit("")).alias("k_src"),
+                       n_words(F.col(text_col)).alias("k_size"), at.alias("k_at")).withColumn(
+        "k_bucket", F.conv(F.substring("k_at", 1, 3), 16, 10).cast("int"))
+
+
+SOURCE = ["k_named", "k_src"]
+
+
+def source_plan(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """One row per source of ``rows`` (SOURCE, k_size, k_at, k_bucket): source_size, target, whole (repetitions of every document), and
+    the fractional one: all documents before the place (edge_bucket, edge_at, edge_size) are taken, edge_n of the alike
+    ones there, and one more at (fill_at, fill_size), which comes nearest to what is then still missing.
+
+    Where the edge lies is found on sums per (source, bucket), then on sums per place in the one bucket that holds
+    it; alike rows are one sum.  So a source, or a repeated row, with a third of all rows is never gathered."""
+    per = source_targets(rows.select(F.when(F.col("k_named"), F.col("k_src")).alias("src"), F.col("k_size").alias("size")),
+                         weights, share, epochs)
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
+    per = per.select(F.col("src").isNotNull().alias("k_named"), F.coalesce("src", F.lit("")).alias("k_src"), "source_size",
+                     "target", whole.alias("whole"), (F.floor("target").cast("long") - whole * F.col("source_size")).alias("rest"))
+    before = Window.partitionBy(*SOURCE).rowsBetween(Window.unboundedPreceding, -1)
+
+    def first_beyond(sums: DataFrame, order: list[str], carried: list[str]) -> DataFrame:
+        """Per source the first of ``sums`` (n words each, in ``order``) with which the rest is passed."""
+        upto = sums.withColumn("before", F.coalesce(F.sum("n").over(before.orderBy(*order)), F.lit(0)))
+        return (upto.join(per.select(*SOURCE, "rest"), SOURCE).filter(F.col("before") + F.col("n") > F.col("rest"))
+                .groupBy(*SOURCE).agg(F.min_by(F.struct(*order, "before", "rest", *carried), F.struct(*order)).alias("e"))
+                .select(*SOURCE, "e.*"))
+    buckets = rows.groupBy(*SOURCE, "k_bucket").agg(F.sum("k_size").alias("n"))
+    edge = cut_lineage(first_beyond(buckets, ["k_bucket"], []).select(
+        *SOURCE, F.col("k_bucket").alias("edge_bucket"), F.col("before").alias("sofar")), "mix_edges")
+    inside = join_small(rows, edge, SOURCE).filter("k_bucket = edge_bucket")
+    places = inside.groupBy(*SOURCE, "k_at", "k_size").agg(F.count(F.lit(1)).alias("rows"), F.sum("k_size").alias("n"))
+    # the words of the buckets before come first: a row of their sum, which fits
+    places = places.unionByName(edge.select(*SOURCE, F.lit("").alias("k_at"), F.lit(0).cast("long").alias("k_size"),
+                                            F.lit(0).cast("long").alias("rows"), F.col("sofar").alias("n")))
+    at = first_beyond(places, ["k_at", "k_size"], [])
+    fits = F.floor((F.col("rest") - F.col("before")) / F.col("k_size")).cast("long")
+    at = cut_lineage(at.join(edge, SOURCE).select(
+        *SOURCE, "edge_bucket", F.col("k_at").alias("edge_at"), F.col("k_size").alias("edge_size"), fits.alias("edge_n"),
+        (F.col("rest") - F.col("before") - fits * F.col("k_size")).alias("gap")), "mix_edges")
+    # of the documents that are left (always some at the edge), the one whose size is nearest to the gap, if it is better than none
+    after = F.struct("k_bucket", "k_at", "k_size") >= F.struct(F.col("edge_bucket"), F.col("edge_at"), F.col("edge_size"))
+    off = F.abs(F.col("k_size") - F.col("gap"))
+    fill = (join_small(rows, at, SOURCE).filter(after).filter(off < F.col("gap")).groupBy(*SOURCE)
+            .agg(F.min(F.struct(off.alias("off"), "k_at", "k_size")).alias("f"))
+            .select(*SOURCE, F.col("f.k_at").alias("fill_at"), F.col("f.k_size").alias("fill_size")))
+    return cut_lineage(per.join(at.drop("gap"), SOURCE, "left").join(fill, SOURCE, "left"), "mix_plan")
+
+
+def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (with the columns of ``sized``) and the plan's, and ``times``: how often the mix takes each.
+
+    A row decides by its own place.  Only where the plan takes some of several alike rows (one or two places a source) are those
+    rows written and counted off, by the task that wrote them and then within it."""
+    def is_at(kind):
+        return F.coalesce((F.col("k_at") == F.col(f"{kind}_at")) & (F.col("k_size") == F.col(f"{kind}_size")), F.lit(False))
+    all_ = join_small(rows, plan, SOURCE)
+    place_, edge = F.struct("k_bucket", "k_at", "k_size"), F.struct(F.col("edge_bucket"), F.col("edge_at"), F.col("edge_size"))
+    extra = F.when(F.col("edge_at").isNull() | (place_ < edge), 1).otherwise(0)
+    sure = all_.filter(~is_at("edge") & ~is_at("fill")).withColumn("times", F.col("whole") + extra)
+    some = cut_lineage(all_.filter(is_at("edge") | is_at("fill")).withColumn("k_row", F.monotonically_increasing_id()), "mix_places")
+    wanted = F.when(is_at("edge"), F.col("edge_n")).otherwise(0) + F.when(is_at("fill"), 1).otherwise(0)
+    part, alike = F.shiftright("k_row", 33), [*SOURCE, "k_at", "k_size"]
+    # rows a writing task has at a place, and how many the tasks before it have: one row for each task and place
+    per = some.groupBy(*alike, part.alias("k_part")).agg(F.count(F.lit(1)).alias("k_rows"))
+    per = per.withColumn("k_before", F.coalesce(F.sum("k_rows").over(
+        Window.partitionBy(*alike).orderBy("k_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k_rows")
+    nth = some.select("k_row", *alike, part.alias("k_part"), wanted.alias("k_wanted")).join(per, [*alike, "k_part"]).withColumn(
+        "k_nth", F.col("k_before") + F.row_number().over(Window.partitionBy(*alike, "k_part").orderBy("k_row")))
+    chosen = nth.filter("k_nth <= k_wanted").select("k_row", F.lit(1).alias("k_extra"))
+    counted = some.join(chosen, "k_row", "left").withColumn("times", F.col("whole") + F.coalesce("k_extra", F.lit(0)))
+    return sure.unionByName(counted.select(*sure.columns))
+
+
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: id, src, size (words), source_size, target (its source's), taken (words, repeats counted).
 
-    Whole repetitions: every document is taken floor(target / source_size) times.  Fractional repetition: the
-    source's documents in seeded order, whole, until the rest of the target is used up; the document in which it
-    ends is taken in part.  So a source's taken words differ from its target by less than one word.
-
-    Where the rest ends is found on sums per (source, bucket of the seeded order), (4096 of them, by the order's first
-    digits), which partial aggregation makes before the shuffle; only the documents of the one bucket in which it ends are ordered, so a source that holds
-    a third of all rows is never gathered.  Null texts and sources without words are taken 0 times; null
-    sources are one source; null ids share one place in the order, ties are ordered by size and repeated rows count
-    each.  Reruns agree.  An empty table gives an empty result."""
-    order = place(id_col, seed)
-    rows = cut_lineage(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"),
-        order.alias("at"), (F.conv(F.substring(order, 1, 3), 16, 10).cast("int")).alias("bucket")), "mix_sizes")
-    targets = source_targets(rows, weights, share, epochs)
-    per_source = cut_lineage(targets.select(
-        "src", "source_size", "target",
-        F.floor(F.try_divide("target", "source_size")).cast("long").alias("whole")).withColumn("whole", F.coalesce("whole", F.lit(0)))
-        .withColumn("rest", F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-        .withColumn("named", F.col("src").isNotNull()).withColumn("key", F.coalesce("src", F.lit(""))), "targets")
-    keyed = rows.withColumn("named", F.col("src").isNotNull()).withColumn("key", F.coalesce("src", F.lit("")))
-    sums = keyed.groupBy("named", "key", "bucket").agg(F.sum("size").alias("n"))
-    upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("named", "key").orderBy("bucket")))
-    edge = (upto.join(per_source.select("named", "key", "rest"), ["named", "key"]).filter("upto >= rest")
-            .groupBy("named", "key").agg(F.min_by(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")),
-                                                  "bucket").alias("e"))
-            .select("named", "key", F.col("e.bucket").alias("edge"), F.col("e.before").alias("before")))
-    plan = cut_lineage(per_source.join(edge, ["named", "key"], "left"), "mix_plan")
-    # a document outside its source's last bucket is decided by itself; of that bucket, the running sum decides
-    all_ = keyed.join(plan.drop("src"), ["named", "key"])
-    sure = all_.filter("bucket <> edge or edge is null").withColumn(
-        "extra", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    w = Window.partitionBy("named", "key").orderBy("at", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = all_.filter("bucket = edge").withColumn(
-        "sofar", F.col("before") + F.coalesce(F.sum("size").over(w), F.lit(0))).withColumn(
-        "extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("sofar")))).drop("sofar")
-    return sure.unionByName(last).select(
-        "id", "src", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"))
+    Whole repetitions: every document is taken floor(target / source_size) times.  Fractional repetition: the source's documents
+    in seeded order, as long as they fit into the rest of the target, and then the one document that comes nearest to what is still
+    missing, if any does.  Documents are taken whole, never in part; a source misses its target by less than half a document.
+
+    Null texts and texts without words have size 0; null sources are one source; rows without an id are placed by their text; alike
+    rows (id, source and size) count each.  Reruns agree.  An empty table gives an empty result."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), F.col(text_col).alias("text"))
+    rows = cut_lineage(sized(src, "id", "text", "src", seed).drop("text"), "mix_sizes")
+    got = take(rows, source_plan(rows, weights, share, epochs))
+    return got.select("id", "src", F.col("k_size").alias("size"), "source_size", "target",
+                      (F.col("times") * F.col("k_size")).alias("taken"))
 
 
 def contract(spark, docs: DataFrame) -> DataFrame:
@@ -95,37 +149,21 @@ def contract(spark, docs: DataFrame) -> DataFrame:
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                     **mix) -> DataFrame:
-    """``docs`` mixed: each row as often as the mix takes it, with all its columns; a last, partial repetition
-    has the document's first words, up to what is still taken (in ``n_chars``, if there is one, too)."""
-    plan = taken_words(docs, id_col, text_col, source_col, **mix)
-    names = ["k_id", "k_src", "k_size"]
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    plan = (plan.select(blank("id").alias("k_id"), blank("src").alias("k_src"), F.col("size").alias("k_size"), "taken")
-            .groupBy(*names).agg(F.sort_array(F.collect_list("taken"), asc=False).alias("each")))
-    rows = docs.select(F.struct("*").alias("row"), blank(id_col).alias("k_id"), blank(source_col).alias("k_src"),
-                       n_words(F.col(text_col)).alias("k_size"))
-    # rows that repeat id, source and size share their takings in any order: they are alike to the mix
-    rows = rows.withColumn("k_nth", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0))))
-    took = (rows.join(plan, names).withColumn("taken", F.get("each", F.col("k_nth") - 1)).filter("taken > 0")
-            .select("row", "k_size", F.explode(F.expr(
-                "transform(sequence(1, int(ceil(taken / k_size))), i -> least(k_size, taken - (i - 1) * k_size))"))
-                .alias("now")))
-    text = F.col(f"row.`{text_col}`")
-    # cut after each word: the first `now` pieces are the first `now` words and the blanks before them
-    pieces = F.split(text, "(?<=[^\\x20\\x09-\\x0D])(?=[\\x20\\x09-\\x0D])")
-    part = F.array_join(F.slice(pieces, F.lit(1), F.col("now").cast("int")), "")
-    cut = F.when(F.col("now") < F.col("k_size"), part).otherwise(text)
-    out = F.col("row").withField(text_col, cut)
-    if "n_chars" in docs.columns:
-        kept = F.col("row.n_chars")
-        out = out.withField("n_chars", F.when(F.col("now") < F.col("k_size"), F.length(cut)).otherwise(kept)
-                            .cast(docs.schema["n_chars"].dataType))
-    return took.select(out.alias("row")).select("row.*")
+                     weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+    """``docs`` mixed: each row, whole and with all its columns, as often as the mix takes it.  Rows without words are not taken.
+
+    Sizes and places are written once for the plan, which has one row a source; texts are read again and not shuffled."""
+    src = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("src"),
+                      F.col(text_col).alias("text"))
+    plan = source_plan(cut_lineage(sized(src, "id", "text", "src", seed).drop("row", "id", "src", "text"), "mix_sizes"),
+                       weights, share, epochs)
+    rows = sized(src, "id", "text", "src", seed).drop("id", "src", "text")
+    took = take(rows, plan).filter("times > 0 and k_size > 0")
+    return took.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
 
 
 ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '-') || '|42') AS ord,
+WITH RECURSIVE d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '-' || md5(coalesce(text, ''))) || '|42') AS ord,
        coalesce(len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS size FROM documents),
 s AS (SELECT source, sum(size) AS ss, row_number() OVER (ORDER BY (source IS NULL), source) AS rk FROM d GROUP BY source),
 w AS (SELECT source, CAST(ss AS DOUBLE) AS ss, [5.0, 2.0, 1.0][(rk - 1) % 3 + 1]::DOUBLE AS w, ss * 2.0::DOUBLE AS cap,
@@ -138,7 +176,10 @@ t AS (SELECT source, CAST(ss AS BIGINT) AS source_size, least(cap, (SELECT level
 q AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE CAST(floor(target / source_size) AS BIGINT) END AS whole FROM t),
 r AS (SELECT d.doc_id, d.size, q.source_size, q.target, q.whole, CAST(floor(q.target) AS BIGINT) - q.whole * q.source_size AS rest,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY ord, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+f AS (SELECT *, sofar + size <= rest AS fits FROM r JOIN (SELECT doc_id, source, ord FROM d) USING (doc_id)),
+g AS (SELECT *, rest - coalesce(max(sofar + size) FILTER (WHERE fits) OVER (PARTITION BY source), 0) AS gap FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY fits, abs(size - gap) >= gap, abs(size - gap), ord) AS nth FROM g)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(whole * size + greatest(0, least(size, rest - sofar)) AS BIGINT) AS taken FROM r
+       CAST((whole + CASE WHEN fits OR (nth = 1 AND abs(size - gap) < gap) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM n
 """

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.optimise import minimise
 from ledgerlake.session import cut_lineage
 
 BITS, SAMPLE, FIT_PARTS, MEMO = 17, 40_000, 6, 1_000_000
-MAX_ITER, TOLERANCE, RIDGE, RARE = 40, 2e-3, 1.0, 50.0
+TOLERANCE, RIDGE, RARE = 2e-3, 1.0, 50.0
 MIN_TAIL, PREFIXES, DAMPING = 0.5, (5,), 0.5
 FEATURE = re.compile(r"\w+")
 
@@ -112,15 +113,17 @@ def rated_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     only).  The graded rating: 2 good and harmless, 1 good or harmless only, 0 neither."""
     graded = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).cast("int").alias("grade")).filter(
         "grade is not null and doc_id is not null")
+    # a repeated id's lowest grade, so that ids are distinct and the sample's bound is the broadcast's
+    graded = graded.groupBy("doc_id").agg(F.min("grade").alias("grade"))
     share = min(1.0, sample / max(1, graded.count()))
     chosen = graded.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    # the sample's bound is the broadcast's
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
 
 
 def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str = "grade", bits: int = BITS,
-        max_iter: int = MAX_ITER) -> np.ndarray:
-    """Weights and free thresholds from rows with a text and a grade 0..grades-1, by L-BFGS.
+        tolerance: float = TOLERANCE) -> np.ndarray:
+    """Weights and free thresholds from rows with a text and a grade 0..grades-1, by L-BFGS until the gradient's norm is
+    ``tolerance`` times that at the start.
 
     Grades are weighted to equal totals, and rare features are held back more (RARE).  Each evaluation is one Spark job over the
     hashed rows; its FIT_PARTS tasks (the sample is bounded) return one gradient each.  Without rows the weights are 0 and
@@ -156,7 +159,8 @@ def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str =
             out = one(np.frombuffer(b"".join(raw), dtype=np.int32), np.frombuffer(b"".join(values), dtype=np.float32),
                       np.array([len(r) // 4 for r in raw], dtype=np.int64), y)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["out"])
-        return sum(np.frombuffer(r["out"]) for r in rows.mapInArrow(part, "out binary").collect())
+        # however small the splits in which the written rows are read, no more than FIT_PARTS sums reach the driver
+        return sum(np.frombuffer(r["out"]) for r in rows.coalesce(FIT_PARTS).mapInArrow(part, "out binary").collect())
 
     seen = gather(lambda ids, values, sizes, y: np.bincount(ids, minlength=dims).astype(float))
     ridge = RIDGE * (1 + RARE / np.maximum(1.0, seen))
@@ -173,33 +177,13 @@ def fit(rated: DataFrame, grades: int, text_col: str = "text", grade_col: str =
         grad[:dims] += ridge * w
         return out[0] + 0.5 * float(ridge * w @ w), grad
 
-    theta = np.concatenate([np.zeros(dims), start])
-    loss, grad = evaluate(theta)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(max_iter):
-        q, alphas = grad.copy(), []
-        for s, d in reversed(steps):
-            a = (s @ q) / (s @ d)
-            alphas.append(a)
-            q -= a * d
-        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(grad).max())
-        for (s, d), a in zip(steps, reversed(alphas)):
-            q += (a - (d @ q) / (s @ d)) * s
-        rate = 1.0
-        while True:
-            new_loss, new_grad = evaluate(theta - rate * q)
-            if new_loss <= loss - 1e-4 * rate * (q @ grad) or rate < 1e-3:
-                break
-            rate *= 0.4
-        if new_loss >= loss:
-            break
-        s, d = -rate * q, new_grad - grad
-        steps = (steps + [(s, d)])[-8:] if s @ d > 1e-12 else steps
-        done = loss - new_loss < TOLERANCE * loss
-        theta, loss, grad = theta + s, new_loss, new_grad
-        if done:
-            break
-    return theta
+    # in units in which the penalty is the same for all weights the search is better conditioned
+    unit = np.concatenate([1 / np.sqrt(ridge), np.ones(grades - 1)])
+
+    def scaled(u):
+        loss, grad = evaluate(u * unit)
+        return loss, grad * unit
+    return minimise(scaled, np.concatenate([np.zeros(dims), start]), tolerance) * unit
 
 
 def score(docs: DataFrame, theta: np.ndarray, grades: int, id_col: str = "doc_id", text_col: str = "text",

@@ -285,13 +285,13 @@ def plain_lines(rows):
     sites, first = defaultdict(set), {}
     for i, t, s in rows:
         for k, line in enumerate((t or "").split("\n")):
-            if len(line.split()) >= 3:
-                sites[line.strip(" ")].add(s)
-                first.setdefault(line.strip(" "), (i, k))
+            if line.strip(" \t\r\x0b\f"):
+                sites[line.strip(" \t\r\x0b\f")].add(s)
+                first.setdefault(line.strip(" \t\r\x0b\f"), (i, k))
     out = {}
     for i, t, s in rows:
         keep = [line for k, line in enumerate((t or "").split("\n"))
-                if len(sites[line.strip(" ")]) < 5 or first[line.strip(" ")] == (i, k)]
+                if len(sites[line.strip(" \t\r\x0b\f")]) < 5 or first[line.strip(" \t\r\x0b\f")] == (i, k)]
         out[i] = "\n".join(keep)
     return out
 
@@ -312,6 +312,13 @@ def test_lines_equal_plain_counts(spark):
     assert lines.clean_documents(docs.limit(0)).count() == 0
 
 
+def test_short_lines_are_boilerplate_too(spark):
+    docs = spark.createDataFrame([(i, f"Home\r\nown text of page {i}\n\n \n\tRead more", "en", f"s{i % 8}", 1) for i in range(16)], DOCS)
+    out = {r.doc_id: r for r in lines.contract(spark, docs).collect()}
+    assert [out[i].n_removed for i in range(16)] == [0] + [2] * 15 and {r.n_lines for r in out.values()} == {5}
+    assert out[9].text_sha256 == hashlib.sha256(b"own text of page 9\n\n ").hexdigest()
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     docs = spark.createDataFrame([(i, f"line seen on {k} sites\nown line number {i} {k}", "en", f"s{s}", 1)
                                   for i, (k, s) in enumerate((k, s) for k in (3, 4, 5, 6, 40) for s in range(k))], DOCS)
