@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MEMORY, SHRINK, LEAST_RATE, MOST_STEPS = 8, 0.4, 1e-8, 1000
+MEMORY, SHRINK, LEAST_RATE, MOST_STEPS = 25, 0.4, 1e-8, 1000
 
 
 def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, tolerance: float) -> np.ndarray:
