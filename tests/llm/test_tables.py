@@ -140,35 +140,75 @@ def test_statistics_by_hand():
     assert outliers.text_stats(None) == (0,) * 7
 
 
-def plain_mcd(x, pool_of):
-    """The same estimate for one group's rows (n x d), with plain sorting."""
-    floor = np.array(outliers.FLOOR)
-    q = np.quantile(np.round(x, 2), [0.25, 0.5, 0.75], axis=0)
-    centre, prec = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, floor) ** -2.0)
-    for _ in range(outliers.STEPS):
-        d2 = np.maximum(np.einsum("ni,ij,nj->n", x - centre, prec, x - centre), 0)
-        level = np.round(np.log(d2 + 1e-6), 2)
-        core = x[level <= np.quantile(level, outliers.KEPT_SHARE)]
-        m, c = core.mean(axis=0), np.cov(core.T, bias=True)
-        a = len(core) / (len(core) + outliers.PRIOR)
-        pm, pc = pool_of(m, c)
-        c = (a * c + (1 - a) * pc) / outliers.KEPT_SHARE
-        centre, prec = a * m + (1 - a) * pm, np.linalg.inv(c + np.diag(floor ** 2))
-    return np.einsum("ni,ij,nj->n", x - centre, prec, x - centre)
-
-
-def test_outliers_equal_plain_estimate(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.lit("one")).withColumn("lang", F.lit("en"))
-    got = outliers.judge(docs).toPandas()
-    x = outliers.statistics(docs, "doc_id", "text", ["lang", "source"]).toPandas()
-    x = x.set_index("id").loc[got.id][outliers.DIMS].to_numpy()
-    d2 = plain_mcd(x, lambda m, c: (m, c))            # one group: it is its own pool
-    assert np.allclose(np.log(got.distance2 + 1e-6), np.log(np.maximum(d2, 0) + 1e-6), atol=0.05)
-    cut = outliers.chi2_quantile(outliers.TAIL_Z, len(outliers.DIMS))
-    base = (got.n_words < 50) | (100 * got.n_repeat_words > 50 * got.n_words)
-    assert (got.base_failed == base).all()
-    clear = abs(d2 / cut - 1) > 0.02
-    assert (got.kept == (~base & (d2 <= cut)))[clear].all()
+def plain_shape(n, mean, cov, pool, floor):
+    if pool is not None:
+        a = n / (n + 50)
+        mean, cov = a * mean + (1 - a) * pool[0], a * cov + (1 - a) * pool[1]
+    e, u = np.linalg.eigh(cov / np.outer(floor, floor))
+    cov = (u * np.maximum(e, 1)) @ u.T * np.outer(floor, floor)
+    return mean, np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+
+
+def plain_mcd(x, stats, pool):
+    """The estimate of one group (rows of transformed and of plain statistics), with plain sorting, one start after the other."""
+    med = np.maximum(1, np.median(stats, axis=0))
+    n, chars, lines, upper = med[0], med[1], med[5], med[6]
+    floor = np.array([np.log1p(1 / n), np.log1p(1 / chars), chars ** -0.5, lines ** -0.5, min(1, 3 / n) ** 0.5,
+                      ((upper + 1) / chars) ** 0.5 - (upper / chars) ** 0.5])
+    q = np.quantile(np.round(x, 3), [0.25, 0.5, 0.75], axis=0)
+    starts = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True).reshape(6, 6))]
+    best = None
+    for m, c in starts + ([pool] if pool else []):
+        centre, prec, _ = plain_shape(1, m, c, None, floor)
+        held = None
+        while True:
+            off = x - centre
+            level = np.round(np.log(np.maximum(np.einsum("ni,ij,nj->n", off, prec, off), 0) + 1e-6), 2)
+            core = x[level <= np.quantile(level, 0.75)]
+            new = plain_shape(len(core), core.mean(axis=0), np.cov(core.T, bias=True).reshape(6, 6) * outliers.consistency(), pool, floor)
+            if held is not None and new[2] > held[2] - 1e-3:
+                break
+            held = new
+            centre, prec, _ = held
+        if best is None or held[2] < best[2]:
+            best = held
+    return best[:2]
+
+
+def test_chi_square_and_consistency():
+    rng = np.random.default_rng(0)
+    d2 = (rng.normal(size=(400_000, 6)) ** 2).sum(axis=1)
+    for p in (0.25, 0.75, 0.99):
+        assert abs(outliers.chi2_quantile(p, 6) / np.quantile(d2, p) - 1) < 0.01
+    assert abs(outliers.chi2_cdf(7.0, 8) - (( rng.normal(size=(400_000, 8)) ** 2).sum(axis=1) < 7).mean()) < 0.005
+    x = rng.normal(size=(400_000, 6))
+    core = x[(x * x).sum(axis=1) <= np.quantile((x * x).sum(axis=1), 0.75)]
+    assert abs(core.var(axis=0).mean() * outliers.consistency() - 1) < 0.01
+
+
+def test_outliers_equal_plain_estimate_in_many_groups(spark):
+    """Every group's estimate, the pool's and every verdict: groups of one row, of 49, 50 and 51 rows, and large ones."""
+    docs = (spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+            .withColumn("source", F.expr("case when doc_id < 2 then 'lone' when doc_id < 51 then 'a' when doc_id < 101 then 'b' "
+                                         "when doc_id < 152 then 'c' else concat('s', doc_id % 3) end"))
+            .withColumn("lang", F.when(F.col("source").like("s%"), F.col("lang")).otherwise("en")))
+    got = outliers.judge(docs).toPandas().set_index("id").sort_index()
+    frame = outliers.statistics(docs, "doc_id", "text", ["lang", "source"]).toPandas().set_index("id").sort_index()
+    dims, stats = outliers.DIMS, outliers.STATS
+    m, prec = plain_mcd(frame[dims].to_numpy(), frame[stats].to_numpy(), None)
+    pool = (m, np.linalg.inv(prec))
+    cut, groups = outliers.limit(), 0
+    for _, part in frame.groupby(["g0", "g1"]):
+        x = part[dims].to_numpy()
+        centre, prec = plain_mcd(x, part[stats].to_numpy(), pool)
+        d2 = np.einsum("ni,ij,nj->n", x - centre, prec, x - centre)
+        mine = got.loc[part.index]
+        assert np.allclose(mine.distance2, d2, rtol=1e-5, atol=1e-6)
+        base = (mine.n_words < 50) | (100 * mine.n_repeat_words > 50 * mine.n_words)
+        assert (mine.base_failed == base).all()
+        assert (mine.kept == (~base & (d2 <= cut))).all()
+        groups += 1
+    assert groups > 12 and 0 < got.kept.mean() < 1
 
 
 def test_outliers_reject_junk_and_keep_clean(spark):
@@ -203,6 +243,15 @@ def test_outliers_odd_rows(spark):
     assert len(got) == 6 and all(r.base_failed and not r.kept for r in got)
     assert outliers.contract(spark, docs.limit(0)).count() == 0
     assert outliers.keep_documents(docs).columns == docs.columns
+    long_ = docs.unionAll(spark.createDataFrame([(9, "many words of one long text " * 60_000, "en", "s", 1, "x")], docs.schema))
+    assert [r.n_words for r in outliers.contract(spark, long_).filter("doc_id = 9").collect()] == [360_000]
+
+
+def test_kept_rows_are_the_judged_ones(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("row", F.lit(1)).withColumn("g0", F.lit("x"))
+    docs = docs.unionAll(docs.limit(5))
+    kept = Counter(r.doc_id for r in outliers.keep_documents(docs).collect())
+    assert kept == Counter(r.id for r in outliers.judge(docs).filter("kept").collect()) and sum(kept.values()) > 100
 
 
 # ---- 8 -----------------------------------------------------------------------------------------------------
