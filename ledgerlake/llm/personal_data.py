@@ -9,18 +9,22 @@ round, until no pattern is added, and at the end give additional spans.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.common import output_schema, prepare_python
 from ledgerlake.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
 # The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# (an email: LOCAL characters, an at sign, DOMAIN)
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -30,16 +34,16 @@ NUMBER = re.compile(r"\(?[0-9](?:[0-9()./:-]*[0-9])?")
 LEAST_DIGITS, MOST_DIGITS = 7, 19                     # no kind has more digits than a card
 # Digits that an unseen string of a kind can have (ip, card, phone).
 DIGITS = {1: (7, 12), 2: (13, 19), 3: (7, 15)}
-AT = re.compile(r"[\w.%+-]{1,64}\x20?(?:@|[\[(]at[\])])\x20?[\w-]{1,64}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[\w-]{1,64}){0,8}")
+NAMES = re.compile(r"\x20?[\w-]+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[\w-]+)*")
 # Strings shown not to be identifiers, as they have a kind's form and fail its rule: card groups, four dotted numbers.
 CARD_FORM = re.compile(r"[0-9]{13,19}|(?:[0-9]{4}[\x20-]){3,4}[0-9]{1,4}")
 NO_KIND = -2
 HAS_AT = re.compile(r"@|[\[(]at[\])]")
-TOKEN = re.compile(r"\S+")
 WORD = re.compile(r"\w+")
 
 MIN_CONFIDENCE, MIN_SEEDS, SMOOTHING = 0.85, 5, 0.5
-CONTEXT_CHARS = 120
+# Mentions that a task hands on at once, however many a text has.
+MENTION_ROWS = 10_000
 
 
 def luhn(digits: str) -> bool:
@@ -52,16 +56,58 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_octet(digits: str) -> bool:
+    """Whether a run of digits, of any length, is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
+def before(text: str, at: int, least: int, allowed: frozenset) -> int:
+    """Where the run of ``allowed`` characters that ends at ``at`` begins, ``least`` at the lowest."""
+    while at > least and text[at - 1] in allowed:
+        at -= 1
+    return at
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    """The matches of the base pattern of an email, found from the at signs outward: no run of characters is read for
+    more than one of them, so the work is linear in the text."""
+    out, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = before(text, at, last, LOCAL)
+        domain = DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            last = domain.end()
+            out.append((start, last))
+        at = text.find("@", max(last, at + 1))
+    return out
+
+
+def spelt(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Two names around an at sign, plain or spelt out, with or without blanks beside it."""
+    out, last = [], start
+    for m in HAS_AT.finditer(text, start, end):
+        at = m.start()
+        if at < last:
+            continue
+        edge = at - (at > last and text[at - 1] == " ")
+        low = edge
+        while low > last and (text[low - 1] in LOCAL or text[low - 1] == "_" or text[low - 1].isalnum()):
+            low -= 1
+        names = NAMES.match(text, m.end(), end) if low < edge else None
+        if names:
+            last = names.end()
+            out.append((low, last))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns, by kind as listed, then start."""
     out = []
-    if "@" in text:                                   # a match holds no white space: only words with an at sign can match
-        for w in TOKEN.finditer(text):
-            if "@" in w.group():
-                out += [(0, w.start() + m.start(), w.start() + m.end()) for m in EMAIL.finditer(w.group())]
+    out += [(0, s, e) for s, e in emails(text)]
     if "." in text:
         out += [(1, m.start(), m.end()) for m in IP.finditer(text)
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+                if all(map(is_octet, m.group().split(".")))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -97,8 +143,7 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for s, e in [*sorted((s, e) for _, s, e in taken), (len(text), len(text))]:
         if s > at:
             out += numbers(text, at, s)
-            if HAS_AT.search(text, at, s):
-                out += [(m.start(), m.end()) for m in AT.finditer(text, at, s)]
+            out += spelt(text, at, s)
         at = max(at, e)
     return sorted(set(out))
 
@@ -142,45 +187,74 @@ def no_identifier(text: str) -> bool:
     """Whether a candidate has the form of a card or address and fails its rule."""
     if CARD_FORM.fullmatch(text):
         return not luhn(re.sub("[ -]", "", text))
-    return bool(IP.fullmatch(text)) and any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in text.split("."))
-
-
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns of a mention: the last one and two words before it (with the form of the string), the words on
-    both sides.  Words are lower-cased; a line's or text's edge counts as a word."""
-    left = text[max(0, start - CONTEXT_CHARS):start].rpartition("\n")[2]
-    right = text[end:end + CONTEXT_CHARS].partition("\n")[0]
-    before = ["^", "^"] + [w.lower() for w in WORD.findall(left)][-2:]
-    after = ([w.lower() for w in WORD.findall(right)] + ["$"])[0]
-    form = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "0", text[start:end]))[:40]
-    return [f"{before[-2]} {before[-1]} _", f"{before[-1]} _ {after}", f"{before[-1]} {form}"]
+    return bool(IP.fullmatch(text)) and not all(map(is_octet, text.split(".")))
+
+
+class Context:
+    """The words and lines of a text, found once for all its mentions."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, array("q"), array("q")
+        for m in WORD.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+        self.breaks = array("q", (m.start() for m in re.finditer("\n", text)))
+
+    def patterns(self, start: int, end: int) -> list[str]:
+        """The lexical patterns of a mention: the last one and two words before it (with the form of the string), the words on
+        both sides.  Words are lower-cased; a line's or text's edge counts as a word."""
+        k = bisect.bisect_left(self.breaks, start)
+        line = self.breaks[k - 1] + 1 if k else 0
+        k = bisect.bisect_left(self.breaks, end)
+        stop = self.breaks[k] if k < len(self.breaks) else len(self.text)
+        near = ["^", "^"]
+        k = bisect.bisect_left(self.starts, start) - 1          # the last word that begins before the mention
+        for at in (1, 0):
+            if k >= 0 and self.starts[k] >= line:
+                near[at] = self.text[self.starts[k]:min(self.ends[k], start)].lower()
+                k -= 1
+        k = bisect.bisect_right(self.ends, end)                 # the first that ends after it
+        after = "$"
+        if k < len(self.starts) and self.starts[k] < stop:
+            after = self.text[max(self.starts[k], end):self.ends[k]].lower()
+        form = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "0", self.text[start:end]))
+        return [f"{near[0]} {near[1]} _", f"{near[1]} _ {after}", f"{near[1]} {form}"]
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, n_email.., base, base_sha256, seen): per row the base spans, and all mentions (kind, -1 for unseen or NO_KIND,
-    span, instance, patterns)."""
+    """Per row of ``docs`` one with ``head`` true (row, id, n_email.., base: its base spans), and one with ``head`` false for each of its
+    mentions: row, kind (-1 for unseen or NO_KIND), start, end, instance and patterns.  A text with very many of them
+    is handed on in parts."""
     spark = docs.sparkSession
     prepare_python(spark)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen_t = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.string()),
-                                 ("patterns", pa.list_(pa.string()))]))
     counts = [f"n_{k}" for k in KINDS]
-    schema = src.select("row", "id", *[F.lit(0).cast("long").alias(c) for c in counts], F.expr(
-        "cast(array() as array<struct<kind:int,start:bigint,end:bigint,instance:string,patterns:array<string>>>)").alias("seen")).schema
+    spans_t = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
+    schema = output_schema(src.select(
+        F.lit(True).alias("head"), "row", "id", *[F.lit(0).cast("long").alias(c) for c in counts],
+        F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)").alias("base"), F.lit(0).alias("kind"),
+        F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("instance"),
+        F.expr("cast(array() as array<string>)").alias("patterns")))
+
+    def found(batch):
+        for row, id_, text in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text"))):
+            text = text or ""
+            base = base_spans(text)
+            yield (True, row, id_, *[sum(k == i for k, _, _ in base) for i in range(len(KINDS))],
+                   [{"kind": k, "start": s, "end": e} for k, s, e in base], None, None, None, None, None)
+            more = candidates(text, base)
+            context = Context(text) if base or more else None
+            for k, s, e in itertools.chain(base, ((NO_KIND if no_identifier(text[s:e]) else -1, s, e) for s, e in more)):
+                yield (False, row, None, *[None] * len(KINDS), None, k, s, e, re.sub(r"\s+", " ", text[s:e].lower()),
+                       context.patterns(s, e))
 
     def run(batches):
         for b in batches:
-            n, seen = [], []
-            for text in b.column("text").to_pylist():
-                text = text or ""
-                base = base_spans(text)
-                n.append([sum(k == i for k, _, _ in base) for i in range(len(KINDS))])
-                all_ = base + [(NO_KIND if no_identifier(text[s:e]) else -1, s, e) for s, e in candidates(text, base)]
-                seen.append([{"kind": k, "start": s, "end": e, "instance": re.sub(r"\s+", " ", text[s:e].lower()),
-                              "patterns": patterns(text, s, e)} for k, s, e in all_])
-            cols = list(zip(*n)) or [()] * len(KINDS)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), *(pa.array(c, pa.int64()) for c in cols),
-                                              pa.array(seen, seen_t)], names=schema.names)
+            types = [pa.bool_(), pa.int64(), b.schema.field("id").type, *[pa.int64()] * len(KINDS), spans_t, pa.int32(), pa.int64(),
+                     pa.int64(), pa.string(), pa.list_(pa.string())]
+            rows = found(b)
+            while part := list(itertools.islice(rows, MENTION_ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=schema.names)
     return src.mapInArrow(run, schema)
 
 
@@ -227,15 +301,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **grap
     Null texts are empty; repeated rows are judged row by row (an instance counts once per pattern, however many copies);
     an empty table gives an empty result.  Only mentions and their patterns are shuffled, never texts."""
     got = cut_lineage(mentions(docs, id_col, text_col), "pii_mentions")
-    each = got.select("row", F.explode("seen").alias("m")).select("row", "m.*")
+    each = got.filter("not head").select("row", "kind", "start", "end", "instance", "patterns")
     edges = each.select(F.explode("patterns").alias("pattern"), "instance", "kind").distinct()
     unseen = cut_lineage(each.filter("kind = -1").select("row", "start", "end", "instance", F.explode("patterns").alias("pattern")),
                          "pii_unseen")
     good = confident_patterns(cut_lineage(edges, "pii_edges"), unseen, **graph)
     new = pointed(unseen, good).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
-    base = F.transform(F.filter("seen", lambda m: m["kind"] >= 0), lambda m: F.struct(
-        m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    return (got.join(new, "row", "left").withColumn("base", F.sort_array(base))
+    return (got.filter("head").join(new, "row", "left").withColumn("base", F.sort_array("base"))
             .withColumn("spans", F.when(F.col("more").isNull(), F.col("base")).otherwise(
                 F.sort_array(F.concat("base", "more"))))
             .select("id", *[f"n_{k}" for k in KINDS], "base", "spans"))

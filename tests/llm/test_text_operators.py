@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -43,7 +44,7 @@ def plain_base(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append(("email", m.start(), m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if max(map(int, m.group().split("."))) <= 255:
+        if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in m.group() if c.isdigit()]
@@ -71,6 +72,44 @@ def test_base_spans_match_plain_patterns(spark):
             base.count(f"{k}:") for k in ("email", "ip", "card", "phone")]
 
 
+def test_emails_equal_the_plain_pattern():
+    rng = random.Random(3)
+    pattern = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab@.-_ é\n%") for _ in range(rng.randint(1, 30)))
+        assert personal_data.emails(t) == [m.span() for m in pattern.finditer(t)]
+
+
+def test_very_long_runs(spark):
+    """Runs of zeros beyond what int() takes, unbroken runs before an at sign, long lists of short numbers."""
+    texts = ["0" * 5000 + ".1.1.1", "0" * 9000 + "1.2.3.400", "a" * 400_000 + "!x@y.zz", ("b" * 50 + "@") * 8000,
+             " ".join(str(i % 1000) for i in range(40_000)), "x" * 300_000 + " [at] " + "y" * 300_000, "1" * 200_000]
+    began = time.time()
+    got = {r.doc_id: r for r in personal_data.contract(spark, frame(spark, texts)).collect()}
+    assert time.time() - began < 60
+    for i, t in enumerate(texts[:2] + ["skipped"] + texts[3:4]):
+        if t != "skipped":
+            assert got[i].base_sha256 == hashlib.sha256(plain_base(t).encode()).hexdigest()
+    assert got[0].n_ip == 1 and got[1].n_ip == 0 and (got[2].n_email, got[2].spans) == (1, "email:400001:400007")
+
+
+def plain_patterns(text, start, end):
+    left, right = text[:start].rpartition("\n")[2], text[end:].partition("\n")[0]
+    near = ["^", "^"] + [w.lower() for w in re.findall(r"\w+", left)][-2:]
+    after = ([w.lower() for w in re.findall(r"\w+", right)] + ["$"])[0]
+    form = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "0", text[start:end]))
+    return [f"{near[-2]} {near[-1]} _", f"{near[-1]} _ {after}", f"{near[-1]} {form}"]
+
+
+def test_patterns_equal_plain_ones():
+    rng = random.Random(9)
+    for _ in range(3000):
+        t = "".join(rng.choice(["ab", "é1", " ", "\n", "-", "7", "w" * 200, "."]) for _ in range(rng.randint(1, 20)))
+        s, e = sorted(rng.sample(range(len(t) + 1), 2)) if len(t) > 1 else (0, 1)
+        if "\n" not in t[s:e]:
+            assert personal_data.Context(t).patterns(s, e) == plain_patterns(t, s, e)
+
+
 def test_context_discovers_unseen_identifiers(spark):
     seeds = [f"please call now +1 (2{i:02d}) 555-01{i:02d} today friend" for i in range(20)]
     unseen = ["please call now 0455 555 0199 today friend"]
