@@ -1,11 +1,8 @@
-"""Payment-timing and customer-risk models on Spark MLlib.
-
-Gradient boosting and random forests from ``pyspark.ml`` train in parallel over
-the partitions of the training frame (tree statistics are aggregated with
-tree-level reductions, never by pulling rows to the driver).  The booster's
-hyper-parameters map onto MLlib where a twin exists; LightGBM's
-``num_leaves`` / ``reg_*`` have none and are not used.  Multiclass boosting is
-one-vs-rest over binary GBTs; class imbalance is a per-row weight column.
+"""Payment-timing and customer-risk models.
+
+The primary models are leaf-wise histogram boosters (``operators/boosting.py``): a regression, and for the risk classes a joint
+softmax model.  The baselines are random forests from ``pyspark.ml``; class imbalance is a per-row weight column.  Training
+only ever pulls sums over rows to the driver.  MLlib's boosted trees remain as alternatives.
 """
 from __future__ import annotations
 
@@ -20,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import boosting
 from ledgerlake.session import cut_lineage
 
 
@@ -37,11 +35,21 @@ class ModelParams:
     rf_min_instances: int = 5
     seed: int = 42
     folds: int = 5
+    leaves: int = 63
+    alpha: float = 0.1
+    lambda_: float = 0.1
+
+    @property
+    def booster(self) -> boosting.BoosterParams:
+        return boosting.BoosterParams(
+            rounds=self.gbt_iter, depth=self.gbt_depth, leaves=self.leaves, rate=self.gbt_step, min_rows=self.gbt_min_instances,
+            alpha=self.alpha, lambda_=self.lambda_, feature_share=float(self.gbt_feature_subset), seed=self.seed)
 
 
 S1_PARAMS = ModelParams()
-S2_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10)
-RISK_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10)
+S2_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10, leaves=31)
+RISK_PARAMS = ModelParams(gbt_iter=400, gbt_depth=6, rf_depth=10, leaves=31)
+RISK_CLASSES = 3
 
 
 def assembler(features: list[str]) -> VectorAssembler:
@@ -88,9 +96,20 @@ ROWS_PER_TASK = 100_000
 
 
 def compact(train: DataFrame) -> DataFrame:
-    """The design matrix in as few partitions as its rows ask for: each boosting round is several jobs over it, so
-    tasks of a few hundred rows would cost scheduling only."""
-    return train.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
+    """The design matrix in as many partitions as its rows ask for, and no fewer than there are cores: every round is several
+    jobs over it."""
+    spark = train.sparkSession
+    return train.repartition(max(spark.sparkContext.defaultParallelism, -(-train.count() // ROWS_PER_TASK)))
+
+
+def primary_regressor(train: DataFrame, feats: list[str], p: ModelParams) -> boosting.Booster:
+    """ML-1."""
+    return boosting.train(train, feats, p.booster)[0]
+
+
+def primary_classifier(train: DataFrame, feats: list[str], p: ModelParams, weight: str | None = "class_weight") -> boosting.Booster:
+    """ML-3: one softmax model of all classes, balanced class weights."""
+    return boosting.train(train, feats, p.booster, boosting.SOFTMAX, RISK_CLASSES, weight=weight)[0]
 
 
 def class_scores(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
@@ -195,11 +214,20 @@ def _trained(p, name: str, train: DataFrame, feats: list[str], estimator) -> Pip
     return load(save(model, f"{p.model_root}/{name}")) if p.model_root else model
 
 
+def _kept(p, name: str, model: boosting.Booster) -> boosting.Booster:
+    """Save below the job's folder and load again, likewise."""
+    if not p.model_root:
+        return model
+    spark = p.t["customers"].sparkSession
+    return boosting.load(spark, boosting.save(model, spark, f"{p.model_root}/{name}"))
+
+
 def score_ar(p, params: ModelParams = S1_PARAMS) -> DataFrame:
     """S1 scoring with trained models: pred_primary (GBT) and pred_baseline (RF) for every paid invoice."""
     d, feats = _s1_design_labelled(p)
     train = compact(d.filter(F.col("is_train")))
-    a = predict(_trained(p, "s1_primary", train, feats, gbt_regressor(params)), d, ["invoice_id"], "pred_primary")
+    primary = _kept(p, "s1_primary", primary_regressor(train, feats, params))
+    a = boosting.predict(d, primary, ["invoice_id"], "pred_primary")
     b = predict(_trained(p, "s1_baseline", train, feats, rf_regressor(params)), d, ["invoice_id"], "pred_baseline")
     return p.ar_labelled.join(a, "invoice_id").join(b, "invoice_id")
 
@@ -224,7 +252,8 @@ def score_ap(p, params: ModelParams = S2_PARAMS) -> DataFrame:
     """S2 scoring: the adjustment in days to the vendor's terms, for every paid bill."""
     d, feats = _s2_design_labelled(p)
     train = compact(d.filter(F.col("is_train")))
-    a = predict(_trained(p, "s2_primary", train, feats, gbt_regressor(params)), d, ["bill_id"], "pred_primary")
+    primary = _kept(p, "s2_primary", primary_regressor(train, feats, params))
+    a = boosting.predict(d, primary, ["bill_id"], "pred_primary")
     b = predict(_trained(p, "s2_baseline", train, feats, rf_regressor(params)), d, ["bill_id"], "pred_baseline")
     return p.ap_labelled.join(a, "bill_id").join(b, "bill_id")
 
@@ -240,3 +269,15 @@ def risk_design(p):
     train = tr.class_weights(x.filter(F.col("is_train")), "label")
     train = cut_lineage(train.withColumn("class_weight_squared", F.col("class_weight") * F.col("class_weight")))
     return x, train, CR_FEATURES
+
+
+def score_risk(p, params: ModelParams = RISK_PARAMS) -> DataFrame:
+    """Every customer's risk class by the trained models: customer_id, label, is_train, prediction, prob_0.. (primary), baseline_class."""
+    x, train, feats = risk_design(p)
+    train = compact(train)
+    primary = _kept(p, "risk_primary", primary_classifier(train, feats, params))
+    a = boosting.predict(x, primary, ["customer_id", "label", "is_train"])
+    a = a.select("customer_id", "label", "is_train", "prediction",
+                 *[F.get("probability", F.lit(c)).alias(f"prob_{c}") for c in range(RISK_CLASSES)])
+    baseline = _trained(p, "risk_baseline", train, feats, rf_classifier(params))
+    return a.join(predict(baseline, x, ["customer_id"], "baseline_class"), "customer_id")

@@ -62,22 +62,29 @@ def publish_position(p: Pipeline, root: str) -> dict[str, str]:
             "monthly": files.write_table(po.monthly_position(daily), f"{root}/s7/monthly_position")}
 
 
+def publish_risk(p: Pipeline, root: str) -> str:
+    """The risk model's classes and probabilities per customer."""
+    return files.write_table(p.risk_scored, f"{root}/risk_predictions")
+
+
 def publish_recommendations(p: Pipeline, root: str) -> str:
     """SNK-4."""
     return files.write_table(p.recommendations, f"{root}/recommendations")
 
 
 def publish_all(spark: SparkSession, sf_dir: str, root: str | None = None, p: Pipeline | None = None) -> dict:
-    """The whole job.  S1 and S2 are scored by models that this run trains on the labelled documents, saves under ``root`` and
-    loads again for scoring."""
+    """The whole job.  S1, S2 and customer risk are scored by models that this run trains on the labelled documents, saves under
+    ``root`` and loads again for scoring."""
     root = root or store_root(spark)
     p = p or Pipeline(StagedInputs(spark, sf_dir, f"{root}/inputs"))
     if p.predictions == "model" and p.model_root is None:
         p.model_root = f"{root}/models"
     out = {"features": publish_features(p, root), "forecasts": publish_forecasts(p, root),
            "position": publish_position(p, root), "recommendations": publish_recommendations(p, root)}
+    if p.predictions == "model":
+        out["risk"] = publish_risk(p, root)
     return out
 
 
-__all__ = ["publish_all", "publish_features", "publish_forecasts", "publish_position", "publish_recommendations",
+__all__ = ["publish_all", "publish_features", "publish_forecasts", "publish_position", "publish_recommendations", "publish_risk",
            "store_root"]

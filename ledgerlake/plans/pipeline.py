@@ -105,6 +105,11 @@ class Pipeline:
             return pp.pseudo_predictions(self.ap_labelled, "bill_id", "adjustment_delta")
         return self._stage(models.score_ap(self, self.s2_params), "ap_scored")
 
+    @cached_property
+    def risk_scored(self) -> DataFrame:
+        """Customers' risk classes and class probabilities by the trained risk models."""
+        return self._stage(models.score_risk(self, self.risk_params), "risk_scored")
+
     @cached_property
     def s1_predictions(self) -> DataFrame:
         return pp.ar_predictions(self.ar_scored, self.cfg)

@@ -1,6 +1,7 @@
-"""Query catalogue: MLlib models at their configured sizes.
+"""Query catalogue: the models at their configured sizes.
 
-Model numbers are never compared with an oracle.  Each query returns the rows its model covers with properties that must
+Model numbers can't be stated in SQL: the queries that return them (``:predictions``, ``:scores``, ``:importances``, ...) have no oracle.
+Beside them each query returns the rows its model covers with properties that must
 hold (finite, class scores sum to 1, a saved model predicts the same, better than a constant), and the oracle has the
 same rows with all properties true.  A model that several queries use is fitted once per application and input folder.
 """
@@ -10,9 +11,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlake.operators import boosting as bo
 from ledgerlake.operators import models as ml
 from ledgerlake.plans.registry import pipe, reg
-from ledgerlake.session import run_dir
+from ledgerlake.session import cut_lineage, run_dir
 
 
 def _kept(spark, d, name, make):
@@ -46,9 +48,9 @@ def _risk(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
 
 def _model(spark, d, name) -> PipelineModel:
     design, estimator = {
-        "s1_gbt": (_s1, lambda: ml.gbt_regressor(ml.S1_PARAMS)), "s1_rf": (_s1, lambda: ml.rf_regressor(ml.S1_PARAMS)),
+        "s1_rf": (_s1, lambda: ml.rf_regressor(ml.S1_PARAMS)),
         "s2_rf": (_s2, lambda: ml.rf_regressor(ml.S2_PARAMS)),
-        "risk_gbt": (_risk, lambda: ml.gbt_multiclass(ml.RISK_PARAMS)), "risk_rf": (_risk, lambda: ml.rf_classifier(ml.RISK_PARAMS)),
+        "risk_rf": (_risk, lambda: ml.rf_classifier(ml.RISK_PARAMS)),
     }[name]
 
     def make():
@@ -57,6 +59,24 @@ def _model(spark, d, name) -> PipelineModel:
     return _kept(spark, d, name, make)
 
 
+def _booster(spark, d, name) -> bo.Booster:
+    design, make = {"s1": (_s1, lambda t, f: ml.primary_regressor(t, f, ml.S1_PARAMS)),
+                    "s2": (_s2, lambda t, f: ml.primary_regressor(t, f, ml.S2_PARAMS)),
+                    "risk": (_risk, lambda t, f: ml.primary_classifier(t, f, ml.RISK_PARAMS))}[name]
+
+    def made():
+        _, train, feats = design(spark, d)
+        return make(train, feats)
+    return _kept(spark, d, f"{name}_booster", made)
+
+
+def _boosted(spark, d, name, id_col, rows=None) -> DataFrame:
+    """Scored rows by the primary model: id, label, is_train, prediction (and probability)."""
+    data, _, _ = {"s1": _s1, "s2": _s2, "risk": _risk}[name](spark, d)
+    got = bo.predict(data if rows is None else data.filter(rows), _booster(spark, d, name), [id_col, "label", "is_train"])
+    return got.withColumn("finite", _finite("prediction"))
+
+
 def _finite(c: str) -> Column:
     x = F.col(c)
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
@@ -82,12 +102,27 @@ QUALITY = "SELECT count(*) AS rows, true AS all_finite, true AS beats_constant F
 
 @reg("ML-1", "invoice_id:i label:d is_train finite", ROWS)
 def q_gbt(spark, d):
-    return _scored(spark, d, _s1, "s1_gbt", "invoice_id")
+    return _boosted(spark, d, "s1", "invoice_id")
+
+
+@reg("ML-1:predictions", "invoice_id:i label:d is_train prediction:d")
+def q_gbt_predictions(spark, d):
+    return _boosted(spark, d, "s1", "invoice_id")
+
+
+@reg("ML-1:s2", "rows:i all_finite beats_constant", QUALITY.replace("s1_split", "s2_split"))
+def q_gbt_s2(spark, d):
+    return _quality(_boosted(spark, d, "s2", "bill_id"))
+
+
+@reg("ML-1:s2_predictions", "bill_id:i label:d is_train prediction:d")
+def q_gbt_s2_predictions(spark, d):
+    return _boosted(spark, d, "s2", "bill_id")
 
 
 @reg("ML-1:quality", "rows:i all_finite beats_constant", QUALITY)
 def q_gbt_quality(spark, d):
-    return _quality(_scored(spark, d, _s1, "s1_gbt", "invoice_id"))
+    return _quality(_boosted(spark, d, "s1", "invoice_id"))
 
 
 @reg("ML-2", "invoice_id:i label:d is_train finite", ROWS)
@@ -118,8 +153,27 @@ RISK = "SELECT customer_id, CAST(target AS DOUBLE) AS label, true AS sums_to_one
 
 @reg("ML-3", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_test"))
 def q_ovr(spark, d):
+    return _sound(_boosted(spark, d, "risk", "customer_id", ~F.col("is_train")))
+
+
+def _with_chances(scored: DataFrame) -> DataFrame:
+    return scored.select("*", *[F.get("probability", F.lit(c)).alias(f"prob_{c}") for c in range(ml.RISK_CLASSES)])
+
+
+@reg("ML-3:predictions", "customer_id:i label:d is_train prediction:d prob_0:d prob_1:d prob_2:d")
+def q_softmax_predictions(spark, d):
+    return _with_chances(_boosted(spark, d, "risk", "customer_id"))
+
+
+@reg("ML-2:predictions", "invoice_id:i label:d is_train prediction:d")
+def q_rf_predictions(spark, d):
+    return _scored(spark, d, _s1, "s1_rf", "invoice_id")
+
+
+@reg("ML-4:predictions", "customer_id:i label:d prediction:d prob_0:d prob_1:d prob_2:d")
+def q_rfc_predictions(spark, d):
     x, _, _ = _risk(spark, d)
-    return _sound(ml.class_scores(_model(spark, d, "risk_gbt"), x.filter(~F.col("is_train")), ["customer_id", "label"]))
+    return _with_chances(ml.predict(_model(spark, d, "risk_rf"), x, ["customer_id", "label"]))
 
 
 @reg("ML-4", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_test"))
@@ -128,20 +182,56 @@ def q_rfc(spark, d):
     return _sound(ml.predict(_model(spark, d, "risk_rf"), x.filter(~F.col("is_train")), ["customer_id", "label"]))
 
 
+def _folds(spark, d, name) -> DataFrame:
+    """Held-out scores of the primary model, one row a fold (bounded), all folds trained in the same passes."""
+    def make():
+        if name == "s1":
+            _, train, feats = _s1(spark, d)
+            p = ml.S1_PARAMS
+            got = bo.cross_validate(train, feats, p.booster, "mae", p.folds, "invoice_id")
+        else:
+            _, train, feats = _risk(spark, d)
+            p = ml.RISK_PARAMS
+            got = bo.cross_validate(train, feats, p.booster, "f1_macro", p.folds, "customer_id", bo.SOFTMAX, ml.RISK_CLASSES)
+        return cut_lineage(got, f"cv_{name}")
+    return _kept(spark, d, f"{name}_folds", make)
+
+
+def _summary(folds: DataFrame, metric: str) -> DataFrame:
+    return folds.agg(F.lit(metric).alias("metric"), F.avg("score").alias("cv_mean"), F.stddev_pop("score").alias("cv_std"),
+                     F.count(F.lit(1)).alias("folds"))
+
+
 @reg("ML-6", "metric folds:i finite", "SELECT 'mae' AS metric, 5 AS folds, true AS finite")
 def q_cv(spark, d):
-    _, train, feats = _s1(spark, d)
-    p = ml.S1_PARAMS
-    return ml.cross_validate(train, feats, ml.rf_regressor(p), "mae", p.folds, id_col="invoice_id").withColumn(
-        "finite", _finite("cv_mean") & _finite("cv_std"))
+    return _summary(_folds(spark, d, "s1"), "mae").withColumn("finite", _finite("cv_mean") & _finite("cv_std"))
+
+
+@reg("ML-6:scores", "metric cv_mean:d cv_std:d folds:i")
+def q_cv_scores(spark, d):
+    return _summary(_folds(spark, d, "s1"), "mae").unionByName(_summary(_folds(spark, d, "risk"), "f1_macro"))
+
+
+@reg("ML-6:folds", "fold:i rows:i score:d")
+def q_cv_folds(spark, d):
+    return _folds(spark, d, "s1")
 
 
 @reg("ML-6:f1", "metric folds:i better_than_chance", "SELECT 'f1_macro' AS metric, 5 AS folds, true AS better_than_chance")
 def q_cv_f1(spark, d):
-    _, train, feats = _risk(spark, d)
-    p = ml.RISK_PARAMS
-    return ml.cross_validate(train, feats, ml.rf_classifier(p), "f1_macro", p.folds, id_col="customer_id").withColumn(
-        "better_than_chance", F.col("cv_mean") > 1 / 3)
+    return _summary(_folds(spark, d, "risk"), "f1_macro").withColumn("better_than_chance", F.col("cv_mean") > 1 / 3)
+
+
+@reg("ML-7:importances", "model feature importance:d rank:i")
+def q_importances(spark, d):
+    """Top ten features of the three boosters by how often they split a leaf, and of the S1 forest."""
+    rows = []
+    for name in ("s1", "s2", "risk"):
+        m = _booster(spark, d, name)
+        top = sorted(zip(m.features, m.importance()), key=lambda r: (-r[1], r[0]))[:10]
+        rows += [(name, f, float(v), i + 1) for i, (f, v) in enumerate(top)]
+    forest = ml.importances(_model(spark, d, "s1_rf"), _s1(spark, d)[2], 10).withColumn("model", F.lit("s1_forest"))
+    return spark.createDataFrame(rows, "model string, feature string, importance double, rank int").unionByName(forest)
 
 
 @reg("ML-7", "rank:i known ordered", "SELECT i + 1 AS rank, true AS known, true AS ordered FROM range(10) r(i)")
@@ -156,8 +246,7 @@ def q_importance(spark, d):
 
 @reg("ML-8", "customer_id:i label:d sums_to_one label_is_largest", RISK.format("risk_eval"))
 def q_predict_proba(spark, d):
-    x, _, _ = _risk(spark, d)
-    return _sound(ml.class_scores(_model(spark, d, "risk_gbt"), x, ["customer_id", "label"]))
+    return _sound(_boosted(spark, d, "risk", "customer_id"))
 
 
 @reg("QY-8:model", "customer_id:i known_class", "SELECT customer_id, true AS known_class FROM risk_eval")

@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -79,6 +81,23 @@ def cut_lineage(df, name: str | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python (once for each application; not needed where they share the driver's files)."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and not sc.master.startswith("local-cluster") or sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).parent
+    file = Path(tempfile.mkdtemp(prefix="ledgerlake-py-")) / "ledgerlake_lib.zip"
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(file))                           # Spark's own file server hands it out
+    _SHIPPED.add(sc.applicationId)
+
+
 def release_stages(spark: SparkSession) -> None:
     """Delete the tables this run materialised (call when no frame that reads them is needed any more)."""
     sc = spark.sparkContext

@@ -18,9 +18,12 @@ def _few(p):
 def test_the_job_trains_saves_and_scores_models(spark, tmp_path):
     p = Pipeline(StagedInputs(spark, SMALL, str(tmp_path / "in")))
     assert p.predictions == "model"
-    p.s1_params, p.s2_params = _few(p.s1_params), _few(p.s2_params)
+    p.s1_params, p.s2_params, p.risk_params = _few(p.s1_params), _few(p.s2_params), _few(p.risk_params)
     out = publish_all(spark, SMALL, str(tmp_path / "out"), p)
-    assert {x.name for x in (tmp_path / "out/models").iterdir()} == {"s1_primary", "s1_baseline", "s2_primary", "s2_baseline"}
+    assert {x.name for x in (tmp_path / "out/models").iterdir()} == {
+        f"{x}_{y}" for x in ("s1", "s2", "risk") for y in ("primary", "baseline")}
+    risk = spark.read.parquet(out["risk"])
+    assert risk.count() == p.risk_eval.count() and risk.filter("abs(prob_0 + prob_1 + prob_2 - 1) > 1e-9").count() == 0
     fo = spark.read.parquet(out["forecasts"])
     assert {r[0] for r in fo.select("source_module").distinct().collect()} >= {"S1", "S2"}
     scored = p.ar_scored

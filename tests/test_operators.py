@@ -217,7 +217,8 @@ def test_inputs_are_staged_on_first_read_only(spark, tmp_path):
 def test_equal_base_names_do_not_meet(spark, tmp_path):
     import shutil
     for k, rows in (("a", 5), ("b", 7)):
-        shutil.copytree("/root/testdata/sf0.001", tmp_path / k / "sf")
+        shutil.copytree("/root/testdata/sf0.001", tmp_path / k / "sf", copy_function=shutil.copyfile)
+        (tmp_path / k / "sf").chmod(0o755)
         spark.read.parquet("/root/testdata/sf0.001/customer.parquet").limit(rows).toPandas().to_parquet(tmp_path / k / "sf/customer.parquet")
     frames = [registry.tables(spark, str(tmp_path / k / "sf"))["customers"] for k in ("a", "b")]
     assert [f.count() for f in frames] == [5, 7]
