@@ -25,7 +25,7 @@ def store_root(spark: SparkSession, name: str = "store") -> str:
 
 
 def publish_features(p: Pipeline, root: str) -> dict[str, str]:
-    """SNK-1: the six feature tables, partitioned by feature_date."""
+    """SNK-1: the six feature tables, partitioned by feature_date; earlier dates stay."""
     tables = {
         "customer_features": p.customer_features, "customer_payment_scores": p.payment_scores,
         "invoice_features": p.invoice_features, "collections_features": p.collections_features,
@@ -33,8 +33,9 @@ def publish_features(p: Pipeline, root: str) -> dict[str, str]:
     }
     out = {}
     for name, df in tables.items():
-        part = ["feature_date"] if "feature_date" in df.columns else (["score_date"] if "score_date" in df.columns else None)
-        out[name] = files.write_table(df, f"{root}/features/{name}", part)
+        date = next((c for c in ("feature_date", "score_date") if c in df.columns), None)
+        path = f"{root}/features/{name}"
+        out[name] = files.write_dated(df, path, date) if date else files.write_table(df, path)
     return out
 
 

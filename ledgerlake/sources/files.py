@@ -83,6 +83,13 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     return path
 
 
+def write_dated(df: DataFrame, path: str, date_col: str) -> str:
+    """SNK-1: a table with one partition a date.  A run replaces the partitions of its own dates, when all its rows are
+    written, and leaves every other date as it is, so features of several dates stay side by side."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
+    return path
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV export (header, one part file per task; no single-file coalesce), timestamps to the microsecond."""
     df.write.mode("overwrite").option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").option(

@@ -230,3 +230,32 @@ def test_malformed_csv_dates_become_null(spark, tmp_path, table):
     (tmp_path / "x.csv").write_text(f"{col}\n2001-01-31\n2001-02-30\nsoon\n\n")
     got = files.read_raw_csv(spark, str(tmp_path / "x.csv"), T.StructType([T.StructField(col, T.DateType())]), table)
     assert [r[0] for r in got.collect()] == [D(2001, 1, 31), None, None]
+
+
+def test_feature_dates_stay_side_by_side(spark, tmp_path):
+    path = str(tmp_path / "features")
+    first = spark.createDataFrame([(1, "a", "2001-08-01"), (2, "b", "2001-08-01")], "id long, x string, feature_date string")
+    second = spark.createDataFrame([(1, "c", "2001-08-02")], first.schema)
+    again = spark.createDataFrame([(3, "d", "2001-08-01")], first.schema)
+    for df in (first, second, again):
+        files.write_dated(df, path, "feature_date")
+    got = {(r.id, r.x, str(r.feature_date)) for r in spark.read.parquet(path).collect()}
+    assert got == {(1, "c", "2001-08-02"), (3, "d", "2001-08-01")}
+    files.write_dated(first.filter("false"), path, "feature_date")
+    assert spark.read.parquet(path).count() == 2
+
+
+def test_two_reference_dates_of_the_job(spark, tmp_path):
+    import datetime as dt
+    from dataclasses import replace
+    from ledgerlake.config import DEFAULT
+    from ledgerlake.plans.jobs import publish_features
+    from ledgerlake.plans.pipeline import Pipeline
+    t = StagedInputs(spark, "/root/testdata/sf0.001", str(tmp_path / "in"))
+    n = {}
+    for day in (DEFAULT.reference_date, DEFAULT.reference_date + dt.timedelta(days=1)):
+        p = Pipeline(t, replace(DEFAULT, reference_date=day), predictions="pseudo")
+        out = publish_features(p, str(tmp_path / "out"))
+        n[str(day)] = p.invoice_features.count()
+    got = spark.read.parquet(out["invoice_features"]).groupBy("feature_date").count().collect()
+    assert {str(r["feature_date"]): r["count"] for r in got} == n and len(n) == 2
