@@ -547,17 +547,16 @@ def event_store_sql(mods=("S1", "S2", "S3", "S4", "S5", "S6")) -> str:
 
 
 block("events_raw", event_store_sql())
+# the days that a winner covers come from one window over the events, which are read once
 block("event_store", """
 SELECT e.*, reason <> '' AS suppressed, reason AS suppression_reason FROM (
-  SELECT e.*, CASE
-      WHEN source_module = 'S6' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S2')
-        THEN 'DEDUP_S6_TO_S2'
-      WHEN source_module = 'S3' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S1')
-        THEN 'DEDUP_S3_TO_S1'
-      WHEN source_module = 'S4' AND target_date IN (SELECT target_date FROM events_raw WHERE source_module = 'S1')
-        THEN 'DEDUP_S4_TO_S1'
+  SELECT e.* EXCLUDE (s1_day, s2_day), CASE
+      WHEN source_module = 'S6' AND s2_day THEN 'DEDUP_S6_TO_S2'
+      WHEN source_module = 'S3' AND s1_day THEN 'DEDUP_S3_TO_S1'
+      WHEN source_module = 'S4' AND s1_day THEN 'DEDUP_S4_TO_S1'
       ELSE '' END AS reason
-  FROM events_raw e) e""")
+  FROM (SELECT r.*, bool_or(source_module = 'S1') OVER (PARTITION BY target_date) AS s1_day,
+               bool_or(source_module = 'S2') OVER (PARTITION BY target_date) AS s2_day FROM events_raw r) e) e""")
 block("active_events", "SELECT * FROM event_store WHERE NOT suppressed")
 block("daily_position", f"""
 SELECT date, gross_inflow, gross_outflow, net_flow,
