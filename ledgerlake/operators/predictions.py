@@ -28,6 +28,11 @@ def _as_days(c):
     return clip(c, lo=0.0).cast("int")
 
 
+def predicted_dates(scored: DataFrame) -> DataFrame:
+    """Scored invoices with the date on which PP-1 expects their payment."""
+    return scored.withColumn("predicted_payment_date", F.date_add("invoice_date", _as_days(half_even(F.col("pred_primary"), 1))))
+
+
 def ar_predictions(scored: DataFrame, cfg: Settings = DEFAULT) -> DataFrame:
     """PP-1..PP-3: S1 ``payment_predictions`` from scored invoices
     (invoice_id, invoice_date, invoice_amount, primary, baseline)."""
