@@ -1,4 +1,6 @@
 """Operators 3, 6, 7, 8 and 10, and the pipeline."""
+import hashlib
+import re
 import math
 from collections import Counter, defaultdict
 
@@ -130,6 +132,44 @@ def test_chat_round_trip(spark):
     assert chat.examples(df.limit(0)).count() == 0
 
 
+def _chat_by_hand(turns):
+    """(n_turns, turns, loss, formatted lengths) per conversation from plain Python, in turn order."""
+    def esc(x):
+        return re.sub(r"([<\[])(\\*)(/?s>|/?INST\]|\|)", r"\1\\\2\3", x)
+    out = defaultdict(list)
+    for c, t, r, x in sorted(turns, key=lambda v: (v[0] is None, v[0] or 0, v[1] is not None, v[1] or 0, v[2] or "", v[3] or "")):
+        out[c].append((r or "", x or ""))
+    res = {}
+    for c, rows in out.items():
+        total, chars = 0, 0
+        for i, (r, x) in enumerate(rows):
+            total += len("<|" + r.replace("%", "%25").replace("|", "%7C").replace("<", "%3C") + "|>" + esc(x) + "</s>")
+            chars += total if r == "assistant" or i == len(rows) - 1 else 0
+        whole = "".join(f"{r}\n{x}\n" for r, x in rows)
+        loss = "".join(x for r, x in rows if r == "assistant")
+        res[c] = (len(rows), hashlib.sha256(whole.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
+    return res
+
+
+def test_chat_hot_conversation_lies_in_many_tasks(spark):
+    """A third of all turns in one conversation, a third with a null id, ties and null turns: digests as by hand."""
+    turns = [(7, i, ("user", "assistant")[i % 2], f"turn {i} <|x") for i in range(600)]
+    turns += [(None, i % 50, ("user", "assistant", "a|b")[i % 3], None if i % 7 == 0 else f"</s> é😀 {i % 5}") for i in range(600)]
+    turns += [(100 + i // 6, None if i % 6 == 0 else i, "assistant" if i % 4 else "user", "[INST]" * (i % 3)) for i in range(600)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("start", F.lit(1))
+    spread = chat.formatted_turns(df)
+    assert spread.filter("conv = 7").count() == 600 and spread.filter("closing").count() == 102
+    got = {r.conv_id: tuple(r)[1:] for r in chat.contract(spark, df).collect()}
+    want = _chat_by_hand(turns + [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")])
+    assert got == want
+    # the spans are the examples
+    ex = {(r.conv, len(r.formatted)): (r.loss_start, r.loss_end) for r in chat.examples(df).collect()}
+    sp = {(r.conv, r.formatted_chars): (r.loss_start, r.loss_end)
+          for r in chat.spans(spread).filter("formatted_chars IS NOT NULL").collect()}
+    assert ex == sp
+    assert chat.formatted_turns(df.limit(0)).count() == 0 and chat.contract(spark, df.limit(0)).count() == 1
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------
 
 def test_statistics_by_hand():
