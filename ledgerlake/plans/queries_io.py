@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.plans import jobs
 from ledgerlake.plans.registry import FIXTURE_KINDS, pipe, reg
-from ledgerlake.sources import files
+from ledgerlake.sources import files, quarantine
 
 
 def _root(spark, d):
@@ -143,3 +143,90 @@ def _register_csv(name):
 
 for _name in RAW:
     _register_csv(_name)
+
+
+# --- bad lines and values, with their reasons -----------------------------------------------
+# What the dirty export does to a row, by its key k: a field missing (k % 13 = 1), one too many (2), a key that is no number
+# (k % 11 = 5), a date in words (k % 10 = 0), an amount in words (k % 7 = 3).
+def _row_key(name):
+    key, kind = FIXTURE_KINDS[name][0]
+    return "reference_id" if kind != "i" else key
+
+
+def _dirty(spark, d, name):
+    """The table's rows as CSV text with faults in them, scanned with quarantine."""
+    t = pipe(spark, d).t[name]
+    k, kinds = F.col(_row_key(name)), dict(FIXTURE_KINDS[name])
+    cols = []
+    for i, c in enumerate(t.columns):
+        x = F.col(c).cast("string")
+        if i == 0 and kinds[c] == "i":
+            x = F.when(k % 11 == 5, "n/a").otherwise(x)
+        elif c in files.DATE_COLUMNS.get(name, [])[:1]:
+            x = F.when(k % 10 == 0, "soon").otherwise(x)
+        elif kinds[c] == "d":
+            x = F.when(k % 7 == 3, "much").otherwise(x)
+        cols.append(x.alias(c))
+    line = F.when(k % 13 == 1, F.to_csv(F.struct(*cols[:-1]))).when(k % 13 == 2, F.concat(F.to_csv(F.struct(*cols)), F.lit(",more")))
+    path = f"{_root(spark, d)}/raw/dirty_{name}_{uuid.uuid4().hex[:8]}"
+    t.select(line.otherwise(F.to_csv(F.struct(*cols))).alias("value")).write.text(path)
+    return quarantine.scan_csv(spark, path, t.schema, name, header=False)
+
+
+def _dirty_sql(name):
+    k, (first, kind) = _row_key(name), FIXTURE_KINDS[name][0]
+    dates, amounts = files.DATE_COLUMNS.get(name, [])[:1], [c for c, x in FIXTURE_KINDS[name] if x == "d"]
+    shape = f"{k} % 13 IN (1, 2)"
+    no_key = f"{k} % 11 = 5" if kind == "i" else "FALSE"
+    return k, shape, no_key, dates, amounts
+
+
+def _quarantine_sql(name):
+    k, shape, no_key, dates, amounts = _dirty_sql(name)
+    return f"""SELECT '{name}' AS table_name, count(*) AS rows_read, count(*) FILTER (NOT ({shape} OR {no_key})) AS kept,
+      count(*) FILTER ({shape}) AS bad_shape, count(*) FILTER (NOT ({shape}) AND {no_key}) AS bad_key FROM {name}"""
+
+
+@reg("SRC-1:quarantine", "table_name rows_read:i kept:i bad_shape:i bad_key:i", " UNION ALL ".join(_quarantine_sql(n) for n in RAW))
+def q_quarantine(spark, d):
+    """Every line of the eight raw tables is kept or quarantined."""
+    parts = []
+    for name in RAW:
+        s = _dirty(spark, d, name)
+        rows = (s.raw.select(F.lit("read").alias("what")).unionAll(s.kept.select(F.lit("kept")))
+                .unionAll(s.quarantined.select("reason")))
+        parts.append(rows.agg(F.lit(name).alias("table_name"), F.count_if(F.col("what") == "read").alias("rows_read"),
+                              F.count_if(F.col("what") == "kept").alias("kept"),
+                              F.count_if(F.col("what") == quarantine.SHAPE).alias("bad_shape"),
+                              F.count_if(F.col("what") == quarantine.KEY).alias("bad_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rejects_sql(name):
+    k, shape, no_key, dates, amounts = _dirty_sql(name)
+    return [f"SELECT '{name}' AS table_name, '{c}' AS column_name, '{v}' AS value, count(*) AS rejected FROM {name} "
+            f"WHERE NOT ({shape} OR {no_key}) AND {k} % {m} = {r} HAVING count(*) > 0"
+            for cs, v, m, r in ((dates, "soon", 10, 0), (amounts, "much", 7, 3)) for c in cs]
+
+
+@reg("SRC-2:rejects", "table_name column_name value rejected:i", " UNION ALL ".join(q for n in RAW for q in _rejects_sql(n)))
+def q_rejects(spark, d):
+    """Values that became null, by table, column and text."""
+    parts = [_dirty(spark, d, n).rejected.groupBy(F.lit(n).alias("table_name"), F.col("column").alias("column_name"), "value")
+             .agg(F.count(F.lit(1)).alias("rejected")) for n in RAW]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@reg("SNK-1:snapshot", "customer_id:i feature_date payment_volatility:d invoice_count:i version:i", """
+SELECT customer_id, '2001-08-01' AS feature_date, payment_volatility + 1 AS payment_volatility, invoice_count, 3 AS version FROM customer_features
+UNION ALL SELECT customer_id, feature_date, payment_volatility + 2, invoice_count, 3 FROM customer_features""")
+def q_snapshot(spark, d):
+    """Two dates published, the second again with other values: readers see the first date and the second's last run."""
+    from ledgerlake.sources import snapshots
+    cf = pipe(spark, d).customer_features.select("customer_id", "feature_date", "payment_volatility", "invoice_count")
+    root = f"{_root(spark, d)}/snapshots_{uuid.uuid4().hex[:8]}"
+    runs = [("a", F.lit("2001-08-01"), 1), ("b", F.col("feature_date"), 0), ("c", F.col("feature_date"), 2)]
+    for run, date, plus in runs:
+        df = cf.withColumn("feature_date", date).withColumn("payment_volatility", F.col("payment_volatility") + plus)
+        version = snapshots.publish(spark, root, {"customer_features": (df, "feature_date")}, run)
+    return snapshots.read(spark, root, "customer_features").withColumn("version", F.lit(version))
