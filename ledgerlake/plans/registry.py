@@ -161,3 +161,4 @@ from ledgerlake.plans import queries_models  # noqa: E402,F401
 from ledgerlake.plans import queries_io  # noqa: E402,F401
 from ledgerlake.plans import queries_streaming  # noqa: E402,F401
 from ledgerlake.plans import queries_sketches  # noqa: E402,F401
+from ledgerlake.plans import queries_incremental  # noqa: E402,F401
