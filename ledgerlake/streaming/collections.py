@@ -67,6 +67,13 @@ def run_to_completion(agg: DataFrame, out: str, ckpt: str) -> None:
     q.awaitTermination()
 
 
+def run_appended(rows: DataFrame, out: str, ckpt: str) -> None:
+    """Drive an append-mode query over all available input into a Parquet sink (exactly once)."""
+    q = (rows.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", ckpt)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     """Current state = the most recent update per key."""
     df = spark.read.parquet(out)
@@ -74,7 +81,7 @@ def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.max_by(c, "_batch").alias(c) for c in vals])
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
+def paths(spark: SparkSession, name: str) -> tuple[str, str]:
     run = uuid.uuid4().hex[:12]
     base = f"{checkpoint_dir(spark)}/streams/{name}/{run}"
     return f"{base}/out", f"{base}/checkpoint"
@@ -82,7 +89,7 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
 
 def collections_stream_features(spark: SparkSession, sf_dir: str, cfg: Settings = DEFAULT) -> DataFrame:
     """ST-1: run the stream, then express the state as collections features."""
-    out, ckpt = _paths(spark, "collections")
+    out, ckpt = paths(spark, "collections")
     run_to_completion(invoice_state(event_stream(spark, sf_dir)), out, ckpt)
     s = latest(spark, out, ["invoice_id"])
     return s.select(
@@ -95,7 +102,7 @@ def collections_stream_features(spark: SparkSession, sf_dir: str, cfg: Settings
 
 def reminder_velocity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST-2: run the windowed stream and return (day, customer_id, reminders)."""
-    out, ckpt = _paths(spark, "reminders")
+    out, ckpt = paths(spark, "reminders")
     run_to_completion(reminder_windows(event_stream(spark, sf_dir)), out, ckpt)
     s = latest(spark, out, ["window", "customer_id"])
     return s.select(F.to_date(F.col("window.start")).alias("day"), "customer_id", "reminders")
