@@ -237,3 +237,16 @@ def q_whole_monthly(spark, d):
 @reg("QY-18:recommendations", REC + " rank:i", "recommendations")
 def q_whole_recommendations(spark, d):
     return pipe(spark, d).recommendations
+
+
+@reg("QY-3:clustered", "customer_id:i avg_payment_delay:d payment_volatility:d invoice_count:i",
+     "SELECT * FROM customer_features WHERE customer_id % 100 = 0")
+def q_clustered_lookup(spark, d):
+    """Features of a batch of customers from the store clustered by customer."""
+    import uuid
+
+    from ledgerlake.plans.jobs import store_root
+    from ledgerlake.sources import clustered
+    cf = pipe(spark, d).customer_features
+    path = clustered.write_clustered(cf, f"{store_root(spark, 'clustered')}/{uuid.uuid4().hex[:8]}", "customer_id")
+    return clustered.lookup(spark, path, "customer_id", pipe(spark, d).t["customers"].select("customer_id").filter("customer_id % 100 = 0"))
