@@ -9,7 +9,7 @@ the start state is one macro transition; its total is memoised in a bounded tabl
 A text is cut into chunks at arbitrary code points.  A chunk's state map is ``(open, head, count, tail)``:
 whatever state the left neighbour ends in, it is a pre-token start after ``head`` (up to the chunk's
 first synchronising position), ``count`` tokens follow, and ``tail`` is what the chunk leaves open.  A chunk without
-such a position is ``open``: its map is just its text.  Maps compose associatively (``compose``), so
+such a position (one run of letters or digits, or of blanks and marks, throughout) is ``open``: its map is just its text.  Maps compose associatively (``compose``), so
 the chunks of a text are scanned in parallel and combined in one aggregation.
 """
 from __future__ import annotations
@@ -29,8 +29,11 @@ CHUNK, MEMO, PAIRS = 1 << 16, 1_200_000, 800_000
 LIMIT = 512
 # The byte-level BPE's pre-token pattern.
 PRE_TOKEN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
-# A space between two ASCII letters always begins a pre-token, and lies in no special string.
-SYNC = regex.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+# Characters that are letters or digits, and others that are marks, in every version of Unicode.
+WORD, MARK = "A-Za-z0-9\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "\u3001\u3002\u300a-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
+# Positions that always begin a pre-token, whatever stands further left or right: the space between two word characters (it
+# belongs to what follows), and the places between a word character and a mark (no alternative of the pattern holds both).
+SYNC = regex.compile(f"(?<=[{WORD}]) (?=[{WORD}])|(?<=[{WORD}])(?=[{MARK}])|(?<=[{MARK}])(?=[{WORD}])")
 
 
 def byte_letters() -> dict[str, int]:
@@ -59,6 +62,8 @@ class CountTransducer:
                 node = node.setdefault(x, {})
             node[-1] = t
         self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        if any(SYNC.search(t) for t in self.specials):
+            raise ValueError("a special string holds a synchronising position")
         self.split = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.words = Matcher(PRE_TOKEN)
         self.memo: dict[str, int] = {}

@@ -184,6 +184,22 @@ def test_compose_is_associative(fst):
         assert left == token_counts.compose(fst, a, token_counts.compose(fst, b, c))
 
 
+def test_synchronising_positions_in_any_script(fst):
+    """Chinese, Japanese, Korean and digits: maps hold short ends, not texts; cuts anywhere give the library's counts."""
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(5)
+    bits = ["中文字", "，", "。", "カナ", "ひら", "한국", "!", "'s", " ", "  ", "42", "7 8", "x", "é", "😀", "<|endoftext|>", "\n", "「", "」", "’", "ー", "《a》"]
+    for _ in range(400):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))
+        n = len(lib.encode(t, add_special_tokens=False).ids)
+        size = rng.randint(1, 9)
+        maps = [token_counts.chunk_map(fst, t[k:k + size]) for k in range(0, len(t), size)]
+        assert token_counts.closed(fst, token_counts.scan(fst, maps)) == n, (t, size)
+    for t in ("中文字句，再一句。" * 3000, "12 345 6 " * 4000, "한국어 문장 " * 3000):
+        is_open, head, _, tail = token_counts.chunk_map(fst, t)
+        assert not is_open and len(head) + len(tail) < 20
+
+
 def test_token_counts_equal_library(spark):
     texts = odd_texts()
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
