@@ -33,7 +33,8 @@ PRE_TOKEN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?!
 WORD, MARK = "A-Za-z0-9\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", "\u3001\u3002\u300a-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f"
 # Positions that always begin a pre-token, whatever stands further left or right: the space between two word characters (it
 # belongs to what follows), and the places between a word character and a mark (no alternative of the pattern holds both).
-SYNC = regex.compile(f"(?<=[{WORD}]) (?=[{WORD}])|(?<=[{WORD}])(?=[{MARK}])|(?<=[{MARK}])(?=[{WORD}])")
+_SYNC = f"(?<=[{WORD}]) (?=[{WORD}])|(?<=[{WORD}])(?=[{MARK}])|(?<=[{MARK}])(?=[{WORD}])"
+SYNC, LAST_SYNC = regex.compile(_SYNC), regex.compile("(?r)" + _SYNC)
 
 
 def byte_letters() -> dict[str, int]:
@@ -140,24 +141,18 @@ def chunk_map(fst: CountTransducer, text: str) -> tuple[bool, str, int, str]:
     first = SYNC.search(text)
     if first is None:
         return True, text, 0, ""
-    p = first.start()
-    q = p
-    back = len(text)
-    while back > p:                                   # the last synchronising position, looked for from the end
-        lo = max(p, back - 4096)
-        hits = [m.start() for m in SYNC.finditer(text, lo, min(len(text), back + 2))]
-        if hits:
-            q = hits[-1]
-            break
-        back = lo
+    p, q = first.start(), LAST_SYNC.search(text).start()           # the last one is looked for from the end
     return False, text[:p], fst.count(text[p:q]), text[q:]
 
 
-def known_ends(fst: CountTransducer, m: tuple, first: bool, last: bool) -> tuple:
-    """The map of a text's first chunk from the start state, and of its last up to the end of text: nothing stays open there."""
-    is_open, head, n, tail = m
+def known_ends(fst: CountTransducer, text: str, first: bool, last: bool) -> tuple:
+    """The map of a chunk; a text's first chunk is read from the start state, its last up to the end of text: nothing stays open
+    there, and a text of one chunk is read as it is."""
+    if first and last:
+        return False, "", fst.count(text), ""
+    is_open, head, n, tail = m = chunk_map(fst, text)
     if is_open:
-        return (False, "", fst.count(head), "") if first and last else m
+        return m
     return False, "" if first else head, n + (fst.count(head) if first else 0) + (fst.count(tail) if last else 0), "" if last else tail
 
 
@@ -208,7 +203,7 @@ def token_counts(docs: DataFrame, spec: bytes, id_col: str = "doc_id", text_col:
         fst = compiled(shipped.value)
         for b in batches:
             parts = b.column("part").to_pylist()
-            got = [known_ends(fst, chunk_map(fst, p), at == 0, at == end)
+            got = [known_ends(fst, p, at == 0, at == end)
                    for p, at, end in zip(parts, b.column("at").to_pylist(), b.column("end").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("row"), b.column("id"), b.column("at"), pa.array([len(p.encode()) for p in parts], pa.int64()),
