@@ -139,3 +139,31 @@ def test_model_round_trip_and_odd_rows(spark, tmp_path):
     assert bo.predict(df, none, ["id"]).filter("prediction = 0").count() == 400
     same, = bo.train(df.withColumn("y", F.lit(7.0)), FEATURES, p, label="y")
     assert bo.predict(df, same, ["id"]).filter("abs(prediction - 7) < 1e-9").count() == 400
+
+
+def test_passes_use_every_core(spark, monkeypatch):
+    seen = []
+
+    def passes(blocks, tasks, *rest):
+        seen.append((tasks, blocks.count()))
+        return [[]]
+    monkeypatch.setattr(bo, "_in_passes", passes)
+    bo.train(data(spark), FEATURES, bo.BoosterParams(rounds=1, rows_per_task=399), label="y")
+    assert seen and seen[0][0] == spark.sparkContext.defaultParallelism <= seen[0][1]
+
+
+def test_sums_of_pairs_of_features_equal_plain_sums():
+    rng = np.random.default_rng(3)
+    x, g, h = rng.integers(0, 16, (5, 4000)).astype(np.uint8), rng.normal(size=(1, 4000)), rng.random((1, 4000))
+    tree = tuple(map(np.array, ([2, -1, 0, -1, -1], [7, 0, 3, 0, 0], [1, 0, 3, 0, 0], [2, 0, 4, 0, 0], [0.0, 1.0, 0.0, 2.0, 3.0])))
+    features = np.array([0, 2, 4])
+    for n in (4000, 200):                             # pairs of features; one feature at a time
+        got, = bo.pass_sums(x[:, :n], g[:, :n], h[:, :n], np.full(n, -1), 1, 1, [(tree, [4, 1], features)], 16)
+        at = {1: x[2, :n] <= 7, 4: (x[2, :n] > 7) & (x[0, :n] > 3)}
+        for i, node in enumerate((4, 1)):
+            for j, f in enumerate(features):
+                for c, v in enumerate((g[0, :n], np.ones(n), h[0, :n])):
+                    want = [v[at[node] & (x[f, :n] == b)].sum() for b in range(16)]
+                    assert np.abs(got[c, i, j] - want).max() < 1e-9
+    score = bo.add_rounds([[tree]], x, np.zeros((1, 4000)))[0]
+    assert (score == np.where(x[2] <= 7, 1, np.where(x[0] <= 3, 2, 3))).all()
