@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -39,6 +41,24 @@ def prepare_python(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+_MEMOS = []
+
+
+def worker_memo(make):
+    """``lru_cache`` for what a worker process keeps from task to task, until ``release_memos``."""
+    held = lru_cache(maxsize=2)(make)
+    _MEMOS.append(held)
+    return held
+
+
+def release_memos() -> None:
+    """Let go of what other operators' tasks left in this worker process (it serves one task after the other, of all
+    operators); whoever needs it again makes it again."""
+    for held in _MEMOS:
+        held.cache_clear()
+    pa.default_memory_pool().release_unused()
+
+
 def output_schema(df: DataFrame) -> StructType:
     """The columns of ``df``, all nullable: the schema of a Python task that returns them."""
     return StructType([StructField(f.name, f.dataType) for f in df.schema])

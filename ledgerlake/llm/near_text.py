@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import components, prepare_python
+from ledgerlake.llm.common import components, prepare_python, release_memos
 from ledgerlake.session import cut_lineage
 
 SHINGLE, MAX_BITS, SEED = 3, 2, 42
@@ -21,13 +21,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     words = (text or b"").lower().split()            # bytes.lower() maps A-Z only
     if not words:
         return 0
-    spaced = [w + b" " for w in words]
     n = max(1, len(words) - shingle + 1)
     join, h64 = b"".join, xxhash.xxh64_intdigest
     byte_counts = np.zeros(2048, dtype=np.int64)
     for lo in range(0, n, _BLOCK):                   # very long texts: bounded arrays
         hi = min(n, lo + _BLOCK)
-        parts = [spaced[lo + k:hi + k] for k in range(shingle - 1)] + [words[lo + shingle - 1:hi + shingle - 1]]
+        spaced = [w + b" " for w in words[lo:hi + shingle - 2]]
+        parts = [spaced[k:hi - lo + k] for k in range(shingle - 1)] + [words[lo + shingle - 1:hi + shingle - 1]]
         if len(words) < shingle:
             hashes = [h64(b" ".join(words), SEED)]
         else:
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = src.select("id", "text_hash", F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches):
+        release_memos()
         for b in batches:
             fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("raw")), dtype=np.uint64,
                               count=b.num_rows).view(np.int64)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import join_small, output_schema, prepare_python
+from ledgerlake.llm.common import join_small, output_schema, prepare_python, release_memos
 from ledgerlake.session import cut_lineage
 
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\f\r"
@@ -62,6 +62,7 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, group_cols: list[str
     schema = output_schema(src.select(*carried, *[F.lit(0).cast("long").alias(s) for s in STATS]))
 
     def run(batches):
+        release_memos()
         for b in batches:
             cols = list(zip(*map(text_stats, b.column("text").to_pylist()))) or [()] * len(STATS)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in carried), *(pa.array(c, pa.int64()) for c in cols)],

@@ -10,7 +10,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.char_classes import SPACE, Matcher
-from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.common import prepare_python, worker_memo
 from ledgerlake.session import cut_lineage
 
 CAP, END_ID, MEMO, BLOCK = 2048, 0, 1_200_000, 1 << 20
@@ -110,7 +109,7 @@ class WordEncoder:
         return b"".join(out)
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def encoder(spec: bytes) -> WordEncoder:
     return WordEncoder(spec)
 

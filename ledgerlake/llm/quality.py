@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.common import prepare_python, worker_memo
 from ledgerlake.llm.optimise import minimise
 from ledgerlake.session import cut_lineage
 
@@ -77,7 +76,7 @@ def damped(words: int) -> float:
     return 4 * max(1, words) ** -DAMPING
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def features(bits: int) -> Features:
     return Features(bits)
 

@@ -15,7 +15,6 @@ the chunks of a text are scanned in parallel and combined in one aggregation.
 from __future__ import annotations
 
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.char_classes import Matcher
-from ledgerlake.llm.common import prepare_python
+from ledgerlake.llm.common import prepare_python, worker_memo
 
 CHUNK, MEMO, PAIRS = 1 << 16, 1_200_000, 800_000
 LIMIT = 512
@@ -130,7 +129,7 @@ class CountTransducer:
         return sum(map(self.plain, parts)) + len(parts) - 1
 
 
-@lru_cache(maxsize=2)
+@worker_memo
 def compiled(spec: bytes) -> CountTransducer:
     """One transducer for each worker process and tokenizer file; its memo outlives the tasks."""
     return CountTransducer(spec)

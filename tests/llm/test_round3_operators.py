@@ -312,3 +312,45 @@ def test_no_label_of_a_held_out_row_is_learned(spark):
     docs = table(spark, "documents")
     one, two = (toxicity.contract(spark, docs, x).orderBy("doc_id").toPandas() for x in (labels, flipped))
     assert one.equals(two)
+
+
+# ---- worker memory -----------------------------------------------------------------------------------------
+
+def test_worker_memos_can_be_released():
+    from ledgerlake.llm import common
+    calls = []
+
+    @common.worker_memo
+    def kept(n):
+        calls.append(n)
+        return n
+    assert [kept(1), kept(1), len(calls)] == [1, 1, 1]
+    common.release_memos()
+    assert [kept(1), len(calls)] == [1, 2]
+    common._MEMOS.remove(kept)
+
+
+def test_simhash_and_rules_release_what_packing_left(spark, monkeypatch):
+    """Run the task functions here: whatever an earlier task of packing left in the process is gone afterwards."""
+    from ledgerlake.llm import near_text, outliers, quality
+    tasks = []
+    docs = spark.createDataFrame([(1, "a b c", "en")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema, *_: tasks.append(run) or df.limit(0))
+    near_text.fingerprints(docs)
+    with pytest.raises(Exception):                    # its columns come from the task, which does not run here
+        outliers.statistics(docs, "doc_id", "text", ["lang"]).count()
+    assert len(tasks) == 2
+    for run in tasks:
+        quality.features(16)
+        assert quality.features.cache_info().currsize > 0
+        list(run(iter([])))
+        assert quality.features.cache_info().currsize == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 1000])
+def test_fingerprints_do_not_depend_on_blocks(block, monkeypatch):
+    from ledgerlake.llm import near_text
+    texts = [b"", b"One", b"one two", b"one two three", b"a b c d e f g a b c a b c d"]
+    want = [near_text.fingerprint(t) for t in texts]
+    monkeypatch.setattr(near_text, "_BLOCK", block)
+    assert [near_text.fingerprint(t) for t in texts] == want
