@@ -92,21 +92,33 @@ def examples(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 
     The texts grow with the square of a conversation's turns, as the expansion asks; a conversation's text has to fit a
     row.  ``spans`` gives the same examples without repeating their contexts."""
-    head = F.concat(F.lit("<|"), escape_role(F.coalesce(F.col(role), F.lit(""))), F.lit("|>"))
-    rows = turns.select(F.col(conv).alias("conv"), F.struct(
-        F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"), head.alias("head"),
-        escape(F.coalesce(F.col(text), F.lit(""))).alias("body")).alias("t"))
-    convs = (rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("t"))
-             .withColumn("parts", F.transform("t", lambda t: F.concat(t["head"], t["body"], F.lit(END))))
-             .withColumn("cut", F.expr("filter(sequence(1, size(t)), i -> t[i - 1].role = 'assistant' or i = size(t))")))
-    ex = convs.select("conv", "t", "parts", F.posexplode("cut").alias("example", "last"))
-    this = F.col("t")[F.col("last") - 1]
-    formatted = F.array_join(F.slice("parts", F.lit(1), F.col("last")), "")
-    stop = F.when(this["role"] == "assistant", F.length(formatted) - len(END))
-    return ex.select("conv", F.col("example").cast("long").alias("example"), formatted.alias("formatted"),
-                     (stop - F.length(this["body"])).cast("long").alias("loss_start"),
-                     stop.cast("long").alias("loss_end"))
+    return expanded(turns, conv, turn, role, text).select("conv", "example", "formatted", "loss_start", "loss_end")
+
+
+# A share holds some so many examples of a conversation; a conversation has no more than MAX_SHARES shares.
+SHARE_EXAMPLES, MAX_SHARES = 1000, 32
+
+
+def expanded(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """``examples`` and ``whole_chars``, the length of the conversation's longest example.
+
+    A conversation's text is gathered once, and every example is its own prefix of it, made row by row, so a task holds
+    one example at a time.  The examples of a long conversation are dealt in turn over MAX_SHARES shares, so as many
+    tasks expand them."""
+    per = (spans(formatted_turns(turns, conv, turn, role, text)).groupBy("conv")
+           .agg(F.sort_array(F.collect_list(F.struct("start", "piece", "formatted_chars", "loss_start", "loss_end"))).alias("t"))
+           .select("conv", F.array_join("t.piece", "").alias("whole"),
+                   F.filter("t", lambda x: x["formatted_chars"].isNotNull()).alias("ends"))
+           .select("conv", "whole", F.transform("ends", lambda x, i: F.struct(
+               i.cast("long").alias("example"), x["formatted_chars"].alias("stop"), x["loss_start"].alias("loss_start"),
+               x["loss_end"].alias("loss_end"))).alias("ends")))
+    shares = F.least(F.lit(MAX_SHARES), F.ceil(F.size("ends") / SHARE_EXAMPLES)).cast("int")
+    dealt = (per.withColumn("shares", shares).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+             .select("conv", "whole", "share", F.expr("filter(ends, (x, i) -> i % shares = share)").alias("ends"))
+             .repartition("conv", "share"))
+    return dealt.select("conv", "whole", F.explode("ends").alias("e")).select(
+        "conv", "e.example", F.substr("whole", F.lit(1), F.col("e.stop").cast("int")).alias("formatted"), "e.loss_start", "e.loss_end",
+        F.length("whole").cast("long").alias("whole_chars"))
 
 
 def read_back(ex: DataFrame) -> DataFrame:
@@ -132,22 +144,23 @@ def with_control_case(spark, conversations: DataFrame) -> DataFrame:
 
 
 def contract(spark, conversations: DataFrame) -> DataFrame:
-    """The digests, read back from the formatted turns and the examples' loss spans.  Only they gather a conversation's text
-    (once: a digest is of one string); lengths and spans don't."""
-    ex = spans(formatted_turns(with_control_case(spark, conversations)))
-    p = F.col("piece")
-    role = unescape_role(F.substring_index(F.substr(p, F.lit(3)), "|>", 1))
-    text = unescape(F.substr(p, F.locate("|>", p) + 2, F.length(p) - F.locate("|>", p) - 1 - len(END)))
-    masked = unescape(F.substr(p, (F.col("loss_start") - F.col("start") + 1).cast("int"),
-                               (F.col("loss_end") - F.col("loss_start")).cast("int")))
-    read = ex.select("conv", "formatted_chars", F.struct(
-        "start", F.concat(role, F.lit("\n"), text, F.lit("\n")).alias("line"), F.coalesce(masked, F.lit("")).alias("loss")).alias("t"))
-    per = read.groupBy("conv").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("formatted_chars").alias("formatted_chars"),
-                                   F.sort_array(F.collect_list("t")).alias("t"), F.sum(F.length("t.loss")).alias("loss_chars"))
-    return per.select(F.col("conv").alias("conv_id"), "n_turns", F.sha2(F.array_join("t.line", ""), 256).alias("turns_sha256"),
-                      F.col("loss_chars").cast("long").alias("loss_chars"),
-                      F.sha2(F.array_join("t.loss", ""), 256).alias("loss_sha256"),
-                      F.col("formatted_chars").cast("long").alias("formatted_chars"))
+    """The digests, read back from the examples' own texts: lengths and masked texts from each, the turns from the longest
+    (parsed after its conversation's other examples were left behind, so a shuffle carries a conversation's text once)."""
+    ex = expanded(with_control_case(spark, conversations))
+    masked = unescape(F.substr("formatted", (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int")))
+    chars = F.length("formatted").cast("long")
+    read = ex.select("conv", "example", chars.alias("chars"), F.coalesce(masked, F.lit("")).alias("loss"),
+                     F.when(chars == F.col("whole_chars"), F.col("formatted")).alias("whole"))
+    per = read.groupBy("conv").agg(F.sum("chars").alias("formatted_chars"), F.max("whole").alias("whole"),
+                                   F.sort_array(F.collect_list(F.struct("example", "loss"))).alias("t"))
+    pieces = F.split("whole", END)
+    turns = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: F.concat(
+        unescape_role(F.substring_index(F.substr(p, F.lit(3)), "|>", 1)), F.lit("\n"),
+        unescape(F.substr(p, F.locate("|>", p) + 2)), F.lit("\n")))
+    loss = F.array_join("t.loss", "")
+    return per.select(F.col("conv").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"),
+                      F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+                      F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
 
 
 ORACLE = r"""

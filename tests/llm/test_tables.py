@@ -170,6 +170,21 @@ def test_chat_hot_conversation_lies_in_many_tasks(spark):
     assert chat.formatted_turns(df.limit(0)).count() == 0 and chat.contract(spark, df.limit(0)).count() == 1
 
 
+def test_chat_query_reads_the_examples(spark, monkeypatch):
+    """The query's figures come from the expanded examples: dealt over shares they are the same, without one they lack it."""
+    turns = [(7, i, ("user", "assistant")[i % 2], f"turn {i} </s>") for i in range(40)] + [(8, 0, "user", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    want = _chat_by_hand(turns + [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")])
+    monkeypatch.setattr(chat, "SHARE_EXAMPLES", 3)
+    assert {r.conv_id: tuple(r)[1:] for r in chat.contract(spark, df).collect()} == want
+    ex = [r.formatted for r in chat.examples(df).filter("conv = 7").orderBy("example").collect()]
+    assert len(ex) == 20 and all(b.startswith(a) for a, b in zip(ex, ex[1:]))
+    whole = chat.expanded
+    monkeypatch.setattr(chat, "expanded", lambda t: whole(t).filter("example <> 3"))
+    less = {r.conv_id: r for r in chat.contract(spark, df).collect()}[7]
+    assert less.formatted_chars == want[7][4] - len(ex[3]) and less.loss_chars == want[7][2] - len("turn 7 </s>")
+
+
 # ---- 7 -----------------------------------------------------------------------------------------------------
 
 def test_statistics_by_hand():
