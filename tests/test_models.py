@@ -45,3 +45,67 @@ def test_class_scores_and_cross_validation(spark):
     assert cv.folds == 3 and cv.cv_mean > 0.8 and cv.cv_std >= 0
     again = ml.cross_validate(df, ["a", "b"], ml.rf_classifier(p), "f1_macro", 3, id_col="id").first()
     assert tuple(cv) == tuple(again)
+
+
+def _forest_rows(spark, n=4000):
+    import numpy as np
+    rng = np.random.default_rng(3)
+    x = rng.random((n, 4))
+    rows = [(i, float(a), None if i % 50 == 0 else float(b), float(c), float(d), 3.0 * (a > 0.5) + b + 0.1 * d, float(int(3 * a)), 1.0 + (i % 2))
+            for i, (a, b, c, d) in enumerate(x.tolist())]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, d double, label double, cls double, w double")
+
+
+def test_forests_over_blocks_and_passes(spark, tmp_path, monkeypatch):
+    """Trees of one task and of passes are equal; over many blocks the forest is as good; a saved one predicts the same."""
+    from ledgerlake.operators import forests as fo
+    df, feats = _forest_rows(spark), ["a", "b", "c", "d"]
+    p = fo.ForestParams(trees=12, depth=6, min_rows=5)
+    one = fo.train(df, feats, p)
+    assert len(one.trees) == 12 and one.importance[0] > 0.8 and abs(sum(one.importance) - 1) < 1e-9
+    both = []
+
+    def twice(units, n, shares, classes, p):
+        both.append([whole(units, n, shares, classes, p), fo._in_passes(spark, units, n, shares, 1, classes, p)])
+        return both[0][1]
+    whole = fo._one_block
+    monkeypatch.setattr(fo, "_one_block", twice)
+    fo.train(df, feats, p)
+    monkeypatch.undo()
+    assert len(both[0][0]) == 12 and both[0][0] == both[0][1]
+    many = fo.train(df, feats, replace(p, block_rows=700))
+    for m in (one, many):
+        got = fo.predict(df, m, ["id", "label"]).toPandas()
+        assert len(got) == 4000 and (got.prediction - got.label).abs().mean() < 0.15
+    # every leaf holds min_rows draws, no tree is deeper than asked, children follow their parents
+    for t in many.trees:
+        depth = {0: 0}
+        for n, c in enumerate(t.child):
+            assert c == n and t.cut[n] == fo.LEAF or c > n
+            if c > n:
+                depth[c] = depth[c + 1] = depth[n] + 1
+        assert max(depth.values()) <= 6 and len(depth) == len(t.child)
+    again = fo.load(spark, fo.save(many, spark, str(tmp_path / "m")))
+    two = fo.predict(df, again, ["id"], "two").join(fo.predict(df, many, ["id"], "one"), "id")
+    assert two.filter("one <> two").count() == 0 and again.importance == many.importance
+    empty = fo.predict(df, fo.train(df.limit(0), feats, p), ["id"]).first()
+    assert empty.prediction == 0
+
+
+def test_forest_classes_and_weights(spark):
+    from ledgerlake.operators import forests as fo
+    df, feats = _forest_rows(spark), ["a", "b"]
+    p = fo.ForestParams(trees=10, depth=5, min_rows=5)
+    for block_rows in (1_000_000, 900):
+        m = fo.train(df, feats, replace(p, block_rows=block_rows), 3, label="cls", weight="w")
+        got = fo.predict(df, m, ["id", "cls"]).toPandas()
+        assert (got.cls == got.prediction).mean() > 0.95
+        assert all(abs(sum(x) - 1) < 1e-9 and max(x) == x[int(c)] for x, c in zip(got.probability, got.prediction))
+    # one node's cut by hand: bins of one feature, Gini times weight
+    import numpy as np
+    sums = np.array([[[[4., 0., 0.]]], [[[0., 6., 2.]]], [[[4., 6., 2.]]]])
+    f, cut, gain, value = fo.best_cuts(sums, np.array([[7]]), replace(p, min_rows=1), 2, False)
+    assert f[0] == 7 and cut[0] == 0 and abs(gain[0] - (12 - (16 + 64) / 12)) < 1e-9 and value[0].tolist() == [4 / 12, 8 / 12]
+    # the trees' stage is no MLlib model: the registered queries fit this forest
+    assert isinstance(ml.baseline_classifier(df.withColumn("class_weight_squared", F.col("w")).withColumn("label", F.col("cls")), feats,
+                                             replace(ml.RISK_PARAMS, rf_trees=2, rf_depth=2)), fo.Forest)
