@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import sys
 import time
 import zlib
 from collections import defaultdict
@@ -386,3 +387,18 @@ def test_simhash_hot_group_is_folded(spark):
         F.concat(F.lit("own text number "), F.col("id").cast("string"))).alias("text"))
     got = near_text.contract(spark, docs).filter("doc_id % 3 > 0")
     assert got.filter("component_id = 1").count() == 2000
+
+
+def test_encoder_memo_stays_bounded(monkeypatch):
+    """Ids stay the library's when the memos start anew; full memos of common runs take at most 250 MB a worker process."""
+    limit = packing.MEMO
+    enc, tok = packing.WordEncoder(packing.word_spec()), Tokenizer.from_str(packing.word_spec().decode())
+    rng = random.Random(2)
+    enc.encode(words(rng, 4000))
+    entry = sum(map(sys.getsizeof, [*enc.memo, *enc.memo.values()])) / len(enc.memo)
+    assert (entry + 100) * limit * 5 / 3 < 250e6             # 100 bytes: a dictionary's slots; two thirds more: pre-tokens
+    monkeypatch.setattr(packing, "MEMO", 60)
+    for i in range(60):
+        text = f"the cat's {words(rng, 12)} x{i} the"
+        want = b"".join(t.to_bytes(4, "little") for t in tok.encode(text, add_special_tokens=False).ids)
+        assert enc.encode(text) == want and len(enc.memo) <= 60
