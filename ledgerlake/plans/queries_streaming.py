@@ -36,7 +36,7 @@ def q_stream_promises(spark, d):
     t = pipe(spark, d).t
     ptp = t["collections_events"].filter("event_type = 'PTP'").select(
         "event_id", "invoice_id", "customer_id", "promise_to_pay_date", F.col("event_date").cast("timestamp").alias("event_date"))
-    pay = fe.ar_payments(t["payments"]).select("reference_id", "payment_date")
+    pay = fe.ar_payments(fe.payments_of(t, "AR")).select("reference_id", "payment_date")
     out, ckpt = st.paths(spark, "promises")
     end = F.lit("2200-01-01")
     sources = []

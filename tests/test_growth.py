@@ -29,3 +29,19 @@ def test_ranks_of_text_values(spark):
     df = spark.createDataFrame([(0, "b"), (0, "a"), (0, "b"), (1, "c")], "g int, v string").withColumn("v", F.concat("v", F.lit("x")))
     got = {(r.g, r.v): (r._less, r._eq, r._n) for r in group_value_ranks(df, "g", "v", partitions=3).collect()}
     assert got == {(0, "ax"): (0, 1, 3), (0, "bx"): (1, 2, 3), (1, "cx"): (0, 1, 1)}
+
+
+def test_customer_payments_stage_no_bills(spark, tmp_path):
+    from ledgerlake.operators import features as fe
+    from ledgerlake.sources.driver import StagedInputs
+    t = StagedInputs(spark, "/root/testdata/sf0.001", str(tmp_path / "in"))
+    fe.customer_delays(t).count()
+    assert not {"bills", "payments"} & set(os.listdir(tmp_path / "in"))
+    parts = {k: fe.payments_of(t, k) for k in ("AR", "AP")}
+    assert "payments" not in os.listdir(tmp_path / "in")     # a kind is a projection of its documents, not written again
+    for k, part in parts.items():                            # the same rows as the whole table's
+        whole = t["payments"].filter(F.col("reference_type") == k)
+        assert part.columns == whole.columns and part.count() == whole.count() > 0
+        assert part.exceptAll(whole).count() == 0
+    plain = {"payments": t["payments"]}
+    assert fe.payments_of(plain, "AP").count() == parts["AP"].count()
