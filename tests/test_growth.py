@@ -45,3 +45,21 @@ def test_customer_payments_stage_no_bills(spark, tmp_path):
         assert part.exceptAll(whole).count() == 0
     plain = {"payments": t["payments"]}
     assert fe.payments_of(plain, "AP").count() == parts["AP"].count()
+
+
+def test_s1_frame_joins_customers_once_and_keeps_repeated_and_null_keys(spark):
+    from ledgerlake.operators.training import s1_training_frame
+    inv = spark.createDataFrame([(1, 1), (2, 1), (3, 2), (4, 3), (5, 9), (6, None), (7, 4)], "invoice_id int, customer_id int") \
+        .withColumn("payment_terms", F.lit("NET15")).withColumn("feature_date", F.lit("2001-01-01"))
+    cf = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0), (3, 4.0), (None, 5.0)], "customer_id int, late double")
+    sc = spark.createDataFrame([(1, .5), (1, .6), (3, .7), (4, .8), (None, .9)], "customer_id int, payment_score double") \
+        .withColumn("expected_delay", F.lit(1.0)).withColumn("risk_segment", F.lit("LOW"))
+    co = spark.createDataFrame([(1, 2), (3, 1), (3, 4), (None, 7)], "invoice_id int, reminder_count int") \
+        .withColumn("promise_to_pay_date", F.lit(None).cast("date"))
+    got = s1_training_frame(inv, cf, co, sc)
+    assert "full" in got._jdf.queryExecution().analyzed().toString().lower()      # scores meet the features, not the wide frame
+    want = inv.join(cf, "customer_id", "left").join(co, "invoice_id", "left").join(sc, "customer_id", "left")
+    names = ["invoice_id", "customer_id", "late", "reminder_count", "payment_score", "risk_segment"]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.select(*names).collect())) == sorted(map(key, want.select(*names).collect()))
+    assert set(got.columns) == {*want.columns, "payment_terms_days", "days_until_ptp"} and len(got.columns) == len(set(got.columns))
