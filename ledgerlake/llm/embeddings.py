@@ -4,7 +4,8 @@ For unit vectors, cosine >= c is Euclidean distance <= eps = sqrt(2 - 2c).  Vect
 of their leading principal coordinates, and cut into sequence intervals.  The join starts from the pair (whole sequence,
 whole sequence) and replaces each pair of intervals by the pairs of their parts, dropping those whose boxes in the leading
 coordinates are further apart than eps: no link can cross them.  The pairs of smallest intervals are joined in tasks, which go
-on splitting them before they compare vectors.
+on splitting them before they compare vectors.  A task takes the pairs of a tile, strips of intervals in a row against each other, so
+an interval is shuffled once for each strip and not once for each interval.
 """
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ from ledgerlake.llm.common import components, prepare_python
 from ledgerlake.session import cut_lineage
 
 MIN_COSINE, LEADING, INTERVAL, FAN_OUT, LEAF, PCA_SAMPLE = 0.9, 8, 2048, 4, 128, 4_000
+# Bytes of vectors that the task of a tile holds at most (one interval at least).
+STRIP_BYTES = 64 << 20
 
 
 def unit_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -203,38 +206,76 @@ def forest(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 _IN_BLOCK = 1 << 20
 
 
-def links(blocks: DataFrame, pairs: DataFrame, min_cosine: float) -> DataFrame:
+def tile_side(blocks: DataFrame, tasks: int) -> int:
+    """How many intervals in a row make a strip: as many as give some two tiles (pairs of strips) a task, and no more than
+    STRIP_BYTES hold, as the task of a tile holds one strip."""
+    n, most = blocks.agg(F.count(F.lit(1)), F.max(F.length("data"))).first()
+    return max(1, min(math.ceil(n / math.ceil(math.sqrt(4 * tasks))), STRIP_BYTES // max(most or 1, 1)))
+
+
+def tiles(blocks: DataFrame, pairs: DataFrame, side: int) -> DataFrame:
+    """(ti, tj, held, block, dim, data, weight, mates): the intervals of each tile that has pairs, strip ``ti`` to be held and strip ``tj``
+    to be read against it; ``mates`` are the held intervals to compare one that is read with.
+
+    An interval is sent once to each tile, not once to each pair, so the bytes sent grow by the number of strips."""
+    strip = {c: F.floor(F.col(c) / side).cast("long") for c in ("a", "b")}
+    held = pairs.select(F.col("a").alias("block"), strip["a"].alias("ti"), strip["b"].alias("tj")).distinct().select(
+        "block", "ti", "tj", F.lit(True).alias("held"), F.array().cast("array<long>").alias("mates"))
+    read = pairs.groupBy(F.col("b").alias("block"), strip["a"].alias("ti")).agg(F.collect_list("a").alias("mates")).select(   # a strip's at most
+        "block", "ti", F.floor(F.col("block") / side).cast("long").alias("tj"), F.lit(False).alias("held"), "mates")
+    places = held.unionByName(read).groupBy("block").agg(F.collect_list(F.struct("ti", "tj", "held", "mates")).alias("at"))
+    return blocks.select("block", "dim", "data", "weight").join(places, "block").select(
+        "block", "dim", "data", "weight", F.explode("at").alias("at")).select("at.ti", "at.tj", "at.held", "block", "dim", "data", "weight", "at.mates")
+
+
+def links(blocks: DataFrame, pairs: DataFrame, min_cosine: float, side: int | None = None) -> DataFrame:
     """(node, other, weight): per vector with links in a pair of intervals, how many rows it links to there, and a vector
     of its local component (which spans the component: no pairs are returned)."""
-    a = blocks.select(F.col("block").alias("a"), F.col("dim").alias("dim"), F.col("data").alias("da"), F.col("weight").alias("wa"))
-    b = blocks.select(F.col("block").alias("b"), F.col("dim").alias("dim"), F.col("data").alias("db"), F.col("weight").alias("wb"))
-    work = pairs.join(a, "a").join(b, ["b", "dim"])
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    side = side or tile_side(blocks, cores)
+
+    def joined(a, x, wx, b, y, wy):
+        same, n = a == b, len(x)
+        shift = 0 if same else n
+        total, found, size = np.zeros(n + (0 if same else len(y)), dtype=np.int64), [], 0
+
+        def add(i, j):
+            nonlocal size
+            np.add.at(total, i, wy[j])
+            np.add.at(total, j + shift, wx[i])
+            found.append((i, j + shift))
+            size += len(i)
+            if size > 1 << 20:                            # bounded: fold what was found into a forest
+                root = forest(len(total), found)
+                k = np.flatnonzero(root != np.arange(len(root)))
+                found[:], size = [(k, root[k])], len(k)
+        join_interval(x, y, same, min_cosine, add)
+        hit = np.flatnonzero(total)
+        root = forest(len(total), found)
+        name = np.concatenate([a * _IN_BLOCK + np.arange(n), b * _IN_BLOCK + np.arange(len(y))])
+        return pa.RecordBatch.from_arrays([pa.array(name[hit], pa.int64()), pa.array(name[root[hit]], pa.int64()),
+                                           pa.array(total[hit], pa.int64())], names=["node", "other", "weight"])
 
     def run(batches):
+        tile, strip = None, {}
         for batch in batches:
             for r in batch.to_pylist():
-                d, same = r["dim"], r["a"] == r["b"]
-                x, y = (np.frombuffer(r[c]).reshape(-1, d) for c in ("da", "db"))
-                n = len(x)
-                wx, wy = np.array(r["wa"]), np.array(r["wb"])
-                shift = 0 if same else n
-                total, found = np.zeros(n + (0 if same else len(y)), dtype=np.int64), []
-
-                def add(i, j):
-                    np.add.at(total, i, wy[j])
-                    np.add.at(total, j + shift, wx[i])
-                    found.append((i, j + shift))
-                    if sum(len(f[0]) for f in found) > 1 << 20:      # bounded: fold what was found into a forest
-                        root = forest(len(total), found)
-                        k = np.flatnonzero(root != np.arange(len(root)))
-                        found[:] = [(k, root[k])]
-                join_interval(x, y, same, min_cosine, add)
-                hit = np.flatnonzero(total)
-                root = forest(len(total), found)
-                name = np.concatenate([r["a"] * _IN_BLOCK + np.arange(n), r["b"] * _IN_BLOCK + np.arange(len(y))])
-                yield pa.RecordBatch.from_arrays([pa.array(name[hit], pa.int64()), pa.array(name[root[hit]], pa.int64()),
-                                                  pa.array(total[hit], pa.int64())], names=["node", "other", "weight"])
-    return work.select("a", "b", "dim", "da", "wa", "db", "wb").mapInArrow(run, "node long, other long, weight long")
+                if (r["ti"], r["tj"]) != tile:
+                    tile, strip = (r["ti"], r["tj"]), {}
+                d = r["dim"]
+                y, wy = np.frombuffer(r["data"]).reshape(-1, d), np.array(r["weight"])
+                if r["held"]:
+                    strip[r["block"]] = (d, y, wy)
+                    continue
+                for a in r["mates"]:
+                    dim, x, wx = strip[a]
+                    if dim == d:
+                        yield joined(a, x, wx, r["block"], y, wy)
+    # a tile's held strip comes before what is read against it
+    strips = -(-blocks.count() // side)
+    dealt = (tiles(blocks, pairs, side).withColumn("later", ~F.col("held")).repartition(max(8 * cores, strips * (strips + 1) // 2), "ti", "tj")
+             .sortWithinPartitions("ti", "tj", "later", "block"))
+    return dealt.select("ti", "tj", "held", "block", "dim", "data", "weight", "mates").mapInArrow(run, "node long, other long, weight long")
 
 
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", min_cosine: float = MIN_COSINE,
